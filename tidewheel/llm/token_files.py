@@ -101,6 +101,11 @@ def _local(uri: str) -> str:
     return at.path or uri
 
 
+_PART = pa.schema(
+    [("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("kind", pa.string())]
+)
+
+
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
@@ -125,9 +130,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
             out.write(np.array([d or 0 for d in docs], "<i8").tobytes())
             out.write(np.array([d is None for d in docs], np.uint8).tobytes())
         if lengths:
-            yield pa.RecordBatch.from_pydict(
-                {"part": [part], "name": [name], "n_docs": [len(lengths)], "n_ids": [int(offsets[-1])], "kind": [encoder.kind.str]}
-            )
+            row = {"part": part, "name": name, "n_docs": len(lengths), "n_ids": int(offsets[-1]), "kind": encoder.kind.str}
+            yield pa.RecordBatch.from_pylist([row], _PART)
 
     return run
 
