@@ -17,18 +17,21 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import input_texts, new_path, text_blocks
 
-#: Pieces of text whose ids a worker keeps.
-CACHE_PIECES = 300_000
+#: Distinct pieces of text whose ids a worker keeps.
+CACHE_PIECES = 600_000
 #: Characters whose classes are alike in all Unicode versions at hand: up to Latin Extended-B, no odd controls.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-ɏ]*\Z")
 #: White space that does not simply join two pieces: runs of blanks, and blanks at a line's ends.
 _ODD_SPACE = ("  ", "\n ", " \n", "\n\n\n")
+_MARKS = ".,;:!?*$%&#|"
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _simple(t: str) -> bool:
@@ -38,9 +41,10 @@ def _simple(t: str) -> bool:
 class Encoder:
     """Ids of texts under a byte-level BPE file, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    Byte-level BPE merges within pieces that its pattern cuts before single blanks and around line ends. In a text of plain characters
-    and simple white space, blank-separated pieces therefore encode alone as they do in place, so their
-    ids are kept and reused; any other text is encoded whole.
+    Byte-level BPE merges within pieces that its pattern cuts: before single blanks, around line ends, and between a
+    letter or digit and a punctuation mark. In a text of plain characters and simple white space, blank-separated pieces
+    therefore encode alone as they do in place, so each distinct piece is encoded once and its ids are
+    kept; any other text is encoded whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
@@ -50,10 +54,19 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache, self.old, self.most = {}, {}, cache
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = cache
         line_end = self.tok.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 else None
 
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The one that this Python worker keeps from task to task."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
@@ -68,29 +81,57 @@ class Encoder:
         first, last = np.r_[0, ends + 1] * size, np.r_[ends, len(ids)] * size
         return [data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of ``kind``."""
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if _simple(t):
-                # A blank stays with the piece after it; a line end is a piece of its own.
-                parts.append(t.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00"))
+    def _learn(self, pieces: list[str]) -> None:
+        """Put every piece into the cache; marks at a piece's end are looked up apart from the word before them."""
+        known, old, split, new = self.cache, self.old, [], {}
+        for p in pieces:
+            if p in known:
+                continue
+            if p in old:
+                known[p] = old[p]
+                continue
+            word = p.rstrip(_MARKS)
+            if word != p and word[-1:].isalnum():
+                split.append((p, word, p[len(word) :]))
+                for part in split[-1][1:]:
+                    if part in old:
+                        known[part] = old[part]
+                    elif part not in known:
+                        new[part] = None
             else:
-                parts.append(None)
+                new[p] = None
+        fresh = list(new)
+        for i in range(0, len(fresh), 20_000):
+            some = fresh[i : i + 20_000]
+            known.update(zip(some, self._encode_pieces(some), strict=True))
+        known.update((p, known[word] + known[marks]) for p, word, marks in split)
+
+    def _encode_simple(self, texts: list[str]) -> list[bytes]:
+        # A blank stays with the piece after it; a line end is a piece of its own.
+        cut = [t.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00") for t in texts]
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\x00")
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
         if len(self.cache) > self.most:
             self.cache, self.old = {}, self.cache
-        known, old = self.cache, self.old
-        if "" not in known:
-            known.update({"": b"", "\n": self._encode(["\n"])[0]})
-        new = {p for pieces in parts if pieces for p in pieces if p not in known}
-        known.update((p, old[p]) for p in new if p in old)
-        new = [p for p in new if p not in old]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            known.update(zip(some, self._encode_pieces(some), strict=True))
-        get = known.__getitem__
-        whole = iter([self._encode([t])[0] for t, p in zip(texts, parts, strict=True) if p is None])
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
+        if "" not in self.cache:
+            self.cache.update({"": b"", "\n": self._encode(["\n"])[0]})
+        self._learn(pieces)
+        data = list(map(self.cache.__getitem__, pieces))
+        size = np.fromiter(map(len, data), np.int64, len(data)) // self.kind.itemsize
+        flat, first = np.frombuffer(b"".join(data), self.kind), np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        each = size[at]
+        ends = np.cumsum(each)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - each), each)]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of ``kind``."""
+        simple = [_simple(t) for t in texts]
+        fast = iter(self._encode_simple([t for t, s in zip(texts, simple, strict=True) if s]))
+        return [next(fast) if s else self._encode([t])[0] for t, s in zip(texts, simple, strict=True)]
 
 
 def _local(uri: str) -> str:
@@ -108,7 +149,7 @@ _PART = pa.schema(
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of_worker(tokenizer)
         part = TaskContext.get().partitionId()
         os.makedirs(folder, exist_ok=True)
         # A name for each attempt: a task that runs twice never writes into a file that is in use.
