@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .hidden_markov import language_scores
 from .language_id import identify
+from .mixing import mix
+from .mixing import oracle as mixing_oracle
 from .near_dedup import near_duplicates
 from .quality_rules import quality_verdicts
 from .rule_ensemble import quality_scores
 from .substring_dedup import remove_repeats
 from .token_files import token_table
+from .warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +42,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,6 +58,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hits", "items")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, drawn = mix(_table(spark, sf_dir, "documents"))
+    return drawn.select(
+        "doc_id", F.col("__tw_source").alias("source"), F.col("__tw_lang").alias("lang"), F.col("__tw_topic").alias("topic"),
+        F.col("__tw_tokens").alias("n_tokens"), F.round("__tw_weight", 7).alias("cell_weight"),
+        F.round("__tw_probability", 6).alias("probability"), F.col("__tw_sampled").alias("sampled"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,12 +81,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_near_dedup,
         op2_substring_dedup,
         op3_token_files,
+        op4_warc,
         op5_quality_classifier,
         op6_hidden_markov,
         op7_decontamination,
+        op8_mixing,
         op9_quality_rules,
         op10_language_id,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        k as (select page_id, strlen(h)::bigint as payload_bytes, sha1(h) as payload_digest,
+            max(page_id) over (partition by h) as keeper from p)
+        select page_id, payload_bytes, payload_digest,
+            case when payload_bytes >= 1000 and page_id != keeper then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 1000 and page_id != keeper then keeper end as refers_to from k""",
+    "op8_mixing": mixing_oracle(),
+}
