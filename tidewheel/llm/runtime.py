@@ -123,7 +123,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = make()  # once in a task
         for ids, texts in text_blocks(batches):
             columns = work(ids, texts)
             yield pa.RecordBatch.from_arrays(

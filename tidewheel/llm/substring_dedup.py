@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .runtime import Stored, input_texts, stored, text_blocks
+from .runtime import Stored, input_texts, keep_ids, map_texts, stored, text_blocks
 
 _NO_ID = -(1 << 63)
 
@@ -37,17 +37,23 @@ def anchors(h: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return grams, np.concatenate(least) + np.arange(len(rows))
 
 
-def _emit_anchors(span: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_blocks(batches):
-            hs, ds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, t in zip(ids, texts, strict=True):
-                grams, at = anchors(tx.hash_words(tx.space_words(t)), span, seed)
-                found = grams[np.unique(at)].view(np.int64)
-                hs.append(found), ds.append(np.full(len(found), i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ds))], ["h", "doc"])
+_INFO = "doc long, n_words long, s1 long, s2 long, sha string, anchors array<long>"
 
-    return run
+
+def _describe(span: int, seed: int):
+    def work(ids: list, texts: list) -> dict:
+        cols: dict[str, list] = {c: [] for c in ("n_words", "s1", "s2", "sha", "anchors")}
+        for t in texts:
+            words = tx.space_words(t)
+            joined = b" ".join(words)
+            grams, at = anchors(tx.hash_words(words), span, seed)
+            a, b = np.frombuffer(tx.xxhash.xxh3_128_digest(joined), np.int64)
+            values = (len(words), int(a), int(b), hashlib.sha256(joined).hexdigest(), grams[np.unique(at)].view(np.int64))
+            for c, v in zip(cols.values(), values, strict=True):
+                c.append(v)
+        return {"doc": ids} | cols
+
+    return work
 
 
 def _emit_windows(span: int, seed: int):
@@ -55,23 +61,24 @@ def _emit_windows(span: int, seed: int):
         for batch in batches:
             seeds, at_row = batch.column(2), 0
             for ids, texts in text_blocks(iter([batch])):
-                out = [(np.empty(0, np.int64),) * 3]
-                for i, t in zip(ids, texts, strict=True):
+                hs, ws = [], []
+                for t in texts:
                     h = tx.hash_words(tx.space_words(t))
                     grams, at = anchors(h, span, seed)
                     known = np.asarray(seeds[at_row].values).view(np.uint64)
                     at_row += 1
                     hit = np.flatnonzero(np.isin(grams[at], known)) if len(at) else at
-                    if len(hit):
-                        windows = tx.gram_hashes(h, span)[hit].view(np.int64)
-                        out.append((grams[at[hit]].view(np.int64), windows, np.full(len(hit), i, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "w", "doc"])
+                    hs.append(grams[at[hit]].view(np.int64))
+                    ws.append(tx.gram_hashes(h, span)[hit].view(np.int64))
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, kind), pa.array(ws, kind)], ["doc", "hs", "ws"])
 
     return run
 
 
 def _emit_kept(span: int, with_text: bool):
     names = ["doc", "n_words", "n_removed", "kept_sha256", "repeats"] + ["kept_text"] * with_text
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS, pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +98,8 @@ def _emit_kept(span: int, with_text: bool):
                     joined = b" ".join(kept)
                     row = (i, len(words), gone, hashlib.sha256(joined).hexdigest(), spans)
                     out.append(row + ((joined,) if with_text else ()))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS, pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names
+                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names
                 )
 
     return run
@@ -120,21 +126,62 @@ def remove_repeats(
     src = input_texts(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text"
     )
-    seeds = Stored(src.mapInArrow(_emit_anchors(span, seed), "h long, doc long"), "sub-anchors")
-    often = seeds.df.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    hit = seeds.df.join(often.hint("merge"), "h").groupBy("doc").agg(F.collect_set("h").alias("seeds"))
-    seeded = src.join(hit.hint("merge"), "doc").select("doc", "text", "seeds")
-    windows = Stored(seeded.mapInArrow(_emit_windows(span, seed), "h long, w long, doc long"), "sub-windows")
-    seeds.discard()
-    twice = windows.df.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
-    repeated = stored(
-        windows.df.join(twice.hint("merge"), ["h", "w"]).groupBy("doc").agg(F.collect_set("w").alias("windows")), "sub-repeats"
+    info = Stored(map_texts(src, lambda: _describe(span, seed), _INFO), "sub-info").df
+    # Copies of a whole text: all their windows repeat, and one of them stands for all of them among the seeds.
+    copies = (
+        info.filter(F.col("n_words") >= span).groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+        .filter("n > 1")
+    )
+    gone = (
+        info.select("doc", "s1", "s2").join(copies.hint("merge"), ["s1", "s2"], "left")
+        .groupBy("doc").agg(F.min(F.col("n").isNotNull()).alias("gone"), F.max(F.col("rep") == F.col("doc")).alias("first"))
+        .filter("gone")
+    )
+    gone = stored(gone.select("doc", "first"), "sub-copies")
+    seeds = keep_ids(info, "doc", gone.filter("not first").select("doc"), "left_anti")
+    seeds = seeds.select(F.explode("anchors").alias("h"), "doc")
+    often = seeds.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    hit = stored(seeds.join(often.hint("merge"), "h").groupBy("doc").agg(F.collect_set("h").alias("seeds")), "sub-seeded")
+    seeded = keep_ids(src, "doc", hit.select("doc")).join(hit.hint("merge"), "doc").select("doc", "text", "seeds")
+    windows = stored(seeded.mapInArrow(_emit_windows(span, seed), "doc long, hs array<long>, ws array<long>"), "sub-windows")
+    each = windows.select("doc", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select(
+        F.col("x.hs").alias("h"), F.col("x.ws").alias("w"), "doc"
     )
-    windows.discard()
+    twice = each.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
+    repeated = each.join(twice.hint("merge"), ["h", "w"]).groupBy("doc").agg(F.collect_set("w").alias("windows"))
+    repeated = stored(keep_ids(repeated, "doc", gone.select("doc"), "left_anti"), "sub-repeats")
+
+    cut = keep_ids(src, "doc", repeated.select("doc")).join(repeated.hint("merge"), "doc").select("doc", "text", "windows")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start: long, end: long>>"
-    out = src.join(repeated.hint("merge"), "doc", "left").select("doc", "text", "windows").mapInArrow(
-        _emit_kept(span, with_text), schema + (", kept_text binary" if with_text else "")
+    out = cut.mapInArrow(_emit_kept(span, with_text), schema + (", kept_text binary" if with_text else ""))
+    nothing = hashlib.sha256(b"").hexdigest()
+    whole = keep_ids(info, "doc", gone.select("doc")).select(
+        "doc", "n_words", F.col("n_words").alias("n_removed"), F.lit(nothing).alias("kept_sha256"),
+        F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("repeats"),
+    )
+    same = keep_ids(info, "doc", gone.select("doc").union(repeated.select("doc")), "left_anti").select(
+        "doc", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"),
+        F.array().cast("array<struct<start: long, end: long>>").alias("repeats"),
     )
+    if with_text:
+        whole = whole.withColumn("kept_text", F.lit(b""))
+        same = keep_ids(src, "doc", gone.select("doc").union(repeated.select("doc")), "left_anti").mapInArrow(
+            _emit_unchanged, out.schema
+        )
     cols = ["n_words", "n_removed", "kept_sha256", "repeats"]
     text = [F.col("kept_text").cast("string").alias("kept_text")] if with_text else []
-    return out.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), *cols, *text)
+    return out.union(whole).union(same).select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), *cols, *text)
+
+
+def _emit_unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, texts in text_blocks(iter([batch])):
+            words = [tx.space_words(t) for t in texts]
+            joined = [b" ".join(w) for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(ids), pa.int64()),
+                    pa.array([hashlib.sha256(j).hexdigest() for j in joined]), pa.array([[]] * len(ids), _SPANS), pa.array(joined, pa.binary()),
+                ],
+                ["doc", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text"],
+            )
