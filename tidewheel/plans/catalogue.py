@@ -1,10 +1,796 @@
-"""Every query of the engine by name, and the DuckDB SQL that gives the same rows."""
+"""Every query of the engine by name, and the DuckDB SQL that gives the same rows.
+
+Doubles are rounded to 6 places on both sides; array results are unfolded into rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import array_avg, array_median, array_min, median
+from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
+from ..sources import table
+from . import logs
+from .config import QUIET, WRITE_R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+#: Minutes come from microseconds, so many values lie just between two roundings; both sides shift them off that place.
+SHIFT = "3e-10"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle if SQL has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql.replace(", 6)", f" + {SHIFT}, 6)")
+        return f
+
+    return add
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, fractions as double rounded to 6 places, the rest as it is."""
+
+    def cast(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind in ("int", "smallint", "tinyint"):
+            return c.cast("long").alias(name)
+        if kind in ("float", "double") or kind.startswith("decimal"):
+            return F.round(c.cast("double") + F.lit(float(SHIFT)), 6).alias(name)
+        return c
+
+    return df.select(*(cast(n, k) for n, k in df.dtypes))
+
+
+def _sql(ctes: list[str], select: str) -> str:
+    return f"with {', '.join(ctes)} {select}"
+
+
+def _list(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+E, O, ACTS, GRADES, PEOPLE = logs.SQL_EVENT_LOG, logs.SQL_ORDER_LOG, logs.SQL_ACTIVITIES, logs.SQL_GRADES, logs.SQL_USERS
+_MIN = "(epoch_us({0}) - epoch_us({1})) / 60e6"
+GAPS = f"""gaps as (select *, lag(event_date) over (partition by student order by event_date) as previous,
+    {_MIN.format("event_date", "lag(event_date) over (partition by student order by event_date)")} as minutes from elog)"""
+FENCES = """fences as (select student, event_type, percentile_disc(0.75) within group (order by minutes) + 1.5 *
+    (percentile_disc(0.75) within group (order by minutes) - percentile_disc(0.25) within group (order by minutes)) as maximum
+    from gaps group by all)"""
+IDLE = """idle as (select g.*, f.maximum from gaps g left join fences f using (student, event_type) where (minutes > maximum and maximum > 20)
+    or (event_type = 'log in' and minutes > 60) or minutes > 120)"""
+FULL = """whole as (select student, event_type, event_date, activity, duration, image, improvement, critical_point, description, calendar_year, semester
+    from elog union all select student, 'be inactive', previous + interval 3 seconds, null, minutes, null, null, null, null, calendar_year, semester
+    from idle),
+    sess as (select *, sum((event_type = 'be inactive')::int) over (partition by student order by event_date) as session from whole)"""
+_LOG = [E, GAPS, FENCES, IDLE, FULL]
+
+
+def _years_sql(log: str, grades: str | None = "grades") -> str:
+    graded = f"left join {grades} g using (student, calendar_year)" if grades else "left join (select null::bigint as student, null::bigint as calendar_year, null::bigint as school_year) g using (student, calendar_year)"
+    return f"""years as (select student, calendar_year, proxy_school_year, coalesce(g.school_year, proxy_school_year) as school_year,
+        (g.school_year is null)::int as student_with_grades from (select student, calendar_year,
+        row_number() over (partition by student order by school_start) as proxy_school_year from (select distinct student, calendar_year, school_start
+        from {log} where event_type in ({_list(WRITE_R)}))) {graded} where coalesce(g.school_year, proxy_school_year) <= 3)"""
+
+
+def _buckets_sql(source: str, name: str = "placed") -> str:
+    return f"""{name}_a as (select * exclude (semester), year(event_date) % 4 = 0 and (year(event_date) % 100 <> 0 or year(event_date) % 400 = 0) as leap,
+        case when weekofyear(event_date) >= 31 then weekofyear(event_date) - 31 else weekofyear(event_date) + 21 end as woy,
+        case when month(event_date) >= 8 then month(event_date) - 8 else month(event_date) + 4 end as m, dayofyear(event_date) as d from {source}),
+    {name}_b as (select *, woy // 2 as biweek, case when d >= 213 + leap::int then d - 213 - leap::int else d + 152 end as dd,
+        case when d >= 213 + leap::int or d < 25 then 0 else 1 end as s from {name}_a),
+    {name}_c as (select *, case when s = 1 and woy = 0 then 0 else s end as semester, case when s = 1 and woy = 0 and m = 11 then 0 else m end as moy,
+        case when s = 1 and woy = 0 and dd > 350 then 0 else dd end as doy from {name}_b),
+    {name} as (select *, (school_year - 1) * 365 + doy as complete_doy, (school_year - 1) * 52 + woy as complete_woy,
+        (school_year - 1) * 26 + biweek as complete_biweek, (school_year - 1) * 12 + moy as complete_moy,
+        (school_year - 1) * 2 + semester as complete_semester, doy - semester * 177 as semester_doy, woy - semester * 25 as semester_woy,
+        biweek - semester * 12 as semester_biweek, moy - semester * 5 as semester_moy from {name}_c)"""
+
+
+# --- the log ---------------------------------------------------------------------------------------------------------
+
+
+@query("""select o_custkey as student, 'open' as event_type, o_orderdate as event_date, o_orderpriority as note from orders where o_orderstatus = 'O'
+    union select o_custkey, 'open', o_orderdate, o_orderpriority from orders where o_orderstatus in ('O', 'P')
+    union select o_custkey, 'urgent', o_orderdate, null from orders where o_orderpriority = '1-URGENT'""")
+def event_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+
+    def arm(df: DataFrame, kind: str, note: Column) -> DataFrame:
+        return df.select(
+            F.col("o_custkey").alias("student"), F.lit(kind).alias("event_type"), F.col("o_orderdate").alias("event_date"),
+            F.struct(note.cast("string").alias("note")).alias("attributes"),
+        )
+
+    arms = [
+        arm(o.filter("o_orderstatus = 'O'"), "open", F.col("o_orderpriority")), arm(o.filter("o_orderstatus in ('O', 'P')"), "open", F.col("o_orderpriority")),
+        arm(o.filter("o_orderpriority = '1-URGENT'"), "urgent", F.lit(None)),
+    ]
+    return events.union_distinct(arms).select("student", "event_type", "event_date", F.col("attributes.note").alias("note"))
+
+
+@query("""select o_orderkey, case when y between 1996 and 1999 then (y % 100) * 100 + (y + 1) % 100 end as calendar_year, y as school_start from
+    (select o_orderkey, year((o_orderdate - interval 1 microsecond)::date - interval 7 month) as y from orders)""")
+def calendar_year_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("o_orderdate")
+    return _plain(table(spark, sf_dir, "orders").select("o_orderkey", calendar.school_label(ts, 1996, 1999).alias("calendar_year"), calendar.school_start(ts).alias("school_start")))
+
+
+@query("select o_orderkey, case when dayofyear(o_orderdate) >= 214 or dayofyear(o_orderdate) < 25 then 0 else 1 end as semester from orders")
+def semester_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(table(spark, sf_dir, "orders").select("o_orderkey", calendar.log_semester(F.col("o_orderdate")).alias("semester")))
+
+
+_UNITS = ["woy", "biweek", "moy", "doy", "semester", "complete_doy", "complete_woy", "complete_biweek", "complete_moy", "complete_semester",
+          "semester_doy", "semester_woy", "semester_biweek", "semester_moy"]
+
+
+@query(_sql(["src as (select o_orderkey, o_orderdate as event_date, o_custkey % 3 + 1 as school_year, 0 as semester from orders)", _buckets_sql("src")],
+            f"select o_orderkey, {', '.join(_UNITS)} from placed"))
+def calendar_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("event_date"), (F.col("o_custkey") % 3 + 1).alias("school_year"))
+    return _plain(calendar.with_buckets(o).select("o_orderkey", *_UNITS))
+
+
+@query(_sql([E, GAPS], "select number, student, event_type, event_date, round(minutes, 6) as minutes from gaps"))
+def inter_event_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(events.inter_event_gaps(logs.event_log(spark, sf_dir), tie="number").select("number", "student", "event_type", "event_date", "minutes"))
+
+
+@query(_sql([E], f"""select number, student, round({_MIN.format("event_date", "lag(event_date) over (order by student nulls last, event_date, number)")}, 6) as minutes
+    from elog"""))
+def inter_event_gap_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = events.inter_event_gaps(logs.event_log(spark, sf_dir), strict=True, tie="number")
+    return _plain(gaps.select("number", "student", "minutes"))
+
+
+@query(_sql([E, GAPS, FENCES], "select student, event_type, round(maximum, 6) as maximum from fences"))
+def upper_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(events.upper_fences(events.inter_event_gaps(logs.event_log(spark, sf_dir), tie="number")))
+
+
+@query(_sql(_LOG[:4], """select student, event_type, previous + interval 3 seconds as event_date, round(minutes, 6) as minutes, round(maximum, 6) as maximum
+    from idle"""))
+def inactivity_fence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idle = events.inactivity(logs.event_log(spark, sf_dir), tie="number")
+    return _plain(idle.select("student", "event_type", (F.col("previous") + F.expr("interval 3 seconds")).alias("event_date"), "minutes", "maximum"))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.session_ids(events.with_inactivity(logs.event_log(spark, sf_dir), tie="number"))
+
+
+@query(_sql(_LOG, "select student, event_type, event_date, session::bigint as session from sess"))
+def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_sessions(spark, sf_dir).select("student", "event_type", "event_date", "session"))
+
+
+@query(_sql(_LOG, f"""select student, session::bigint as session, count(*) as session_events,
+    round(least({_MIN.format("max(event_date)", "min(event_date)")}, 180.0), 6) as session_duration from sess where event_type <> 'be inactive' group by all"""))
+def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(events.session_stats(_sessions(spark, sf_dir)))
+
+
+@query(_sql([O, GRADES, _years_sql("olog")], "select student, calendar_year, proxy_school_year, school_year, student_with_grades from years"))
+def school_years_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_order_years(spark, sf_dir))
+
+
+def _order_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.school_years(logs.order_log(spark, sf_dir), logs.grades(spark, sf_dir), WRITE_R, order="school_start")
+
+
+@query(_sql([PEOPLE], """select user_id as student, (language = 'ita')::int as language_ita, case when canton = 'ti' then 'ticino' else 'geneva' end as canton,
+    archived from people where user_type = 'studente' or (user_id in (select c_custkey from customer where c_custkey % 5 = 0)
+    and user_id not in (5, 10, 15, 20))"""))
+def students_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = logs.users(spark, sf_dir)
+    none = people.select("user_id").limit(0)
+    graded = logs.grades(spark, sf_dir).select(F.col("student").alias("user_id"))
+    out = events.students(
+        people.select("user_id", "user_type"), people.drop("user_type"), none.withColumn("number_of_classes", F.lit(0)),
+        none.withColumns({"number_of_communications": F.lit(0), "total_reads": F.lit(0)}), none.withColumn("gender", F.lit("")), graded, [5, 10, 15, 20],
+    )
+    return _plain(out.select("student", "language_ita", "canton", "archived"))
+
+
+@query(_sql([PEOPLE], "select user_id as person, language, canton, archived from people where user_type = 'docente'"))
+def staff_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = logs.users(spark, sf_dir)
+    return events.staff(people.select("user_id", "user_type"), people.drop("user_type"), "docente")
+
+
+@query(_sql([PEOPLE, """notes as (select o_orderkey as notification, case o_orderkey % 4 when 0 then 'feedback response' when 1 then 'communication'
+    when 2 then 'feedback request' else 'other' end as type, o_custkey as sender, o_orderkey % 50 as recipient, o_orderdate as event_date from orders)""",
+    """acted as (select sender as person, case type when 'feedback response' then 'send feedback response' else 'communicate' end as event_type, notification,
+    event_date from notes where type in ('feedback response', 'communication')
+    union select recipient, 'receive feedback request', notification, event_date from notes where type = 'feedback request'
+    union select user_id, 'log in', null, ts from events)"""],
+    """select person, event_type, event_date::date::varchar as event_date, count(*) as n from acted
+    where person in (select user_id from people where user_type = 'docente') group by all"""))
+def staff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    kind = F.element_at(F.array(*map(F.lit, ("feedback response", "communication", "feedback request", "other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    notes = o.select(
+        F.col("o_orderkey").alias("notification"), kind.alias("type"), F.col("o_custkey").alias("sender"), (F.col("o_orderkey") % 50).alias("recipient"),
+        F.col("o_orderdate").alias("event_date"), F.lit(None).cast("string").alias("url"), F.lit(True).alias("is_read"),
+        (F.col("o_orderkey") % 97).alias("activity"), F.lit(None).cast("string").alias("description"),
+    )
+    owners = table(spark, sf_dir, "part").filter("p_partkey < 97").select(F.col("p_partkey").alias("activity"), (F.col("p_size") % 50).cast("long").alias("user_id"))
+    logins = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("event_date"))
+    out = events.staff_events(notes, owners, owners.withColumnRenamed("user_id", "responsable"), logins, staff_entity(spark, sf_dir))
+    out = out.withColumn("event_date", F.col("event_date").cast("string"))
+    return _plain(out.groupBy("person", "event_type", "event_date").agg(F.count("*").alias("n")))
+
+
+# --- features --------------------------------------------------------------------------------------------------------
+
+_PREP = """joined as (select s.*, y.school_year, a.tags, a.ingredients from {log} s left join years y using (student, calendar_year)
+        left join acts a using (activity)),
+    flagged as (select * exclude (duration, image, tags, ingredients), coalesce(image, false)::int as image, coalesce(tags > 1, false)::int as bool_tags,
+        coalesce(ingredients > 1, false)::int as bool_ingredients, least(greatest(coalesce(duration, 2), 2), 120) as duration from joined
+        where school_year > 0)"""
+
+
+def _counts_sql(keys: str, unit: str) -> str:
+    def n(*types: str) -> str:
+        return f"count(*) filter (where event_type in ({_list(types)}))"
+
+    write = n("write new recipe", "write new experience", "edit recipe", "edit experience")
+    write_r, edit_r = n(*WRITE_R), n("edit recipe", "edit experience", "edit reflection")
+    recipe, experience, new = n("write new recipe", "edit recipe"), n("write new experience", "edit experience"), n("write new recipe", "write new experience")
+    in_write = "event_type in ('write new recipe', 'write new experience', 'edit recipe', 'edit experience')"
+    text = "sum(coalesce(length(improvement), 0) + coalesce(length(critical_point), 0))"
+    return f"""sstats as (select student, session, count(*) as session_events, max({unit}) as {unit}, max(calendar_year) as calendar_year,
+        max(school_year) as school_year, max(semester) as semester, least({_MIN.format("max(event_date)", "min(event_date)")}, 180.0) as session_duration
+        from placed where event_type <> 'be inactive' group by student, session),
+    bys as (select student, {keys}, {unit}, count(*) filter (where session_events = 1) as count_just_log_in,
+        count(*) filter (where session_events = 1) / count(*) as ratio_just_log_in, sum(session_duration) / count(*) as average_duration_session,
+        sum(session_duration) as total_duration from sstats group by all),
+    bye as (select student, {keys}, {unit}, sum(bool_tags) filter (where {in_write}) / nullif({write}, 0) as tags_ratio,
+        sum(bool_ingredients) filter (where event_type in ('write new recipe', 'edit recipe')) / nullif({recipe}, 0) as ingredients_ratio,
+        {n("add image")} as image_events, {n("add image")} / nullif(count(distinct activity) filter (where {in_write}), 0) as image_ratio,
+        {write} as writing_events, {write_r} as writing_events_with_reflection, count(*) as total_events, {experience} as experience_events,
+        {recipe} as recipe_events, {n("write new reflection", "edit reflection")} as reflection_events,
+        {n("write new recipe", "write new experience", "write new reflection")} as new_events, {edit_r} as editing_events,
+        {edit_r} / nullif({write_r}, 0) as editing_ratio,
+        count(distinct event_type) filter (where event_type not in ('log in', 'be inactive')) as distinct_events,
+        sum(image) filter (where {in_write}) / nullif({write}, 0) as recipe_image_ratio,
+        sum(duration) filter (where event_type = 'write new recipe') as new_recipe_duration,
+        {n("write new reflection", "edit reflection")} as count_reflection, {n("receive feedback", "request feedback")} as count_feedback,
+        {n("request feedback")} as count_feedback_requests, {n("receive feedback")} as count_feedback_responses,
+        {n("request feedback")} / nullif({new}, 0) as request_feedback_ratio, {n("receive feedback")} / nullif({n("request feedback")}, 0) as response_request_ratio,
+        {text} as quality_reflection, {text} / nullif({n("write new reflection")}, 0) as average_reflection,
+        sum(coalesce(length(description), 0)) / nullif({n("write new recipe")}, 0) as average_description,
+        {recipe} / nullif({write}, 0) as recipe_experience_ratio, {experience} / nullif({write}, 0) as experience_recipe_ratio
+        from placed group by all),
+    counts as (select * from bye full outer join bys using (student, {keys}, {unit}))"""
+
+
+_WHOLE = ("image_events writing_events writing_events_with_reflection total_events experience_events recipe_events reflection_events new_events "
+          "editing_events distinct_events count_reflection count_feedback count_feedback_requests count_feedback_responses quality_reflection "
+          "count_just_log_in").split()
+_PART = ("tags_ratio ingredients_ratio image_ratio editing_ratio recipe_image_ratio new_recipe_duration request_feedback_ratio response_request_ratio "
+         "average_reflection average_description recipe_experience_ratio experience_recipe_ratio ratio_just_log_in average_duration_session "
+         "total_duration").split()
+_MEASURES = ", ".join([*(f"{c}::bigint as {c}" for c in _WHOLE), *(f"round({c}, 6) as {c}" for c in _PART)])
+_WEEK = [*_LOG, _years_sql("elog", None), ACTS, _PREP.format(log="sess"), _buckets_sql("flagged"), _counts_sql("calendar_year, school_year", "woy")]
+_HALF = [O, GRADES, _years_sql("olog"), ACTS, "sess as (select *, sum((event_type = 'be inactive')::int) over (partition by student order by event_date) as session from olog)",
+         _PREP.format(log="sess"), _buckets_sql("flagged"), _counts_sql("calendar_year, school_year, semester", "semester_biweek")]
+
+
+def _week_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = logs.event_log(spark, sf_dir)
+    none = logs.grades(spark, sf_dir).limit(0)
+    years = events.school_years(log, none, WRITE_R, order="school_start")
+    return features.prepared(events.with_inactivity(log, tie="number"), years, logs.activities(spark, sf_dir))
+
+
+def _half_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.prepared(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir), logs.activities(spark, sf_dir))
+
+
+@query(_sql(_WEEK, f"select student, calendar_year, school_year, woy, {_MEASURES} from counts"))
+def counts_per_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: gaps, fences, inactivity, sessions, calendar buckets, and all measures per student and week."""
+    return _plain(features.counts_per_unit(_week_events(spark, sf_dir), "yearly", "woy"))
+
+
+@query(_sql(_HALF, f"select student, calendar_year, school_year, semester, semester_biweek, {_MEASURES} from counts"))
+def counts_per_biweek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"))
+
+
+_AGG = """sums as (select student, calendar_year, school_year, sum((count_feedback_requests > 0)::int) as sum_bool_feed,
+        sum(count_feedback) as sum_count_feedback, sum(count_feedback_requests) as sum_count_feedback_requests,
+        sum(count_feedback_responses) as sum_count_feedback_responses, sum(writing_events) as sum_writing_events,
+        sum(total_duration) as sum_total_duration, max(max(woy)) over (partition by calendar_year, school_year) as last from counts group by all)"""
+
+
+@query(_sql([*_WEEK, _AGG.replace(", max(max(woy)) over (partition by calendar_year, school_year) as last", ""),
+             "ends as (select calendar_year, school_year, max(woy) as last from counts group by all)"],
+    """select student, calendar_year, school_year, coalesce(sum_bool_feed, 0)::bigint as sum_bool_feed, round(sum_bool_feed / nullif(last, 0), 6) as feedback_ratio_bool,
+    sum_count_feedback::bigint as sum_count_feedback, sum_count_feedback_requests::bigint as sum_count_feedback_requests,
+    sum_count_feedback_responses::bigint as sum_count_feedback_responses, sum_writing_events::bigint as sum_writing_events,
+    round(sum_total_duration, 6) as sum_total_duration, round(case when sum_count_feedback = 0 then 0 else log10(sum_count_feedback) end, 6) as log_count_feedback,
+    round(log10(sum_count_feedback_requests + 1e-7), 6) as log_count_feedback_requests, round(log10(sum_count_feedback_responses + 1e-7), 6) as log_count_feedback_responses,
+    round(log10(sum_writing_events + 1e-7), 6) as log_writing_events, round(log10(sum_total_duration + 1e-7), 6) as log_total_duration,
+    round(sum_total_duration / nullif(last, 0), 6) as average_total_duration, round(sum_writing_events / nullif(last, 0), 6) as average_writing_events
+    from sums join ends using (calendar_year, school_year)"""))
+def aggregated_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = features.counts_per_unit(_week_events(spark, sf_dir), "yearly", "woy")
+    return _plain(features.aggregated_per_period(counts, "yearly", "woy"))
+
+
+_SHOWN = ("writing_events", "total_duration", "editing_ratio", "recipe_experience_ratio", "average_reflection")
+_SERIES = " union all ".join(
+    f"""select student, calendar_year, school_year, semester, '{n}' as series, row_number() over (partition by student, calendar_year, school_year, semester
+    order by semester_biweek) - 1 as pos, semester_biweek::bigint as t, round({'recipe_experience_ratio - experience_recipe_ratio' if n == 'recipe_experience_ratio' else n}, 6)::double as v
+    from counts where {n} is not null and (student, calendar_year, school_year, semester) in (select (student, calendar_year, school_year, semester) from based)"""
+    for n in _SHOWN
+)
+
+
+def _unfolded(wide: DataFrame, keys: list[str], names: tuple[str, ...], bucket: str) -> DataFrame:
+    pairs = F.array(*(F.struct(F.lit(n).alias("series"), F.col(f"{n}_{bucket}").alias("t"), F.col(n).alias("v")) for n in names))
+    long = wide.select(*keys, F.explode(pairs).alias("s"))
+    each = long.select(*keys, F.col("s.series").alias("series"), F.posexplode(F.arrays_zip("s.t", "s.v")).alias("pos", "x"))
+    return each.select(*keys, "series", "pos", F.col("x.t").alias("t"), F.col("x.v").alias("v"))
+
+
+@query(_sql([*_HALF, "based as (select distinct student, calendar_year, school_year, semester from counts where count_reflection is not null)"], _SERIES))
+def series_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of the series, unfolded; all of them come from one shuffle."""
+    wide = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek")
+    return _plain(_unfolded(wide, ["student", "calendar_year", "school_year", "semester"], _SHOWN, "semester_biweek"))
+
+
+@query(_sql(_WEEK, """select student, calendar_year, school_year, sum((total_duration is not null)::int)::bigint as n from
+    (select *, max(count_reflection is not null) over (partition by student, calendar_year, school_year) as based from counts) where based group by all
+    having sum((total_duration is not null)::int) > 0"""))
+def series_norm_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``_norm`` series repeat the plain ones: lengths where both agree."""
+    wide = features.series(features.counts_per_unit(_week_events(spark, sf_dir), "yearly", "woy"), "yearly", "woy", ("count_reflection", "total_duration", "writing_events"))
+    same = F.col("total_duration_norm") == F.col("total_duration")
+    return _plain(wide.filter(same).select("student", "calendar_year", "school_year", F.size("total_duration_norm").alias("n")))
+
+
+@query(_sql([*_HALF, "slots as (select unnest(range(13)) as slot)",
+             "owners as (select student, calendar_year, school_year, semester from counts where writing_events is not null group by all)"],
+    """select o.student, o.calendar_year, o.school_year, o.semester, slot::bigint as slot, coalesce(c.writing_events, 0)::double as v from owners o cross join slots
+    left join counts c on c.student = o.student and c.calendar_year = o.calendar_year and c.school_year = o.school_year and c.semester = o.semester
+    and c.semester_biweek = slot"""))
+def dense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "writing_events"))
+    filled = features.dense(F.col("writing_events"), F.col("writing_events_semester_biweek"), 13)
+    return _plain(wide.filter("writing_events is not null").select("student", "calendar_year", "school_year", "semester", F.posexplode(filled).alias("slot", "v")))
+
+
+# --- regularity ------------------------------------------------------------------------------------------------------
+
+_OLOG = [O, GRADES, _years_sql("olog"), """reg as (select *, case when dayofyear(event_date) >= 213 then dayofyear(event_date) - 213 else dayofyear(event_date) + 152 end as doy,
+    case when weekofyear(event_date) >= 31 then weekofyear(event_date) - 31 else weekofyear(event_date) + 21 end as woy, hour(event_date) as hod,
+    dayofweek(event_date) as d1, weekofyear(event_date) % 2 * 7 + dayofweek(event_date) as d2 from olog left join years using (student, calendar_year))"""]
+_KEYS = "student, calendar_year, school_year, semester"
+_ID = "student, calendar_year, school_year, semester as semester_aux, school_year * 2 + semester - 1 as semester"
+
+
+def _dow_sql(day: str) -> list[str]:
+    return [*_OLOG, f"raw as (select distinct {_KEYS}, {day} as dow, doy from reg where event_type not in ({_list(QUIET)}))",
+            f"tot as (select {_KEYS}, count(*) as total_events from raw group by all)", f"eac as (select {_KEYS}, dow, count(*) as absolute from raw group by all)",
+            f"dowt as (select {_KEYS}, dow, absolute, absolute / total_events as relative, total_events from eac left join tot using ({_KEYS}))"]
+
+
+def _dow(spark: SparkSession, sf_dir: str, biweekly: bool) -> DataFrame:
+    return regularity.weekday_table(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir), biweekly=biweekly)
+
+
+_DOW = f"select {_ID}, dow, absolute, round(relative, 6) as relative, total_events from dowt"
+
+
+@query(_sql(_dow_sql("d1"), _DOW))
+def regularity_dow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_dow(spark, sf_dir, False))
+
+
+@query(_sql(_dow_sql("d2"), _DOW))
+def regularity_dow_biweek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_dow(spark, sf_dir, True))
+
+
+_HOD = [*_OLOG, f"raw as (select distinct {_KEYS}, hod, doy from reg where event_type not in ({_list(QUIET)}))",
+        "tot as (select student, school_year, semester, count(*) as total_events from raw group by all)",
+        "eac as (select student, school_year, semester, hod, count(*) as absolute from raw group by all)",
+        "hodt as (select student, school_year, semester, hod, absolute, absolute / total_events as relative from eac left join tot using (student, school_year, semester))"]
+
+
+@query(_sql(_HOD, "select student, school_year, semester as semester_aux, school_year * 2 + semester - 1 as semester, hod, absolute, round(relative, 6) as relative from hodt"))
+def regularity_hod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(regularity.hour_table(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)))
+
+
+def _peak_sql(ctes: list[str], source: str, keys: str, slots: int, name: str) -> str:
+    out = keys.replace("semester", "semester as semester_aux, school_year * 2 + semester - 1 as semester")
+    return _sql(ctes, f"select {out}, round((log2({slots}) + sum(relative * ln(relative))) * max(absolute), 6) as {name} from {source} group by {keys}")
+
+
+_OUT = ["calendar_year", "school_year", "semester_aux", "semester"]
+
+
+@query(_peak_sql(_dow_sql("d1"), "dowt", _KEYS, 7, "pwd"))
+def pwd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(regularity.peak(_dow(spark, sf_dir, False), _OUT, 7, "pwd"))
+
+
+@query(_peak_sql(_dow_sql("d2"), "dowt", _KEYS, 14, "pwd_biweek"))
+def pwd_biweekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(regularity.peak(_dow(spark, sf_dir, True), _OUT, 14, "pwd_biweek"))
+
+
+@query(_peak_sql(_HOD, "hodt", "student, school_year, semester", 24, "phd"))
+def phd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = regularity.hour_table(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir))
+    return _plain(regularity.peak(table_, _OUT[1:], 24, "phd"))
+
+
+@query(_sql([*_dow_sql("d1"), "dom as (select distinct dow from dowt)", f"who as (select distinct {_KEYS} from dowt)"],
+    f"""select {_ID}, dow, coalesce(absolute, 0)::bigint as absolute, round(coalesce(relative, 0), 6) as relative from who cross join dom
+    left join dowt using ({_KEYS}, dow)"""))
+def densify_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(regularity.densified(_dow(spark, sf_dir, False), _OUT, "dow"))
+
+
+def _weeks_sql(day: str) -> list[str]:
+    """Session hours per day over the short log, where sessions have a length."""
+    return [*_LOG, _years_sql("elog", None), f"""reg as (select s.*, y.school_year, case when dayofyear(event_date) >= 213 then dayofyear(event_date) - 213 else dayofyear(event_date) + 152 end as doy,
+        case when weekofyear(event_date) >= 31 then weekofyear(event_date) - 31 else weekofyear(event_date) + 21 end as woy,
+        {day} as dow from sess s left join years y using (student, calendar_year) where event_type <> 'be inactive')""",
+        f"span as (select {_KEYS}, session, woy, doy, dow, epoch_us(max(event_date)) - epoch_us(min(event_date)) as us from reg group by all)",
+        f"day as (select {_KEYS}, woy, doy, dow, sum(us) / 3.6e9 as hours from span group by all)"]
+
+
+_D2 = "weekofyear(event_date) % 2 * 7 + dayofweek(event_date)"
+
+
+def _week_table(spark: SparkSession, sf_dir: str, biweekly: bool) -> DataFrame:
+    log = logs.event_log(spark, sf_dir)
+    years = events.school_years(log, logs.grades(spark, sf_dir).limit(0), WRITE_R, order="school_start")
+    return regularity.hours_per_day(events.with_inactivity(log, tie="number"), years, biweekly=biweekly)
+
+
+@query(_sql(_weeks_sql("dayofweek(event_date)"), f"select {_ID}, woy, dow, round(hours, 6) as hours, ceil(round(hours, 9))::bigint as hours_int, (hours > 0)::int::bigint as hours_bool from day"))
+def regularity_hours_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = _week_table(spark, sf_dir, False)
+    rows = weeks.select("student", *_OUT, "woy", F.explode(F.arrays_zip("dow", "hours_dow", "hours_dow_int", "hours_bool")).alias("x"))
+    return _plain(rows.select("student", *_OUT, "woy", F.col("x.dow").alias("dow"), F.col("x.hours_dow").alias("hours"), F.col("x.hours_dow_int").alias("hours_int"), F.col("x.hours_bool").alias("hours_bool")))
+
+
+_WS = [*_weeks_sql(_D2), f"tot as (select {_KEYS}, woy, sum(hours) as whole, sum((hours > 0)::int) as n from day group by all)",
+       f"pair as (select a.* exclude (woy), a.woy as wa, b.woy as wb, a.whole as ta, b.whole as tb, a.n as na, b.n as nb from tot a join tot b using ({_KEYS}) where a.woy < b.woy)",
+       f"""duo as (select p.{_KEYS.replace(', ', ', p.')}, wa, wb, ta, tb, na, nb, coalesce(x.hours, 0) as x, coalesce(y.hours, 0) as y from pair p
+       cross join (select unnest(range(14)) as slot) s left join day x on x.student = p.student and x.calendar_year = p.calendar_year and x.school_year is not distinct from p.school_year
+       and x.semester = p.semester and x.woy = wa and x.dow = slot left join day y on y.student = p.student and y.calendar_year = p.calendar_year
+       and y.school_year is not distinct from p.school_year and y.semester = p.semester and y.woy = wb and y.dow = slot)""",
+       f"""sim as (select {_KEYS}, wa, wb, case when na > 0 and nb > 0 then sum((x > 0 and y > 0)::int) / greatest(na, nb) else 0 end as s1,
+       case when ta > 0 and tb > 0 then 1 - sqrt(greatest(sum(case when x > 0 then x / ta * log2(x / ta / ((x / ta + y / tb) / 2)) else 0 end
+       + case when y > 0 then y / tb * log2(y / tb / ((x / ta + y / tb) / 2)) else 0 end) / 2, 0)) end as s2,
+       case when ta > 0 and tb > 0 then 1 - sum(case when x + y > 0 then pow((x / ta - y / tb) / (x / ta + y / tb), 2) else 0 end) / sum((x > 0 or y > 0)::int) end as s3
+       from duo group by {_KEYS}, wa, wb, na, nb, ta, tb)""",
+       f"who as (select distinct {_KEYS} from day)"]
+
+
+@query(_sql(_WS, f"""select w.student, w.calendar_year, w.school_year, w.semester as semester_aux, w.school_year * 2 + w.semester - 1 as semester, round(avg(s1), 6) as ws1,
+    round(avg(s2), 6) as ws2, round(avg(s3), 6) as ws3 from who w left join sim s on s.student = w.student and s.calendar_year = w.calendar_year
+    and s.school_year is not distinct from w.school_year and s.semester = w.semester group by all"""))
+def week_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(regularity.week_similarity(_week_table(spark, sf_dir, True), _OUT))
+
+
+@query(_sql([*_OLOG, f"raw as (select distinct {_KEYS}, hod, doy, woy, d1 from reg)"],
+    f"select raw.student, raw.calendar_year, raw.school_year, raw.semester as semester_aux, raw.school_year * 2 + raw.semester - 1 as semester, hod + doy * 24 as hour, "
+    f"w.weeks as number_of_weeks, count(*) as n from raw join (select {_KEYS}, count(distinct woy) as weeks from raw group by all) w on raw.student = w.student "
+    f"and raw.calendar_year = w.calendar_year and raw.school_year is not distinct from w.school_year and raw.semester = w.semester group by all"))
+def regularity_frequency_hod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = regularity.frequency_hours(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir))
+    rows = t.select("student", *_OUT, "number_of_weeks", F.explode("hours_day").alias("hour"))
+    return _plain(rows.groupBy("student", *_OUT, "hour", "number_of_weeks").agg(F.count("*").alias("n")))
+
+
+@query(_sql([*_OLOG, f"raw as (select distinct {_KEYS}, doy from reg)"], f"select {_ID}, doy as day from raw"))
+def regularity_frequency_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = regularity.frequency_days(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir))
+    return _plain(t.select("student", *_OUT, F.explode("days_year").alias("day")))
+
+
+def _fourier_sql(value: str, frequency: str, name: str) -> str:
+    return _sql([*_OLOG, f"raw as (select distinct {_KEYS}, {value} as x from reg)"],
+                f"select {_ID}, round(abs(sum(cos(2 * pi() * {frequency} * x))), 6) as {name} from raw group by {_KEYS}")
+
+
+def _fourier(spark: SparkSession, sf_dir: str, hours: bool, frequency: float, name: str) -> DataFrame:
+    log, years = logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)
+    t = regularity.frequency_hours(log, years) if hours else regularity.frequency_days(log, years)
+    return _plain(regularity.fourier(t, _OUT, "hours_day" if hours else "days_year", frequency, name))
+
+
+@query(_fourier_sql("hod + doy * 24", "(1.0 / 24)", "fdh"))
+def fdh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fourier(spark, sf_dir, True, 1 / 24, "fdh")
+
+
+@query(_fourier_sql("hod + doy * 24", "(7.0 / 24)", "fwh"))
+def fwh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fourier(spark, sf_dir, True, 7 / 24, "fwh")
+
+
+@query(_fourier_sql("hod + doy * 24", "(14.0 / 24)", "fwh_biweek"))
+def fwh_biweekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fourier(spark, sf_dir, True, 14 / 24, "fwh_biweek")
+
+
+@query(_fourier_sql("doy", "(1.0 / 7)", "fwd"))
+def fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fourier(spark, sf_dir, False, 1 / 7, "fwd")
+
+
+@query()
+def regularity_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All regularity measures of each semester in one table."""
+    return _plain(regularity.regularity(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)))
+
+
+# --- cohorts ---------------------------------------------------------------------------------------------------------
+
+_COHORT = [O, GRADES, _years_sql("olog"), f"cnt as (select student, calendar_year, count(*) filter (where event_type in ({_list(WRITE_R)})) as number_events from olog group by all)",
+    """report as (select student, school_year, calendar_year, number_events, school_group, final_grade, media1 + media2 as sum_medias from years
+    join customer on c_custkey = student left join cnt using (student, calendar_year) left join grades using (student, calendar_year, school_year)
+    where number_events >= 1 and school_group <> 'block' and final_grade is not null and student not in (5, 10, 15, 20)
+    qualify row_number() over (partition by student, school_year order by calendar_year desc) = 1)"""]
+_REPORT = "student, school_year, calendar_year, number_events, school_group, round(final_grade, 6) as final_grade, round(sum_medias, 6) as sum_medias"
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = logs.users(spark, sf_dir)
+    gender = people.select("user_id", F.lit("x").alias("gender"))
+    out = cohort.report_cohort(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir), people, logs.grades(spark, sf_dir), gender, [5, 10, 15, 20])
+    return out.select("student", "school_year", "calendar_year", "number_events", "school_group", "final_grade", "sum_medias")
+
+
+@query(_sql(_COHORT, f"select {_REPORT} from report"))
+def cohort_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_report(spark, sf_dir))
+
+
+@query(_sql(_COHORT, f"select {_REPORT} from report where student in (select student from years group by student having count(distinct school_year) = 3)"))
+def cohort_three_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(cohort.with_all_years(_report(spark, sf_dir), _order_years(spark, sf_dir)))
+
+
+@query("""select o_custkey, o_orderkey, o_orderdate, o_orderpriority from orders
+    qualify row_number() over (partition by o_custkey order by o_orderdate desc nulls first, o_orderkey) = 1""")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    return cohort.first_per_key(o, ["o_custkey"], [F.desc_nulls_first("o_orderdate"), F.asc("o_orderkey")])
+
+
+@query("select user_id, event_id, ts, event_type from events qualify row_number() over (partition by user_id order by ts desc) = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return cohort.latest_per_key(e, ["user_id"], "ts").select("user_id", "event_id", "ts", "event_type")
+
+
+@query(_sql([O, ACTS], """select activity, student, event_date, tags::bigint as n from olog join acts using (activity)
+    where event_type in ('write new recipe', 'edit recipe') qualify row_number() over (partition by activity order by event_date desc, student) = 1"""))
+def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = cohort.latest_versions(logs.order_log(spark, sf_dir), logs.activities(spark, sf_dir), "tags")
+    return _plain(v.select("activity", "student", "event_date", F.size("tags").alias("n")))
+
+
+@query("""select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')""")
+def semi_join_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi")
+
+
+@query("select c_custkey, c_acctbal from customer where c_custkey not in (511, 627, 83, 11, 14, 15) and (c_mktsegment <> 'BUILDING' or c_acctbal is null)")
+def anti_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.filter(~F.col("c_custkey").isin(511, 627, 83, 11, 14, 15) & ((F.col("c_mktsegment") != "BUILDING") | F.col("c_acctbal").isNull())).select("c_custkey", "c_acctbal")
+
+
+@query("""select coalesce(a.user_id, b.user_id) as user_id, clicks, views from (select user_id, count(*) as clicks from events where event_type = 'click' and value > 200
+    group by all) a full outer join (select user_id, count(*) as views from events where event_type = 'view' and value > 200 group by all) b using (user_id)""")
+def full_outer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("value > 200")
+    a = e.filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("clicks"))
+    b = e.filter("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("views"))
+    return a.join(b, "user_id", "full_outer")
+
+
+@query(_sql([O, GRADES, _years_sql("olog"), "tot as (select distinct student from years)"], """select student,
+    max(school_year) filter (where calendar_year = 9596) as y9596, max(school_year) filter (where calendar_year = 9899) as y9899 from tot left join years using (student) group by all"""))
+def feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pivot of a label table instead of a join for each experiment."""
+    y = _order_years(spark, sf_dir)
+    labels = y.select("student", F.concat(F.lit("y"), F.col("calendar_year").cast("string")).alias("experiment"), F.col("school_year").alias("label"))
+    return _plain(cohort.feature_labels(y, labels, ["y9596", "y9899"]))
+
+
+@query(_sql([*_HALF, """picked as (select student, calendar_year, sum(writing_events) as w, count(writing_events) as n from counts where school_year * 2 + semester - 1 = 2
+    and (student, calendar_year, school_year, semester) in (select (student, calendar_year, school_year, semester) from counts where count_reflection is not null)
+    group by student, calendar_year, school_year, semester qualify row_number() over (partition by student order by calendar_year desc) = 1)"""],
+    "select student, calendar_year, n::bigint as n, w::double as w from (select distinct student from years) left join picked using (student)"))
+def time_unit_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix of the cohort's second semester: length and sum of one series."""
+    s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "writing_events"))
+    m = cohort.feature_matrix(_order_years(spark, sf_dir), s, None, "semester", 2)
+    total = F.aggregate("writing_events", F.lit(0.0), lambda a, x: a + x)
+    return _plain(m.select("student", "calendar_year", F.size("writing_events").alias("n"), total.alias("w")))
+
+
+@query("""select event_id, (props ->> '$.k')::bigint as k, props ->> '$.none' as none from events""")
+def json_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    v = F.parse_json("props")
+    return e.select("event_id", F.variant_get(v, "$.k", "long").alias("k"), F.try_variant_get(v, "$.none", "string").alias("none"))
+
+
+@query("select user_id, round(median(value), 6) as median_value from events group by all")
+def median_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(table(spark, sf_dir, "events").groupBy("user_id").agg(median("value").alias("median_value")))
+
+
+@query("select vec_id, round(list_avg(embedding::double[]), 6) as a, round(list_median(embedding::double[]), 6) as m, round(list_min(embedding)::double, 6) as low from embeddings")
+def array_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    return _plain(e.select("vec_id", array_avg("x").alias("a"), array_median("x").alias("m"), array_min("x").alias("low")))
+
+
+# --- distances and clusters ------------------------------------------------------------------------------------------
+
+_BAL = "c as (select c_custkey as k, c_nationkey as g, coalesce(c_acctbal, 0.1) as v from customer)"
+_EU = [_BAL, "p as (select a.g, a.k as i, b.k as j, abs(a.v - b.v) as d from c a join c b on a.g = b.g and a.k < b.k)"]
+_NORM = [*_EU, "n as (select p.g, i, j, (d - low) / nullif(high - low, 0) as d from p join (select g, least(min(d), 0) as low, max(d) as high from p group by g) e on e.g = p.g)"]
+
+
+def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of customers of one nation by their balances."""
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "g")
+    return distance.euclidean_pairs(c, ["g"], "c_custkey", F.col("c_acctbal"))
+
+
+@query(_sql(_EU, "select g, i, j, round(d, 6) as d from p"))
+def euclid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_balances(spark, sf_dir))
+
+
+@query(_sql(_NORM, "select g, i, j, round(d, 6) as d from n"))
+def minmax_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(distance.normalise(_balances(spark, sf_dir), ["g"]))
+
+
+@query(_sql(_NORM, "select g, i, j, round(exp(-0.7 * d * d), 6) as w from n"))
+def gaussian_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(distance.gaussian(distance.normalise(_balances(spark, sf_dir), ["g"]), 0.7).select("g", "i", "j", "w"))
+
+
+@query(_sql(_NORM, "select g, i, j, round(exp(-0.7 * d * d) + exp(-1.3 * d * d), 6) as w from n"))
+def kernel_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = distance.normalise(_balances(spark, sf_dir), ["g"])
+    return _plain(distance.kernel_sum(distance.gaussian(d, 0.7).union(distance.gaussian(d, 1.3)), ["g"]))
+
+
+def _first_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense writing series of the third semester, of one cohort: graded customers by nation."""
+    s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "writing_events"))
+    one = cohort.first_per_key(s.filter("writing_events is not null and school_year = 2"), ["student"], [F.asc("calendar_year"), F.asc("semester")])
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), (F.col("c_nationkey") % 5).alias("g"))
+    return one.join(nation, "student").select("g", "student", features.dense(F.col("writing_events"), F.col("writing_events_semester_biweek"), 13).alias("v"))
+
+
+@query()
+def dtw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(distance.dtw_pairs(_first_series(spark, sf_dir), ["g"], "student", "v", 2))
+
+
+def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = distance.normalise(distance.dtw_pairs(_first_series(spark, sf_dir), ["g"], "student", "v", 2), ["g"])
+    return distance.square(pairs.filter("d is not null"), ["g"], 0.0, "d")
+
+
+@query()
+def spectral_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster.grid_search(_matrices(spark, sf_dir), ["g"], [1.0], [3])
+    keys = _matrices(spark, sf_dir).select("g", "keys")
+    return _plain(found.join(keys, "g").select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
+
+
+@query()
+def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster.grid_search(_matrices(spark, sf_dir), ["g"], [0.3, 1.0, 1.8], [2, 3, 4, 5])
+    return _plain(found.select("g", "gamma", "clusters", "s_distortion", "s_bic", "s_sil_km"))
+
+
+_RUNS = """runs as (select 'n' || c_nationkey as experiment, (c_custkey % 4 + 2)::int as clusters, (c_custkey % 3)::int as window_size, 1.0::double as gamma,
+    timestamp '2024-01-01' + to_seconds(c_custkey) as experiment_date, round(c_acctbal / 10000, 6) as s_sil_km from customer),
+    latest as (select * from runs qualify row_number() over (partition by experiment, clusters, window_size, gamma order by experiment_date desc) = 1)"""
+
+
+@query(_sql([_RUNS], """select experiment, clusters::bigint as clusters, window_size::bigint as window_size, gamma, s_sil_km from latest
+    qualify row_number() over (partition by experiment order by s_sil_km desc, clusters, window_size, gamma) = 1"""))
+def optimal_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    runs = c.select(
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("experiment"), (F.col("c_custkey") % 4 + 2).cast("int").alias("clusters"),
+        (F.col("c_custkey") % 3).cast("int").alias("window_size"), F.lit(1.0).alias("gamma"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("c_custkey").cast("decimal(18,6)"))).alias("experiment_date"),
+        F.round(F.col("c_acctbal") / 10000, 6).alias("s_sil_km"),
+    )
+    return _plain(tracking.optimal_params(runs).select("experiment", "clusters", "window_size", "gamma", "s_sil_km"))
+
+
+@query("select c_nationkey % 4 as label_a, c_custkey % 3 as label_b, count(*) as n from customer group by all")
+def label_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(tracking.contingency(table(spark, sf_dir, "customer"), F.col("c_nationkey") % 4, F.col("c_custkey") % 3))
+
+
+def _kernels(spark: SparkSession, sf_dir: str):
+    """Kernels of three semesters over the customers that have a series in each, sorted by customer, in numpy."""
+    import numpy as np
+
+    s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "total_events"))
+    pick = calendar.semester_id(F.col("school_year"), F.col("semester"))
+    rows = s.filter(pick.isin(1, 2, 3)).withColumn("t", pick)
+    rows = cohort.first_per_key(rows, ["student", "t"], [F.desc("calendar_year")])
+    wide = rows.select("student", "t", features.dense(F.col("total_events"), F.col("total_events_semester_biweek"), 13).alias("v"))
+    # A cohort is a bounded study group: the first 60 customers that have all three.
+    group = wide.groupBy("student").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")).filter(F.size("s") == 3)
+    people = group.orderBy("student").limit(60).collect()
+    kernels = []
+    for t in range(3):
+        x = np.array([p["s"][t]["v"] for p in people]).reshape(len(people), 13)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        kernels.append(np.exp(-((d / max(d.max(), 1e-9)) ** 2)) if len(people) else d)
+    return [p["student"] for p in people], kernels
+
+
+@query()
+def evolutionary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who, kernels = _kernels(spark, sf_dir)
+    steps = evolve.evolve(kernels, [3, 3, 3]) if len(who) > 6 else []
+    rows = [(int(p), t + 1, int(x)) for t, s in enumerate(steps) for p, x in zip(who, s.labels, strict=True)]
+    return spark.createDataFrame(rows, "student long, period long, label long")
+
+
+@query()
+def affect_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who, kernels = _kernels(spark, sf_dir)
+    steps = evolve.evolve(kernels, [3, 3, 3], search=()) if len(who) > 6 else []
+    rows = [(t + 1, i + 1, round(float(a), 6)) for t, s in enumerate(steps) for i, a in enumerate(s.alphas)]
+    return spark.createDataFrame(rows, "period long, round long, alpha double")
+
+
+@query()
+def kmodes_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    who, kernels = _kernels(spark, sf_dir)
+    if len(who) <= 6:
+        return spark.createDataFrame([], "clusters long, student long, profile long, silhouette double")
+    labels = np.column_stack([s.labels for s in evolve.evolve(kernels, [3, 3, 3])])
+    rows = []
+    for k in (2, 3, 4):
+        found, _, _ = cluster.k_modes(labels, k, starts=50)
+        score = round(cluster.profile_silhouette(labels, found), 6)
+        rows += [(k, int(p), int(x), score) for p, x in zip(who, found, strict=True)]
+    return spark.createDataFrame(rows, "clusters long, student long, profile long, silhouette double")

@@ -1,0 +1,82 @@
+"""Tables in and out: Parquet, CSV, delimited bulk files, JDBC and SQL text, with one place for null handling."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def query(spark: SparkSession, sql: str, **args) -> DataFrame:
+    """A parameterised statement; errors are raised."""
+    return spark.sql(sql, args=args or None)
+
+
+def jdbc(spark: SparkSession, url: str, query: str, *, split: tuple[str, int, int, int] | None = None, **properties: str) -> DataFrame:
+    """A query of another database; ``split`` (column, low, high, parts) reads it in parallel."""
+    reader = spark.read.format("jdbc").option("url", url).options(**properties)
+    if split is None:
+        return reader.option("query", query).load()
+    column, low, high, parts = split
+    return (
+        reader.option("dbtable", f"({query}) q").option("partitionColumn", column).option("lowerBound", low)
+        .option("upperBound", high).option("numPartitions", parts).load()
+    )
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN as null in every floating column."""
+    floats = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+
+
+def refresh(df: DataFrame, root: str, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table anew and return it as read back; it must not be read from ``df`` itself."""
+    path = f"{root}/{name}.parquet"
+    writer = nan_to_null(df).write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def append(df: DataFrame, root: str, name: str) -> None:
+    """Add rows by column name to a table that may not exist yet."""
+    nan_to_null(df).write.mode("append").parquet(f"{root}/{name}.parquet")
+
+
+def insert(df: DataFrame, table_name: str) -> None:
+    """Add rows to a catalogue table by position."""
+    nan_to_null(df).write.insertInto(table_name)
+
+
+def save_csv(df: DataFrame, path: str, *, separator: str = ",", null: str = "") -> None:
+    df.write.mode("overwrite").csv(path, header=True, sep=separator, nullValue=null)
+
+
+def save_bulk(df: DataFrame, path: str) -> None:
+    """Rows for a bulk load: separated by ``~``, null as ``None``, no header."""
+    nan_to_null(df).write.mode("append").csv(path, header=False, sep="~", nullValue="None")
+
+
+def read_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, schema=schema, sep="~", nullValue="None")
+
+
+def copy_as(spark: SparkSession, root: str, old: str, new: str, rename: dict[str, str] | None = None) -> DataFrame:
+    """A copy of a table under a new name, with columns renamed."""
+    return refresh(spark.read.parquet(f"{root}/{old}.parquet").withColumnsRenamed(rename or {}), root, new)
+
+
+def runs(combinations: list[tuple[str, str]], make: Callable[[str, str], dict[str, DataFrame]], root: str) -> list[str]:
+    """Write every table that ``make(period, unit)`` gives for each combination; returns their names."""
+    names = []
+    for period, unit in combinations:
+        for name, df in make(period, unit).items():
+            full = f"{name}_per_{'semester_' if period == 'semester' else ''}{unit}"
+            refresh(df, root, full)
+            names.append(full)
+    return names
