@@ -1,6 +1,6 @@
 """A hidden Markov language model over words, trained by Baum-Welch on counts from all partitions.
 
-Corpus counts: every distinct training word is counted. The ``HEAD`` most frequent ones (ties by the word) form
+Corpus counts: every distinct training word is counted. The most frequent ones (at most ``HEAD``) form
 a table of bounded size that is broadcast; counts of other words reach the documents by a join on the word, with each
 document's words summed up first. Frequent words, the hot keys, never enter that join.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .runtime import Stored, held_out, input_texts, learns, text_blocks
 
-HEAD, SYMBOLS, STATES, ROUNDS = 131_072, 16_384, 8, 2
+HEAD, SYMBOLS, STATES, ROUNDS = 131_072, 16_384, 8, 5
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 400_000
 #: Token places that are scored at one time (texts times the longest text's length in a batch).
@@ -243,7 +243,17 @@ def language_scores(
         "words",
     ).df
     tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "word").limit(head).toPandas()
+    # The head ends between two buckets of counts, so that no task has to send a whole head; counts under 90 have a bucket each.
+    bucket = F.floor(F.log2("n") * 64)
+    ladder = words.groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).orderBy(F.desc("b")).collect()  # 4096 rows at most
+    total, floor = 0, None
+    for b, k in ladder:
+        total += k
+        if total > head:
+            break
+        floor = b
+    in_head = bucket >= F.lit(floor) if floor is not None else F.lit(False)
+    top = words.filter(in_head).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     counts = top["n"].to_numpy(np.int64)
     table = {bytes(w): (min(i, symbols), int(n)) for i, (w, n) in enumerate(zip(top["word"], counts, strict=True))}
     shared = spark.sparkContext.broadcast(table)  # ``head`` words at most
@@ -261,8 +271,7 @@ def language_scores(
     rest = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "row", F.col("x.words").alias("word"), F.col("x.times").alias("times")
     )
-    least = int(counts[-1]) if len(counts) else 0
-    tail = words.filter(F.col("n") <= least)  # no word that is more frequent than the head's last
+    tail = words.filter(~in_head)
     gathered = (
         rest.join(tail.hint("merge"), "word").groupBy("row")
         .agg(F.sum(F.log10(F.col("n") + 1.0) * F.col("times")).alias("rest_log"), F.sum("times").alias("rest_known"))
