@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Series in a block: a task compares two blocks.
 BLOCK = 256
@@ -61,7 +62,7 @@ def dtw_pairs(df: DataFrame, group: list[str], key: str, series: str, radius: in
         *(F.col(f"a.{g}").alias(g) for g in group), F.col("a.rows").alias("x"), F.col("b.rows").alias("y"),
         (F.col("a.block") == F.col("b.block")).alias("same"),
     )
-    kind = df.schema[key].dataType.simpleString()
+    kind, ends_type = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
     schema = "".join(f"{g} {df.schema[g].dataType.simpleString()}, " for g in group) + f"i {kind}, j {kind}, d double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,7 @@ def dtw_pairs(df: DataFrame, group: list[str], key: str, series: str, radius: in
                     ends = [(u, v) if u < v else (v, u) for u, v in zip(left, right, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([batch.column(c)[r].as_py()] * len(d), batch.schema.field(c).type) for c in range(m)]
-                        + [pa.array([u for u, _ in ends]), pa.array([v for _, v in ends]), pa.array(d)],
+                        + [pa.array([u for u, _ in ends], ends_type), pa.array([v for _, v in ends], ends_type), pa.array(d)],
                         [*group, "i", "j", "d"],
                     )
 

@@ -710,9 +710,8 @@ def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spectral_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cluster.grid_search(_matrices(spark, sf_dir), ["g"], [1.0], [3])
-    keys = _matrices(spark, sf_dir).select("g", "keys")
-    return _plain(found.join(keys, "g").select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
+    found = cluster.grid_search(_matrices(spark, sf_dir), ["g", "keys"], [1.0], [3])
+    return _plain(found.select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
 
 
 @query()

@@ -1,0 +1,80 @@
+"""The log as a stream: bucket counts with a watermark, sessions with a fixed gap, and inactivity with a learnt fence."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..plans.config import WRITE, WRITE_R
+
+_IDLE = "student long, event_type string, event_date timestamp, minutes double, maximum double"
+#: Gaps that a student's state keeps for each type of event.
+KEPT_GAPS = 512
+
+
+def read_log(spark, path: str, schema) -> DataFrame:
+    """An append-only folder of event files as a stream."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def bucket_counts(events: DataFrame, *, delay: str = "1 day", width: str = "7 days") -> DataFrame:
+    """Events and writing events per student and time window; rows later than ``delay`` are left out."""
+    kind = F.col("event_type")
+    return (
+        events.withWatermark("event_date", delay).groupBy("student", F.window("event_date", width))
+        .agg(
+            F.count("*").alias("total_events"), F.count_if(kind.isin(*WRITE)).alias("writing_events"),
+            F.count_if(kind.isin(*WRITE_R)).alias("writing_events_with_reflection"),
+        )
+        .select("student", F.col("window.start").alias("begin"), "total_events", "writing_events", "writing_events_with_reflection")
+    )
+
+
+def sessions(events: DataFrame, *, gap: str = "60 minutes", delay: str = "1 day") -> DataFrame:
+    """Sessions of a student that a fixed gap ends: begin, minutes to the last event, events."""
+    return (
+        events.withWatermark("event_date", delay).groupBy("student", F.session_window("event_date", gap))
+        .agg(F.count("*").alias("session_events"), F.min("event_date").alias("begin"), F.max("event_date").alias("_last"))
+        .select("student", "begin", ((F.unix_micros("_last") - F.unix_micros("begin")) / 60e6).alias("session_duration"), "session_events")
+    )
+
+
+def _fence(gaps: list[float]) -> float | None:
+    """Third quartile plus 1.5 interquartile ranges, with discrete percentiles."""
+    if not gaps:
+        return None
+    s, n = sorted(gaps), len(gaps)
+    q1, q3 = s[-(-n // 4) - 1], s[-(-3 * n // 4) - 1]
+    return q3 + 1.5 * (q3 - q1)
+
+
+def _idle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last, kinds, gaps = state.get if state.exists else (None, [], [])
+    seen = {k: list(g) for k, g in zip(kinds, gaps, strict=True)}
+    out = []
+    rows = pd.concat(list(frames), ignore_index=True).sort_values("event_date", kind="stable")
+    for kind, ts in zip(rows["event_type"], rows["event_date"], strict=True):
+        if last is not None:
+            minutes = (ts - last).total_seconds() / 60
+            fence = _fence(seen.get(kind, []))
+            if (fence is not None and minutes > fence and fence > 20) or (kind == "log in" and minutes > 60) or minutes > 120:
+                out.append((key[0], kind, last + pd.Timedelta(seconds=3), minutes, fence))
+            seen.setdefault(kind, []).append(minutes)
+            del seen[kind][:-KEPT_GAPS]
+        last = ts if last is None or ts > last else last
+    state.update((last, list(seen), list(seen.values())))
+    yield pd.DataFrame(out, columns=["student", "event_type", "event_date", "minutes", "maximum"])
+
+
+def inactivity(events: DataFrame) -> DataFrame:
+    """Inactivity rows as events arrive: a gap is judged by the fence of the student's earlier gaps of that type.
+
+    Unlike in the batch the fence knows the past alone, and at most ``KEPT_GAPS`` gaps of a type.
+    """
+    return events.select("student", "event_type", "event_date").groupBy("student").applyInPandasWithState(
+        _idle, _IDLE, "last timestamp, kinds array<string>, gaps array<array<double>>", "append", GroupStateTimeout.NoTimeout
+    )
