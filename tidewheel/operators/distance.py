@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -48,10 +48,11 @@ def dtw_pairs(df: DataFrame, group: list[str], key: str, series: str, radius: in
 
     Series of a group are packed into blocks by hash; each pair of blocks is one row, so a large group is many tasks.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy(*group)) / F.lit(BLOCK))).cast("int")
+    sizes = df.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_blocks"))
+    sized = df.join(sizes, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group], "left") if group else df.crossJoin(sizes)
     packed = (
-        df.select(*group, F.col(key).alias("k"), F.col(series).alias("v"))
-        .withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int"))
+        sized.select(*group, F.col(key).alias("k"), F.col(series).alias("v"), "_blocks")
+        .withColumn("block", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
         .groupBy(*group, "block").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows"))
     )
     a, b = packed.alias("a"), packed.alias("b")

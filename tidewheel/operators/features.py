@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import EDIT_R, EXPERIENCE, NEW, NEW_R, PERIOD_KEYS, RECIPE, REFLECTION, WRITE, WRITE_R, time_unit
@@ -111,8 +111,9 @@ def aggregated_per_period(counts: DataFrame, period: str = "yearly", unit: str =
         F.sum(F.when(F.col("count_feedback_requests") > 0, 1).otherwise(0)).alias("sum_bool_feed"),
         *(F.sum(c).alias(f"sum_{c}") for c in names), F.max(bucket).alias("_last"),
     )
-    last = F.max("_last").over(Window.partitionBy(*keys))
-    top = sums.withColumn("_max", last)
+    # One row per period: joined back, so that no window holds a period's students in one task.
+    ends = sums.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("_last").alias("_max"))
+    top = sums.join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
 
     def log(c: str) -> Column:
         return F.log10(F.col(f"sum_{c}") + F.lit(1e-7))

@@ -190,7 +190,7 @@ def _order_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql([PEOPLE], """select user_id as student, (language = 'ita')::int as language_ita, case when canton = 'ti' then 'ticino' else 'geneva' end as canton,
-    archived from people where user_type = 'studente' or (user_id in (select c_custkey from customer where c_custkey % 5 = 0)
+    archived from people where user_type = 'studente' or (user_id in (select c_custkey from customer where c_mktsegment = 'FURNITURE')
     and user_id not in (5, 10, 15, 20))"""))
 def students_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = logs.users(spark, sf_dir)
@@ -225,7 +225,7 @@ def staff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("event_date"), F.lit(None).cast("string").alias("url"), F.lit(True).alias("is_read"),
         (F.col("o_orderkey") % 97).alias("activity"), F.lit(None).cast("string").alias("description"),
     )
-    owners = table(spark, sf_dir, "part").filter("p_partkey < 97").select(F.col("p_partkey").alias("activity"), (F.col("p_size") % 50).cast("long").alias("user_id"))
+    owners = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("activity"), (F.col("p_size") % 50).cast("long").alias("user_id"))
     logins = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("event_date"))
     out = events.staff_events(notes, owners, owners.withColumnRenamed("user_id", "responsable"), logins, staff_entity(spark, sf_dir))
     out = out.withColumn("event_date", F.col("event_date").cast("string"))
@@ -691,10 +691,10 @@ def kernel_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense writing series of the third semester, of one cohort: graded customers by nation."""
+    """Dense writing series of the first semester of school year 2; a cohort is a nation."""
     s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "writing_events"))
     one = cohort.first_per_key(s.filter("writing_events is not null and school_year = 2"), ["student"], [F.asc("calendar_year"), F.asc("semester")])
-    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), (F.col("c_nationkey") % 5).alias("g"))
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_nationkey").cast("long").alias("g"))
     return one.join(nation, "student").select("g", "student", features.dense(F.col("writing_events"), F.col("writing_events_semester_biweek"), 13).alias("v"))
 
 
@@ -743,53 +743,31 @@ def label_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(tracking.contingency(table(spark, sf_dir, "customer"), F.col("c_nationkey") % 4, F.col("c_custkey") % 3))
 
 
-def _kernels(spark: SparkSession, sf_dir: str):
-    """Kernels of three semesters over the customers that have a series in each, sorted by customer, in numpy."""
-    import numpy as np
-
+def _cohort_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense event series of the first three semesters of all customers; a cohort is a nation."""
     s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "total_events"))
     pick = calendar.semester_id(F.col("school_year"), F.col("semester"))
     rows = s.filter(pick.isin(1, 2, 3)).withColumn("t", pick)
     rows = cohort.first_per_key(rows, ["student", "t"], [F.desc("calendar_year")])
-    wide = rows.select("student", "t", features.dense(F.col("total_events"), F.col("total_events_semester_biweek"), 13).alias("v"))
-    # A cohort is a bounded study group: the first 60 customers that have all three.
-    group = wide.groupBy("student").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")).filter(F.size("s") == 3)
-    people = group.orderBy("student").limit(60).collect()
-    kernels = []
-    for t in range(3):
-        x = np.array([p["s"][t]["v"] for p in people]).reshape(len(people), 13)
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-        kernels.append(np.exp(-((d / max(d.max(), 1e-9)) ** 2)) if len(people) else d)
-    return [p["student"] for p in people], kernels
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_nationkey").cast("long").alias("g"))
+    dense = features.dense(F.col("total_events"), F.col("total_events_semester_biweek"), 13)
+    return rows.join(nation, "student").select("g", "student", F.col("t").cast("long").alias("t"), dense.alias("v"))
 
 
 @query()
 def evolutionary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    who, kernels = _kernels(spark, sf_dir)
-    steps = evolve.evolve(kernels, [3, 3, 3]) if len(who) > 6 else []
-    rows = [(int(p), t + 1, int(x)) for t, s in enumerate(steps) for p, x in zip(who, s.labels, strict=True)]
-    return spark.createDataFrame(rows, "student long, period long, label long")
+    return _plain(evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=(2, 3)).select("g", "student", "t", "label"))
 
 
 @query()
 def affect_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    who, kernels = _kernels(spark, sf_dir)
-    steps = evolve.evolve(kernels, [3, 3, 3], search=()) if len(who) > 6 else []
-    rows = [(t + 1, i + 1, round(float(a), 6)) for t, s in enumerate(steps) for i, a in enumerate(s.alphas)]
-    return spark.createDataFrame(rows, "period long, round long, alpha double")
+    found = evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=())
+    return _plain(found.select("g", "t", F.posexplode("alphas").alias("round", "alpha")).distinct())
 
 
 @query()
 def kmodes_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
-    who, kernels = _kernels(spark, sf_dir)
-    if len(who) <= 6:
-        return spark.createDataFrame([], "clusters long, student long, profile long, silhouette double")
-    labels = np.column_stack([s.labels for s in evolve.evolve(kernels, [3, 3, 3])])
-    rows = []
-    for k in (2, 3, 4):
-        found, _, _ = cluster.k_modes(labels, k, starts=50)
-        score = round(cluster.profile_silhouette(labels, found), 6)
-        rows += [(k, int(p), int(x), score) for p, x in zip(who, found, strict=True)]
-    return spark.createDataFrame(rows, "clusters long, student long, profile long, silhouette double")
+    labels = evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=())
+    wide = labels.groupBy("g", "student").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("s"))
+    codes = wide.select("g", "student", F.transform("s", lambda x: x["label"]).alias("codes"))
+    return _plain(cluster.profile_search(codes, [2, 3, 4], starts=20))
