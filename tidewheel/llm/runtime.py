@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +21,30 @@ BROADCAST_IDS = 2_000_000
 BLOCK_BYTES = 8 << 20
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps for its next task of the same kind; at most one such thing."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what was kept and give freed memory back to the machine, for the tasks that share the executor."""
+    _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -97,12 +124,12 @@ def blocks(sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
     """Lists of ids and of texts (bytes or None) in blocks of bounded size."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        for i, j in blocks(sizes):
+        for i, j in blocks(sizes, limit):
             yield ids.slice(i, j - i).to_pylist(), texts.slice(i, j - i).to_pylist()
 
 
@@ -123,12 +150,14 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         work = make()  # once in a task
         for ids, texts in text_blocks(batches):
             columns = work(ids, texts)
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow
             )
+        trim()
 
     return df.mapInArrow(run, parsed)
 

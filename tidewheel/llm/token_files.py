@@ -22,16 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import input_texts, new_path, text_blocks
+from .runtime import input_texts, kept, new_path, text_blocks, trim
 
-#: Distinct pieces of text whose ids a worker keeps.
-CACHE_PIECES = 600_000
+#: Distinct pieces of text whose ids a worker keeps, twice over.
+CACHE_PIECES = 160_000
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 6 << 20
 #: Characters whose classes are alike in all Unicode versions at hand: up to Latin Extended-B, no odd controls.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-ɏ]*\Z")
 #: White space that does not simply join two pieces: runs of blanks, and blanks at a line's ends.
 _ODD_SPACE = ("  ", "\n ", " \n", "\n\n\n")
 _MARKS = ".,;:!?*$%&#|"
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def _simple(t: str) -> bool:
@@ -60,13 +61,6 @@ class Encoder:
         line_end = self.tok.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 else None
 
-    @classmethod
-    def of_worker(cls, path: str) -> Encoder:
-        """The one that this Python worker keeps from task to task."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
-
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
@@ -84,11 +78,10 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Put every piece into the cache; marks at a piece's end are looked up apart from the word before them."""
         known, old, split, new = self.cache, self.old, [], {}
-        for p in pieces:
-            if p in known:
-                continue
+        missing = [p for p in pieces if p not in known]
+        known.update((p, old[p]) for p in missing if p in old)
+        for p in missing:
             if p in old:
-                known[p] = old[p]
                 continue
             word = p.rstrip(_MARKS)
             if word != p and word[-1:].isalnum():
@@ -111,7 +104,7 @@ class Encoder:
         cut = [t.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00") for t in texts]
         lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\x00")
         coded = lists.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > self.most:
             self.cache, self.old = {}, self.cache
         if "" not in self.cache:
@@ -123,7 +116,9 @@ class Encoder:
         at = coded.indices.to_numpy()
         each = size[at]
         ends = np.cumsum(each)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - each), each)]
+        place = np.repeat((first[at] - (ends - each)).astype(np.int32), each)  # a block has under 2**31 ids
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
         bounds = np.append(0, ends)[lists.offsets.to_numpy()].tolist()
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
@@ -149,7 +144,7 @@ _PART = pa.schema(
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of_worker(tokenizer)
+        encoder = kept(("encoder", tokenizer), lambda: Encoder(tokenizer))
         part = TaskContext.get().partitionId()
         os.makedirs(folder, exist_ok=True)
         # A name for each attempt: a task that runs twice never writes into a file that is in use.
@@ -157,7 +152,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         end = np.array([end_id], encoder.kind).tobytes()
         lengths, docs = [], []
         with open(f"{folder}/{name}.ids", "wb") as out:
-            for ids, texts in text_blocks(batches):
+            for ids, texts in text_blocks(batches, ENCODE_BYTES):
                 strings = ["" if t is None else t.decode("utf-8", "replace") for t in texts]
                 for data in encoder.encode(strings):
                     out.write(data)
@@ -170,6 +165,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         with open(f"{folder}/{name}.doc", "wb") as out:
             out.write(np.array([d or 0 for d in docs], "<i8").tobytes())
             out.write(np.array([d is None for d in docs], np.uint8).tobytes())
+        trim()
         if lengths:
             row = {"part": part, "name": name, "n_docs": len(lengths), "n_ids": int(offsets[-1]), "kind": encoder.kind.str}
             yield pa.RecordBatch.from_pylist([row], _PART)
