@@ -1,7 +1,7 @@
 """WARC archives: a writer with payload deduplication, and a reader that salvages what follows damage.
 
-The reader checks every record (gzip member with its checksum, version line, header block, length, block and payload
-digests). After a failed check it searches for the next gzip member or version line at which a whole record
+The reader checks every record (gzip member with its checksum, version line, required headers, length, block and payload
+digests; only a plain record's header values have no checksum). After a failed check it searches for the next gzip member or version line at which a whole record
 checks out, goes on from there, and reports the bytes passed over as a quarantined gap.
 """
 
@@ -85,8 +85,8 @@ def _parse(data: bytes, start: int) -> tuple[int, dict[str, str], bytes]:
         if line and not colon:
             raise Damaged("bad header line")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdigit():
-        raise Damaged("no length")
+    if not headers.get("content-length", "").isdigit() or not headers.get("warc-type") or not headers.get("warc-record-id"):
+        raise Damaged("required header missing")
     begin, size = head_end + 4, int(headers["content-length"])
     block, end = data[begin : begin + size], begin + size + 4
     if len(block) < size or data[begin + size : end] != b"\r\n\r\n":
