@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .decontaminate import contamination
 from .hidden_markov import language_scores
 from .language_id import identify
 from .mixing import mix
-from .mixing import oracle as mixing_oracle
 from .near_dedup import near_duplicates
 from .quality_rules import quality_verdicts
 from .rule_ensemble import quality_scores
@@ -92,12 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op4_warc": """
-        with p as (select page_id, coalesce(html, '') as h from pages),
-        k as (select page_id, strlen(h)::bigint as payload_bytes, sha1(h) as payload_digest,
-            max(page_id) over (partition by h) as keeper from p)
-        select page_id, payload_bytes, payload_digest,
-            case when payload_bytes >= 1000 and page_id != keeper then 'revisit' else 'response' end as record_type,
-            case when payload_bytes >= 1000 and page_id != keeper then keeper end as refers_to from k""",
-    "op8_mixing": mixing_oracle(),
+    "op1_near_dedup": oracles.NEAR_DEDUP,
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_warc": oracles.WARC,
+    "op7_decontamination": oracles.DECONTAMINATION,
+    "op8_mixing": oracles.MIXING,
 }
