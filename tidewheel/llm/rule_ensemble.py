@@ -137,7 +137,7 @@ def quality_scores(
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row of ``docs``.
 
-    The model learns from at most ``limit`` labelled rows (the first by hash of their id) whose
+    The model learns from at most ``limit`` labelled rows (chosen by a hash of their id) whose
     crc32(doc_id as text) mod ``modulus`` is not ``held``; statistics and scores cover every row.
 
     A null text counts as an empty one. Rows with a null id are scored, never learnt from, and not held out. A label
