@@ -24,13 +24,21 @@ ORACLES: dict[str, str] = {}
 SHIFT = "3e-10"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its oracle if SQL has one."""
+def query(sql: str | None = None, nullable: tuple[str, ...] = ()):
+    """Register a query under its function's name, with its oracle if SQL has one.
+
+    Whole numbers that can be null, named in ``nullable``, are doubles on both sides, as data frames hold them.
+    """
 
     def add(f):
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in nullable})
+
+        QUERIES[f.__name__] = run if nullable else f
         if sql is not None:
-            ORACLES[f.__name__] = sql.replace(", 6)", f" + {SHIFT}, 6)")
+            shifted = sql.replace(", 6)", f" + {SHIFT}, 6)")
+            casts = ", ".join(f"{c}::double as {c}" for c in nullable)
+            ORACLES[f.__name__] = f"select * replace ({casts}) from ({shifted}) q" if nullable else shifted
         return f
 
     return add
@@ -119,7 +127,7 @@ def event_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select o_orderkey, case when y between 1996 and 1999 then (y % 100) * 100 + (y + 1) % 100 end as calendar_year, y as school_start from
-    (select o_orderkey, year((o_orderdate - interval 1 microsecond)::date - interval 7 month) as y from orders)""")
+    (select o_orderkey, year((o_orderdate - interval 1 microsecond)::date - interval 7 month) as y from orders)""", nullable=("calendar_year",))
 def calendar_year_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("o_orderdate")
     return _plain(table(spark, sf_dir, "orders").select("o_orderkey", calendar.school_label(ts, 1996, 1999).alias("calendar_year"), calendar.school_start(ts).alias("school_start")))
@@ -299,13 +307,13 @@ def _half_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.prepared(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir), logs.activities(spark, sf_dir))
 
 
-@query(_sql(_WEEK, f"select student, calendar_year, school_year, woy, {_MEASURES} from counts"))
+@query(_sql(_WEEK, f"select student, calendar_year, school_year, woy, {_MEASURES} from counts"), nullable=tuple(_WHOLE))
 def counts_per_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: gaps, fences, inactivity, sessions, calendar buckets, and all measures per student and week."""
     return _plain(features.counts_per_unit(_week_events(spark, sf_dir), "yearly", "woy"))
 
 
-@query(_sql(_HALF, f"select student, calendar_year, school_year, semester, semester_biweek, {_MEASURES} from counts"))
+@query(_sql(_HALF, f"select student, calendar_year, school_year, semester, semester_biweek, {_MEASURES} from counts"), nullable=tuple(_WHOLE))
 def counts_per_biweek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"))
 
@@ -381,6 +389,7 @@ _OLOG = [O, GRADES, _years_sql("olog"), """reg as (select *, case when dayofyear
     case when weekofyear(event_date) >= 31 then weekofyear(event_date) - 31 else weekofyear(event_date) + 21 end as woy, hour(event_date) as hod,
     dayofweek(event_date) as d1, weekofyear(event_date) % 2 * 7 + dayofweek(event_date) as d2 from olog left join years using (student, calendar_year))"""]
 _KEYS = "student, calendar_year, school_year, semester"
+_MAY = ("school_year", "semester", "total_events")
 _ID = "student, calendar_year, school_year, semester as semester_aux, school_year * 2 + semester - 1 as semester"
 
 
@@ -397,12 +406,12 @@ def _dow(spark: SparkSession, sf_dir: str, biweekly: bool) -> DataFrame:
 _DOW = f"select {_ID}, dow, absolute, round(relative, 6) as relative, total_events from dowt"
 
 
-@query(_sql(_dow_sql("d1"), _DOW))
+@query(_sql(_dow_sql("d1"), _DOW), nullable=_MAY)
 def regularity_dow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_dow(spark, sf_dir, False))
 
 
-@query(_sql(_dow_sql("d2"), _DOW))
+@query(_sql(_dow_sql("d2"), _DOW), nullable=_MAY)
 def regularity_dow_biweek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_dow(spark, sf_dir, True))
 
@@ -413,7 +422,7 @@ _HOD = [*_OLOG, f"raw as (select distinct {_KEYS}, hod, doy from reg where event
         "hodt as (select student, school_year, semester, hod, absolute, absolute / total_events as relative from eac left join tot using (student, school_year, semester))"]
 
 
-@query(_sql(_HOD, "select student, school_year, semester as semester_aux, school_year * 2 + semester - 1 as semester, hod, absolute, round(relative, 6) as relative from hodt"))
+@query(_sql(_HOD, "select student, school_year, semester as semester_aux, school_year * 2 + semester - 1 as semester, hod, absolute, round(relative, 6) as relative from hodt"), nullable=_MAY[:2])
 def regularity_hod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(regularity.hour_table(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)))
 
@@ -426,17 +435,17 @@ def _peak_sql(ctes: list[str], source: str, keys: str, slots: int, name: str) ->
 _OUT = ["calendar_year", "school_year", "semester_aux", "semester"]
 
 
-@query(_peak_sql(_dow_sql("d1"), "dowt", _KEYS, 7, "pwd"))
+@query(_peak_sql(_dow_sql("d1"), "dowt", _KEYS, 7, "pwd"), nullable=_MAY[:2])
 def pwd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(regularity.peak(_dow(spark, sf_dir, False), _OUT, 7, "pwd"))
 
 
-@query(_peak_sql(_dow_sql("d2"), "dowt", _KEYS, 14, "pwd_biweek"))
+@query(_peak_sql(_dow_sql("d2"), "dowt", _KEYS, 14, "pwd_biweek"), nullable=_MAY[:2])
 def pwd_biweekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(regularity.peak(_dow(spark, sf_dir, True), _OUT, 14, "pwd_biweek"))
 
 
-@query(_peak_sql(_HOD, "hodt", "student, school_year, semester", 24, "phd"))
+@query(_peak_sql(_HOD, "hodt", "student, school_year, semester", 24, "phd"), nullable=_MAY[:2])
 def phd(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_ = regularity.hour_table(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir))
     return _plain(regularity.peak(table_, _OUT[1:], 24, "phd"))
@@ -444,7 +453,7 @@ def phd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql([*_dow_sql("d1"), "dom as (select distinct dow from dowt)", f"who as (select distinct {_KEYS} from dowt)"],
     f"""select {_ID}, dow, coalesce(absolute, 0)::bigint as absolute, round(coalesce(relative, 0), 6) as relative from who cross join dom
-    left join dowt using ({_KEYS}, dow)"""))
+    left join dowt using ({_KEYS}, dow)"""), nullable=_MAY[:2])
 def densify_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(regularity.densified(_dow(spark, sf_dir, False), _OUT, "dow"))
 
@@ -467,7 +476,7 @@ def _week_table(spark: SparkSession, sf_dir: str, biweekly: bool) -> DataFrame:
     return regularity.hours_per_day(events.with_inactivity(log, tie="number"), years, biweekly=biweekly)
 
 
-@query(_sql(_weeks_sql("dayofweek(event_date)"), f"select {_ID}, woy, dow, round(hours, 6) as hours, ceil(round(hours, 9))::bigint as hours_int, (hours > 0)::int::bigint as hours_bool from day"))
+@query(_sql(_weeks_sql("dayofweek(event_date)"), f"select {_ID}, woy, dow, round(hours, 6) as hours, ceil(round(hours, 9))::bigint as hours_int, (hours > 0)::int::bigint as hours_bool from day"), nullable=_MAY[:2])
 def regularity_hours_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = _week_table(spark, sf_dir, False)
     rows = weeks.select("student", *_OUT, "woy", F.explode(F.arrays_zip("dow", "hours_dow", "hours_dow_int", "hours_bool")).alias("x"))
@@ -490,7 +499,7 @@ _WS = [*_weeks_sql(_D2), f"tot as (select {_KEYS}, woy, sum(hours) as whole, sum
 
 @query(_sql(_WS, f"""select w.student, w.calendar_year, w.school_year, w.semester as semester_aux, w.school_year * 2 + w.semester - 1 as semester, round(avg(s1), 6) as ws1,
     round(avg(s2), 6) as ws2, round(avg(s3), 6) as ws3 from who w left join sim s on s.student = w.student and s.calendar_year = w.calendar_year
-    and s.school_year is not distinct from w.school_year and s.semester = w.semester group by all"""))
+    and s.school_year is not distinct from w.school_year and s.semester = w.semester group by all"""), nullable=_MAY[:2])
 def week_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(regularity.week_similarity(_week_table(spark, sf_dir, True), _OUT))
 
@@ -498,14 +507,14 @@ def week_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql([*_OLOG, f"raw as (select distinct {_KEYS}, hod, doy, woy, d1 from reg)"],
     f"select raw.student, raw.calendar_year, raw.school_year, raw.semester as semester_aux, raw.school_year * 2 + raw.semester - 1 as semester, hod + doy * 24 as hour, "
     f"w.weeks as number_of_weeks, count(*) as n from raw join (select {_KEYS}, count(distinct woy) as weeks from raw group by all) w on raw.student = w.student "
-    f"and raw.calendar_year = w.calendar_year and raw.school_year is not distinct from w.school_year and raw.semester = w.semester group by all"))
+    f"and raw.calendar_year = w.calendar_year and raw.school_year is not distinct from w.school_year and raw.semester = w.semester group by all"), nullable=_MAY[:2])
 def regularity_frequency_hod(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = regularity.frequency_hours(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir))
     rows = t.select("student", *_OUT, "number_of_weeks", F.explode("hours_day").alias("hour"))
     return _plain(rows.groupBy("student", *_OUT, "hour", "number_of_weeks").agg(F.count("*").alias("n")))
 
 
-@query(_sql([*_OLOG, f"raw as (select distinct {_KEYS}, doy from reg)"], f"select {_ID}, doy as day from raw"))
+@query(_sql([*_OLOG, f"raw as (select distinct {_KEYS}, doy from reg)"], f"select {_ID}, doy as day from raw"), nullable=_MAY[:2])
 def regularity_frequency_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = regularity.frequency_days(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir))
     return _plain(t.select("student", *_OUT, F.explode("days_year").alias("day")))
@@ -522,27 +531,27 @@ def _fourier(spark: SparkSession, sf_dir: str, hours: bool, frequency: float, na
     return _plain(regularity.fourier(t, _OUT, "hours_day" if hours else "days_year", frequency, name))
 
 
-@query(_fourier_sql("hod + doy * 24", "(1.0 / 24)", "fdh"))
+@query(_fourier_sql("hod + doy * 24", "(1.0 / 24)", "fdh"), nullable=_MAY[:2])
 def fdh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fourier(spark, sf_dir, True, 1 / 24, "fdh")
 
 
-@query(_fourier_sql("hod + doy * 24", "(7.0 / 24)", "fwh"))
+@query(_fourier_sql("hod + doy * 24", "(7.0 / 24)", "fwh"), nullable=_MAY[:2])
 def fwh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fourier(spark, sf_dir, True, 7 / 24, "fwh")
 
 
-@query(_fourier_sql("hod + doy * 24", "(14.0 / 24)", "fwh_biweek"))
+@query(_fourier_sql("hod + doy * 24", "(14.0 / 24)", "fwh_biweek"), nullable=_MAY[:2])
 def fwh_biweekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fourier(spark, sf_dir, True, 14 / 24, "fwh_biweek")
 
 
-@query(_fourier_sql("doy", "(1.0 / 7)", "fwd"))
+@query(_fourier_sql("doy", "(1.0 / 7)", "fwd"), nullable=_MAY[:2])
 def fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fourier(spark, sf_dir, False, 1 / 7, "fwd")
 
 
-@query()
+@query(nullable=_MAY[:2])
 def regularity_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All regularity measures of each semester in one table."""
     return _plain(regularity.regularity(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)))
@@ -609,7 +618,7 @@ def anti_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select coalesce(a.user_id, b.user_id) as user_id, clicks, views from (select user_id, count(*) as clicks from events where event_type = 'click' and value > 200
-    group by all) a full outer join (select user_id, count(*) as views from events where event_type = 'view' and value > 200 group by all) b using (user_id)""")
+    group by all) a full outer join (select user_id, count(*) as views from events where event_type = 'view' and value > 200 group by all) b using (user_id)""", nullable=("clicks", "views"))
 def full_outer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("value > 200")
     a = e.filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("clicks"))
@@ -618,7 +627,7 @@ def full_outer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql([O, GRADES, _years_sql("olog"), "tot as (select distinct student from years)"], """select student,
-    max(school_year) filter (where calendar_year = 9596) as y9596, max(school_year) filter (where calendar_year = 9899) as y9899 from tot left join years using (student) group by all"""))
+    max(school_year) filter (where calendar_year = 9596) as y9596, max(school_year) filter (where calendar_year = 9899) as y9899 from tot left join years using (student) group by all"""), nullable=("y9596", "y9899"))
 def feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pivot of a label table instead of a join for each experiment."""
     y = _order_years(spark, sf_dir)
@@ -629,7 +638,7 @@ def feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql([*_HALF, """picked as (select student, calendar_year, sum(writing_events) as w, count(writing_events) as n from counts where school_year * 2 + semester - 1 = 2
     and (student, calendar_year, school_year, semester) in (select (student, calendar_year, school_year, semester) from counts where count_reflection is not null)
     group by student, calendar_year, school_year, semester qualify row_number() over (partition by student order by calendar_year desc) = 1)"""],
-    "select student, calendar_year, n::bigint as n, w::double as w from (select distinct student from years) left join picked using (student)"))
+    "select student, calendar_year, n::bigint as n, w::double as w from (select distinct student from years) left join picked using (student)"), nullable=("calendar_year", "n"))
 def time_unit_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature matrix of the cohort's second semester: length and sum of one series."""
     s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "writing_events"))
