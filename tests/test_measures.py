@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewheel import functions as fn
 from tidewheel import sources
 from tidewheel.operators import cluster, cohort, distance, evolve, features, regularity, tracking
+from tidewheel.plans import study
 
 
 def value(spark, column):
@@ -209,3 +210,22 @@ def test_tables_in_and_out(spark, tmp_path):
     sources.save_csv(df, f"{root}/csv")
     assert spark.read.csv(f"{root}/csv", header=True).count() == 2
     assert sources.query(spark, "select :x + 1 as y", x=1).first().y == 2
+
+
+def test_study_on_two_clear_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, i, "a", (rng.normal(10 * (i % 2), 0.1, 6)).tolist()) for i in range(12)]
+    rows += [(1, i, "b", (rng.normal(5 * (i % 2), 0.1, 6)).tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "g long, student long, feature string, v array<double>")
+    d = study.feature_distances(df, [1])
+    best = study.best_cells(study.search_features(d, [4.0], [2, 3]))
+    assert {(r.feature, r.clusters) for r in best.collect()} == {("a", 2), ("b", 2)}
+    groups = {"both": ["a", "b"]}
+    kernels = study.group_kernels(d, best, groups)
+    labels = study.best_labels(study.search_groups(kernels, groups, [2]), "feature_group")
+    got = {r.student: r.label for r in labels.collect()}
+    assert same_partition(np.array([got[i] for i in range(12)]), np.arange(12) % 2)
+    found = study.profiles(labels, ["both"], [2], starts=5).collect()
+    assert len(found) == 12 and found[0].silhouette == 1.0
+    one = {(r.i, r.j): r.w for r in study.product_kernels(d, [{"a": (4.0, 1), "b": (4.0, 1)}]).collect()}
+    assert one == {(r.i, r.j): pytest.approx(r.w) for r in kernels.collect()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import array_avg, array_median, array_min, median
 from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
 from ..sources import table
-from . import logs
+from . import logs, study
 from .config import QUIET, WRITE_R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,3 +780,30 @@ def kmodes_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = labels.groupBy("g", "student").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("s"))
     codes = wide.select("g", "student", F.transform("s", lambda x: x["label"]).alias("codes"))
     return _plain(cluster.profile_search(codes, [2, 3, 4], starts=20))
+
+
+_GROUPS = {"effort": ["total_events", "writing_events"], "feedback": ["count_feedback"]}
+
+
+def _study_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("count_reflection", "total_events", "writing_events", "count_feedback")
+    s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", names)
+    one = cohort.first_per_key(s.filter("school_year = 1 and semester = 0"), ["student"], [F.desc("calendar_year")])
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_nationkey").cast("long").alias("g"))
+    rows = study.dense_features(one.join(nation, "student"), list(names[1:]), "semester_biweek", 13)
+    return study.feature_distances(rows, [1, 3])
+
+
+@query()
+def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best window, width and number of clusters of each cohort and feature."""
+    return _plain(study.best_cells(study.search_features(_study_distances(spark, sf_dir), [0.5, 1.5], [2, 3])))
+
+
+@query()
+def study_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole study: features, groups, and profiles over the groups' labels."""
+    d = _study_distances(spark, sf_dir)
+    best = study.best_cells(study.search_features(d, [0.5, 1.5], [2, 3]))
+    labels = study.best_labels(study.search_groups(study.group_kernels(d, best, _GROUPS), _GROUPS, [2, 3]), "feature_group")
+    return _plain(study.profiles(labels, list(_GROUPS), [2, 3], starts=20))

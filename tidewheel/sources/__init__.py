@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,14 @@ def insert(df: DataFrame, table_name: str) -> None:
     nan_to_null(df).write.insertInto(table_name)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` stored in the shared checkpoint folder; a temporary one is set only where the session has none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewheel-"))
+    return df.checkpoint()
+
+
 def save_csv(df: DataFrame, path: str, *, separator: str = ",", null: str = "") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=separator, nullValue=null)
 
