@@ -81,6 +81,13 @@ def test_near_duplicates_keep_the_smallest_and_ignore_other_columns(spark):
     assert got == [("3", 3, True), ("3", 3, True), ("5", 3, False), ("9", 9, True), ("None", None, True)]
 
 
+def test_an_id_with_several_texts_has_the_links_of_each(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    df = spark.createDataFrame([(5, long), (5, other), (7, long + " x"), (8, other + " y"), (9, "z")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
     assert [r.kept for r in near_duplicates(frame(spark, [None, ""])).collect()] == [True, True]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import scope, stored
 from .text import SPACE_WORD
 
 DIMS = ("source", "lang", "topic")
@@ -112,11 +112,12 @@ def mix(
             "__tw_topic": F.coalesce(topic, F.lit("")), "__tw_tokens": word_count(text_col),
         }
     )
-    cells = marked.groupBy(*(F.col(f"__tw_{d}").alias(d) for d in DIMS)).agg(F.sum("__tw_tokens").alias("tokens"), F.count("*").alias("docs"))
-    cells = stored(cells.filter("tokens > 0"), "cells")
-    small = cells.count() <= SMALL_CELLS
-    raked = rake(cells, temper=temper, sweeps=sweeps, targets=targets, one_task=small)
-    raked = stored(probabilities(raked, fraction), "probabilities")
+    with scope():
+        cells = marked.groupBy(*(F.col(f"__tw_{d}").alias(d) for d in DIMS)).agg(F.sum("__tw_tokens").alias("tokens"), F.count("*").alias("docs"))
+        cells = stored(cells.filter("tokens > 0"), "cells")
+        small = cells.count() <= SMALL_CELLS
+        raked = rake(cells, temper=temper, sweeps=sweeps, targets=targets, one_task=small)
+        raked = stored(probabilities(raked, fraction), "probabilities", keep=True)
     side = raked.select(*(F.col(d).alias(f"__tw_{d}") for d in DIMS), F.col("weight").alias("__tw_weight"), F.col("probability").alias("__tw_probability"))
     drawn = marked.join(F.broadcast(side) if small else side, [f"__tw_{d}" for d in DIMS], "left").na.fill(
         0.0, ["__tw_weight", "__tw_probability"]

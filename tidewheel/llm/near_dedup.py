@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .runtime import Stored, input_texts, keep_ids, map_texts, stored
+from .runtime import Stored, input_texts, keep_ids, map_texts, scope, stored
 
 CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
@@ -84,6 +84,14 @@ def _describe(width: int):
     return work
 
 
+def _sets_of(width: int):
+    def work(ids: list, texts: list) -> dict:
+        sets = [shingles(t, width).tobytes() for t in texts]
+        return {"doc": ids, "digest": np.array([tx.xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64), "set": sets}
+
+    return work
+
+
 def _index_keys() -> Column:
     """The chunk values with one symbol blanked, tagged with the chunk's and the symbol's number."""
     keys = [
@@ -139,66 +147,67 @@ def near_duplicates(
     null component, links with nothing and is kept. Repeated rows get the same result each; if an id
     comes with several texts, each row is judged by its own. Other columns of ``docs`` are ignored.
     """
-    src = input_texts(docs, id_col, text_col)
-    info = Stored(map_texts(src, lambda: _describe(width), SCHEMA), "near-info").df
-    linked = info.filter("n_shingles > 0 and doc_id is not null")
-    groups = linked.groupBy("h1", "h2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("chunks").alias("chunks"),
-        F.first("sketch").alias("sketch"),
-    )
-    reps = Stored(groups, "near-reps")
-
-    keyed = reps.df.select(_index_keys().alias("key"), F.col("rep").alias("doc"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("hub")).filter("n > 1")
-    members = Stored(keyed.join(shared.select("key", "hub").hint("merge"), "key"), "near-buckets")
-    brief = reps.df.select(F.col("rep").alias("doc"), "n_shingles", "sketch")
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """Confirmed links among ``pairs(a, b)``; sets are made anew, for documents in pairs only."""
-        pairs = stored(pairs.select("a", "b").distinct(), f"near-{name}-pairs")
-        ids = stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("__tw_id"), f"near-{name}-ids")
-        sets = map_texts(keep_ids(src, "doc_id", ids, ready=True), lambda: lambda i, t: {
-            "doc": i, "set": [shingles(x, width).tobytes() for x in t]}, "doc long, set binary")
-        sets = stored(sets.dropDuplicates(["doc"]), f"near-{name}-sets")
-        return stored(_confirm(pairs, sets, percent), f"near-{name}-links")
-
-    star = members.df.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    star = (
-        star.join(brief.alias("x"), F.col("a") == F.col("x.doc"))
-        .join(brief.alias("y"), F.col("b") == F.col("y.doc"))
-        .filter(_may_link("x", "y", percent))
-    )
-    first = links(star, "star")
-    comp = Stored(components(first), "near-comp")
-
-    # Buckets that still hold several components: every pair across them, the largest on one side only.
-    placed = members.df.select("key", "doc").join(
-        comp.df.withColumnRenamed("node", "doc").hint("merge"), "doc", "left"
-    ).select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-    placed = Stored(placed, "near-placed").df
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    mixed = mixed.filter("k > 1").select("key", "main")
-    open_ = placed.join(mixed.hint("merge"), "key").join(brief.hint("merge"), "doc")
-    open_ = Stored(open_, "near-open").df
-    across = open_.filter("comp != main").alias("x").join(
-        open_.alias("y").hint("merge"),
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp")))
-        & _may_link("x", "y", percent),
-    )
-    more = links(across.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")), "cross")
-    members.discard()
-    # Components of the first round are stars already, so only their edges and the new links matter.
-    edges = comp.df.toDF("a", "b").union(more)
-    final = components(edges)
-
-    moved = reps.df.join(final.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
-        "h1", "h2", "n_shingles", "rep", "copies", F.coalesce("component", "rep").alias("component_id")
-    ).filter("copies > 1 or component_id != rep").drop("copies", "rep")
+    with scope():
+        src = input_texts(docs, id_col, text_col)
+        info = Stored(map_texts(src, lambda: _describe(width), SCHEMA), "near-info", keep=True).df
+        linked = info.filter("n_shingles > 0 and doc_id is not null")
+        groups = linked.groupBy("h1", "h2", "n_shingles").agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("chunks").alias("chunks"),
+            F.first("sketch").alias("sketch"),
+        )
+        reps = Stored(groups, "near-reps")
+
+        keyed = reps.df.select(_index_keys().alias("key"), F.col("rep").alias("doc"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("hub")).filter("n > 1")
+        members = Stored(keyed.join(shared.select("key", "hub").hint("merge"), "key"), "near-buckets")
+        brief = reps.df.select(F.col("rep").alias("doc"), "n_shingles", "sketch")
+
+        def links(pairs: DataFrame, name: str) -> DataFrame:
+            """Confirmed links among ``pairs(a, b)``; sets are made anew, for documents in pairs only."""
+            pairs = stored(pairs.select("a", "b").distinct(), f"near-{name}-pairs")
+            ids = stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("__tw_id"), f"near-{name}-ids")
+            sets = map_texts(keep_ids(src, "doc_id", ids, ready=True), lambda: _sets_of(width), "doc long, digest long, set binary")
+            # Rows of one id with the same text count once, and with several texts the id has the links of each.
+            sets = stored(sets.dropDuplicates(["doc", "digest"]).drop("digest"), f"near-{name}-sets")
+            return stored(_confirm(pairs, sets, percent), f"near-{name}-links")
+
+        star = members.df.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+        star = (
+            star.join(brief.alias("x"), F.col("a") == F.col("x.doc"))
+            .join(brief.alias("y"), F.col("b") == F.col("y.doc"))
+            .filter(_may_link("x", "y", percent))
+        )
+        first = links(star, "star")
+        comp = Stored(components(first), "near-comp")
+
+        # Buckets that still hold several components: every pair across them, the largest on one side only.
+        placed = members.df.select("key", "doc").join(
+            comp.df.withColumnRenamed("node", "doc").hint("merge"), "doc", "left"
+        ).select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+        placed = Stored(placed, "near-placed").df
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        mixed = mixed.filter("k > 1").select("key", "main")
+        open_ = placed.join(mixed.hint("merge"), "key").join(brief.hint("merge"), "doc")
+        open_ = Stored(open_, "near-open").df
+        across = open_.filter("comp != main").alias("x").join(
+            open_.alias("y").hint("merge"),
+            (F.col("x.key") == F.col("y.key"))
+            & (F.col("x.comp") != F.col("y.comp"))
+            & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp")))
+            & _may_link("x", "y", percent),
+        )
+        more = links(across.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")), "cross")
+        # Components of the first round are stars already, so only their edges and the new links matter.
+        edges = comp.df.toDF("a", "b").union(more)
+        final = components(edges)
+
+        moved = reps.df.join(final.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
+            "h1", "h2", "n_shingles", "rep", "copies", F.coalesce("component", "rep").alias("component_id")
+        ).filter("copies > 1 or component_id != rep").drop("copies", "rep")
+        moved = stored(moved, "near-moved", keep=True)
     joined = info.select("doc_id", "n_shingles", "h1", "h2").join(
-        stored(moved, "near-moved").hint("merge"), ["h1", "h2", "n_shingles"], "left"
+        moved.hint("merge"), ["h1", "h2", "n_shingles"], "left"
     )
     component = F.when(
         (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")

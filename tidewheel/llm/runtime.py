@@ -9,6 +9,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,11 +76,32 @@ def discard(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPE: ContextVar[list[Stored] | None] = ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables stored inside are deleted at its end, but for those stored with ``keep``."""
+    tables: list[Stored] = []
+    token = _SCOPE.set(tables)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for t in tables:
+            t.discard()
+
+
 class Stored:
-    """A DataFrame written to shared storage and reread: lost executors cost only the reading."""
+    """A DataFrame written to shared storage and reread: lost executors cost only the reading.
+
+    With ``keep`` it outlasts the scope around it, because results are read from it later.
+    """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, keep: bool = False):
         self.spark = df.sparkSession
+        if (tables := _SCOPE.get()) is not None and not keep:
+            tables.append(self)
         self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -88,8 +110,8 @@ class Stored:
         discard(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return Stored(df, name).df
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    return Stored(df, name, keep).df
 
 
 def keep_ids(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .runtime import Stored, input_texts, keep_ids, map_texts, stored, text_blocks
+from .runtime import Stored, input_texts, keep_ids, map_texts, scope, stored, text_blocks
 
 _NO_ID = -(1 << 63)
 
@@ -126,30 +126,31 @@ def remove_repeats(
     src = input_texts(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text"
     )
-    info = Stored(map_texts(src, lambda: _describe(span, seed), _INFO), "sub-info").df
-    # Copies of a whole text: all their windows repeat, and one of them stands for all of them among the seeds.
-    copies = (
-        info.filter(F.col("n_words") >= span).groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
-        .filter("n > 1")
-    )
-    gone = (
-        info.select("doc", "s1", "s2").join(copies.hint("merge"), ["s1", "s2"], "left")
-        .groupBy("doc").agg(F.min(F.col("n").isNotNull()).alias("gone"), F.max(F.col("rep") == F.col("doc")).alias("first"))
-        .filter("gone")
-    )
-    gone = stored(gone.select("doc", "first"), "sub-copies")
-    seeds = keep_ids(info, "doc", gone.filter("not first").select("doc"), "left_anti")
-    seeds = seeds.select(F.explode("anchors").alias("h"), "doc")
-    often = seeds.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    hit = stored(seeds.join(often.hint("merge"), "h").groupBy("doc").agg(F.collect_set("h").alias("seeds")), "sub-seeded")
-    seeded = keep_ids(src, "doc", hit.select("doc")).join(hit.hint("merge"), "doc").select("doc", "text", "seeds")
-    windows = stored(seeded.mapInArrow(_emit_windows(span, seed), "doc long, hs array<long>, ws array<long>"), "sub-windows")
-    each = windows.select("doc", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select(
-        F.col("x.hs").alias("h"), F.col("x.ws").alias("w"), "doc"
-    )
-    twice = each.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
-    repeated = each.join(twice.hint("merge"), ["h", "w"]).groupBy("doc").agg(F.collect_set("w").alias("windows"))
-    repeated = stored(keep_ids(repeated, "doc", gone.select("doc"), "left_anti"), "sub-repeats")
+    with scope():
+        info = Stored(map_texts(src, lambda: _describe(span, seed), _INFO), "sub-info", keep=True).df
+        # Copies of a whole text: all their windows repeat, and one of them stands for all of them among the seeds.
+        copies = (
+            info.filter(F.col("n_words") >= span).groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+            .filter("n > 1")
+        )
+        gone = (
+            info.select("doc", "s1", "s2").join(copies.hint("merge"), ["s1", "s2"], "left")
+            .groupBy("doc").agg(F.min(F.col("n").isNotNull()).alias("gone"), F.max(F.col("rep") == F.col("doc")).alias("first"))
+            .filter("gone")
+        )
+        gone = stored(gone.select("doc", "first"), "sub-copies", keep=True)
+        seeds = keep_ids(info, "doc", gone.filter("not first").select("doc"), "left_anti")
+        seeds = seeds.select(F.explode("anchors").alias("h"), "doc")
+        often = seeds.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+        hit = stored(seeds.join(often.hint("merge"), "h").groupBy("doc").agg(F.collect_set("h").alias("seeds")), "sub-seeded")
+        seeded = keep_ids(src, "doc", hit.select("doc")).join(hit.hint("merge"), "doc").select("doc", "text", "seeds")
+        windows = stored(seeded.mapInArrow(_emit_windows(span, seed), "doc long, hs array<long>, ws array<long>"), "sub-windows")
+        each = windows.select("doc", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select(
+            F.col("x.hs").alias("h"), F.col("x.ws").alias("w"), "doc"
+        )
+        twice = each.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
+        repeated = each.join(twice.hint("merge"), ["h", "w"]).groupBy("doc").agg(F.collect_set("w").alias("windows"))
+        repeated = stored(keep_ids(repeated, "doc", gone.select("doc"), "left_anti"), "sub-repeats", keep=True)
 
     cut = keep_ids(src, "doc", repeated.select("doc")).join(repeated.hint("merge"), "doc").select("doc", "text", "windows")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start: long, end: long>>"

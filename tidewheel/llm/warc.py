@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_IDS, blocks, new_path, stored
+from .runtime import BROADCAST_IDS, blocks, new_path, scope, stored
 
 #: Bytes after which a task begins a new archive file.
 ROLL_BYTES = 256 << 20
@@ -223,20 +223,22 @@ def write_archives(
         pages[id_col].cast("long").alias("page"), pages[url_col].cast("string").alias("url"),
         F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary").alias("html"),
     )
-    # The key is narrow, so payloads stay where they are.
-    keys = src.filter(F.col("page").isNotNull() & (F.length("html") >= least)).select(
-        "page", F.sha2("html", 256).alias("key"), F.length("html").alias("size")
-    )
-    keys = stored(keys, "page-keys")
-    groups = keys.groupBy("key", "size").agg(F.max("page").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-    revisits = keys.join(groups.hint("merge"), ["key", "size"]).filter("page != keeper").select("page", "keeper").distinct()
-    revisits = stored(revisits, "revisits")
-    small = revisits.count() <= BROADCAST_IDS
-    key = F.when(F.length("html") >= least, F.col("page"))
-    right = revisits.withColumnRenamed("page", "__page")
-    joined = src.join(F.broadcast(right) if small else right.hint("merge"), key == F.col("__page"), "left")
-    made = joined.select("page", "url", "html", "keeper").mapInArrow(_write(local_path(folder)), "file string, records long")
-    return stored(made, "archive-files")
+    with scope():
+        # The key is narrow, so payloads stay where they are.
+        keys = src.filter(F.col("page").isNotNull() & (F.length("html") >= least)).select(
+            "page", F.sha2("html", 256).alias("key"), F.length("html").alias("size")
+        )
+        keys = stored(keys, "page-keys")
+        groups = keys.groupBy("key", "size").agg(F.max("page").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
+        revisits = keys.join(groups.hint("merge"), ["key", "size"]).filter("page != keeper").select("page", "keeper").distinct()
+        revisits = stored(revisits, "revisits")
+        small = revisits.count() <= BROADCAST_IDS
+        key = F.when(F.length("html") >= least, F.col("page"))
+        right = revisits.withColumnRenamed("page", "__page")
+        joined = src.join(F.broadcast(right) if small else right.hint("merge"), key == F.col("__page"), "left")
+        made = joined.select("page", "url", "html", "keeper").mapInArrow(_write(local_path(folder)), "file string, records long")
+        files = stored(made, "archive-files", keep=True)
+    return files
 
 
 def read_archives(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
