@@ -14,7 +14,7 @@ symbol and per state. Texts are scored by the scaled forward recursion, many tex
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,22 +54,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _encode(head: dict[bytes, tuple[int, int]], symbols: int):
+def _encode(head: Callable[[], tuple[dict[bytes, int], np.ndarray]], symbols: int):
     """Per text: symbols of its tokens (``symbols``: any other word), what the head knows, and its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, none = head(), (symbols, -1)
+        place, counts = head()
+        counts, log_counts = np.append(counts, -1), np.append(np.log10(counts + 1.0), 0.0)  # the last: beyond the head
         for ids, texts in text_blocks(batches):
             syms, n, known, logs, class_logs, words, times = [], [], [], [], [], [], []
             for t in texts:
                 tokens = [*tx.space_words(t, lower=True), END]
-                pairs = np.array([table.get(w, none) for w in tokens], np.int64).reshape(-1, 2)
-                s, c = pairs[:, 0], pairs[:, 1]
-                found = c >= 0
-                syms.append(s.astype("<u2").tobytes()), n.append(len(tokens)), known.append(int((c > 0).sum()))
-                each = np.log10(c[found] + 1.0)
-                logs.append(float(each.sum())), class_logs.append(float(each[s[found] == symbols].sum()))
-                rest = Counter(w for w, f in zip(tokens, found.tolist(), strict=True) if not f)
+                at = np.array([place.get(w, -1) for w in tokens], np.int64)
+                s, each = np.where(at < 0, symbols, np.minimum(at, symbols)), log_counts[at]
+                syms.append(s.astype("<u2").tobytes()), n.append(len(tokens)), known.append(int((counts[at] > 0).sum()))
+                logs.append(float(each.sum())), class_logs.append(float(each[s == symbols].sum()))
+                rest = Counter([tokens[i] for i in np.flatnonzero(at < 0)])
                 words.append(list(rest)), times.append(list(rest.values()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -255,8 +254,7 @@ def language_scores(
     in_head = bucket >= F.lit(floor) if floor is not None else F.lit(False)
     top = words.filter(in_head).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     counts = top["n"].to_numpy(np.int64)
-    table = {bytes(w): (min(i, symbols), int(n)) for i, (w, n) in enumerate(zip(top["word"], counts, strict=True))}
-    shared = spark.sparkContext.broadcast(table)  # ``head`` words at most
+    shared = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(top["word"])}, counts))  # ``head`` words at most
     made = src.mapInArrow(_encode(lambda: shared.value, symbols), _ENCODED)
     # The row's number is stored with it, so it stays the same for all that reads the table.
     encoded = Stored(made.select(F.monotonically_increasing_id().alias("row"), "*", learns(modulus, held).alias("learns")), "encoded").df
