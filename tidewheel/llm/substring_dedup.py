@@ -141,14 +141,15 @@ def remove_repeats(
         gone = stored(gone.select("doc", "first"), "sub-copies", keep=True)
         seeds = keep_ids(info, "doc", gone.filter("not first").select("doc"), "left_anti")
         seeds = seeds.select(F.explode("anchors").alias("h"), "doc")
-        often = seeds.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+        # Stored, so that both sides of the join are shuffled for it and a frequent seed's partition can be split.
+        often = stored(seeds.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "sub-often")
         hit = stored(seeds.join(often.hint("merge"), "h").groupBy("doc").agg(F.collect_set("h").alias("seeds")), "sub-seeded")
         seeded = keep_ids(src, "doc", hit.select("doc")).join(hit.hint("merge"), "doc").select("doc", "text", "seeds")
         windows = stored(seeded.mapInArrow(_emit_windows(span, seed), "doc long, hs array<long>, ws array<long>"), "sub-windows")
         each = windows.select("doc", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select(
             F.col("x.hs").alias("h"), F.col("x.ws").alias("w"), "doc"
         )
-        twice = each.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
+        twice = stored(each.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"), "sub-twice")
         repeated = each.join(twice.hint("merge"), ["h", "w"]).groupBy("doc").agg(F.collect_set("w").alias("windows"))
         repeated = stored(keep_ids(repeated, "doc", gone.select("doc"), "left_anti"), "sub-repeats", keep=True)
 
