@@ -8,6 +8,7 @@ import pytest
 from tidewheel.llm import warc
 from tidewheel.llm.queries import tokenizer_path
 from tidewheel.llm.token_files import Encoder, TokenStore, open_part, token_table
+from tokenizers import Tokenizer
 
 ODD = [
     "", "a", "\n", "a\n\nb", "a\n\n\nb", "a b\nc", "don't we'll  x", "a\n b", "a \nb", "1 2 ab12 x-y", "É é́ ñandú,", "あ x", "a\tb",
@@ -34,6 +35,16 @@ def test_pieces_encode_as_whole_texts(encoder):
         assert encoder.encode(texts[i : i + 100]) == direct(encoder, texts[i : i + 100])
 
 
+def test_added_tokens_have_the_ids_of_a_plain_tokenizer(spark, encoder, tmp_path):
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = [*ODD, "a <|endoftext|> b c", "<|endoftext|>", "x<|endoftext|>y", "a <|endoftext b", "a <|endoftext| > b"]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.n_tokens, r.ids_crc32) for r in token_table(df, tokenizer_path(), folder=str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for x in want]
+
+
 def test_token_files_round_trip(spark, encoder, tmp_path):
     rng = random.Random(1)
     texts = [*ODD, None, *(" ".join(rng.choice(["the", "of", "Zürich", "42"]) for _ in range(50)) for _ in range(60))]

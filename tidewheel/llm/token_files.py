@@ -45,7 +45,7 @@ class Encoder:
     Byte-level BPE merges within pieces that its pattern cuts: before single blanks, around line ends, and between a
     letter or digit and a punctuation mark. In a text of plain characters and simple white space, blank-separated pieces
     therefore encode alone as they do in place, so each distinct piece is encoded once and its ids are
-    kept; any other text is encoded whole.
+    kept; any other text, and any that holds an added token of the file, is encoded whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
@@ -53,13 +53,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.most = cache
         line_end = self.tok.encode("\n", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 else None
+        self.line_end = line_end[0] if len(line_end) == 1 and not any("\n" in a for a in self.added) else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -124,7 +124,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        simple = [_simple(t) for t in texts]
+        simple = [_simple(t) and not any(a in t for a in self.added) for t in texts]
         fast = iter(self._encode_simple([t for t, s in zip(texts, simple, strict=True) if s]))
         return [next(fast) if s else self._encode([t])[0] for t, s in zip(texts, simple, strict=True)]
 
