@@ -174,6 +174,16 @@ def test_grid_search_spreads_cells(spark):
     assert best.clusters == 3 and same_partition(np.array(best.labels), truth)
 
 
+def test_stacked_k_means_equals_k_means():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 30):
+        x = np.array([rng.random((n, 3)), rng.integers(0, 2, (n, 3)).astype(float), np.zeros((n, 3))])
+        for k in (2, 4):
+            for one, (labels, centres, inertia) in zip(x, cluster.k_means_stack(x, k), strict=True):
+                want = cluster.k_means(one, k)
+                assert (labels == want[0]).all() and np.allclose(centres, want[1]) and inertia == pytest.approx(want[2])
+
+
 def test_best_parameters(spark):
     import datetime as dt
 

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from tidewheel.plans import catalogue
+from tidewheel.plans import catalogue, config
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -44,6 +44,26 @@ def test_query_without_oracle_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_searches_run_over_the_whole_grids(spark):
+    scores = catalogue.QUERIES["cluster_scores"](spark, SF).toPandas()
+    cells = set(map(tuple, scores[["window_size", "gamma", "clusters"]].drop_duplicates().to_numpy().tolist()))
+    assert cells == {(w, g, k) for w in config.WINDOWS["dtw"] for g in config.GAMMAS for k in config.CLUSTERS}
+    assert set(catalogue.QUERIES["kmodes_profiles"](spark, SF).toPandas()["clusters"]) == set(config.PROFILE_CLUSTERS)
+    assert set(catalogue.QUERIES["evolutionary_labels"](spark, SF).toPandas()["t"]) == {1, 2, 3, 4, 5, 6}
+
+
+def test_study_takes_every_feature_window_and_semester(spark):
+    found = catalogue._study_distances(spark, SF)
+    windows = {(r.feature, r.window_size) for r in found.select("feature", "window_size").distinct().collect()}
+    varied = {f for f, _ in windows}  # a feature that is the same for all of a cohort has no scaled distances
+    print("features with distances:", sorted(varied))
+    assert windows == {(f, w) for g in config.FEATURE_GROUPS.values() for f in g["features"] if f in varied for w in config.WINDOWS[g["metric"]]}
+    assert {"total_duration", "writing_events", "writing_events_norm", "tags_ratio", "pwd_biweek"} <= varied
+    assert sorted(catalogue._LONG + catalogue._SHORT) == sorted(f for g in config.FEATURE_GROUPS.values() for f in g["features"])
+    assert {r.t for r in found.selectExpr("g % 10 as t").distinct().collect()} == {1, 2, 3, 4, 5, 6}
+    assert catalogue._GROUPS.keys() == config.FEATURE_GROUPS.keys()
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as driver
 

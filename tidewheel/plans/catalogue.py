@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import array_avg, array_median, array_min, median
 from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
-from ..sources import table
+from ..sources import checkpointed, table
 from . import logs, study
-from .config import QUIET, WRITE_R
+from .config import CLUSTERS, FEATURE_GROUPS, GAMMAS, PROFILE_CLUSTERS, QUIET, WINDOWS, WRITE_R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -712,21 +712,21 @@ def dtw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(distance.dtw_pairs(_first_series(spark, sf_dir), ["g"], "student", "v", 2))
 
 
-def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = distance.normalise(distance.dtw_pairs(_first_series(spark, sf_dir), ["g"], "student", "v", 2), ["g"])
-    return distance.square(pairs.filter("d is not null"), ["g"], 0.0, "d")
+def _matrices(spark: SparkSession, sf_dir: str, windows: list[int]) -> DataFrame:
+    rows = _first_series(spark, sf_dir).withColumn("feature", F.lit("writing_events"))
+    return distance.square(study.feature_distances(rows, windows), ["g", "window_size"], 0.0, "d")
 
 
 @query()
 def spectral_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cluster.grid_search(_matrices(spark, sf_dir), ["g", "keys"], [1.0], [3])
+    found = cluster.grid_search(_matrices(spark, sf_dir, [2]), ["g", "keys"], [1.0], [3])
     return _plain(found.select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
 
 
 @query()
 def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cluster.grid_search(_matrices(spark, sf_dir), ["g"], [0.3, 1.0, 1.8], [2, 3, 4, 5])
-    return _plain(found.select("g", "gamma", "clusters", "s_distortion", "s_bic", "s_sil_km"))
+    found = cluster.grid_search(_matrices(spark, sf_dir, WINDOWS["dtw"]), ["g", "window_size"], GAMMAS, CLUSTERS)
+    return _plain(found.select("g", "window_size", "gamma", "clusters", "s_distortion", "s_bic", "s_sil_km"))
 
 
 _RUNS = """runs as (select 'n' || c_nationkey as experiment, (c_custkey % 4 + 2)::int as clusters, (c_custkey % 3)::int as window_size, 1.0::double as gamma,
@@ -752,20 +752,24 @@ def label_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(tracking.contingency(table(spark, sf_dir, "customer"), F.col("c_nationkey") % 4, F.col("c_custkey") % 3))
 
 
+def _semesters(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of every student of the cohorts in each of six semesters ``t``, null where a student has none; a cohort is a nation."""
+    own = cohort.first_per_key(rows.withColumn("t", calendar.semester_id(F.col("school_year"), F.col("semester")).cast("long")), ["student", "t"], [F.desc("calendar_year")])
+    every = _order_years(spark, sf_dir).select("student").distinct().crossJoin(spark.range(1, 7).withColumnRenamed("id", "t"))
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_nationkey").cast("long").alias("g"))
+    return every.join(nation, "student").join(own, ["student", "t"], "left")
+
+
 def _cohort_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense event series of the first three semesters of all customers; a cohort is a nation."""
+    """Dense event series of all six semesters of the cohorts' students."""
     s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "total_events"))
-    pick = calendar.semester_id(F.col("school_year"), F.col("semester"))
-    rows = s.filter(pick.isin(1, 2, 3)).withColumn("t", pick)
-    rows = cohort.first_per_key(rows, ["student", "t"], [F.desc("calendar_year")])
-    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_nationkey").cast("long").alias("g"))
-    dense = features.dense(F.col("total_events"), F.col("total_events_semester_biweek"), 13)
-    return rows.join(nation, "student").select("g", "student", F.col("t").cast("long").alias("t"), dense.alias("v"))
+    rows = study.dense_features(_semesters(spark, sf_dir, s), ["total_events"], "semester_biweek", 13, keys=("g", "student", "t"))
+    return rows.select("g", "student", "t", "v")
 
 
 @query()
 def evolutionary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=(2, 3)).select("g", "student", "t", "label"))
+    return _plain(evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=tuple(CLUSTERS)).select("g", "student", "t", "label"))
 
 
 @query()
@@ -779,31 +783,41 @@ def kmodes_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=())
     wide = labels.groupBy("g", "student").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("s"))
     codes = wide.select("g", "student", F.transform("s", lambda x: x["label"]).alias("codes"))
-    return _plain(cluster.profile_search(codes, [2, 3, 4], starts=20))
+    return _plain(cluster.profile_search(codes, PROFILE_CLUSTERS))
 
 
-_GROUPS = {"effort": ["total_events", "writing_events"], "feedback": ["count_feedback"]}
+_GROUPS = {name: group["features"] for name, group in FEATURE_GROUPS.items()}
+_SHORT = [f for group in FEATURE_GROUPS.values() if group["metric"] == "euclidean" for f in group["features"]]
+_LONG = [f for group in FEATURE_GROUPS.values() if group["metric"] == "dtw" for f in group["features"]]
 
 
 def _study_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("count_reflection", "total_events", "writing_events", "count_feedback")
+    """Distances of all features over every window; a cohort is a nation in one of six semesters, ``g`` = 10 * nation + semester."""
+    names = tuple(dict.fromkeys(["count_reflection", *(f.removesuffix("_norm") for f in _LONG)]))
     s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", names)
-    one = cohort.first_per_key(s.filter("school_year = 1 and semester = 0"), ["student"], [F.desc("calendar_year")])
-    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_nationkey").cast("long").alias("g"))
-    rows = study.dense_features(one.join(nation, "student"), list(names[1:]), "semester_biweek", 13)
-    return study.feature_distances(rows, [1, 3])
+    r = regularity.regularity(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)).drop("semester").withColumnRenamed("semester_aux", "semester")
+    keys = ["student", "calendar_year", "school_year", "semester"]
+    wide = _semesters(spark, sf_dir, s.join(r.select(*keys, *_SHORT), keys, "left")).withColumn("g", F.col("g") * 10 + F.col("t"))
+    wide = checkpointed(wide)
+    series = study.feature_distances(study.dense_features(wide, _LONG, "semester_biweek", 13))
+    return checkpointed(series.unionByName(study.number_distances(wide, _SHORT)))
+
+
+def _by_semester(df: DataFrame) -> DataFrame:
+    rest = [c for c in df.columns if c != "g"]
+    return df.select(F.expr("g div 10").alias("g"), (F.col("g") % 10).alias("t"), *rest)
 
 
 @query()
 def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best window, width and number of clusters of each cohort and feature."""
-    return _plain(study.best_cells(study.search_features(_study_distances(spark, sf_dir), [0.5, 1.5], [2, 3])))
+    """Best window, width and number of clusters of each cohort, semester and feature."""
+    return _plain(_by_semester(study.best_cells(study.search_features(_study_distances(spark, sf_dir)))))
 
 
 @query()
 def study_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole study: features, groups, and profiles over the groups' labels."""
     d = _study_distances(spark, sf_dir)
-    best = study.best_cells(study.search_features(d, [0.5, 1.5], [2, 3]))
-    labels = study.best_labels(study.search_groups(study.group_kernels(d, best, _GROUPS), _GROUPS, [2, 3]), "feature_group")
-    return _plain(study.profiles(labels, list(_GROUPS), [2, 3], starts=20))
+    best = study.best_cells(study.search_features(d))
+    labels = study.best_labels(study.search_groups(study.group_kernels(d, best, _GROUPS), _GROUPS), "feature_group")
+    return _plain(_by_semester(study.profiles(labels, list(_GROUPS), PROFILE_CLUSTERS)))

@@ -16,7 +16,7 @@ from ..sources import checkpointed
 from .config import CLUSTERS, GAMMAS, WINDOWS
 
 
-def dense_features(series: DataFrame, names: list[str], bucket: str, size: int) -> DataFrame:
+def dense_features(series: DataFrame, names: list[str], bucket: str, size: int, keys: tuple[str, ...] = ("g", "student")) -> DataFrame:
     """``g, student, feature, v`` from wide series: one dense row per student and feature, zeros where a series is absent."""
     none = F.array().cast("array<double>")
     rows = F.array(
@@ -28,7 +28,7 @@ def dense_features(series: DataFrame, names: list[str], bucket: str, size: int)
             for n in names
         )
     )
-    return series.select("g", "student", F.explode(rows).alias("x")).select("g", "student", "x.feature", "x.v")
+    return series.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.feature", "x.v")
 
 
 def feature_distances(rows: DataFrame, windows: list[int] | None = None) -> DataFrame:
@@ -46,6 +46,14 @@ def feature_distances(rows: DataFrame, windows: list[int] | None = None) -> Data
     return checkpointed(scaled.filter("d is not null").select("g", "feature", "window_size", "i", "j", "d"))
 
 
+def number_distances(wide: DataFrame, names: list[str]) -> DataFrame:
+    """``feature_distances`` of features that are one number per student, Euclidean, under the one window there is."""
+    rows = wide.select("g", "student", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names))).alias("x"))
+    raw = distance.euclidean_pairs(rows.select("g", "student", "x.feature", "x.v"), ["g", "feature"], "student", F.col("v"))
+    scaled = distance.normalise(raw.withColumn("window_size", F.lit(WINDOWS["euclidean"][0])), ["g", "feature", "window_size"])
+    return scaled.filter("d is not null").select("g", "feature", "window_size", "i", "j", "d")
+
+
 def search_features(distances: DataFrame, gammas: list[float] | None = None, clusters: list[int] | None = None) -> DataFrame:
     """Scores and labels of every (feature, window, gamma, k) cell of every cohort."""
     square = distance.square(distances, ["g", "feature", "window_size"], 0.0, "d")
