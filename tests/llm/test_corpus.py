@@ -98,6 +98,15 @@ def test_raked_margins_meet_their_targets(spark):
     assert abs(expected - 0.5 * sum(r.tokens for r in rows)) < 1e-6 * expected
 
 
+def test_margins_that_miss_their_targets_are_told(spark):
+    cells, _ = mixing.mix(mixed(spark))
+    assert 0 <= cells.first().margin_error < 1e-6
+    tied = spark.createDataFrame([(1, "red red", "en", "a"), (2, "red red", "de", "b")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="misses its target by 0.4"):
+        cells, _ = mixing.mix(tied, targets={"lang": {"en": 1, "de": 9}})
+    assert [r.margin_error for r in cells.collect()] == [pytest.approx(0.4)] * 2
+
+
 def test_mixing_equals_its_sql(spark, tmp_path):
     mixed(spark).write.parquet(str(tmp_path / "documents.parquet"))
     got = q.op8_mixing(spark, str(tmp_path)).toPandas()

@@ -7,6 +7,8 @@ probability exceeds 1, and each document is drawn by a hash of its id.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ DIMS = ("source", "lang", "topic")
 #: Cells up to which raking runs in one task and the cells' table is broadcast: some 10 MB of rows.
 SMALL_CELLS = 100_000
 SWEEPS, SWEEPS_A_TABLE = 20, 5
+#: Share of all weight by which a margin may miss its target after raking before a warning is given.
+MARGIN_ERROR = 1e-6
 
 
 def lead_topic(topics: int = 4, text_col: str = "text") -> Column:
@@ -40,7 +44,8 @@ def rake(
     cells: DataFrame, *, temper: float = 0.5, sweeps: int = SWEEPS, targets: dict[str, dict[str, float]] | None = None,
     one_task: bool = True,
 ) -> DataFrame:
-    """``cells`` (dims and ``tokens`` > 0) with the column ``weight``, which sums to 1.
+    """``cells`` (dims and ``tokens`` > 0) with the column ``weight``, which sums to 1, and ``margin_error``, the most by which any margin
+    still misses its target.
 
     A margin's target is ``targets[dim]`` (values left out get 0; scaled to the values there are), or else
     proportional to the margin's tokens to the power ``temper``. ``one_task``: few cells are raked in one
@@ -70,7 +75,10 @@ def rake(
             cells = cells.withColumn("weight", step)
         if i % SWEEPS_A_TABLE == SWEEPS_A_TABLE - 1:
             cells = placed(stored(cells, "raked"))
-    return cells.withColumn("weight", F.col("weight") / F.sum("weight").over(every)).drop(*(f"t_{d}" for d in DIMS))
+    cells = cells.withColumn("weight", F.col("weight") / F.sum("weight").over(every))
+    missed = F.greatest(*(F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"t_{d}")) for d in DIMS))
+    cells = cells.withColumn("margin_error", missed).withColumn("margin_error", F.max("margin_error").over(every))
+    return cells.drop(*(f"t_{d}" for d in DIMS))
 
 
 def probabilities(cells: DataFrame, fraction: float) -> DataFrame:
@@ -102,7 +110,8 @@ def mix(
 
     Tokens are words (cut at U+0020 and U+0009-U+000D). A null source, language or topic is the value ''. A cell without words has
     weight and probability 0, so its documents are not sampled. Repeated rows share one draw, as do all rows with a null id.
-    ``topic`` defaults to a bucket of the first word. An empty table gives empty results.
+    ``topic`` defaults to a bucket of the first word. An empty table gives empty results. Where sparse cells keep a margin from
+    its target, ``margin_error`` of the cells says by how much, and above ``MARGIN_ERROR`` there is a warning.
     """
     topic = lead_topic(text_col=text_col) if topic is None else topic
     marked = docs.withColumns(
@@ -118,6 +127,9 @@ def mix(
         small = cells.count() <= SMALL_CELLS
         raked = rake(cells, temper=temper, sweeps=sweeps, targets=targets, one_task=small)
         raked = stored(probabilities(raked, fraction), "probabilities", keep=True)
+        missed = raked.agg(F.max("margin_error")).first()[0]
+        if missed is not None and missed > MARGIN_ERROR:
+            warnings.warn(f"after {sweeps} sweeps a margin misses its target by {missed:.3g} of all weight", stacklevel=2)
     side = raked.select(*(F.col(d).alias(f"__tw_{d}") for d in DIMS), F.col("weight").alias("__tw_weight"), F.col("probability").alias("__tw_probability"))
     drawn = marked.join(F.broadcast(side) if small else side, [f"__tw_{d}" for d in DIMS], "left").na.fill(
         0.0, ["__tw_weight", "__tw_probability"]
