@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from tidewheel.llm import near_dedup as nd
+from tidewheel.llm import stages
 from tidewheel.llm import text as tx
 from tidewheel.llm.components import components
 from tidewheel.llm.near_dedup import near_duplicates
@@ -88,6 +89,15 @@ def test_an_id_with_several_texts_has_the_links_of_each(spark):
     assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(5, 5), (7, 5), (8, 5), (9, 9)}
 
 
+def test_the_stage_compares_five_words(spark):
+    words = [f"w{i}" for i in range(100)]
+    far = [f"x{i}" if i in (20, 40, 60, 80) else w for i, w in enumerate(words)]  # 0.85 by two words, 0.66 by five
+    near = [*words, "tail"]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([words, far, near])], "doc_id long, text string")
+    assert {r.doc_id for r in near_duplicates(df).filter("kept").collect()} == {0}
+    assert sorted(r.doc_id for r in stages.near_dedup(spark, df, "").collect()) == [0, 1]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
     assert [r.kept for r in near_duplicates(frame(spark, [None, ""])).collect()] == [True, True]

@@ -19,6 +19,8 @@ from .token_files import token_table
 
 #: Share of the tokens that mixing keeps.
 MIX_FRACTION = 0.9
+#: Words in a shingle of near duplicates; the two words of ``op1_near_dedup`` are that query's own contract.
+NEAR_WIDTH = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once even if its row is repeated."""
-    found = stored(near_duplicates(docs), "near")
+    found = stored(near_duplicates(docs, width=NEAR_WIDTH), "near")
     single = keep_ids(docs, "doc_id", found.filter("not kept").select("doc_id"), "left_anti")
     twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     twice = stored(twice, "repeated-ids")
