@@ -148,3 +148,36 @@ def test_damaged_archive_is_read_by_spark(spark, tmp_path):
     (tmp_path / name).write_bytes(bytes(data))
     records, gaps = warc.read_archives(files, str(tmp_path))
     assert records.count() == 19 and gaps.count() == 1
+
+
+def test_each_payload_of_a_repeated_page_is_judged_on_its_own(spark):
+    a, b, c = "a" * 1200, "b" * 1300, "c" * 1400
+    rows = [(1, a), (1, b), (5, a), (2, c), (2, b), (9, c), (9, b), (None, a), (1, None), (1, "")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    keeper = {a: 5, b: 9, c: 9}
+    want = sorted(
+        (str(i), len(h or ""), warc._sha1((h or "").encode()), *(("revisit", keeper[h]) if h and i and keeper[h] != i else ("response", None))) for i, h in rows
+    )
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived_pages(df).collect())
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_very_long_pages_and_headers_come_back(spark):
+    rows = [(1, "u" * 1_500_000, "long " * 1_000_000), (2, "u", "long " * 1_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived_pages(df).collect()}
+    assert got == {1: (5_000_000, "revisit", 2), 2: (5_000_000, "response", None)}
+
+
+def test_gaps_are_logged_or_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 300) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(df, str(tmp_path / "a"))
+    name = files.first().file
+    data = bytearray((tmp_path / "a" / name).read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "a" / name).write_bytes(bytes(data))
+    assert warc.salvage_archives(files, str(tmp_path / "a"), str(tmp_path / "gaps")).count() == 19
+    gap = spark.read.parquet(str(tmp_path / "gaps")).collect()
+    assert len(gap) == 1 and gap[0].file == name and gap[0].length > 0
+    with pytest.raises(Exception, match="Damaged"):
+        warc.read_archives(files, str(tmp_path / "a"), strict=True)[0].count()

@@ -49,12 +49,15 @@ def trim() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder is set only where the session names none (local tests).
+    A temporary folder is set only where the session names none and runs on one machine (local tests); a cluster
+    without the setting is an error, as its executors would write where nobody reads.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = getattr(spark.sparkContext, "_tidewheel_dir", None)
         if at is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             at = tempfile.mkdtemp(prefix="tidewheel-")
             spark.sparkContext._tidewheel_dir = at
     return at.rstrip("/")
@@ -76,18 +79,18 @@ def discard(spark: SparkSession, path: str) -> None:
         pass
 
 
-_SCOPE: ContextVar[list[Stored] | None] = ContextVar("scope", default=None)
+_SCOPES: ContextVar[tuple[list[Stored], ...]] = ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scope() -> Iterator[None]:
-    """Tables stored inside are deleted at its end, but for those stored with ``keep``."""
+    """Tables stored inside are deleted at its end; those stored with ``keep`` at the end of the scope around it, if any."""
     tables: list[Stored] = []
-    token = _SCOPE.set(tables)
+    token = _SCOPES.set((*_SCOPES.get(), tables))
     try:
         yield
     finally:
-        _SCOPE.reset(token)
+        _SCOPES.reset(token)
         for t in tables:
             t.discard()
 
@@ -95,13 +98,15 @@ def scope() -> Iterator[None]:
 class Stored:
     """A DataFrame written to shared storage and reread: lost executors cost only the reading.
 
-    With ``keep`` it outlasts the scope around it, because results are read from it later.
+    With ``keep`` it outlasts the scope around it, because results are read from it later. Without a scope it is deleted when
+    the driver ends.
     """
 
     def __init__(self, df: DataFrame, name: str, keep: bool = False):
         self.spark = df.sparkSession
-        if (tables := _SCOPE.get()) is not None and not keep:
-            tables.append(self)
+        holders = _SCOPES.get()[:-1] if keep else _SCOPES.get()
+        if holders:
+            holders[-1].append(self)
         self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -127,6 +132,14 @@ def keep_ids(
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), df[column] == ids["__tw_id"], how)
 
 
+ROW = "__tw_row"
+
+
+def numbered(df: DataFrame, name: str = "numbered", keep: bool = False) -> DataFrame:
+    """``df`` with a row number in the column ``ROW``, stored with it so that it is the same for all that reads it."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name, keep)
+
+
 def input_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` as long and ``text_col`` as UTF-8 bytes, whatever other columns there are."""
     return df.select(

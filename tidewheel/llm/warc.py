@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_IDS, blocks, new_path, scope, stored
+from .runtime import blocks, new_path, scope, stored
 
 #: Bytes after which a task begins a new archive file.
 ROLL_BYTES = 256 << 20
+#: Revisits up to which their table is broadcast: some 40 MB of rows.
+BROADCAST_REVISITS = 500_000
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PIECE = 1 << 16
@@ -76,7 +78,7 @@ def _parse(data: bytes, start: int) -> tuple[int, dict[str, str], bytes]:
     """End, headers and payload of the record at ``start`` of plain bytes; Damaged if a check fails."""
     if not (m := _VERSION.match(data, start)):
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + (1 << 20))
+    head_end = data.find(b"\r\n\r\n", m.end() - 2)
     if head_end < 0:
         raise Damaged("unfinished header")
     headers = {}
@@ -217,39 +219,37 @@ def write_archives(
 
     Of rows with equal payloads of at least ``least`` bytes the one with the largest id is a response, the others
     revisit it. A null payload is an empty one; rows with a null id are always responses; rows that repeat the largest id
-    are responses each.
+    are responses each. Each row is judged by its own payload, also where an id comes with several. A record is
+    held whole in its task, so a payload may have what a Spark row may (2 GB). Other columns are ignored.
     """
     src = pages.select(
         pages[id_col].cast("long").alias("page"), pages[url_col].cast("string").alias("url"),
         F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary").alias("html"),
-    )
+    ).withColumns({"key": F.unhex(F.sha2("html", 256)), "size": F.length("html").cast("long")})
     with scope():
         # The key is narrow, so payloads stay where they are.
-        keys = src.filter(F.col("page").isNotNull() & (F.length("html") >= least)).select(
-            "page", F.sha2("html", 256).alias("key"), F.length("html").alias("size")
-        )
-        keys = stored(keys, "page-keys")
+        keys = stored(src.filter(F.col("page").isNotNull() & (F.col("size") >= least)).select("page", "key", "size"), "page-keys")
         groups = keys.groupBy("key", "size").agg(F.max("page").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-        revisits = keys.join(groups.hint("merge"), ["key", "size"]).filter("page != keeper").select("page", "keeper").distinct()
+        revisits = keys.join(groups.hint("merge"), ["key", "size"]).filter("page != keeper").select("page", "key", "size", "keeper").distinct()
         revisits = stored(revisits, "revisits")
-        small = revisits.count() <= BROADCAST_IDS
-        key = F.when(F.length("html") >= least, F.col("page"))
-        right = revisits.withColumnRenamed("page", "__page")
-        joined = src.join(F.broadcast(right) if small else right.hint("merge"), key == F.col("__page"), "left")
+        small = revisits.count() <= BROADCAST_REVISITS
+        joined = src.join(F.broadcast(revisits) if small else revisits.hint("merge"), ["page", "key", "size"], "left")
         made = joined.select("page", "url", "html", "keeper").mapInArrow(_write(local_path(folder)), "file string, records long")
         files = stored(made, "archive-files", keep=True)
     return files
 
 
-def read_archives(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_archives(files: DataFrame, folder: str, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(records, gaps)`` of the archives named in ``files(file)`` under ``folder``.
 
     Records: file, offset, length, warc_type, record_id, target_uri, payload_digest (as the header has it), refers_to,
-    payload_bytes (of the full payload), payload. Gaps: file, offset, length, reason.
+    payload_bytes (of the full payload), payload. Gaps: file, offset, length, reason. ``strict`` makes a gap, or a number of records
+    other than ``files(records)``, an error. An empty archive has neither records nor gaps. Archives are mapped, one record at a time
+    is held whole.
     """
     base = local_path(folder)
     n = max(1, min(files.count(), 4096))
-    spread = files.select("file").repartition(n, "file")
+    spread = files.select("file", *(["records"] if strict else [])).repartition(n, "file")
     schema = (
         "file string, offset long, length long, warc_type string, record_id string, target_uri string, payload_digest string, "
         "refers_to string, payload_bytes long, payload binary, reason string"
@@ -262,11 +262,14 @@ def read_archives(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows, held = [], 0
+            for name, *expected in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, held, whole = [], 0, 0
                 for x in salvage(open_archive(f"{base}/{name}")):
                     row = {"file": name, "offset": x.offset, "length": x.length}
+                    whole += isinstance(x, Record)
                     if isinstance(x, Gap):
+                        if strict:
+                            raise Damaged(f"{name}: {x.reason} at {x.offset}, {x.length} bytes")
                         row |= {"reason": x.reason}
                     else:
                         h, size = x.headers, len(x.payload)
@@ -284,6 +287,8 @@ def read_archives(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
+                if strict and [whole] != expected:
+                    raise Damaged(f"{name}: {whole} records where {expected[0]} were written")
 
     both = spread.mapInArrow(run, schema)
     return both.filter("reason is null").drop("reason"), both.filter("reason is not null").select("file", "offset", "length", "reason")
@@ -292,13 +297,21 @@ def read_archives(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 _HTTP_LENGTH = re.compile(r"Content-Length: (\d+)")
 
 
+def salvage_archives(files: DataFrame, folder: str, gap_log: str) -> DataFrame:
+    """The records of ``read_archives``; the quarantined gaps are appended to the Parquet table ``gap_log``."""
+    records, gaps = read_archives(files, folder)
+    gaps.write.mode("append").parquet(gap_log)
+    return records
+
+
 def archived_pages(pages: DataFrame, *, least: int = 1000, **names: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every row of ``pages``, from archives read back.
 
-    Other columns are ignored; an empty table gives no archive and no row.
+    Other columns are ignored; an empty table gives no archive and no row. Archives that do not give back every record that
+    was written, without a gap, are an error, so no page is lost unnoticed.
     """
     folder = new_path(pages.sparkSession, "warc")
-    records, _ = read_archives(write_archives(pages, folder, least=least, **names), folder)
+    records, _ = read_archives(write_archives(pages, folder, least=least, **names), folder, strict=True)
 
     def number(c: str):
         return F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
