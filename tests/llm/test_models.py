@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from tidewheel.llm import hidden_markov as hm
+from tidewheel.llm import language_id as li
 from tidewheel.llm import statistics as stats
 from tidewheel.llm.hidden_markov import language_scores
 from tidewheel.llm.language_id import identify
@@ -144,6 +145,52 @@ def test_language_id(spark):
     assert identify(df.limit(0)).collect() == []
 
 
+def brute_posteriors(rows, text):
+    """Log totals by plain counting, one n-gram at a time."""
+    counts, docs = {}, Counter()
+    for i, t, k in rows:
+        if remainder(i, 5) != 0:
+            docs[k] += 1
+            c = counts.setdefault(k, Counter())
+            for g in li.grams(t.encode()):
+                c.update(g.tolist())
+    out = {}
+    for k, c in counts.items():
+        n = sum(c.values()) + 0.1 * li.BUCKETS
+        own = Counter(b for g in li.grams(text.encode()) for b in g.tolist())
+        out[k] = math.log(docs[k] / docs.total()) + sum(x * math.log((c[b] + 0.1) / n) for b, x in own.items())
+    return out
+
+
+@pytest.mark.parametrize("cells", [li.MATRIX_CELLS, 2 * li.BUCKETS])
+def test_language_posteriors_equal_plain_counting(spark, monkeypatch, cells):
+    rng = random.Random(12)
+    words = {"aa": ["the", "of"], "bb": ["thing", "of"], "cc": ["und", "of"], "dd": ["thing", "und"], "ee": ["the", "und"]}
+    rows = [(i, prose(rng, 3, words[k]), k) for i, k in enumerate(rng.choices(list(words), k=60))]
+    monkeypatch.setattr(li, "ENTRIES", 40)
+    out = {r.doc_id: r for r in identify(spark.createDataFrame(rows, DOCS), cells=cells).collect()}
+    for i, t, _ in rows:
+        want = brute_posteriors(rows, t)
+        top = max(want.values())
+        assert out[i].lang_pred == min(k for k, v in want.items() if v > top - 1e-9)
+        assert math.isclose(out[i].score, 1 / sum(math.exp(v - top) for v in want.values()), rel_tol=1e-9)
+
+
+def test_many_languages_ties_and_repeated_ids(spark):
+    rows = [(i, f"text{i} " * 3, f"l{i:04}") for i in range(1500)] + [(1, "text7 " * 3, None), (1, "text8 " * 3, None), (1, "text8 " * 3, None)]
+    out = identify(spark.createDataFrame(rows, DOCS).repartition(4), cells=400 * li.BUCKETS).collect()
+    assert len(out) == 1503
+    assert all(r.lang_pred == f"l{r.doc_id:04}" for r in out if remainder(r.doc_id, 5) and r.doc_id > 999)
+    tied = [(i, "same words", k) for i in range(40) if remainder(i, 5) for k in ("zz", "mm")]
+    assert {(r.lang_pred, round(r.score, 9)) for r in identify(spark.createDataFrame(tied, DOCS)).collect()} == {("mm", 0.5)}
+
+
+@pytest.mark.parametrize("text", ["½", "²³", "①", "Ⅷ", "123 _ -", "\u0301", "", "\n"])
+def test_texts_without_letters_are_undetermined(text):
+    assert not li.has_letter(text.encode())
+    assert all(li.has_letter((text + c).encode()) for c in "aÉß日ªʰ")
+
+
 def tiny_model(states=3, symbols=4):
     rng = np.random.default_rng(8)
 
