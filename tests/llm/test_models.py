@@ -77,6 +77,59 @@ def test_forest_isolates_outliers_and_calibration_parts_them():
     assert calibrate(s, np.ones(520, bool)) == 1.0
 
 
+def brute_path(forest, tree, row, at=0):
+    f = forest.field[tree, at]
+    return forest.length[tree, at] if f < 0 else brute_path(forest, tree, row, 2 * at + (2 if row[f] > forest.value[tree, at] else 1))
+
+
+def test_path_lengths_equal_a_recursive_walk():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(0, 1, 300), rng.integers(0, 3, 300), np.zeros(300), rng.random(300)])
+    forest = Forest.fit(x, rng.random(300) < 0.8, trees=20, sample=64)
+    paths = forest.paths(x)
+    assert all(paths[i, t] == brute_path(forest, t, x[i]) for i in range(0, 300, 7) for t in range(len(forest.field)))
+    want = [2 ** -(sum(w * brute_path(forest, t, r) for t, w in enumerate(forest.weight)) / forest.weight.sum() / forest.unit) for r in x[:20]]
+    assert np.allclose(forest.score(x[:20]), want)
+    assert not (forest.field == 2).any()  # a statistic that does not vary parts nothing
+
+
+def test_the_forest_is_no_single_threshold(spark):
+    """Two kinds of junk, each ordinary in what the other stands out by; measured on rows without a label."""
+    rng = random.Random(8)
+    own = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+
+    def text(kind):
+        words = [rng.choice(own) for _ in range(rng.randint(60, 200))]
+        if kind == 1:
+            words = [w + "$" if rng.random() < 0.5 else w for w in words]
+        return " ".join(w * 5 if kind == 2 else w for w in words)
+
+    kinds = [rng.choice([0] * 8 + [1, 2]) for _ in range(900)]
+    docs = spark.createDataFrame([(i, text(k), None) for i, k in enumerate(kinds)], DOCS)
+    labels = spark.createDataFrame([(i, int(k == 0), 0) for i, k in enumerate(kinds) if i % 2], LABELS)
+    out = {r.doc_id: r for r in quality_verdicts(docs, labels).collect()}
+    unseen = [i for i in range(0, 900, 2) if not out[i].base_failed]
+    good, bad = ([i for i in unseen if (kinds[i] == 0) == g] for g in (True, False))
+    assert sum(out[i].kept for i in good) / len(good) > 0.98
+    assert sum(not out[i].kept for i in bad) / len(bad) > 0.95
+    values = np.array([stats.describe(r.text.encode())[1] for r in docs.orderBy("doc_id").collect()])[unseen]
+    kept = np.array([out[i].kept for i in unseen])
+    for column in values.T:
+        for cut in column:
+            assert not np.array_equal(column <= cut, kept) and not np.array_equal(column > cut, kept)
+
+
+def test_quality_verdicts_of_repeated_rows_and_ids(spark, labelled):
+    docs, labels = labelled
+    rng = random.Random(1)
+    good, bad = prose(rng, 400, [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]), junk(rng, 80)
+    more = spark.createDataFrame([(7000, good, None), (7000, "short", None), (7000, good, None), (None, good, None), (None, "short " * 60, None)], DOCS)
+    out = [(r.doc_id, r.n_words, r.base_failed) for r in quality_verdicts(docs.union(more), labels).collect() if r.doc_id in (None, 7000)]
+    assert sorted(out, key=str) == sorted([(7000, 400, False), (7000, 1, True), (7000, 400, False), (None, 400, False), (None, 60, True)], key=str)
+    long = spark.createDataFrame([(1, "x " + good * 2000 + bad, None)], DOCS)
+    assert quality_verdicts(long, labels).first().n_words > 700_000
+
+
 def test_quality_verdicts(spark, labelled):
     docs, labels = labelled
     more = spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(TEXTS)] + [(None, "x " * 10, None)], DOCS)
