@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from tidewheel.llm import mixing
 from tidewheel.llm import queries as q
+from tidewheel.llm import stages
 from tidewheel.llm.decontaminate import contamination, cut_words, without_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -190,3 +191,36 @@ def test_pipeline_of_empty_tables(spark, corpus_dir, tmp_path):
 def test_every_operator_is_registered():
     names = [n for n in q.QUERIES if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_stages_judge_rows_not_ids(spark, corpus_dir, tmp_path):
+    """One id with a clean and a bad text, and null ids with junk, benchmark passages and copies."""
+    rng = random.Random(6)
+    item = spark.read.parquet(f"{corpus_dir}/benchmark.parquet").first().text
+    clean = [" ".join("".join(rng.choice("aeioulmnrst") for _ in range(5)) for _ in range(90)) for _ in range(8)]
+    junk = " ".join(w + "$$$" for w in clean[6].split())
+    rows = [
+        (900, clean[0]), (900, junk), (900, clean[1] + " " + item), (901, clean[2]), (901, clean[3]), (902, clean[2] + " tail"),
+        (None, junk), (None, clean[4] + " " + item), (None, clean[5]), (None, clean[5]), (None, None), (None, ""), (903, clean[7]), (903, clean[7]), (None, clean[7]),
+    ]
+    docs = spark.read.parquet(f"{corpus_dir}/documents.parquet")
+    more = spark.createDataFrame([(i, t, None, None, 0, "y") for i, t in rows], docs.schema)
+    long = spark.createDataFrame([(904, " ".join(f"{rng.choice(clean[0].split())}{i}" for i in range(300_000)), "en", "s1", 0, "y")], docs.schema)
+    docs = docs.union(more).union(long)
+
+    def texts(df):
+        return sorted((str(r.doc_id), (r.text or "")[:40]) for r in df.filter("kept = 'y'").collect())
+
+    def named(*rows):
+        return sorted((str(i), (t or "")[:40]) for i, t in rows)
+
+    last = (904, long.first().text)
+    out = stages.quality_rules(spark, docs, corpus_dir)
+    good = [r for r in rows if r[1] and r[1] != junk] + [last]
+    assert texts(out) == named(*good) and out.columns == docs.columns
+    out = stages.near_dedup(spark, more.union(long), corpus_dir)
+    assert texts(out) == named((900, clean[0]), (900, junk), rows[2], (901, clean[2]), (901, clean[3]), rows[7], (None, clean[5]), rows[10], rows[11], (903, clean[7]), last)
+    out = stages.decontamination(spark, docs, corpus_dir)
+    assert texts(out) == named(*(r for r in [*rows, last] if item not in (r[1] or "")))
+    assert stages.token_output(spark, more, corpus_dir).count() == len(rows)
+    assert stages.mixing(spark, more, corpus_dir).columns == docs.columns

@@ -1,6 +1,8 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame with the columns of ``docs``.
 
-A filtering stage drops documents by their id, so a row with a null id stays. The last stage returns what the
+Filtering stages number the rows and judge each by its own text, so null ids and ids with several texts are
+judged like any other. Null and empty texts are too short for the quality rules; the later stages alone would keep them.
+Other columns are carried along, whatever their names. An empty table gives an empty one. The last stage returns what the
 token files hold.
 """
 
@@ -14,7 +16,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality_rules import quality_verdicts
 from .queries import tokenizer_path
-from .runtime import keep_ids, stored
+from .runtime import ROW, keep_ids, numbered, scope, stored
 from .token_files import token_table
 
 #: Share of the tokens that mixing keeps.
@@ -24,35 +26,56 @@ NEAR_WIDTH = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the fixed rules nor the isolation forest reject."""
-    verdicts = quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return keep_ids(docs, "doc_id", verdicts.filter("not kept").select("doc_id"), "left_anti")
+    """Rows that neither the fixed rules nor the isolation forest reject; null, empty and short texts go, repeated rows stay.
+
+    A label counts for every row of its id; a very long text is held whole in its task.
+    """
+    with scope():
+        rows = numbered(docs, keep=True)
+        # The operator learns and answers by row number; labels are few, so they take the rows' numbers.
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        known = labels.withColumnRenamed("doc_id", "__tw_doc").join(rows.select("doc_id", ROW), F.col("__tw_doc") == F.col("doc_id"))
+        verdicts = quality_verdicts(rows.select(ROW, "text"), known.select(F.col(ROW).alias("doc_id"), "quality"), id_col=ROW)
+        gone = stored(verdicts.filter("not kept").select("doc_id"), "rejected", keep=True)
+    return keep_ids(rows, ROW, gone, "left_anti").drop(ROW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, once even if its row is repeated."""
-    found = stored(near_duplicates(docs, width=NEAR_WIDTH), "near")
-    single = keep_ids(docs, "doc_id", found.filter("not kept").select("doc_id"), "left_anti")
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = stored(twice, "repeated-ids")
-    if twice.isEmpty():
-        return single
-    once = keep_ids(single, "doc_id", twice, "left_anti")
-    return once.union(keep_ids(single, "doc_id", twice).dropDuplicates(["doc_id"]))
+    """One row of each group of near duplicates, repeated rows included: that with the smallest doc_id (null last).
+
+    Null and wordless texts are near nothing and stay. Between rows of the same smallest id the first in the table stays.
+    """
+    with scope():
+        rows = numbered(docs, keep=True)
+        found = near_duplicates(rows.select(ROW, "text"), width=NEAR_WIDTH, id_col=ROW)
+        found = stored(found.select(F.col("doc_id").alias("row"), "component_id"), "near")
+        # A component of one row needs nothing; the others are few columns wide.
+        groups = stored(found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id"), "near-groups")
+        members = keep_ids(found, "component_id", groups, ready=False).join(rows.select(ROW, F.col("doc_id").alias("doc")), F.col("row") == F.col(ROW))
+        members = stored(members.select("component_id", "row", "doc"), "near-members")
+        first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row"))["row"].alias("row"))
+        gone = stored(members.select("row").join(first.select("row").hint("merge"), "row", "left_anti"), "near-gone", keep=True)
+    return keep_ids(rows, ROW, gone, "left_anti").drop(ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id")
-    return keep_ids(docs, "doc_id", hit, "left_anti")
+    """Rows without any window of a benchmark item; null and wordless texts have none. Repeated rows are judged alike."""
+    with scope():
+        rows = numbered(docs, keep=True)
+        found = contamination(rows.select(ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+        gone = stored(found.filter("contaminated").select("doc_id"), "contaminated", keep=True)
+    return keep_ids(rows, ROW, gone, "left_anti").drop(ROW)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens lean to the tempered margins of source, language and topic."""
+    """A sample whose tokens lean to the tempered margins of source, language and topic.
+
+    Null values of a margin are a value of their own; a text without words is never drawn; repeated rows share their draw.
+    """
     _, drawn = mix(docs, fraction=MIX_FRACTION)
     return drawn.filter(F.col("__tw_sampled")).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, read back from its token files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every row, read back from its token files; a null text is an empty one."""
     return token_table(docs, tokenizer_path())
