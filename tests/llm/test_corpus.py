@@ -74,6 +74,15 @@ def test_spans_are_cut_from_the_text(spark):
     assert cut_words(b"a b c d", [{"start": 0, "length": 2}, {"start": 1, "length": 2}]) == b" d"
 
 
+@pytest.mark.parametrize("block", [1_000_000, 2, 1])
+def test_spans_do_not_depend_on_the_blocks(spark, block):
+    bench = spark.createDataFrame([(1, "b c"), (2, "c d"), (3, "x y"), (4, "d x")], "item_id long, text string")
+    texts = ["a b c d e f", "b c d x y", "x d x y b", None, "", "q " * 200_000 + "b c"]
+    df = spark.createDataFrame([(7, t, 1) for t in texts] + [(None, "b c a", 1)], "doc_id long, text string, hits int").repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in without_spans(df, bench, block_windows=block).collect() if r.text is not None)
+    assert got == sorted([("7", "a  e f"), ("7", ""), ("7", "x  b"), ("7", ""), ("7", "q " * 200_000), ("None", " a")])
+
+
 def mixed(spark, n=600):
     rng = random.Random(3)
     rows = []

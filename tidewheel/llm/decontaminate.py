@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast set of test n-grams, scanned for in training token windows.
 
 The windows of all benchmark items are hashed into sorted arrays. They are broadcast in blocks of at most
-``BLOCK_WINDOWS`` windows, a bound that does not depend on the data; a larger benchmark takes more blocks, one scan
-of the documents each, and the hits of a document are put together afterwards. Every hash hit is verified
+``BLOCK_WINDOWS`` windows, a bound that does not depend on the data; a larger benchmark takes more blocks, one after another,
+with one scan of the documents each, and the hits of a document are put together afterwards. Every hash hit is verified
 on the words themselves.
 """
 
@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .runtime import input_texts, map_texts, stored
+from .runtime import ROW, input_texts, keep_ids, map_texts, numbered, scope, stored, text_blocks
 
 BLOCK_WINDOWS = 1_000_000
 _HITS = "doc_id long, n_words long, hits array<struct<start: int, length: int>>, items array<string>"
@@ -84,7 +87,8 @@ def _test_sets(bench: DataFrame, width: int, id_col: str, text_col: str, limit:
         yield TestSet(block, width)
 
 
-def _scan(src: DataFrame, tests: TestSet) -> DataFrame:
+def _scan(src: DataFrame, tests: TestSet) -> tuple[DataFrame, Broadcast]:
+    """Hits of every row of ``src(doc_id, text)``, and the broadcast they need."""
     shared = src.sparkSession.sparkContext.broadcast(tests)
 
     def make():
@@ -101,7 +105,7 @@ def _scan(src: DataFrame, tests: TestSet) -> DataFrame:
 
         return work
 
-    return map_texts(src, make, _HITS)
+    return map_texts(src, make, _HITS), shared
 
 
 def contamination(
@@ -115,30 +119,30 @@ def contamination(
     ``hits`` holds the occurrences and ``items`` the sorted ids of their items.
 
     Null and wordless texts have no words and are clean. Items with a null id or no words are left out; repeated
-    items count once. Rows with a null or repeated doc_id are scanned each on their own. Other columns
-    are ignored. With no usable item every document is clean.
+    items count once. Rows with a null or repeated doc_id are scanned each on their own. A text is held whole in its task.
+    Other columns are ignored. With no usable item every document is clean.
     """
     src = input_texts(docs, id_col, text_col)
-    scans = [_scan(src, t) for t in _test_sets(bench, width, item_col, item_text_col, block_windows)]
-    if len(scans) > 1:
-        # The same rows in the same order come from each scan only if the input says so, so rows are
-        # numbered by a stored copy of the texts.
-        numbered = stored(src.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("id")), "numbered")
-        rows = numbered.select("doc_id", "text")
-        many = [
-            _scan(rows, t) for t in _test_sets(bench, width, item_col, item_text_col, block_windows)
-        ]
-        whole = many[0]
-        for s in many[1:]:
-            whole = whole.union(s)
-        whole = whole.groupBy("doc_id").agg(
-            F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        found = whole.join(numbered.select("doc_id", "id"), "doc_id").select(F.col("id").alias("doc_id"), "n_words", "hits", "items")
-    else:
-        found = scans[0] if scans else _scan(src, TestSet([], width))
-    return found.mapInArrow(_summary, _SUMMARY)
+    tests = _test_sets(bench, width, item_col, item_text_col, block_windows)
+    first, second = next(tests, None), next(tests, None)
+    if second is None:
+        found, _ = _scan(src, first or TestSet([], width))
+        return found.mapInArrow(_summary, _SUMMARY)
+    with scope():
+        # Several scans are put together by the rows' numbers; one block at a time is built, broadcast and dropped.
+        rows = numbered(src, "texts", keep=True)
+        whole = None
+        for t in chain([first, second], tests):
+            found, shared = _scan(rows.select(F.col(ROW).alias("doc_id"), "text"), t)
+            part = stored(found if whole is None else found.filter(F.size("hits") > 0), "hits", keep=True)
+            shared.destroy()
+            whole = part if whole is None else whole.union(part)
+    whole = whole.groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    found = whole.withColumnRenamed("doc_id", "__tw_n").join(rows.select(ROW, "doc_id"), F.col("__tw_n") == F.col(ROW))
+    return found.select("doc_id", "n_words", "hits", "items").mapInArrow(_summary, _SUMMARY)
 
 
 _SUMMARY = (
@@ -147,9 +151,7 @@ _SUMMARY = (
 )
 
 
-def _summary(batches):
-    import pyarrow as pa
-
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_hit, digest = [], []
         n_words = batch.column(1).to_pylist()
@@ -181,25 +183,27 @@ def cut_words(text: bytes, hits: list[dict]) -> bytes:
     return b"".join(out) + text[at:]
 
 
-def without_spans(docs: DataFrame, bench: DataFrame, *, width: int = 10, **names: str) -> DataFrame:
-    """``doc_id, text`` of every row with the benchmark's passages cut out of the text (null stays null)."""
-    tests = list(_test_sets(bench, width, names.get("item_col", "item_id"), names.get("item_text_col", "text"), BLOCK_WINDOWS))
-    src = input_texts(docs, names.get("id_col", "doc_id"), names.get("text_col", "text"))
-    for t in tests:
-        shared = src.sparkSession.sparkContext.broadcast(t)
-
-        def make(shared=shared):
-            found = shared.value
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits, at = batch.column(2), 0
+        for ids, texts in text_blocks(iter([batch])):
+            cut = [cut_words(t, h) for t, h in zip(texts, hits.slice(at, len(texts)).to_pylist(), strict=True)]
+            at += len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "text"])
 
-            def work(ids: list, texts: list) -> dict:
-                out = []
-                for t in texts:
-                    words = tx.alnum_words(t)
-                    where, _ = found.search(words) if words else ([], set())
-                    out.append(cut_words(t, [{"start": a, "length": k} for a, k in where]) if where else t)
-                return {"doc_id": ids, "text": out}
 
-            return work
+def without_spans(
+    docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object
+) -> DataFrame:
+    """``doc_id, text`` of every row with the benchmark's passages cut out of the text (null stays null).
 
-        src = map_texts(src, make, "doc_id long, text binary")
-    return src.select("doc_id", F.col("text").cast("string").alias("text"))
+    All passages are found in the input, however many blocks the benchmark takes, and then cut at once; other columns are
+    dropped. Each row is cut by its own text. ``options`` are those of ``contamination``.
+    """
+    with scope():
+        rows = numbered(input_texts(docs, id_col, text_col), "texts", keep=True)
+        found = contamination(rows.select(ROW, "text"), bench, id_col=ROW, **options).filter("contaminated")
+        found = stored(found.select(F.col("doc_id").alias("__tw_n"), "hits"), "passages", keep=True)
+    hit = keep_ids(rows, ROW, found.select("__tw_n")).join(found.hint("merge"), F.col(ROW) == F.col("__tw_n")).select("doc_id", "text", "hits")
+    rest = keep_ids(rows, ROW, found.select("__tw_n"), "left_anti").select("doc_id", "text")
+    return hit.mapInArrow(_cut, "doc_id long, text binary").union(rest).select("doc_id", F.col("text").cast("string").alias("text"))
