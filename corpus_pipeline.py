@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm import stages
-from tidewheel.llm.runtime import stored
+from tidewheel.llm.runtime import scope, stored
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", stages.quality_rules),
@@ -24,5 +24,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``; every stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope():  # what the stage stored for itself goes once its rows are written
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs
