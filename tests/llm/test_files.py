@@ -1,11 +1,12 @@
 """Token files and archives: exact round trips, damage, and edge cases."""
 
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
-from tidewheel.llm import warc
+from tidewheel.llm import token_files, warc
 from tidewheel.llm.queries import tokenizer_path
 from tidewheel.llm.token_files import Encoder, TokenStore, open_part, token_table
 from tokenizers import Tokenizer
@@ -45,6 +46,35 @@ def test_added_tokens_have_the_ids_of_a_plain_tokenizer(spark, encoder, tmp_path
     assert got == [(len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for x in want]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    spec = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    changes = {
+        "prefix": {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}},
+        "blanks": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]]}},
+    }
+    texts = ["Plain words, and Plain words.", "a b\nc d", *ODD]
+    for name, change in changes.items():
+        path = str(tmp_path / f"{name}.json")
+        (tmp_path / f"{name}.json").write_text(json.dumps(spec | change))
+        encoder, plain = Encoder(path), Tokenizer.from_file(path)
+        assert not encoder.by_piece
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Encoder(tokenizer_path()).by_piece
+
+
+def test_shared_ids_null_ids_and_long_texts_in_several_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 2000)
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = [f"text {i} " * (i % 7) for i in range(120)] + ["word " * 200_000]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int").repartition(4)
+    got = token_table(df, tokenizer_path(), folder=str(tmp_path)).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    want = [(i, *(lambda x: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())))([*plain.encode(t, add_special_tokens=False).ids, 2])) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_token_files_round_trip(spark, encoder, tmp_path):
     rng = random.Random(1)
     texts = [*ODD, None, *(" ".join(rng.choice(["the", "of", "Zürich", "42"]) for _ in range(50)) for _ in range(60))]

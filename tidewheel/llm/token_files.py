@@ -7,6 +7,7 @@ int64 doc_ids and n flag bytes, 1 where the id is null). The first id of a part
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -28,6 +29,8 @@ from .runtime import input_texts, kept, new_path, text_blocks, trim
 CACHE_PIECES = 160_000
 #: Bytes of text that are encoded at a time.
 ENCODE_BYTES = 6 << 20
+#: Bytes of text in a part.
+PART_BYTES = 256 << 20
 #: Characters whose classes are alike in all Unicode versions at hand: up to Latin Extended-B, no odd controls.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-ɏ]*\Z")
 #: White space that does not simply join two pieces: runs of blanks, and blanks at a line's ends.
@@ -39,13 +42,23 @@ def _simple(t: str) -> bool:
     return bool(_PLAIN.match(t)) and not any(x in t for x in _ODD_SPACE) and t[:1] not in " \n" and t[-1:] not in " \n"
 
 
+def cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE with the usual pattern, for which pieces encode alone."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    other = (spec.get("normalizer"), spec.get("truncation"), spec.get("padding"), model.get("dropout"), model.get("continuing_subword_prefix"),
+             model.get("end_of_word_suffix"), model.get("ignore_merges"), model.get("byte_fallback"))
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return usual and model.get("type") == "BPE" and not any(other)
+
+
 class Encoder:
     """Ids of texts under a byte-level BPE file, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     Byte-level BPE merges within pieces that its pattern cuts: before single blanks, around line ends, and between a
     letter or digit and a punctuation mark. In a text of plain characters and simple white space, blank-separated pieces
     therefore encode alone as they do in place, so each distinct piece is encoded once and its ids are
-    kept; any other text, and any that holds an added token of the file, is encoded whole.
+    kept; any other text, and any that holds an added token of the file, is encoded whole, as is every text under a file
+    that cuts or merges in another way (``cuts_at_blanks``).
     """
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
@@ -53,6 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_piece = cuts_at_blanks(json.loads(self.tok.to_str()))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
@@ -124,7 +138,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        simple = [_simple(t) and not any(a in t for a in self.added) for t in texts]
+        simple = [self.by_piece and _simple(t) and not any(a in t for a in self.added) for t in texts]
         fast = iter(self._encode_simple([t for t, s in zip(texts, simple, strict=True) if s]))
         return [next(fast) if s else self._encode([t])[0] for t, s in zip(texts, simple, strict=True)]
 
@@ -188,11 +202,14 @@ class TokenStore:
     ) -> TokenStore:
         """Encode every text (null: empty) with ``end_id`` after it, in ascending order of id (null ids first).
 
-        Texts that share an id follow each other in order of text.
+        Texts that share an id follow each other in order of a hash of the text, and may lie in several parts. A part
+        has about ``PART_BYTES`` of text, whatever the input's size; a text is held whole in its task. Other columns are ignored.
         """
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         src = input_texts(docs, id_col, text_col)
-        ordered = src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+        size = src.agg(F.sum(F.length("text"))).first()[0] or 0
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+        order = ["doc_id", F.xxhash64("text")]
+        ordered = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
         made = ordered.mapInArrow(
             _write(_local(folder), tokenizer, end_id), "part int, name string, n_docs long, n_ids long, kind string"
         )
@@ -232,7 +249,11 @@ def open_part(folder: str, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, *, folder: str | None = None, **names: str) -> DataFrame:
-    """Write ``docs`` as token files in a shared folder and return what reading them back gives."""
+    """``doc_id, start, n_tokens, ids_crc32`` per row: ``docs`` written as token files in a shared folder and read back.
+
+    A null text is an empty one (its end alone); null ids come first and stay null; repeated rows are encoded each; an empty table
+    gives no row. Other columns are ignored.
+    """
     spark = docs.sparkSession
     store = TokenStore.write(docs, folder or new_path(spark, "tokens"), tokenizer, end_id, **names)
     return store.read(spark).select("doc_id", "start", "n_tokens", "ids_crc32")
