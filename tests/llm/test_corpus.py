@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -130,6 +131,56 @@ def test_mixing_equals_its_sql(spark, tmp_path):
         assert (a[c].fillna(-1) == b[c].fillna(-1)).all(), c
 
 
+def topical(spark):
+    rng = random.Random(11)
+    names = ["Harbour", "orchard", "engine", "éclair", "violin", "glacier", "desert", "market"]
+    rows = []
+    for i in range(300):
+        own = names[i % 8] if i % 11 else ""
+        words = ["and", "the", "so"] * 4 + [f"{own},", own.upper() if own != "éclair" else own, own] + [rng.choice(names)] + [f"w{rng.randrange(4000)}"] * 5
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), rng.choice(["en", "de"]), f"s{i % 3}"))
+    rows += [(1, None, None, None), (1, "", "en", "s1"), (None, "harbour " * 100_000 + "engine", "en", "s1")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+
+
+def test_topics_come_from_the_whole_text(spark, tmp_path):
+    docs = topical(spark)
+    rows = docs.collect()
+    seen = Counter(w for r in rows for w in set(WORD.findall(ascii_lower(r.text))))
+    keys = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0].encode())) if 10 * n <= len(rows)][: mixing.TOPICS]
+    assert mixing.topic_words(docs) == keys
+
+    def brute(text):
+        c = Counter(w for w in WORD.findall(ascii_lower(text)) if w in keys)
+        return max(keys, key=lambda k: (c[k], -keys.index(k))) if c else ""
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = q.op8_mixing(spark, str(tmp_path)).toPandas()
+    want = {r.doc_id: brute(r.text) for r in rows if r.doc_id != 1 or r.text}
+    assert {r.doc_id: r.topic for r in mixing.mix(docs)[1].select("doc_id", mixing.F.col("__tw_topic").alias("topic")).collect() if r.doc_id != 1} == {
+        i: t for i, t in want.items() if i != 1
+    }
+    assert len(set(want.values())) > 4
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(q.ORACLES["op8_mixing"]).fetchdf()
+    key = ["doc_id", "source", "lang", "topic", "n_tokens", "probability"]
+    a, b = (x[sorted(x.columns)].sort_values(key).reset_index(drop=True).fillna(-1) for x in (got, sql))
+    assert a.equals(b) or all((a[c] == b[c]).all() for c in a)
+
+
+@pytest.mark.filterwarnings("ignore:after 3 sweeps")
+def test_many_cells_are_raked_as_few_are(spark):
+    few, many = (
+        {(r.source, r.lang, r.topic): (r.weight, r.probability, r.margin_error) for r in mixing.mix(topical(spark), fraction=0.7, sweeps=3, small_cells=n)[0].collect()}
+        for n in (mixing.SMALL_CELLS, 0)
+    )
+    assert few.keys() == many.keys() and len(few) > 10
+    for k, values in few.items():
+        assert many[k] == pytest.approx(values, abs=1e-9)
+
+
 def test_mixing_runs_inside_the_jvm(spark):
     plan = mixing.mix(mixed(spark))[1]._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

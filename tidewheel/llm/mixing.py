@@ -1,33 +1,55 @@
 """Mixing to target weights by iterative proportional fitting, with DataFrame operations only.
 
-Tokens are summed per cell (source, language, topic). Raking multiplies the cells' weights so that each margin meets its
+A document's topic comes from its whole text: the corpus's ``TOPICS`` most widespread words among those found in at most a
+``TOPIC_SHARE`` of all documents name the topics, and a document has the topic whose word it holds most often. Tokens are summed
+per cell (source, language, topic). Raking multiplies the cells' weights so that each margin meets its
 target in turn. A factor is then found in closed form so that the expected tokens of the sample meet the budget while no
 probability exceeds 1, and each document is drawn by a hash of its id.
 """
 
 from __future__ import annotations
 
+import string
 import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import scope, stored
-from .text import SPACE_WORD
+from .text import ALNUM_WORD, SPACE_WORD
 
 DIMS = ("source", "lang", "topic")
 #: Cells up to which raking runs in one task and the cells' table is broadcast: some 10 MB of rows.
 SMALL_CELLS = 100_000
 SWEEPS, SWEEPS_A_TABLE = 20, 5
+#: Topics, and the share of documents (one in so many) above which a word tells nothing of the topic.
+TOPICS, TOPIC_SHARE = 6, 10
 #: Share of all weight by which a margin may miss its target after raking before a warning is given.
 MARGIN_ERROR = 1e-6
 
 
-def lead_topic(topics: int = 4, text_col: str = "text") -> Column:
-    """A stand-in where there is no topic column: a bucket of the text's first word."""
-    word = F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), f"({SPACE_WORD})", 1)
-    bucket = F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("long") % topics
-    return F.concat(F.lit("t"), bucket.cast("string"))
+def topic_words(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> list[str]:
+    """The words that name topics: those in most documents, of the words in at most ``1 / TOPIC_SHARE`` of them; ties by name."""
+    whole = docs.agg(F.count("*")).first()[0]
+    found = docs.select(F.explode(F.array_distinct(_words(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = found.filter(F.lit(TOPIC_SHARE) * F.col("n") <= whole).orderBy(F.desc("n"), "word").limit(topics)
+    return [r.word for r in top.collect()]
+
+
+def _words(text_col: str) -> Column:
+    """Lower-cased (A-Z) runs of ASCII letters, digits and all characters beyond ASCII."""
+    lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.regexp_extract_all(lower, F.lit(f"({ALNUM_WORD})"), F.lit(1))
+
+
+def keyword_topic(words: list[str], text_col: str = "text") -> Column:
+    """The one of ``words`` that the whole text holds most often, the first of them among equal counts; '' if it has none."""
+    if not words:
+        return F.lit("")
+    names = F.array(*map(F.lit, words))
+    held = F.filter(_words(text_col), lambda w: w.isin(words))
+    best = F.array_max(F.transform(names, lambda k, i: F.struct(F.size(F.filter(held, lambda w: w == k)).alias("n"), (-i).alias("at"), k.alias("k"))))
+    return F.when(best["n"] > 0, best["k"]).otherwise(F.lit(""))
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -40,6 +62,14 @@ def draw(id_col: str = "doc_id", seed: int = 1) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _with_sums(cells: DataFrame, keys: list[str], one_task: bool, **sums: Column) -> DataFrame:
+    """``cells`` with the aggregates ``sums`` of the rows that share ``keys`` (of all rows without keys)."""
+    if one_task:
+        return cells.withColumns({k: v.over(Window.partitionBy(*(keys or [F.lit(0)]))) for k, v in sums.items()})
+    by = cells.groupBy(*keys).agg(*(v.alias(k) for k, v in sums.items()))
+    return cells.join(by, keys) if keys else cells.crossJoin(F.broadcast(by))  # one row
+
+
 def rake(
     cells: DataFrame, *, temper: float = 0.5, sweeps: int = SWEEPS, targets: dict[str, dict[str, float]] | None = None,
     one_task: bool = True,
@@ -49,60 +79,74 @@ def rake(
 
     A margin's target is ``targets[dim]`` (values left out get 0; scaled to the values there are), or else
     proportional to the margin's tokens to the power ``temper``. ``one_task``: few cells are raked in one
-    partition, where no window needs a shuffle.
+    partition, where no window needs a shuffle; more are summed by key and joined to their sums.
     """
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.coalesce(1) if one_task else df
-
-    every = Window.partitionBy(F.lit(0))
-    cells = placed(cells)
-    for d in DIMS:
-        by = Window.partitionBy(d)
+    cells, dims = cells.coalesce(1) if one_task else cells, list(DIMS)
+    for d in dims:
         if targets and d in targets:
             given = F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv])
             target = F.coalesce(F.try_element_at(given, F.col(d)).cast("double"), F.lit(0.0))
         else:
-            target = F.pow(F.sum("tokens").over(by).cast("double"), F.lit(temper))
-        cells = cells.withColumns({f"t_{d}": target, f"k_{d}": F.count("*").over(by)})
-        share = F.col(f"t_{d}") / F.sum(F.col(f"t_{d}") / F.col(f"k_{d}")).over(every)
-        cells = cells.withColumn(f"t_{d}", share).drop(f"k_{d}")
-    cells = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(every))
+            target = F.pow(F.col("_tokens").cast("double"), F.lit(temper))
+        cells = _with_sums(cells, [d], one_task, _tokens=F.sum("tokens"), _cells=F.count("*")).withColumn(f"t_{d}", target)
+        cells = _with_sums(cells, [], one_task, _whole=F.sum(F.col(f"t_{d}") / F.col("_cells")))
+        cells = cells.withColumn(f"t_{d}", F.col(f"t_{d}") / F.col("_whole")).drop("_tokens", "_cells", "_whole")
+    cells = _with_sums(cells, [], one_task, _whole=F.sum("tokens")).withColumn("weight", F.col("tokens") / F.col("_whole")).drop("_whole")
     for i in range(sweeps):
-        for d in DIMS:
-            margin = F.sum("weight").over(Window.partitionBy(d))
-            step = F.when(margin > 0, F.col("weight") * F.col(f"t_{d}") / margin).otherwise(F.lit(0.0))
-            cells = cells.withColumn("weight", step)
-        if i % SWEEPS_A_TABLE == SWEEPS_A_TABLE - 1:
-            cells = placed(stored(cells, "raked"))
-    cells = cells.withColumn("weight", F.col("weight") / F.sum("weight").over(every))
-    missed = F.greatest(*(F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"t_{d}")) for d in DIMS))
-    cells = cells.withColumn("margin_error", missed).withColumn("margin_error", F.max("margin_error").over(every))
+        for d in dims:
+            step = F.when(F.col("_margin") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("_margin")).otherwise(F.lit(0.0))
+            cells = _with_sums(cells, [d], one_task, _margin=F.sum("weight")).withColumn("weight", step).drop("_margin")
+            if not one_task:
+                cells = stored(cells, "raked")
+        if one_task and i % SWEEPS_A_TABLE == SWEEPS_A_TABLE - 1:
+            cells = stored(cells, "raked").coalesce(1)
+    cells = _with_sums(cells, [], one_task, _whole=F.sum("weight")).withColumn("weight", F.col("weight") / F.col("_whole")).drop("_whole")
+    cells = cells.withColumn("margin_error", F.lit(0.0))
+    for d in dims:
+        missed = F.greatest("margin_error", F.abs(F.col("_margin") - F.col(f"t_{d}")))
+        cells = _with_sums(cells, [d], one_task, _margin=F.sum("weight")).withColumn("margin_error", missed).drop("_margin")
+    cells = _with_sums(cells, [], one_task, _worst=F.max("margin_error")).withColumn("margin_error", F.col("_worst")).drop("_worst")
     return cells.drop(*(f"t_{d}" for d in DIMS))
 
 
-def probabilities(cells: DataFrame, fraction: float) -> DataFrame:
+def probabilities(cells: DataFrame, fraction: float, one_task: bool = True) -> DataFrame:
     """Raked ``cells`` with ``probability`` = min(1, factor * weight / tokens), whose expected tokens are ``fraction`` of all.
 
     If the cells that the factor would fill are c1..ck in order of tokens / weight, the factor is
-    (budget - their tokens) / (the others' weight). Every other k gives a smaller value, so it is the largest.
+    (budget - their tokens) / (the others' weight). Every other k gives a smaller value, so it is the largest. Many cells are
+    sorted in ranges, each of which starts from the sums of the ranges before it.
     """
-    # At equal ratios any order gives the same largest value.
-    order = Window.partitionBy(F.lit(0)).orderBy("ratio", *DIMS)
-    every = Window.partitionBy(F.lit(0))
-    budget = F.sum("tokens").over(every) * F.lit(fraction)
-    known = cells.withColumn("ratio", F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight")).otherwise(F.lit(float("inf"))))
     live = F.when(F.col("weight") > 0, F.col("tokens")).otherwise(F.lit(0))
-    before = F.sum(live).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - live
-    left = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    known = known.withColumns({"factor": F.when(F.col("weight") > 0, (budget - before) / left)})
-    factor = F.greatest(F.coalesce(F.max("factor").over(every), F.lit(0.0)), F.lit(0.0))
-    return known.withColumn("probability", F.least(F.lit(1.0), factor * F.col("weight") / F.col("tokens"))).drop("ratio", "factor")
+    ratio = F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight")).otherwise(F.lit(float("inf")))
+    known = cells.withColumns({"ratio": ratio, "live": live, "part": F.lit(0)})
+    # At equal ratios any order gives the same largest value.
+    if not one_task:
+        known = stored(known.repartitionByRange("ratio", *DIMS).withColumn("part", F.spark_partition_id()), "ranges")
+    ends = known.groupBy("part").agg(F.sum("live").alias("l"), F.sum("weight").alias("w"), F.sum("tokens").alias("t")).orderBy("part").collect()  # one a range
+    every, heavy, live_before, weight_after = sum(r.t for r in ends), sum(r.w for r in ends), {}, {}
+    total, left = 0, heavy
+    for r in ends:
+        live_before[r.part], weight_after[r.part] = total, left - r.w
+        total, left = total + r.l, left - r.w
+    order = Window.partitionBy("part").orderBy("ratio", *DIMS)
+
+    def of_part(values: dict) -> Column:
+        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("part")] if values else F.lit(0)
+
+    before = F.sum("live").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("live")
+    after = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    if not one_task:
+        before, after = before + of_part(live_before), after + of_part(weight_after)
+    known = known.withColumn("factor", F.when(F.col("weight") > 0, (F.lit(every * fraction) - before) / after))
+    known = _with_sums(known, [], one_task, _factor=F.max("factor"))
+    factor = F.greatest(F.coalesce("_factor", F.lit(0.0)), F.lit(0.0))
+    drawn = known.withColumn("probability", F.least(F.lit(1.0), factor * F.col("weight") / F.col("tokens")))
+    return drawn.drop("ratio", "live", "part", "factor", "_factor")
 
 
 def mix(
     docs: DataFrame, *, fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: int = SWEEPS,
-    targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None,
+    targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, small_cells: int = SMALL_CELLS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
 ) -> tuple[DataFrame, DataFrame]:
     """``(cells, drawn)``: the raked cells, and every row of ``docs`` with the columns ``__tw_source``, ``__tw_lang``,
@@ -110,10 +154,10 @@ def mix(
 
     Tokens are words (cut at U+0020 and U+0009-U+000D). A null source, language or topic is the value ''. A cell without words has
     weight and probability 0, so its documents are not sampled. Repeated rows share one draw, as do all rows with a null id.
-    ``topic`` defaults to a bucket of the first word. An empty table gives empty results. Where sparse cells keep a margin from
+    ``topic`` defaults to ``keyword_topic`` over the whole texts; a long text is one row. An empty table gives empty results. Where sparse cells keep a margin from
     its target, ``margin_error`` of the cells says by how much, and above ``MARGIN_ERROR`` there is a warning.
     """
-    topic = lead_topic(text_col=text_col) if topic is None else topic
+    topic = keyword_topic(topic_words(docs, text_col), text_col) if topic is None else topic
     marked = docs.withColumns(
         {
             "__tw_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
@@ -124,9 +168,9 @@ def mix(
     with scope():
         cells = marked.groupBy(*(F.col(f"__tw_{d}").alias(d) for d in DIMS)).agg(F.sum("__tw_tokens").alias("tokens"), F.count("*").alias("docs"))
         cells = stored(cells.filter("tokens > 0"), "cells")
-        small = cells.count() <= SMALL_CELLS
+        small = cells.count() <= small_cells
         raked = rake(cells, temper=temper, sweeps=sweeps, targets=targets, one_task=small)
-        raked = stored(probabilities(raked, fraction), "probabilities", keep=True)
+        raked = stored(probabilities(stored(raked, "weights"), fraction, small), "probabilities", keep=True)
         missed = raked.agg(F.max("margin_error")).first()[0]
         if missed is not None and missed > MARGIN_ERROR:
             warnings.warn(f"after {sweeps} sweeps a margin misses its target by {missed:.3g} of all weight", stacklevel=2)
@@ -137,13 +181,19 @@ def mix(
     return raked, drawn.withColumn("__tw_sampled", draw(id_col, seed) < F.col("__tw_probability"))
 
 
-def oracle(fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: int = SWEEPS, topics: int = 4) -> str:
+def oracle(fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: int = SWEEPS, topics: int = TOPICS) -> str:
     """DuckDB SQL of the rows of ``op8_mixing``, each sweep of raking spelled out."""
     word = "[^ \t-\r]+"
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     parts = [
+        f"texts as (select doc_id, source, lang, text, regexp_extract_all({lower}, '{ALNUM_WORD}') as words from documents)",
+        "found as (select word, count(*) as n from (select unnest(list_distinct(words)) as word from texts) group by word)",
+        f"""keys as (select coalesce(list(word order by n desc, word), []) as ks from
+        (select * from found where {TOPIC_SHARE} * n <= (select count(*) from documents) order by n desc, word limit {topics}))""",
+        "counted as (select t.*, ks, list_transform(ks, lambda k: len(list_filter(words, lambda w: w = k))) as ns from texts t, keys)",
         f"""marked as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
-        't' || (('0x' || substr(md5(coalesce(regexp_extract(text, '{word}'), '')), 1, 4))::bigint % {topics})::varchar as topic,
-        coalesce(len(regexp_extract_all(text, '{word}')), 0)::bigint as tokens from documents)""",
+        case when list_max(ns) > 0 then ks[list_position(ns, list_max(ns))] else '' end as topic,
+        coalesce(len(regexp_extract_all(text, '{word}')), 0)::bigint as tokens from counted)""",
         "cells as (select source, lang, topic, sum(tokens)::double as tokens from marked group by all having sum(tokens) > 0)",
     ]
     raw = ", ".join(f"pow(sum(tokens) over (partition by {d}), {temper}) as r_{d}, count(*) over (partition by {d}) as k_{d}" for d in DIMS)

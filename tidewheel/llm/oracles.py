@@ -5,10 +5,10 @@ from __future__ import annotations
 import string
 
 from .mixing import oracle as mixing_sql
+from .text import ALNUM_WORD, SPACE_WORD
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-_SPACE = r"[^\x20\x09-\x0D]+"
-_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACE, _ALNUM = SPACE_WORD, ALNUM_WORD
 
 NEAR_DEDUP = f"""with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '{_SPACE}') as w from documents),
     s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else

@@ -18,6 +18,7 @@ _POWERS: dict[bytes, np.ndarray] = {}
 _ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
+ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 _SPACE_WORD = re.compile(SPACE_WORD.encode())
 
