@@ -274,9 +274,11 @@ def test_forward_recursion_equals_all_paths():
     assert np.allclose(got, want)
 
 
-def test_expected_counts_equal_all_paths(monkeypatch):
+@pytest.mark.parametrize("segment", [4096, 1, 2, 3])
+def test_expected_counts_equal_all_paths(monkeypatch, segment):
     m, states = tiny_model(), 3
     monkeypatch.setattr(hm, "PLACES", 8)
+    monkeypatch.setattr(hm, "SEGMENT", segment)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((4, states))
     for s in SEQS:
         if not len(s):
@@ -326,6 +328,21 @@ def test_language_scores_equal_brute_force(spark, head, symbols):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_long_words_texts_and_repeated_ids(spark):
+    long = ["x" * 70_000, "X" * 70_000, "y" * 65, "é" * 40, "z" * 64]
+    rows = [(i, " ".join([long[i % 5], "a", f"b{i % 3}"]), "s") for i in range(80)]
+    rows += [(7, "a b0 " * 400_000, "s"), (7, "a", "s"), (7, "a", "s"), (None, long[0] + " " + long[2] + "y", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
+    out = language_scores(df, head=4, symbols=3, states=2, rounds=1).collect()
+    words = [(i, [*t.encode().lower().split(), b"\n"]) for i, t, _ in rows]
+    c = Counter(w for i, ws in words if i is not None and remainder(i, 7) != 2 for w in ws)
+    n, v = c.total(), len(c)
+    want = [(str(i), len(ws), sum(c[x] > 0 for x in ws), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in ws)) for i, ws in words]
+    got = [(str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-9)
+
+
 def test_language_scores_of_little(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
     out = language_scores(df, states=2, symbols=5, head=10, rounds=2).collect()

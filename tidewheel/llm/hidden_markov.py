@@ -2,7 +2,8 @@
 
 Corpus counts: every distinct training word is counted. The most frequent ones (at most ``HEAD``) form
 a table of bounded size that is broadcast; counts of other words reach the documents by a join on the word, with each
-document's words summed up first. Frequent words, the hot keys, never enter that join.
+document's words summed up first. Frequent words, the hot keys, never enter that join. A word of more than ``LONG`` bytes is
+known by a 128-bit hash, so tables of words are bounded in bytes as well.
 
 States emit the ``SYMBOLS`` most frequent tokens and one class for all other words. Within the class a
 word has the probability (c + 1) / (n + v + 1), where c is its count, and n and v are count and number of the class's
@@ -26,14 +27,25 @@ from . import text as tx
 from .runtime import Stored, held_out, input_texts, learns, text_blocks
 
 HEAD, SYMBOLS, STATES, ROUNDS = 131_072, 16_384, 8, 5
+LONG = 64
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 400_000
 #: Token places that are scored at one time (texts times the longest text's length in a batch).
 PLACES = 1 << 20
+#: Token places of a text whose forward values are kept at a time for the backward pass.
+SEGMENT = 4096
 ROWS = 10_000
 END = b"\n"  # no word holds white space, so this cannot be one
 
 
+def known_words(text: bytes | None) -> list[bytes]:
+    """The lower-cased words; a long one as a blank, which no word holds, and its hash."""
+    words = tx.space_words(text, lower=True)
+    if text is not None and len(text) > LONG and max(map(len, words), default=0) > LONG:
+        return [w if len(w) <= LONG else b" " + tx.xxhash.xxh3_128_digest(w) for w in words]
+    return words
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter[bytes] = Counter()
 
@@ -46,10 +58,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for _, texts in text_blocks(batches):
         for t in texts:
-            total.update(tx.space_words(t, lower=True))
+            total.update(known_words(t))
+            if len(total) > FLUSH:
+                yield out()
         total[END] += len(texts)
-        if len(total) > FLUSH:
-            yield out()
     if total:
         yield out()
 
@@ -63,7 +75,7 @@ def _encode(head: Callable[[], tuple[dict[bytes, int], np.ndarray]], symbols: in
         for ids, texts in text_blocks(batches):
             syms, n, known, logs, class_logs, words, times = [], [], [], [], [], [], []
             for t in texts:
-                tokens = [*tx.space_words(t, lower=True), END]
+                tokens = [*known_words(t), END]
                 at = np.array([place.get(w, -1) for w in tokens], np.int64)
                 s, each = np.where(at < 0, symbols, np.minimum(at, symbols)), log_counts[at]
                 syms.append(s.astype("<u2").tobytes()), n.append(len(tokens)), known.append(int((counts[at] > 0).sum()))
@@ -150,37 +162,53 @@ def log_likelihoods(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
 
 
 def expected_counts(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions of the sequences by scaled forward and backward passes."""
+    """Expected starts, transitions and emissions of the sequences by scaled forward and backward passes.
+
+    The forward values of ``SEGMENT`` places are kept at a time: a first pass keeps those at the segments' begins, from which each
+    segment's are made again when the backward pass reaches it.
+    """
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
     filled = [s for s in seqs if len(s)]
     for some in _batches(filled):
         grid, live = _grid([filled[i] for i in some])
-        alphas, scales = [], []
-        a = np.tile(model.start, (len(some), 1))
-        for t in range(len(grid)):
+
+        def step(a: np.ndarray, t: int, grid: np.ndarray = grid, live: np.ndarray = live) -> tuple[np.ndarray, np.ndarray]:
             k = live[t]
             a = (a[:k] @ model.move if t else a[:k]) * model.emit[grid[t, :k]]
             s = a.sum(axis=1, keepdims=True)
-            a = a / s
-            alphas.append(a), scales.append(s)
-        beta, held_syms, held_gamma, held = np.ones((live[-1], states)), [], [], 0
-        for t in range(len(grid) - 1, -1, -1):
-            k = live[t]
-            if t < len(grid) - 1:
-                n = live[t + 1]
-                ahead = model.emit[grid[t + 1, :n]] * beta / scales[t + 1]
-                move += (alphas[t][:n].T @ ahead) * model.move
-                beta = np.ones((k, states))
-                beta[:n] = ahead @ model.move.T
-            gamma = alphas[t] * beta
-            held_syms.append(grid[t, :k]), held_gamma.append(gamma)
-            held += k
-            if held > 1 << 17 or not t:
-                syms, gammas = np.concatenate(held_syms), np.concatenate(held_gamma)
-                for s in range(states):
-                    emit[:, s] += np.bincount(syms, gammas[:, s], minlength=len(emit))
-                held_syms, held_gamma, held = [], [], 0
+            return a / s, s
+
+        a, begins = np.tile(model.start, (len(some), 1)), []
+        for t in range(len(grid) if len(grid) > SEGMENT else 1):
+            if t % SEGMENT == 0:
+                begins.append(a)
+            a, _ = step(a, t)
+        beta, scale, held_syms, held_gamma, held = None, None, [], [], 0
+        for segment in range(len(begins) - 1, -1, -1):
+            first = segment * SEGMENT
+            a, alphas, scales = begins[segment], [], []
+            for t in range(first, min(first + SEGMENT, len(grid))):
+                a, s = step(a, t)
+                alphas.append(a), scales.append(s)
+            for t in range(first + len(alphas) - 1, first - 1, -1):
+                k, alpha = live[t], alphas[t - first]
+                if beta is None:
+                    beta = np.ones((k, states))
+                else:
+                    n = live[t + 1]
+                    ahead = model.emit[grid[t + 1, :n]] * beta / scale
+                    move += (alpha[:n].T @ ahead) * model.move
+                    beta = np.ones((k, states))
+                    beta[:n] = ahead @ model.move.T
+                scale, gamma = scales[t - first], alpha * beta
+                held_syms.append(grid[t, :k]), held_gamma.append(gamma)
+                held += k
+                if held > 1 << 17 or not t:
+                    syms, gammas = np.concatenate(held_syms), np.concatenate(held_gamma)
+                    for s in range(states):
+                        emit[:, s] += np.bincount(syms, gammas[:, s], minlength=len(emit))
+                    held_syms, held_gamma, held = [], [], 0
         start += gamma.sum(axis=0)
     return start, move, emit
 
@@ -231,7 +259,8 @@ def language_scores(
 
     A null text is an empty one: an end alone. Rows with a null id are scored, never learnt from, and not held out.
     Repeated rows count each. With nothing to learn from, N = V = 0. Other columns are ignored. Each row's own words
-    are scored, also where rows share an id.
+    are scored, also where rows share an id. A text's symbols are held whole in its task, two bytes a word. Equally frequent words take
+    their places in order of their bytes.
     """
     if symbols >= 1 << 16 or symbols > head:
         raise ValueError("symbols must be under 65536 and at most head")
