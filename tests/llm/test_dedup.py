@@ -13,7 +13,7 @@ from tidewheel.llm import stages
 from tidewheel.llm import text as tx
 from tidewheel.llm.components import components
 from tidewheel.llm.near_dedup import near_duplicates
-from tidewheel.llm.substring_dedup import remove_repeats
+from tidewheel.llm.substring_dedup import remove_repeats, text_key
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -178,6 +178,23 @@ def test_repeats_with_null_ids_repeated_rows_and_clashing_columns(spark):
         remove_repeats(df, span=5, seed=6)
 
 
+def test_null_ids_and_shared_ids_are_judged_by_their_own_text(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += [texts[0], texts[1].replace(" ", "\n  "), texts[2], texts[2] + " z", None, "", "q " * 300_000]
+    rows = [(None if i % 3 else i % 5, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, repeats int").repartition(4)
+    for with_text in (False, True):
+        got = remove_repeats(df, span=6, seed=3, with_text=with_text).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_repeats(rows, 6)
+
+
+def test_text_keys_equal_those_of_spark(spark):
+    texts = [bytes([i % 251] * i) for i in range(70)] + ["é日".encode() * 999, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t binary").selectExpr("t", "xxhash64(t) as k")
+    assert all(text_key(bytes(r.t) if r.t is not None else None) == r.k for r in df.collect())
+
+
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 6))
 def test_gram_hashes_tell_grams_apart(xs, k):
     words = [str(x).encode() for x in xs]

@@ -120,16 +120,19 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 def keep_ids(
-    df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_IDS, ready: bool = False
+    df: DataFrame, column: str | list[str], ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_IDS, ready: bool = False
 ) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is (``left_semi``) or is not (``left_anti``) in the one-column ``ids``.
+    """Rows of ``df`` whose ``column`` (or columns) is (``left_semi``) or is not (``left_anti``) in the columns of ``ids``.
 
-    The ids are counted: up to ``limit`` rows they are broadcast, so that wide rows stay where they are;
+    The ids are counted: up to ``limit`` values they are broadcast, so that wide rows stay where they are;
     beyond it both sides are shuffled. ``ids`` should be stored already (``ready``), else it is stored first.
     """
-    ids = ids.toDF("__tw_id") if ready else stored(ids.toDF("__tw_id").distinct(), "ids")
-    small = ids.count() <= limit
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), df[column] == ids["__tw_id"], how)
+    columns = [column] if isinstance(column, str) else column
+    names = [f"__tw_id{i or ''}" for i in range(len(columns))]
+    ids = ids.toDF(*names) if ready else stored(ids.toDF(*names).distinct(), "ids")
+    small = ids.count() * len(columns) <= limit
+    on = [df[c] == ids[n] for c, n in zip(columns, names, strict=True)]
+    return df.join(F.broadcast(ids) if small else ids.hint("merge"), on, how)
 
 
 ROW = "__tw_row"
