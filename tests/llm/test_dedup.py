@@ -123,6 +123,43 @@ def test_odd_sketch_never_exceeds_the_difference():
         assert bits <= len(np.setxor1d(x, y))
 
 
+def test_sketches_of_any_size_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m in ((900, 1100), (5000, 5600), (70_000, 70_000)):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.r_[x[: int(0.9 * n)], rng.integers(0, 1 << 63, max(0, m - int(0.9 * n)), dtype=np.uint64)])
+        a, b = (nd.odd_sketch(v, nd.sketch_longs(len(v))) for v in (x, y))
+        few = min(len(a), len(b))
+        differ = np.bitwise_count(nd.folded(a, few) ^ nd.folded(b, few)).sum()
+        d = len(np.setxor1d(x, y))
+        assert 0.4 * d < differ <= d
+        link = 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+        assert nd._may_link(np.int64(len(x)), nd.folded(a, few), np.int64(len(y)), nd.folded(b, few), 80) or not link
+
+
+def test_a_large_family_under_the_threshold_is_no_component(spark, monkeypatch):
+    """Members share most of their shingles, too few to link, but for some pairs; blocks and parts are small."""
+    monkeypatch.setattr(nd, "BLOCK", 32)
+    monkeypatch.setattr(nd, "PAIRS", 8)
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        words = [rng.choice(["u", "v"]) + str(rng.randrange(9999)) if rng.random() < 0.085 else w for w in base]
+        texts.append(" ".join(words))
+        if i % 40 == 0:
+            texts.append(" ".join(words[:-1] + ["last"]))
+    want = brute_near(list(enumerate(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, texts)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 100
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    words = [f"w{i}" for i in range(400_000)]
+    texts = [" ".join(words), " ".join(words[:-20_000] + ["x"]), " ".join(words[200_000:] + ["y"] * 10)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
 def test_components_of_chains_stars_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(500, i) for i in range(501, 560)]
