@@ -62,9 +62,12 @@ def activities(activities_users: DataFrame, *others: DataFrame) -> DataFrame:
 
 def student_events(
     activities_users, log_activities_duration, logins, reflections, feedback, requests, log_activities, users_no_dup, known, *,
-    bad_days: tuple[str, ...] = (), first_year: int | None = None, last_year: int | None = None,
+    bad_days: tuple[str, ...] = (), first_year: int | None = None, last_year: int | None = None, tie: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The unified log of students. Recipe and experience arms, and both reflection arms, each come from one scan."""
+    """The unified log of students. Recipe and experience arms, and both reflection arms, each come from one scan.
+
+    Of several rows of one image the earliest stands, then that of the smallest person, then by the columns ``tie``.
+    """
     kind = F.when(F.col("activity_type") == F.array(F.lit("recipe")), "recipe").when(
         F.col("activity_type") == F.array(F.lit("experience")), "experience"
     )
@@ -73,10 +76,9 @@ def student_events(
     back = reflections.withColumn("_type", F.concat(verb, F.lit("reflection")))
     shots = log_activities.join(activities_users, "activity", "left").filter("image = 1 and user_id > 0")
     shots = shots.filter(~F.to_date("event_date").cast("string").isin(*bad_days)) if bad_days else shots
-    # Of several rows of one image the earliest stands, then the smallest person.
-    order = Window.partitionBy("activity", "image_name").orderBy(F.asc_nulls_last("event_date"), F.asc_nulls_last("user_id"))
+    order = Window.partitionBy("activity", "image_name").orderBy(F.asc_nulls_last("event_date"), F.asc_nulls_last("user_id"), *tie)
     shots = shots.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("image")
-    asked = requests.withColumn("duration", (F.unix_micros("end_date") - F.unix_micros("start_date")) / 60e6)
+    asked = requests.withColumn("duration", (F.unix_micros(F.col("end_date").cast("timestamp")) - F.unix_micros(F.col("start_date").cast("timestamp"))) / 60e6)
 
     def arm(df: DataFrame, person: str, kind: Column, ts: str) -> DataFrame:
         return df.filter(kind.isNotNull()).select(

@@ -15,6 +15,7 @@ from ..operators import calendar, cluster, cohort, distance, events, evolve, fea
 from ..sources import checkpointed, table
 from . import logs, study
 from .config import CLUSTERS, FEATURE_GROUPS, GAMMAS, PROFILE_CLUSTERS, QUIET, WINDOWS, WRITE_R
+from .regularity_sql import complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -339,12 +340,11 @@ def aggregated_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(features.aggregated_per_period(counts, "yearly", "woy"))
 
 
-_SHOWN = ("writing_events", "total_duration", "editing_ratio", "recipe_experience_ratio", "average_reflection")
 _SERIES = " union all ".join(
     f"""select student, calendar_year, school_year, semester, '{n}' as series, row_number() over (partition by student, calendar_year, school_year, semester
     order by semester_biweek) - 1 as pos, semester_biweek::bigint as t, round({'recipe_experience_ratio - experience_recipe_ratio' if n == 'recipe_experience_ratio' else n}, 6)::double as v
     from counts where {n} is not null and (student, calendar_year, school_year, semester) in (select (student, calendar_year, school_year, semester) from based)"""
-    for n in _SHOWN
+    for n in features.SERIES
 )
 
 
@@ -357,9 +357,9 @@ def _unfolded(wide: DataFrame, keys: list[str], names: tuple[str, ...], bucket:
 
 @query(_sql([*_HALF, "based as (select distinct student, calendar_year, school_year, semester from counts where count_reflection is not null)"], _SERIES))
 def series_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five of the series, unfolded; all of them come from one shuffle."""
+    """All 27 series, unfolded; they come from one shuffle."""
     wide = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek")
-    return _plain(_unfolded(wide, ["student", "calendar_year", "school_year", "semester"], _SHOWN, "semester_biweek"))
+    return _plain(_unfolded(wide, ["student", "calendar_year", "school_year", "semester"], features.SERIES, "semester_biweek"))
 
 
 @query(_sql(_WEEK, """select student, calendar_year, school_year, sum((total_duration is not null)::int)::bigint as n from
@@ -551,12 +551,18 @@ def fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fourier(spark, sf_dir, False, 1 / 7, "fwd")
 
 
-@query(nullable=_MAY[:2])
+@query(_sql([O, GRADES, _years_sql("olog")], f"select * from ({complete(_KEYS)})"), nullable=_MAY[:2])
 def regularity_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All regularity measures of each semester in one table."""
     return _plain(regularity.regularity(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)))
 
 
+@query(_sql([O, GRADES, _years_sql("olog")], f"select * from ({complete('student, calendar_year, school_year')})"), nullable=("school_year",))
+def regularity_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All regularity measures of each school year; the weekday peak is the seven-day one."""
+    return _plain(regularity.regularity(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir), semesters=False))
+
+
 # --- cohorts ---------------------------------------------------------------------------------------------------------
 
 _COHORT = [O, GRADES, _years_sql("olog"), f"cnt as (select student, calendar_year, count(*) filter (where event_type in ({_list(WRITE_R)})) as number_events from olog group by all)",
@@ -611,10 +617,10 @@ def semi_join_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi")
 
 
-@query("select c_custkey, c_acctbal from customer where c_custkey not in (511, 627, 83, 11, 14, 15) and (c_mktsegment <> 'BUILDING' or c_acctbal is null)")
+@query("select c_custkey, c_acctbal from customer where c_custkey not in (2, 33, 404, 555) and (c_mktsegment <> 'BUILDING' or c_acctbal is null)")
 def anti_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.filter(~F.col("c_custkey").isin(511, 627, 83, 11, 14, 15) & ((F.col("c_mktsegment") != "BUILDING") | F.col("c_acctbal").isNull())).select("c_custkey", "c_acctbal")
+    return c.filter(~F.col("c_custkey").isin(2, 33, 404, 555) & ((F.col("c_mktsegment") != "BUILDING") | F.col("c_acctbal").isNull())).select("c_custkey", "c_acctbal")
 
 
 @query("""select coalesce(a.user_id, b.user_id) as user_id, clicks, views from (select user_id, count(*) as clicks from events where event_type = 'click' and value > 200
@@ -821,3 +827,6 @@ def study_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = study.best_cells(study.search_features(d))
     labels = study.best_labels(study.search_groups(study.group_kernels(d, best, _GROUPS), _GROUPS), "feature_group")
     return _plain(_by_semester(study.profiles(labels, list(_GROUPS), PROFILE_CLUSTERS)))
+
+
+from . import people  # noqa: E402, F401 - its queries use what stands above

@@ -19,6 +19,7 @@ REFLECTION = ("write new reflection", "edit reflection")
 NEW_R = (*NEW, "write new reflection")
 EDIT_R = ("edit recipe", "edit experience", "edit reflection")
 WRITE_R = (*WRITE, *REFLECTION)
+WRITE_R_IMAGE = (*WRITE_R, "add image")
 QUIET = ("be inactive", "receive feedback")
 
 # Notification type of staff events, and which side of it acts.
