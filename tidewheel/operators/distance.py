@@ -1,7 +1,7 @@
 """Pairwise distances and kernels over series, as tables of pairs i < j.
 
-Pairs of one group meet by a self join on the group with i < j; the series travel in blocks of students, so a
-task holds two blocks and not a whole matrix.
+Members of a group are put into blocks by a hash of their key, and each pair of blocks is a key of its own, so a large group is many
+tasks, none of which holds a whole matrix.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-#: Series in a block: a task compares two blocks.
-BLOCK = 256
+#: Series in a block: a task compares two blocks. Numbers in a block, which a join compares.
+BLOCK, NUMBERS = 256, 1024
 
 
 def dtw(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -24,17 +24,20 @@ def dtw(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     The recursion runs over places and is vectorised over pairs; radius 0 gives the Euclidean distance.
     """
     n, size = a.shape
-    before = np.full((n, size + 1), np.inf)
-    before[:, 0] = 0.0
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)  # a place of all pairs is one row
+    before = np.full((size + 1, n), np.inf)
+    before[0] = 0.0
+    now = np.empty_like(before)
     for i in range(size):
-        now = np.full((n, size + 1), np.inf)
-        low, high = max(0, i - radius), min(size, i + radius + 1)
-        cost = (a[:, i : i + 1] - b[:, low:high]) ** 2
-        for j in range(low, high):
-            best = np.minimum(np.minimum(before[:, j], before[:, j + 1]), now[:, j])
-            now[:, j + 1] = cost[:, j - low] + best
-        before = now
-    return np.sqrt(before[:, size])
+        now.fill(np.inf)
+        for j in range(max(0, i - radius), min(size, i + radius + 1)):
+            best = np.minimum(before[j], before[j + 1])
+            np.minimum(best, now[j], out=best)
+            cost = a[i] - b[j]
+            cost *= cost
+            np.add(cost, best, out=now[j + 1])
+        before, now = now, before
+    return np.sqrt(before[size])
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -43,16 +46,20 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def _blocked(df: DataFrame, group: list[str], key: str, size: int) -> DataFrame:
+    """``df`` with the columns ``_blocks`` (of the group) and ``_block`` (of the row)."""
+    sizes = df.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("_blocks"))
+    sized = df.join(sizes, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group], "left") if group else df.crossJoin(sizes)
+    return sized.withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).drop(*(f"_{g}" for g in group))
+
+
 def dtw_pairs(df: DataFrame, group: list[str], key: str, series: str, radius: int, *, normalise: bool = False) -> DataFrame:
     """``group..., i, j, d`` of all pairs i < j of a group by dynamic time warping of equally long dense series.
 
-    Series of a group are packed into blocks by hash; each pair of blocks is one row, so a large group is many tasks.
+    Series of a group are packed into blocks by hash; each pair of blocks is one row.
     """
-    sizes = df.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_blocks"))
-    sized = df.join(sizes, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group], "left") if group else df.crossJoin(sizes)
     packed = (
-        sized.select(*group, F.col(key).alias("k"), F.col(series).alias("v"), "_blocks")
-        .withColumn("block", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
+        _blocked(df, group, key, BLOCK).select(*group, F.col(key).alias("k"), F.col(series).alias("v"), F.col("_block").alias("block"))
         .groupBy(*group, "block").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows"))
     )
     a, b = packed.alias("a"), packed.alias("b")
@@ -63,27 +70,27 @@ def dtw_pairs(df: DataFrame, group: list[str], key: str, series: str, radius: in
         *(F.col(f"a.{g}").alias(g) for g in group), F.col("a.rows").alias("x"), F.col("b.rows").alias("y"),
         (F.col("a.block") == F.col("b.block")).alias("same"),
     )
-    kind, ends_type = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = df.schema[key].dataType.simpleString()
     schema = "".join(f"{g} {df.schema[g].dataType.simpleString()}, " for g in group) + f"i {kind}, j {kind}, d double"
 
+    def side(column: pa.Array, r: int) -> tuple[pa.Array, np.ndarray]:
+        rows = column[r].values
+        values = np.asarray(rows.field("v").flatten(), float).reshape(len(rows), -1)
+        return rows.field("k"), unit_rows(values) if normalise else values
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(group)
         for batch in batches:
             for r in range(batch.num_rows):
-                x, y = batch.column(m)[r].as_py(), batch.column(m + 1)[r].as_py()
-                va, vb = (np.array([row["v"] for row in side], float) for side in (x, y))
-                if normalise:
-                    va, vb = unit_rows(va), unit_rows(vb)
-                ka, kb = [row["k"] for row in x], [row["k"] for row in y]
+                (ka, va), (kb, vb) = side(batch.column(m), r), side(batch.column(m + 1), r)
                 p, q = np.triu_indices(len(ka), 1) if batch.column(m + 2)[r].as_py() else np.divmod(np.arange(len(ka) * len(kb)), len(kb))
-                for at in range(0, len(p), 50_000):
-                    pi, qi = p[at : at + 50_000], q[at : at + 50_000]
-                    d = dtw(va[pi], vb[qi], radius)
-                    left, right = [ka[i] for i in pi], [kb[i] for i in qi]
-                    ends = [(u, v) if u < v else (v, u) for u, v in zip(left, right, strict=True)]
+                for at in range(0, len(p), 1 << 15):
+                    pi, qi = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
+                    left, right = ka.take(pa.array(pi)), kb.take(pa.array(qi))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(c)[r].as_py()] * len(d), batch.schema.field(c).type) for c in range(m)]
-                        + [pa.array([u for u, _ in ends], ends_type), pa.array([v for _, v in ends], ends_type), pa.array(d)],
+                        [pa.repeat(batch.column(c)[r], len(pi)) for c in range(m)]
+                        + [pc.min_element_wise(left, right), pc.max_element_wise(left, right), pa.array(dtw(va[pi], vb[qi], radius))],
                         [*group, "i", "j", "d"],
                     )
 
@@ -93,8 +100,11 @@ def dtw_pairs(df: DataFrame, group: list[str], key: str, series: str, radius: in
 def euclidean_pairs(df: DataFrame, group: list[str], key: str, value: Column, fill: float = 0.1) -> DataFrame:
     """``group..., i, j, d`` with d = |a - b| of one number per row, nulls taken as ``fill``."""
     one = df.select(*group, F.col(key).alias("k"), F.coalesce(value.cast("double"), F.lit(fill)).alias("v"))
-    a, b = one.alias("a"), one.alias("b")
-    on = F.col("a.k") < F.col("b.k")
+    one = _blocked(one, group, "k", NUMBERS)
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = one.select(*group, "k", "v", F.col("_block").alias("p"), every.alias("q")).alias("a")
+    b = one.select(*group, "k", "v", every.alias("p"), F.col("_block").alias("q")).alias("b")
+    on = (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.k") < F.col("b.k"))
     for g in group:
         on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
     return a.join(b, on).select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import STAFF_NOTIFICATIONS
+from ..sources import checkpointed
 from .calendar import log_semester, school_label
 
 #: The attributes of all event types as one nullable struct: unlike a map or a variant it can be de-duplicated.
@@ -133,18 +134,36 @@ def inter_event_gaps(events: DataFrame, *, strict: bool = False, tie: str | None
     """Adds ``previous`` (timestamp) and ``minutes`` since the previous event of the same student.
 
     ``strict``: a student's first event is measured against the last event of the student before it (ids ascending,
-    null last), through a table of one row per student, so that the events keep their partitioning.
+    null last), through a table of one row per student that is sorted in ranges, so that no task holds all of them.
     """
     order = [F.asc_nulls_last("event_date")] + ([F.asc_nulls_last(tie)] if tie else [])
     out = events.withColumn("previous", F.lag("event_date").over(Window.partitionBy("student").orderBy(*order)))
     if strict:
-        ends = events.groupBy("student").agg(F.max("event_date").alias("_end"), F.min("event_date").alias("_begin"))
-        before = ends.select("student", "_begin", F.lag("_end").over(Window.orderBy(F.asc_nulls_last("student"))).alias("_before"))
-        out = out.join(before.withColumnRenamed("student", "_who"), F.col("student").eqNullSafe(F.col("_who")), "left")
-        out = out.withColumn("previous", F.coalesce("previous", "_before")).drop("_who", "_before", "_begin")
+        before = _end_before(events).withColumnRenamed("student", "_who")
+        out = out.join(before, F.col("student").eqNullSafe(F.col("_who")), "left")
+        out = out.withColumn("previous", F.coalesce("previous", "_before")).drop("_who", "_before")
     return out.withColumn("minutes", (F.unix_micros(F.col("event_date").cast("timestamp")) - F.unix_micros(F.col("previous").cast("timestamp"))) / 60e6)
 
 
+def _end_before(events: DataFrame) -> DataFrame:
+    """``student, _before``: the last event of the student before it, in order of id, null last.
+
+    Students are sorted in ranges; a range's first one is measured against the last one of the ranges before it, of which the driver
+    holds one row each.
+    """
+    ends = events.groupBy("student").agg(F.max("event_date").alias("_end"))
+    order = F.asc_nulls_last("student")
+    ranged = checkpointed(ends.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    last = F.max_by("_end", F.struct(F.col("student").isNull(), "student"))
+    carried, at = {}, None
+    for r in ranged.groupBy("_range").agg(last.alias("end")).orderBy("_range").collect():
+        carried[r["_range"]], at = at, r.end
+    w = Window.partitionBy("_range").orderBy(order)
+    side = events.sparkSession.createDataFrame(list(carried.items()), f"_at int, _carried {ends.schema['_end'].dataType.simpleString()}")
+    joined = ranged.join(F.broadcast(side), F.col("_range") == F.col("_at"), "left")
+    return joined.select("student", F.when(F.row_number().over(w) == 1, F.col("_carried")).otherwise(F.lag("_end").over(w)).alias("_before"))
+
+
 def upper_fences(gaps: DataFrame) -> DataFrame:
     """Per student and type: third quartile plus 1.5 interquartile ranges of the gaps, with discrete percentiles."""
     return gaps.groupBy("student", "event_type").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chi2_divergence, fourier_magnitude, js_similarity, set_overlap
 from ..plans.config import QUIET
+from ..sources import checkpointed
 from .calendar import biweekly_weekday, plain_day, semester_id, sunday_weekday, week_bucket
 from .events import session_ids
 
@@ -40,22 +41,37 @@ def _shares(distinct: DataFrame, keys: list[str], by: str) -> DataFrame:
     return each.join(total, ["student", *keys], "left").withColumn("relative", F.col("absolute") / F.col("total_events"))
 
 
+def active_slots(events: DataFrame, years: DataFrame, keys: list[str] = SEMESTER) -> DataFrame:
+    """The distinct (student, period, week, day, hour) of all events, with both weekdays; ``loud`` if one of them is no quiet event.
+
+    All tables but the session hours follow from it.
+    """
+    ts = F.col("event_date")
+    return _with_years(events, years).groupBy(
+        "student", *dict.fromkeys(["calendar_year", *keys]), F.hour(ts).alias("hod"), plain_day(ts).alias("doy"), week_bucket(ts).alias("woy"),
+        sunday_weekday(ts).alias("dow1"), biweekly_weekday(ts).alias("dow2"),
+    ).agg(F.max(~F.col("event_type").isin(*QUIET)).alias("loud"))
+
+
+def _weekdays(slots: DataFrame, biweekly: bool, keys: list[str]) -> DataFrame:
+    raw = slots.filter("loud").select("student", *keys, F.col("dow2" if biweekly else "dow1").alias("dow"), "doy").distinct()
+    return _with_id(_shares(raw, keys, "dow"), keys)
+
+
+def _hours(slots: DataFrame, keys: list[str]) -> DataFrame:
+    kept = [k for k in keys if k != "calendar_year"]
+    raw = slots.filter("loud").select("student", "calendar_year", *kept, "hod", "doy").distinct()
+    return _with_id(_shares(raw, kept, "hod").drop("total_events"), kept)
+
+
 def weekday_table(events: DataFrame, years: DataFrame, *, biweekly: bool = False, keys: list[str] = SEMESTER) -> DataFrame:
     """Active days per weekday (or day of two weeks): ``absolute, relative, total_events``."""
-    raw = _with_years(events.filter(~F.col("event_type").isin(*QUIET)), years).select(
-        "student", *keys, _weekday(biweekly).alias("dow"), plain_day(F.col("event_date")).alias("doy")
-    ).distinct()
-    return _with_id(_shares(raw, keys, "dow"), keys)
+    return _weekdays(active_slots(events, years, keys), biweekly, keys)
 
 
 def hour_table(events: DataFrame, years: DataFrame, *, keys: list[str] = SEMESTER) -> DataFrame:
     """Active hours per hour of day: ``absolute, relative``; the groups do not tell calendar years apart."""
-    raw = _with_years(events.filter(~F.col("event_type").isin(*QUIET)), years).select(
-        "student", "calendar_year", *[k for k in keys if k != "calendar_year"], F.hour("event_date").alias("hod"),
-        plain_day(F.col("event_date")).alias("doy"),
-    ).distinct()
-    kept = [k for k in keys if k != "calendar_year"]
-    return _with_id(_shares(raw, kept, "hod").drop("total_events"), kept)
+    return _hours(active_slots(events, years, keys), keys)
 
 
 def hours_per_day(events: DataFrame, years: DataFrame, *, biweekly: bool = False, keys: list[str] = SEMESTER) -> DataFrame:
@@ -82,10 +98,7 @@ def hours_per_day(events: DataFrame, years: DataFrame, *, biweekly: bool = False
 
 def frequency_hours(events: DataFrame, years: DataFrame, *, keys: list[str] = SEMESTER) -> DataFrame:
     """Active hours counted from the school year's begin, by hour of day then day, and the number of active weeks."""
-    ts = F.col("event_date")
-    raw = _with_years(events, years).select(
-        "student", *keys, F.hour(ts).alias("hod"), plain_day(ts).alias("doy"), week_bucket(ts).alias("woy"), sunday_weekday(ts).alias("dow")
-    ).distinct()
+    raw = active_slots(events, years, keys)
     out = raw.groupBy("student", *keys).agg(
         F.count_distinct("woy").alias("number_of_weeks"),
         F.transform(F.array_sort(F.collect_list(F.struct("hod", "doy"))), lambda x: x["hod"] + x["doy"] * 24).alias("hours_day"),
@@ -173,17 +186,19 @@ def regularity(events: DataFrame, years: DataFrame, *, semesters: bool = True) -
     """
     keys = SEMESTER if semesters else YEARLY
     out_keys = [*keys[:2], "semester_aux", "semester"] if semesters else keys
-    dow2 = weekday_table(events, years, biweekly=True, keys=keys)
-    dow = weekday_table(events, years, keys=keys)
-    hod = hour_table(events, years, keys=keys)
+    slots = checkpointed(active_slots(events, years, keys))  # read by five tables, the log once
+    dow2, hod = checkpointed(_weekdays(slots, True, keys)), _hours(slots, keys)
     weeks2 = hours_per_day(events, years, biweekly=True, keys=keys)
-    hours, days = frequency_hours(events, years, keys=keys), frequency_days(events, years, keys=keys)
+    hours = slots.groupBy("student", *keys).agg(F.collect_set(F.col("hod") + F.col("doy") * 24).alias("h"), F.collect_set("doy").alias("d"))
+    waves = _with_id(hours, keys).select(
+        "student", *out_keys, fourier_magnitude(F.col("h"), 1 / 24).alias("fdh"), fourier_magnitude(F.col("h"), 7 / 24).alias("fwh"),
+        fourier_magnitude(F.col("h"), 14 / 24).alias("fwh_biweek"), fourier_magnitude(F.col("d"), 1 / 7).alias("fwd"),
+    )
     hod_keys = [k for k in out_keys if k != "calendar_year"]
-    weekly = peak(dow2, out_keys, 14, "pwd") if semesters else peak(dow, out_keys, 7, "pwd")
-    out = weekly.join(peak(dow2, out_keys, 14, "pwd_biweek"), ["student", *out_keys], "left")
-    for part in (
-        week_similarity(weeks2, out_keys), fourier(hours, out_keys, "hours_day", 1 / 24, "fdh"), fourier(hours, out_keys, "hours_day", 7 / 24, "fwh"),
-        fourier(hours, out_keys, "hours_day", 14 / 24, "fwh_biweek"), fourier(days, out_keys, "days_year", 1 / 7, "fwd"),
-    ):
-        out = out.join(part, ["student", *out_keys], "left")
+    two = peak(dow2, out_keys, 14, "pwd_biweek")
+    if semesters:
+        out = two.withColumn("pwd", F.col("pwd_biweek"))
+    else:
+        out = peak(_weekdays(slots, False, keys), out_keys, 7, "pwd").join(two, ["student", *out_keys], "left")
+    out = out.join(waves, ["student", *out_keys], "left").join(week_similarity(weeks2, out_keys), ["student", *out_keys], "left")
     return out.join(peak(hod, hod_keys, 24, "phd"), ["student", *hod_keys], "left")

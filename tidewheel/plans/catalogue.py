@@ -713,7 +713,29 @@ def _first_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(nation, "student").select("g", "student", features.dense(F.col("writing_events"), F.col("writing_events_semester_biweek"), 13).alias("v"))
 
 
-@query()
+def _dtw_sql(radius: int, size: int = 13) -> list[str]:
+    """Dense first series of the cohorts, their pairs, and a table for each row of the warping recursion."""
+    keep = " and ".join(f"c.{k} = o.{k}" for k in ("student", "calendar_year", "school_year", "semester"))
+    ctes = [
+        *_HALF,
+        f"""owners as (select {_KEYS} from counts where school_year = 2 and ({_KEYS}) in (select ({_KEYS}) from counts where count_reflection is not null)
+        group by student, calendar_year, school_year, semester having count(writing_events) > 0 qualify row_number() over (partition by student order by calendar_year, semester) = 1)""",
+        f"""dense as (select c_nationkey::bigint as g, o.student, list(coalesce(c.writing_events, 0)::double order by slot) as v from owners o join customer on c_custkey = o.student
+        cross join (select unnest(range({size})) as slot) left join counts c on {keep} and c.semester_biweek = slot group by all)""",
+        f"""row_0 as (select a.g, a.student as i, b.student as j, a.v as x, b.v as y, 0.0::double as r0_0, {", ".join(f"'inf'::double as r0_{j}" for j in range(1, size + 1))}
+        from dense a join dense b on a.g = b.g and a.student < b.student)""",
+    ]
+    for i in range(size):
+        cells = [f"'inf'::double as r{i + 1}_0"]
+        for j in range(size):
+            least = f"least(r{i}_{j}, r{i}_{j + 1}, r{i + 1}_{j})"
+            value = f"pow(x[{i + 1}] - y[{j + 1}], 2) + {least}" if abs(i - j) <= radius else "'inf'::double"
+            cells.append(f"{value} as r{i + 1}_{j + 1}")
+        ctes.append(f"row_{i + 1} as (select g, i, j, x, y, {', '.join(cells)} from row_{i})")
+    return ctes
+
+
+@query(_sql(_dtw_sql(2), "select g, i, j, round(sqrt(r13_13), 6) as d from row_13"))
 def dtw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(distance.dtw_pairs(_first_series(spark, sf_dir), ["g"], "student", "v", 2))
 

@@ -55,10 +55,16 @@ def insert(df: DataFrame, table_name: str) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the shared checkpoint folder; a temporary one is set only where the session has none."""
+    """``df`` stored in the folder that ``spark.checkpoint.dir`` names.
+
+    A temporary folder is set only where there is none and the session runs on one machine; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewheel-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewheel-"))
     return df.checkpoint()
 
 
