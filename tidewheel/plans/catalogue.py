@@ -14,7 +14,7 @@ from ..functions import array_avg, array_median, array_min, median
 from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
 from ..sources import checkpointed, table
 from . import logs, study
-from .config import CLUSTERS, FEATURE_GROUPS, GAMMAS, PROFILE_CLUSTERS, QUIET, WINDOWS, WRITE_R
+from .config import CLUSTERS, FEATURE_GROUPS, GAMMAS, PROFILE_CLUSTERS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
 from .regularity_sql import complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -765,14 +765,37 @@ _RUNS = """runs as (select 'n' || c_nationkey as experiment, (c_custkey % 4 + 2)
 @query(_sql([_RUNS], """select experiment, clusters::bigint as clusters, window_size::bigint as window_size, gamma, s_sil_km from latest
     qualify row_number() over (partition by experiment order by s_sil_km desc, clusters, window_size, gamma) = 1"""))
 def optimal_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(tracking.optimal_params(_runs(spark, sf_dir)).select("experiment", "clusters", "window_size", "gamma", "s_sil_km"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    runs = c.select(
+    return c.select(
         F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("experiment"), (F.col("c_custkey") % 4 + 2).cast("int").alias("clusters"),
         (F.col("c_custkey") % 3).cast("int").alias("window_size"), F.lit(1.0).alias("gamma"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("c_custkey").cast("decimal(18,6)"))).alias("experiment_date"),
         F.round(F.col("c_acctbal") / 10000, 6).alias("s_sil_km"),
     )
-    return _plain(tracking.optimal_params(runs).select("experiment", "clusters", "window_size", "gamma", "s_sil_km"))
+
+
+@query(_sql([_RUNS, """best as (select experiment, clusters, window_size, gamma, s_sil_km from latest where s_sil_km > 0.9
+    qualify row_number() over (partition by experiment order by s_sil_km desc, clusters, window_size, gamma) = 1)"""],
+    """select n as experiment, coalesce(clusters, 2)::bigint as clusters, coalesce(window_size, 1)::bigint as window_size, coalesce(gamma, 1.0) as gamma, s_sil_km from
+    (select 'n' || n_nationkey as n from nation) left join best on experiment = n"""))
+def optimal_params_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiments without a good run have the default parameters."""
+    runs = _runs(spark, sf_dir)
+    runs = runs.withColumn("s_sil_km", F.when(F.col("s_sil_km") > 0.9, F.col("s_sil_km")))
+    every = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("experiment"))
+    return _plain(tracking.optimal_params(runs, experiments=every).select("experiment", "clusters", "window_size", "gamma", "s_sil_km"))
+
+
+@query(_sql([_RUNS.split("latest as")[0].rstrip().rstrip(",")], """select n as experiment, coalesce(clusters, 3)::bigint as clusters, coalesce(window_size, 2)::bigint as window_size,
+    coalesce(gamma, 1.0) as gamma from (select 'n' || unnest(range(30)) as n) left join (select * from runs qualify row_number() over (partition by experiment
+    order by experiment_date desc) = 1) on experiment = n"""))
+def latest_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = spark.range(30).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("experiment"))
+    return _plain(tracking.latest_metadata(_runs(spark, sf_dir), every).select("experiment", "clusters", "window_size", "gamma"))
 
 
 @query("select c_nationkey % 4 as label_a, c_custkey % 3 as label_b, count(*) as n from customer group by all")
@@ -811,7 +834,7 @@ def kmodes_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=())
     wide = labels.groupBy("g", "student").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("s"))
     codes = wide.select("g", "student", F.transform("s", lambda x: x["label"]).alias("codes"))
-    return _plain(cluster.profile_search(codes, PROFILE_CLUSTERS))
+    return _plain(_shown(cluster.profile_search(codes, PROFILE_CLUSTERS)))
 
 
 _GROUPS = {name: group["features"] for name, group in FEATURE_GROUPS.items()}
@@ -842,13 +865,40 @@ def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_by_semester(study.best_cells(study.search_features(_study_distances(spark, sf_dir)))))
 
 
+@query()
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of 2 to 9 clusters of each cohort at one width."""
+    found = cluster.grid_search(_matrices(spark, sf_dir, [2]), ["g", "window_size"], [1.0], SWEEP_CLUSTERS)
+    return _plain(found.select("g", "clusters", "s_distortion", "s_bic", "s_sil_km"))
+
+
+@query()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster.density_labels(_matrices(spark, sf_dir, [2]), ["g"], 0.3, 3)
+    return _plain(found.select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
+
+
 @query()
 def study_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole study: features, groups, and profiles over the groups' labels."""
     d = _study_distances(spark, sf_dir)
     best = study.best_cells(study.search_features(d))
     labels = study.best_labels(study.search_groups(study.group_kernels(d, best, _GROUPS), _GROUPS), "feature_group")
-    return _plain(_by_semester(study.profiles(labels, list(_GROUPS), PROFILE_CLUSTERS)))
+    return _plain(_by_semester(_shown(study.profiles(labels, list(_GROUPS), PROFILE_CLUSTERS))))
+
+
+def _shown(profiles: DataFrame) -> DataFrame:
+    return profiles.withColumn("mode", F.concat_ws(",", F.transform("mode", lambda x: x.cast("string"))))
+
+
+@query()
+def study_adaptive_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole study with clusters smoothed over the six semesters before the profiles are made."""
+    d = _study_distances(spark, sf_dir)
+    kernels = checkpointed(study.group_kernels(d, study.best_cells(study.search_features(d)), _GROUPS))
+    smoothed = study.evolve_groups(kernels, study.search_groups(kernels, _GROUPS), _GROUPS)
+    labels = smoothed.select((F.col("g") * 10 + F.col("t")).alias("g"), "feature_group", "student", "label")
+    return _plain(_by_semester(_shown(study.profiles(labels, list(_GROUPS), PROFILE_CLUSTERS))))
 
 
 from . import people  # noqa: E402, F401 - its queries use what stands above

@@ -53,6 +53,8 @@ FEATURE_GROUPS_WEEKLY = FEATURE_GROUPS | {"regularity": {"features": ["pwd", "fd
 GAMMAS = [round(0.3 + 0.1 * i, 1) for i in range(16)]
 WINDOWS = {"dtw": list(range(13)), "euclidean": [1]}
 CLUSTERS = [2, 3, 4, 5]
+PRODUCT_GAMMAS, PRODUCT_WINDOWS, PRODUCT_CLUSTERS = [0.7, 0.9, 1.0, 1.1, 1.3], [0, 1, 2, 3, 4], [2, 3, 4]
+SWEEP_CLUSTERS = list(range(2, 10))
 PROFILE_CLUSTERS = [2, 3, 4, 5, 6]
 
 PERIOD_KEYS = {"yearly": ["calendar_year", "school_year"], "semester": ["calendar_year", "school_year", "semester"]}

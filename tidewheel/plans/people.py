@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cohort, events, features, regularity
 from ..sources import table
-from . import logs
-from .catalogue import _COHORT, _HALF, _KEYS, _half_events, _list, _order_years, _plain, _sql, query
+from . import logs, study
+from .catalogue import _COHORT, _HALF, _KEYS, _half_events, _list, _order_years, _plain, _report, _sql, query
 from .config import STAFF_NOTIFICATIONS, WRITE_R_IMAGE
 from .regularity_sql import complete
 
@@ -204,6 +204,28 @@ def cohort_active_three_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(cohort.with_all_years(out, out))
 
 
+@query(_sql([*_OTHER, *_COHORT[3:]], "select student from report union select student from active"))
+def cohort_ids_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The students of either cohort, once each."""
+    return _plain(_report(spark, sf_dir).select("student").union(_active(spark, sf_dir).select("student")).distinct())
+
+
+_PLOT = ("writing_events", "total_duration", "distinct_events")
+_PLOT_SQL = " union all ".join(f"select {_KEYS}, '{n}' as feature, semester_biweek as slot, {n}::double as x from kept where {n} is not null" for n in _PLOT)
+
+
+@query(_sql([*_HALF, f"kept as (select * from counts where ({_KEYS}) in (select ({_KEYS}) from counts where count_reflection is not null))", f"each as ({_PLOT_SQL})",
+             "upper as (select feature, case when quantile_cont(x, 0.9) = 0 then 1 else quantile_cont(x, 0.9) end as upper from each group by feature)",
+             f"shown as (select {_KEYS}, feature from each where slot < 13 group by all having sum(x) > 0.01)"],
+    f"""select {_KEYS}, feature, slot::bigint as slot, round(coalesce(x, 0), 6) as v, round(upper, 6) as upper from shown cross join (select unnest(range(13)) as slot)
+    left join each using ({_KEYS}, feature, slot) join upper using (feature)"""))
+def plot_ready_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense series with the limit up to which they are drawn."""
+    counts = features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek")
+    wide = features.series(counts, "semester", "biweek", ("count_reflection", *_PLOT))
+    return _plain(study.plot_series(wide, list(_PLOT), "semester_biweek", 13, ("student", "calendar_year", "school_year", "semester")))
+
+
 _FEATURES = ("writing_events", "total_duration", "tags_ratio", "average_reflection")
 
 

@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cluster, distance, features, tracking
+from ..operators import cluster, distance, evolve, features, tracking
 from ..sources import checkpointed
-from .config import CLUSTERS, GAMMAS, WINDOWS
+from .config import CLUSTERS, GAMMAS, PRODUCT_CLUSTERS, PRODUCT_GAMMAS, PRODUCT_WINDOWS, WINDOWS
 
 
 def dense_features(series: DataFrame, names: list[str], bucket: str, size: int, keys: tuple[str, ...] = ("g", "student")) -> DataFrame:
@@ -31,8 +31,8 @@ def dense_features(series: DataFrame, names: list[str], bucket: str, size: int,
     return series.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.feature", "x.v")
 
 
-def feature_distances(rows: DataFrame, windows: list[int] | None = None) -> DataFrame:
-    """``g, feature, window_size, i, j, d`` by dynamic time warping, scaled to 0..1 in each group; series named ``*_norm`` have length 1."""
+def feature_distances(rows: DataFrame, windows: list[int] | None = None, *, scaled: bool = True) -> DataFrame:
+    """``g, feature, window_size, i, j, d`` by dynamic time warping, scaled to 0..1 in each group or not; series named ``*_norm`` have length 1."""
     rows, parts = checkpointed(rows), []
     norm = F.col("feature").endswith("_norm")
     sides = [(unit, some) for unit, some in ((False, rows.filter(~norm)), (True, rows.filter(norm))) if not some.isEmpty()]
@@ -42,8 +42,10 @@ def feature_distances(rows: DataFrame, windows: list[int] | None = None) -> Data
     if not parts:
         return rows.sparkSession.createDataFrame([], "g long, feature string, window_size int, i long, j long, d double")
     raw = checkpointed(reduce(DataFrame.unionByName, parts))
-    scaled = distance.normalise(raw, ["g", "feature", "window_size"])
-    return checkpointed(scaled.filter("d is not null").select("g", "feature", "window_size", "i", "j", "d"))
+    if not scaled:
+        return raw.select("g", "feature", "window_size", "i", "j", "d")
+    known = distance.normalise(raw, ["g", "feature", "window_size"])
+    return checkpointed(known.filter("d is not null").select("g", "feature", "window_size", "i", "j", "d"))
 
 
 def number_distances(wide: DataFrame, names: list[str]) -> DataFrame:
@@ -75,13 +77,49 @@ def group_kernels(distances: DataFrame, best: DataFrame, groups: dict[str, list[
     return distance.kernel_sum(weighed, ["g", "feature_group"])
 
 
-def search_groups(kernels: DataFrame, groups: dict[str, list[str]], clusters: list[int] | None = None) -> DataFrame:
-    """Scores and labels of every k of every cohort and group; the diagonal of a sum of n kernels is n."""
+def group_squares(kernels: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """``g, feature_group, keys, matrix, whole`` of kernel sums; the diagonal of a sum of n kernels is n."""
     size = F.create_map(*[F.lit(x) for g, names in groups.items() for x in (g, float(len(names)))])
-    square = distance.square(kernels, ["g", "feature_group"], 0.0, "w").withColumn("_n", size[F.col("feature_group")])
-    filled = F.transform("matrix", lambda row, i: F.transform(row, lambda x, j: F.when(i == j, F.col("_n")).otherwise(x)))
-    found = cluster.grid_search(square.withColumn("matrix", filled).drop("_n"), ["g", "feature_group", "keys"], [], clusters or CLUSTERS, kernel=True)
-    return checkpointed(found)
+    square = distance.square(kernels, ["g", "feature_group"], 0.0, "w").withColumn("whole", size[F.col("feature_group")])
+    filled = F.transform("matrix", lambda row, i: F.transform(row, lambda x, j: F.when(i == j, F.col("whole")).otherwise(x)))
+    return square.withColumn("matrix", filled)
+
+
+def search_groups(kernels: DataFrame, groups: dict[str, list[str]], clusters: list[int] | None = None) -> DataFrame:
+    """Scores and labels of every k of every cohort and group."""
+    squares = group_squares(kernels, groups).drop("whole")
+    return checkpointed(cluster.grid_search(squares, ["g", "feature_group", "keys"], [], clusters or CLUSTERS, kernel=True))
+
+
+def evolve_groups(kernels: DataFrame, log: DataFrame, groups: dict[str, list[str]], clusters: list[int] | None = None) -> DataFrame:
+    """``g, feature_group, student, t, label, clusters, alphas``: each group's clusters smoothed over the periods.
+
+    A cohort ``g`` of ``kernels`` and ``log`` is ten times the cohort of the result plus the period ``t``. The first period has as many clusters as
+    its own search in ``log`` chose, later ones as many as serve their smoothed kernels best.
+    """
+    best = log.groupBy("g", "feature_group").agg(F.max_by("clusters", F.struct("s_sil_km", -F.col("clusters"))).alias("clusters"))
+    rows = group_squares(kernels, groups).join(best, ["g", "feature_group"])
+    rows = rows.select(F.expr("g div 10").alias("g"), (F.col("g") % 10).alias("t"), "feature_group", "keys", "matrix", "clusters", "whole")
+    return checkpointed(evolve.evolve_kernels(rows, search=tuple(clusters or CLUSTERS)))
+
+
+def search_products(distances: DataFrame, features: list[str]) -> DataFrame:
+    """Scores of all combinations of the product grid's widths and windows for a group of two or three features."""
+    some = distances.filter(F.col("feature").isin(features) & F.col("window_size").isin(PRODUCT_WINDOWS))
+    squares = distance.square(some, ["g", "feature", "window_size"], 0.0, "d")
+    return cluster.product_search(squares, features, PRODUCT_GAMMAS, PRODUCT_WINDOWS, PRODUCT_CLUSTERS)
+
+
+def plot_series(wide: DataFrame, names: list[str], bucket: str, size: int, keys: tuple[str, ...] = ("student",)) -> DataFrame:
+    """``keys..., feature, slot, v, upper``: dense series ready to be drawn, each with its feature's upper limit, the 90th percentile of all
+    values that the sparse series hold (1 if that is 0). Series that sum to 0.01 or less are left out."""
+    values = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names))
+    each = wide.select(F.explode(values).alias("s")).select("s.feature", F.explode("s.x").alias("x")).filter(~F.isnan("x"))
+    upper = each.groupBy("feature").agg(F.percentile("x", F.lit(0.9)).alias("upper"))
+    upper = upper.withColumn("upper", F.when(F.col("upper") == 0, 1.0).otherwise(F.col("upper")))
+    rows = dense_features(wide, names, bucket, size, keys)
+    shown = rows.filter(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) > 0.01)
+    return shown.join(F.broadcast(upper), "feature").select(*keys, "feature", F.posexplode("v").alias("slot", "v"), "upper")
 
 
 def best_labels(log: DataFrame, by: str) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..plans.config import WRITE, WRITE_R
 
 _IDLE = "student long, event_type string, event_date timestamp, minutes double, maximum double"
-#: Gaps that a student's state keeps for each type of event.
-KEPT_GAPS = 512
 
 
 def read_log(spark, path: str, schema) -> DataFrame:
@@ -58,13 +56,12 @@ def _idle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     out = []
     rows = pd.concat(list(frames), ignore_index=True).sort_values("event_date", kind="stable")
     for kind, ts in zip(rows["event_type"], rows["event_date"], strict=True):
-        if last is not None:
+        if last is not None and ts >= last:  # a late event comes too late to end a gap
             minutes = (ts - last).total_seconds() / 60
             fence = _fence(seen.get(kind, []))
             if (fence is not None and minutes > fence and fence > 20) or (kind == "log in" and minutes > 60) or minutes > 120:
                 out.append((key[0], kind, last + pd.Timedelta(seconds=3), minutes, fence))
             seen.setdefault(kind, []).append(minutes)
-            del seen[kind][:-KEPT_GAPS]
         last = ts if last is None or ts > last else last
     state.update((last, list(seen), list(seen.values())))
     yield pd.DataFrame(out, columns=["student", "event_type", "event_date", "minutes", "maximum"])
@@ -73,7 +70,7 @@ def _idle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 def inactivity(events: DataFrame) -> DataFrame:
     """Inactivity rows as events arrive: a gap is judged by the fence of the student's earlier gaps of that type.
 
-    Unlike in the batch the fence knows the past alone, and at most ``KEPT_GAPS`` gaps of a type.
+    Unlike in the batch the fence knows the past alone. A student's state holds the gaps so far, a number for each event.
     """
     return events.select("student", "event_type", "event_date").groupBy("student").applyInPandasWithState(
         _idle, _IDLE, "last timestamp, kinds array<string>, gaps array<array<double>>", "append", GroupStateTimeout.NoTimeout
