@@ -161,6 +161,28 @@ def test_quality_scores_on_held_out_rows(spark, labelled):
     assert np.mean([out[i].predicted == (i % 5 != 0) for i in held]) > 0.97
 
 
+def test_quality_scores_of_shared_ids_long_texts_and_clashing_columns(spark, labelled):
+    docs, labels = labelled
+    rng = random.Random(2)
+    good, bad = prose(rng, 90), junk(rng, 80)
+    more = spark.createDataFrame([(8000, good, None), (8000, bad, None), (8000, good, None), (8001, (good + " ") * 5000, None)], DOCS)
+    named = docs.union(more).selectExpr("*", "0.5 as score", "1 as predicted", "true as held_out", "7 as quality", "0.1 as mean_word")
+    out = [r for r in quality_scores(named, labels).collect() if r.doc_id in (8000, 8001)]
+    assert len(out) == 4 and len({r.score for r in out if r.doc_id == 8000}) == 2
+    assert sorted(r.predicted for r in out if r.doc_id == 8000) == [0, 1, 1]
+
+
+def test_lasso_meets_its_conditions():
+    """Where a weight is not 0 the log-loss's slope is the penalty against it, elsewhere no steeper."""
+    rng = np.random.default_rng(9)
+    z = (rng.random((500, 6)) < 0.4).astype(float)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * z[:, 0] - 1.5 * z[:, 1])))).astype(float)
+    w, b = lasso_logistic(z, y, 0.02, steps=5000)
+    slope = z.T @ (1 / (1 + np.exp(-(z @ w + b))) - y) / 500
+    assert np.allclose(slope[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-6) and (np.abs(slope) <= 0.02 + 1e-6).all()
+    assert (w[:2] != 0).all() and (w == 0).any()
+
+
 def test_quality_scores_do_not_look_at_held_out_labels(spark, labelled):
     docs, labels = labelled
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, 1 - quality, quality) quality", "toxic")

@@ -141,8 +141,8 @@ def quality_scores(
     crc32(doc_id as text) mod ``modulus`` is not ``held``; statistics and scores cover every row.
 
     A null text counts as an empty one. Rows with a null id are scored, never learnt from, and not held out. A label
-    repeated for an id counts once (the largest). With no usable labels, or labels of one kind, the score is
-    the smoothed share of label 1. Other columns are ignored.
+    repeated for an id counts once (the largest); rows that share an id are scored each by its own text. With no usable labels, or
+    labels of one kind, the score is the smoothed share of label 1. A text is held whole in its task. Other columns are ignored.
     """
     stats = Stored(rule_statistics(docs, id_col, text_col), "quality-stats").df
     x, y = labelled_sample(stats.filter(learns(modulus, held)), labels, st.MODEL_FIELDS, limit)

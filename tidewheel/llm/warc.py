@@ -307,7 +307,8 @@ def salvage_archives(files: DataFrame, folder: str, gap_log: str) -> DataFrame:
 def archived_pages(pages: DataFrame, *, least: int = 1000, **names: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every row of ``pages``, from archives read back.
 
-    Other columns are ignored; an empty table gives no archive and no row. Archives that do not give back every record that
+    Each row is judged by its own payload, also where an id is null or comes with several; a null payload is an empty one, and one record is held
+    whole in a task. Other columns are ignored; an empty table gives no archive and no row. Archives that do not give back every record that
     was written, without a gap, are an error, so no page is lost unnoticed.
     """
     folder = new_path(pages.sparkSession, "warc")
