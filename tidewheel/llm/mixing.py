@@ -85,11 +85,19 @@ def rake(
     still misses its target.
 
     A margin's target is ``targets[dim]`` (values left out get 0; scaled to the values there are), or else
-    proportional to the margin's tokens to the power ``temper``. ``one_task``: few cells are raked in one
+    proportional to the margin's tokens to the power ``temper``; that of a topic within each of its languages, as most topics belong to one
+    language and could not meet a target apart from it. ``one_task``: few cells are raked in one
     partition, where no window needs a shuffle; more are summed by key and joined to their sums.
     """
     cells, dims = cells.coalesce(1) if one_task else cells, list(DIMS)
     for d in dims:
+        if d == "topic" and not (targets and d in targets):
+            # A topic's target is made of shares of its languages' targets, so both margins can be met at once.
+            part = F.pow(F.col("_tokens").cast("double"), F.lit(temper))
+            cells = _with_sums(cells, ["lang", "topic"], one_task, _tokens=F.sum("tokens"), _cells=F.count("*")).withColumn("_part", part / F.col("_cells"))
+            cells = _with_sums(cells, ["lang"], one_task, _whole=F.sum("_part")).withColumn("_part", F.col("t_lang") * F.col("_part") / F.col("_whole"))
+            cells = _with_sums(cells, ["topic"], one_task, t_topic=F.sum("_part")).drop("_tokens", "_cells", "_part", "_whole")
+            continue
         if targets and d in targets:
             given = F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv])
             target = F.coalesce(F.try_element_at(given, F.col(d)).cast("double"), F.lit(0.0))
@@ -201,10 +209,15 @@ def oracle(fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: in
         coalesce(len(regexp_extract_all(text, '{word}')), 0)::bigint as tokens from counted)""",
         "cells as (select source, lang, topic, sum(tokens)::double as tokens from marked group by all having sum(tokens) > 0)",
     ]
-    raw = ", ".join(f"pow(sum(tokens) over (partition by {d}), {temper}) as r_{d}, count(*) over (partition by {d}) as k_{d}" for d in DIMS)
-    share = ", ".join(f"r_{d} / sum(r_{d} / k_{d}) over () as t_{d}" for d in DIMS)
-    parts.append(f"raw as (select *, {raw} from cells)")
-    parts.append(f"w0 as (select source, lang, topic, tokens, {share}, tokens / sum(tokens) over () as weight from raw)")
+    by = {"source": "source", "lang": "lang", "pair": "lang, topic"}
+    raw = ", ".join(f"pow(sum(tokens) over (partition by {k}), {temper}) as r_{n}, count(*) over (partition by {k}) as k_{n}" for n, k in by.items())
+    parts += [
+        f"raw as (select *, {raw} from cells)",
+        """aims as (select *, r_source / sum(r_source / k_source) over () as t_source, r_lang / sum(r_lang / k_lang) over () as t_lang,
+        r_pair / k_pair / sum(r_pair / k_pair) over (partition by lang) as p_topic from raw)""",
+        """w0 as (select source, lang, topic, tokens, t_source, t_lang, sum(t_lang * p_topic) over (partition by topic) as t_topic,
+        tokens / sum(tokens) over () as weight from aims)""",
+    ]
     n = 0
     for _ in range(sweeps):
         for d in DIMS:
