@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .runtime import input_texts, kept, new_path, text_blocks, trim
 
 #: Distinct pieces of text whose ids a worker keeps, twice over.
-CACHE_PIECES = 160_000
+CACHE_PIECES = 120_000
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 4 << 20
 #: Bytes of text in a part.
 PART_BYTES = 256 << 20
 #: Characters whose classes are alike in all Unicode versions at hand: up to Latin Extended-B, no odd controls.
@@ -173,6 +173,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                     out.write(end)
                     lengths.append(len(data) // encoder.kind.itemsize + 1)
                 docs.extend(ids)
+                trim()
         offsets = np.zeros(len(lengths) + 1, "<i8")
         np.cumsum(lengths, out=offsets[1:])
         offsets.tofile(f"{folder}/{name}.off")
