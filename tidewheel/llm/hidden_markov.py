@@ -33,7 +33,7 @@ FLUSH = 400_000
 #: Token places that are scored at one time (texts times the longest text's length in a batch).
 PLACES = 1 << 20
 #: Token places of a text whose forward values are kept at a time for the backward pass.
-SEGMENT = 4096
+SEGMENT = 1 << 16
 ROWS = 10_000
 END = b"\n"  # no word holds white space, so this cannot be one
 
