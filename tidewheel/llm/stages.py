@@ -21,6 +21,8 @@ from .token_files import token_table
 
 #: Share of the tokens that mixing keeps.
 MIX_FRACTION = 0.9
+#: Bytes of text that are encoded at a time, in executors that still hold what earlier stages needed.
+TOKEN_BLOCK = 4 << 20
 #: Words in a shingle of near duplicates; the two words of ``op1_near_dedup`` are that query's own contract.
 NEAR_WIDTH = 5
 
@@ -78,4 +80,4 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every row, read back from its token files; a null text is an empty one."""
-    return token_table(docs, tokenizer_path())
+    return token_table(docs, tokenizer_path(), block_bytes=TOKEN_BLOCK)

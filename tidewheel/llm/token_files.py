@@ -28,7 +28,7 @@ from .runtime import input_texts, kept, new_path, text_blocks, trim
 #: Distinct pieces of text whose ids a worker keeps, twice over.
 CACHE_PIECES = 120_000
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 6 << 20
 #: Bytes of text in a part.
 PART_BYTES = 256 << 20
 #: Characters whose classes are alike in all Unicode versions at hand: up to Latin Extended-B, no odd controls.
@@ -156,7 +156,7 @@ _PART = pa.schema(
 )
 
 
-def _write(folder: str, tokenizer: str, end_id: int):
+def _write(folder: str, tokenizer: str, end_id: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(("encoder", tokenizer), lambda: Encoder(tokenizer))
         part = TaskContext.get().partitionId()
@@ -166,7 +166,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         end = np.array([end_id], encoder.kind).tobytes()
         lengths, docs = [], []
         with open(f"{folder}/{name}.ids", "wb") as out:
-            for ids, texts in text_blocks(batches, ENCODE_BYTES):
+            for ids, texts in text_blocks(batches, block_bytes):
                 strings = ["" if t is None else t.decode("utf-8", "replace") for t in texts]
                 for data in encoder.encode(strings):
                     out.write(data)
@@ -199,12 +199,14 @@ class TokenStore:
 
     @classmethod
     def write(
-        cls, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, *, id_col: str = "doc_id", text_col: str = "text"
-    ) -> TokenStore:
+        cls, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, *, id_col: str = "doc_id", text_col: str = "text",
+        block_bytes: int = ENCODE_BYTES,
+    ) -> TokenStore:
         """Encode every text (null: empty) with ``end_id`` after it, in ascending order of id (null ids first).
 
         Texts that share an id follow each other in order of a hash of the text, and may lie in several parts. A part
-        has about ``PART_BYTES`` of text, whatever the input's size; a text is held whole in its task. Other columns are ignored.
+        has about ``PART_BYTES`` of text, whatever the input's size; a text is held whole in its task. ``block_bytes`` of text are encoded at a time: fewer take
+        less memory and more time. Other columns are ignored.
         """
         src = input_texts(docs, id_col, text_col)
         size = src.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -212,7 +214,7 @@ class TokenStore:
         order = ["doc_id", F.xxhash64("text")]
         ordered = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
         made = ordered.mapInArrow(
-            _write(_local(folder), tokenizer, end_id), "part int, name string, n_docs long, n_ids long, kind string"
+            _write(_local(folder), tokenizer, end_id, block_bytes), "part int, name string, n_docs long, n_ids long, kind string"
         )
         return cls(folder, [r.asDict() for r in made.collect()])  # one small row for each part
 
@@ -249,7 +251,7 @@ def open_part(folder: str, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return doc, nulls, np.memmap(f"{at}.off", "<i8", "r", shape=(n + 1,)), np.memmap(f"{at}.ids", part["kind"], "r")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, *, folder: str | None = None, **names: str) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, *, folder: str | None = None, **names: object) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` per row: ``docs`` written as token files in a shared folder and read back.
 
     A null text is an empty one (its end alone); null ids come first and stay null; repeated rows are encoded each; an empty table
