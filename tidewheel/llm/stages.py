@@ -1,7 +1,7 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame with the columns of ``docs``.
 
-Filtering stages number the rows and judge each by its own text, so null ids and ids with several texts are
-judged like any other. Null and empty texts are too short for the quality rules; the later stages alone would keep them.
+Filtering stages judge each row by its own text, known by a hash of it or, between near duplicates, by a row number, so null ids and
+ids with several texts are judged like any other. Null and empty texts are too short for the quality rules; the later stages alone would keep them.
 Other columns are carried along, whatever their names. An empty table gives an empty one. The last stage returns what the
 token files hold.
 """
@@ -27,14 +27,19 @@ TOKEN_BLOCK = 4 << 20
 NEAR_WIDTH = 5
 
 
+def _by_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 64-bit hash of the text in the column ``ROW``: verdicts on texts need no stored copy of the rows."""
+    return docs.withColumn(ROW, F.xxhash64("text"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that neither the fixed rules nor the isolation forest reject; null, empty and short texts go, repeated rows stay.
 
     A label counts for every row of its id; a very long text is held whole in its task.
     """
     with scope():
-        rows = numbered(docs, keep=True)
-        # The operator learns and answers by row number; labels are few, so they take the rows' numbers.
+        rows = _by_text(docs)
+        # The operator learns and answers by the text's key; labels are few, so they take those keys.
         labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         known = labels.withColumnRenamed("doc_id", "__tw_doc").join(rows.select("doc_id", ROW), F.col("__tw_doc") == F.col("doc_id"))
         verdicts = quality_verdicts(rows.select(ROW, "text"), known.select(F.col(ROW).alias("doc_id"), "quality"), id_col=ROW)
@@ -63,7 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any window of a benchmark item; null and wordless texts have none. Repeated rows are judged alike."""
     with scope():
-        rows = numbered(docs, keep=True)
+        rows = _by_text(docs)
         found = contamination(rows.select(ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
         gone = stored(found.filter("contaminated").select("doc_id"), "contaminated", keep=True)
     return keep_ids(rows, ROW, gone, "left_anti").drop(ROW)
