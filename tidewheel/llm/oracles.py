@@ -48,3 +48,13 @@ WARC = """with p as (select page_id, coalesce(html, '') as h from pages),
     case when payload_bytes >= 1000 and page_id != keeper then keeper end as refers_to from k"""
 
 MIXING = mixing_sql()
+
+LEXICAL_SEARCH = f"""with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') as w from documents),
+    i as (select row_number() over () as i, item_id, list_distinct(regexp_extract_all({_LOWER}, '{_ALNUM}')) as w from (select distinct item_id, text from benchmark)),
+    q as (select i, unnest(w) as t from i), p as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) group by all),
+    s as (select count(*) as docs, sum(len(w))::bigint as words from d where len(w) > 0),
+    f as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, s where t in (select t from q) group by t, docs),
+    m as (select r, doc_id, (100 - 50 + (50 * len(w) * docs) // words)::bigint as m from d, s where len(w) > 0),
+    x as (select i, r, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from q join f using (t) join p using (t) join m using (r) group by all),
+    o as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls first) as rank from x join m using (r) where score > 0)
+    select item_id, rank::int as rank, doc_id, score from o join i using (i) where rank <= 50"""

@@ -11,6 +11,7 @@ from . import oracles
 from .decontaminate import contamination
 from .hidden_markov import language_scores
 from .language_id import identify
+from .lexical_search import search
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -76,6 +77,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_quality_rules,
         op10_language_id,
+        op12_ranked_search,
         op13_best_fit_packing,
     )
 }
@@ -103,4 +109,5 @@ ORACLES: dict[str, str] = {
     "op4_warc": oracles.WARC,
     "op7_decontamination": oracles.DECONTAMINATION,
     "op8_mixing": oracles.MIXING,
+    "op12_ranked_search": oracles.LEXICAL_SEARCH,
 }
