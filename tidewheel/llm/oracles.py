@@ -58,3 +58,14 @@ LEXICAL_SEARCH = f"""with d as (select row_number() over () as r, doc_id, regexp
     x as (select i, r, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from q join f using (t) join p using (t) join m using (r) group by all),
     o as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls first) as rank from x join m using (r) where score > 0)
     select item_id, rank::int as rank, doc_id, score from o join i using (i) where rank <= 50"""
+
+HARD_NEGATIVES = """with e as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, embedding as x from embeddings
+        where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+    v as (select r, vec_id, label, list_transform(x, lambda c: floor(256 * c::double)::bigint) as v from e),
+    s as (select a.r, a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.v, b.v, true), lambda c: c[1] * c[2]))::bigint as score
+        from v a join v b on a.vec_id % 100 = 0 and a.r != b.r),
+    p as (select r, anchor_id, other_id as positive_id, score as positive_score, row_number() over (partition by r order by score desc, other_id) as n from s where same),
+    q as (select p.r, p.n, p.anchor_id, positive_id, positive_score, other_id as negative_id, score as negative_score,
+        row_number() over (partition by p.r, p.n order by score desc, other_id) as rank
+        from p join s on p.r = s.r and not same and 80 * positive_score <= 100 * score and score <= positive_score where p.n <= 5)
+    select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from q where rank <= 5"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import contamination
+from .hard_negatives import mine
 from .hidden_markov import language_scores
 from .language_id import identify
 from .lexical_search import search
@@ -77,6 +78,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_quality_rules,
         op10_language_id,
+        op11_hard_negatives,
         op12_ranked_search,
         op13_best_fit_packing,
     )
@@ -109,5 +116,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": oracles.WARC,
     "op7_decontamination": oracles.DECONTAMINATION,
     "op8_mixing": oracles.MIXING,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
     "op12_ranked_search": oracles.LEXICAL_SEARCH,
 }
