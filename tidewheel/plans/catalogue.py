@@ -14,7 +14,7 @@ from ..functions import array_avg, array_median, array_min, median
 from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
 from ..sources import checkpointed, table
 from . import logs, study
-from .config import CLUSTERS, FEATURE_GROUPS, GAMMAS, PROFILE_CLUSTERS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
+from .config import CLUSTERS, GAMMAS, PROFILE_CLUSTERS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
 from .regularity_sql import complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -837,34 +837,6 @@ def kmodes_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_shown(cluster.profile_search(codes, PROFILE_CLUSTERS)))
 
 
-_GROUPS = {name: group["features"] for name, group in FEATURE_GROUPS.items()}
-_SHORT = [f for group in FEATURE_GROUPS.values() if group["metric"] == "euclidean" for f in group["features"]]
-_LONG = [f for group in FEATURE_GROUPS.values() if group["metric"] == "dtw" for f in group["features"]]
-
-
-def _study_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all features over every window; a cohort is a nation in one of six semesters, ``g`` = 10 * nation + semester."""
-    names = tuple(dict.fromkeys(["count_reflection", *(f.removesuffix("_norm") for f in _LONG)]))
-    s = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", names)
-    r = regularity.regularity(logs.order_log(spark, sf_dir), _order_years(spark, sf_dir)).drop("semester").withColumnRenamed("semester_aux", "semester")
-    keys = ["student", "calendar_year", "school_year", "semester"]
-    wide = _semesters(spark, sf_dir, s.join(r.select(*keys, *_SHORT), keys, "left")).withColumn("g", F.col("g") * 10 + F.col("t"))
-    wide = checkpointed(wide)
-    series = study.feature_distances(study.dense_features(wide, _LONG, "semester_biweek", 13))
-    return checkpointed(series.unionByName(study.number_distances(wide, _SHORT)))
-
-
-def _by_semester(df: DataFrame) -> DataFrame:
-    rest = [c for c in df.columns if c != "g"]
-    return df.select(F.expr("g div 10").alias("g"), (F.col("g") % 10).alias("t"), *rest)
-
-
-@query()
-def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best window, width and number of clusters of each cohort, semester and feature."""
-    return _plain(_by_semester(study.best_cells(study.search_features(_study_distances(spark, sf_dir)))))
-
-
 @query()
 def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of 2 to 9 clusters of each cohort at one width."""
@@ -878,27 +850,8 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(found.select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
 
 
-@query()
-def study_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole study: features, groups, and profiles over the groups' labels."""
-    d = _study_distances(spark, sf_dir)
-    best = study.best_cells(study.search_features(d))
-    labels = study.best_labels(study.search_groups(study.group_kernels(d, best, _GROUPS), _GROUPS), "feature_group")
-    return _plain(_by_semester(_shown(study.profiles(labels, list(_GROUPS), PROFILE_CLUSTERS))))
-
-
 def _shown(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("mode", F.concat_ws(",", F.transform("mode", lambda x: x.cast("string"))))
 
 
-@query()
-def study_adaptive_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole study with clusters smoothed over the six semesters before the profiles are made."""
-    d = _study_distances(spark, sf_dir)
-    kernels = checkpointed(study.group_kernels(d, study.best_cells(study.search_features(d)), _GROUPS))
-    smoothed = study.evolve_groups(kernels, study.search_groups(kernels, _GROUPS), _GROUPS)
-    labels = smoothed.select((F.col("g") * 10 + F.col("t")).alias("g"), "feature_group", "student", "label")
-    return _plain(_by_semester(_shown(study.profiles(labels, list(_GROUPS), PROFILE_CLUSTERS))))
-
-
-from . import people  # noqa: E402, F401 - its queries use what stands above
+from . import cantons, people  # noqa: E402, F401 - their queries use what stands above

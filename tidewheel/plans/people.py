@@ -17,7 +17,7 @@ RAW = {
     "users_types": """select c_custkey as user_id, case c_mktsegment when 'BUILDING' then 'studente' when 'MACHINERY' then 'docente'
         else 'formatore' end as user_type from {customer}""",
     "users": """select c_custkey as user_id, case when c_nationkey % 2 = 0 then 'ita' else 'fra' end as language,
-        case when c_nationkey % 3 = 0 then 'ti' else 'ge' end as canton, c_acctbal < 0 as archived from {customer} where c_custkey % 11 <> 0""",
+        case when c_nationkey % 3 = 0 then 'ti' when c_nationkey = 4 then 'ge' else 'zh' end as canton, c_acctbal < 0 as archived from {customer} where c_custkey % 11 <> 0""",
     "users_classes": "select c_custkey as user_id, c_custkey % 4 as number_of_classes from {customer} where c_custkey % 3 = 0",
     "communication_users": """select o_custkey as user_id, count(*) as number_of_communications, sum(o_orderkey % 5) as total_reads from {orders}
         where o_orderkey % 2 = 0 group by o_custkey""",
