@@ -844,14 +844,8 @@ def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(found.select("g", "clusters", "s_distortion", "s_bic", "s_sil_km"))
 
 
-@query()
-def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cluster.density_labels(_matrices(spark, sf_dir, [2]), ["g"], 0.3, 3)
-    return _plain(found.select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
-
-
 def _shown(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("mode", F.concat_ws(",", F.transform("mode", lambda x: x.cast("string"))))
 
 
-from . import cantons, people  # noqa: E402, F401 - their queries use what stands above
+from . import cantons, pair_queries, people  # noqa: E402, F401 - their queries use what stands above

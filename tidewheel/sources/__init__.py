@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,18 +57,35 @@ def insert(df: DataFrame, table_name: str) -> None:
     nan_to_null(df).write.insertInto(table_name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    A temporary folder is set only where there is none and the session runs on one machine; on a cluster that is an error.
+    A temporary folder is made only where there is none and the session runs on one machine; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewheel-"))
-    return df.checkpoint()
+        named = getattr(sc, "_tidewheel_tables", None) or tempfile.mkdtemp(prefix="tidewheel-")
+        sc._tidewheel_tables = named
+    return named.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system; silent if it or the session has gone."""
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back, which cuts its lineage; the files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidewheel-tables/{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def save_csv(df: DataFrame, path: str, *, separator: str = ",", null: str = "") -> None:
