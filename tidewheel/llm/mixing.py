@@ -21,7 +21,12 @@ from .text import SPACE_WORD
 DIMS = ("source", "lang", "topic")
 #: Cells up to which raking runs in one task and the cells' table is broadcast: some 10 MB of rows.
 SMALL_CELLS = 100_000
-SWEEPS, SWEEPS_A_TABLE = 20, 5
+#: Sweeps between two looks at the margins: of cells in one task, and of more cells.
+SWEEPS_A_LOOK, SWEEPS_A_TABLE = 200, 5
+#: Raking ends when no margin misses its target by more than this share of all weight, or the miss has shrunk by less than a tenth since the last look.
+CLOSE, PROGRESS = 1e-10, 0.9
+#: Sweeps that the SQL spells out: more than these tables need to come as close.
+SQL_SWEEPS = 1000
 #: Topics, and the share of documents (one in so many) above which a word tells nothing of the topic.
 TOPICS, TOPIC_SHARE = 6, 10
 #: Share of all weight by which a margin may miss its target after raking before a warning is given.
@@ -77,8 +82,55 @@ def _with_sums(cells: DataFrame, keys: list[str], one_task: bool, **sums: Column
     return cells.join(by, keys) if keys else cells.crossJoin(F.broadcast(by))  # one row
 
 
+def _swept(cells: DataFrame, sweeps: int) -> DataFrame:
+    """``cells`` after some sweeps: one row of arrays, in which each step divides the weights by their margins' sums and multiplies by the targets."""
+    rows = F.array_sort(F.collect_list(F.struct(*DIMS, *[c for c in cells.columns if c not in DIMS])))
+    one = cells.agg(rows.alias("rows")).withColumn("start", F.transform("rows", lambda r: r["weight"]))
+    for d in DIMS:
+        one = _margins_of(one, d)
+    one = one.select("rows", "start", *(F.array(*(F.col(f"{c}_{d}") for d in DIMS)).alias(c) for c in ("member", "at", "aim")))
+
+    def step(w: Column, i: Column) -> Column:
+        d = F.pmod(i, F.lit(len(DIMS)))
+        sums = F.transform(F.col("member")[d], lambda some: F.aggregate(some, F.lit(0.0), lambda s, c: s + w[c]))
+        # The sums are an array's only element, so that they are computed once.
+        return F.transform(
+            F.array(sums), lambda m: F.zip_with(w, F.col("at")[d], lambda x, j: F.when(m[j] > 0, x * F.col("aim")[d][j] / m[j]).otherwise(F.lit(0.0)))
+        )[0]
+
+    swept = one.select("rows", F.aggregate(F.sequence(F.lit(0), F.lit(len(DIMS) * sweeps - 1)), F.col("start"), step).alias("w"))
+    return swept.select(F.explode(F.arrays_zip("rows", "w")).alias("x")).select(*(F.col("x.w").alias(c) if c == "weight" else F.col(f"x.rows.{c}").alias(c) for c in cells.columns))
+
+
+def _swept_tables(cells: DataFrame, sweeps: int) -> DataFrame:
+    """The same over tables, each step an aggregate and a join; a sweep is stored."""
+    for _ in range(sweeps):
+        for d in DIMS:
+            step = F.when(F.col("_margin") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("_margin")).otherwise(F.lit(0.0))
+            cells = _with_sums(cells, [d], False, _margin=F.sum("weight")).withColumn("weight", step).drop("_margin")
+        cells = stored(cells, "swept")
+    return cells
+
+
+def _margins_of(one: DataFrame, d: str) -> DataFrame:
+    """The cells of each value of ``d``, each cell's value by its place, and the values' targets."""
+    values = one.withColumn("_v", F.array_distinct(F.transform("rows", lambda r: r[d])))
+    placed = values.withColumn(f"at_{d}", F.transform("rows", lambda r: (F.array_position("_v", r[d]) - 1).cast("int")))
+    numbers = F.sequence(F.lit(0), F.size("_v") - 1)
+    places = F.sequence(F.lit(0), F.size("rows") - 1)
+    members = F.transform(numbers, lambda j: F.filter(places, lambda c: F.col(f"at_{d}")[c] == j))
+    aims = F.transform(F.col(f"member_{d}"), lambda some: F.col("rows")[some[0]][f"t_{d}"])
+    return placed.withColumn(f"member_{d}", members).withColumn(f"aim_{d}", aims).drop("_v")
+
+
+def _missed(cells: DataFrame) -> float:
+    """The most by which a margin misses its target."""
+    errors = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"t_{d}")).alias("e")) for d in DIMS]
+    return max((df.agg(F.max("e")).first()[0] or 0.0) for df in errors)
+
+
 def rake(
-    cells: DataFrame, *, temper: float = 0.5, sweeps: int = SWEEPS, targets: dict[str, dict[str, float]] | None = None,
+    cells: DataFrame, *, temper: float = 0.5, sweeps: int | None = None, targets: dict[str, dict[str, float]] | None = None,
     one_task: bool = True,
 ) -> DataFrame:
     """``cells`` (dims and ``tokens`` > 0) with the column ``weight``, which sums to 1, and ``margin_error``, the most by which any margin
@@ -86,8 +138,9 @@ def rake(
 
     A margin's target is ``targets[dim]`` (values left out get 0; scaled to the values there are), or else
     proportional to the margin's tokens to the power ``temper``; that of a topic within each of its languages, as most topics belong to one
-    language and could not meet a target apart from it. ``one_task``: few cells are raked in one
-    partition, where no window needs a shuffle; more are summed by key and joined to their sums.
+    language and could not meet a target apart from it. Sweeps go on until every margin is within ``CLOSE`` of its target, or there is no more
+    ``PROGRESS`` (a target that no cell can meet); ``sweeps``, if given, says how many instead. An empty table stays empty. ``one_task``: few cells are raked
+    as arrays in one row; more are summed by key and joined to their sums.
     """
     cells, dims = cells.coalesce(1) if one_task else cells, list(DIMS)
     for d in dims:
@@ -107,14 +160,14 @@ def rake(
         cells = _with_sums(cells, [], one_task, _whole=F.sum(F.col(f"t_{d}") / F.col("_cells")))
         cells = cells.withColumn(f"t_{d}", F.col(f"t_{d}") / F.col("_whole")).drop("_tokens", "_cells", "_whole")
     cells = _with_sums(cells, [], one_task, _whole=F.sum("tokens")).withColumn("weight", F.col("tokens") / F.col("_whole")).drop("_whole")
-    for i in range(sweeps):
-        for d in dims:
-            step = F.when(F.col("_margin") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("_margin")).otherwise(F.lit(0.0))
-            cells = _with_sums(cells, [d], one_task, _margin=F.sum("weight")).withColumn("weight", step).drop("_margin")
-            if not one_task:
-                cells = stored(cells, "raked")
-        if one_task and i % SWEEPS_A_TABLE == SWEEPS_A_TABLE - 1:
-            cells = stored(cells, "raked").coalesce(1)
+    look, missed = sweeps or (SWEEPS_A_LOOK if one_task else SWEEPS_A_TABLE), None
+    cells = stored(cells, "unraked")
+    while not cells.isEmpty():
+        cells = stored(_swept(cells, look) if one_task else _swept_tables(cells, look), "raked")
+        before, missed = missed, _missed(cells)
+        if sweeps or missed <= CLOSE or before is not None and missed > PROGRESS * before:
+            break
+    cells = cells.coalesce(1) if one_task else cells
     cells = _with_sums(cells, [], one_task, _whole=F.sum("weight")).withColumn("weight", F.col("weight") / F.col("_whole")).drop("_whole")
     cells = cells.withColumn("margin_error", F.lit(0.0))
     for d in dims:
@@ -160,7 +213,7 @@ def probabilities(cells: DataFrame, fraction: float, one_task: bool = True) -> D
 
 
 def mix(
-    docs: DataFrame, *, fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: int = SWEEPS,
+    docs: DataFrame, *, fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: int | None = None,
     targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, small_cells: int = SMALL_CELLS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
 ) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +240,7 @@ def mix(
         raked = stored(probabilities(stored(raked, "weights"), fraction, small), "probabilities", keep=True)
         missed = raked.agg(F.max("margin_error")).first()[0]
         if missed is not None and missed > MARGIN_ERROR:
-            warnings.warn(f"after {sweeps} sweeps a margin misses its target by {missed:.3g} of all weight", stacklevel=2)
+            warnings.warn(f"a margin misses its target by {missed:.3g} of all weight", stacklevel=2)
     side = raked.select(*(F.col(d).alias(f"__tw_{d}") for d in DIMS), F.col("weight").alias("__tw_weight"), F.col("probability").alias("__tw_probability"))
     drawn = marked.join(F.broadcast(side) if small else side, [f"__tw_{d}" for d in DIMS], "left").na.fill(
         0.0, ["__tw_weight", "__tw_probability"]
@@ -195,8 +248,8 @@ def mix(
     return raked, drawn.withColumn("__tw_sampled", draw(id_col, seed) < F.col("__tw_probability"))
 
 
-def oracle(fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: int = SWEEPS, topics: int = TOPICS) -> str:
-    """DuckDB SQL of the rows of ``op8_mixing``, each sweep of raking spelled out."""
+def oracle(fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: int = SQL_SWEEPS, topics: int = TOPICS) -> str:
+    """DuckDB SQL of the rows of ``op8_mixing``; raking has a fixed point, which enough sweeps reach."""
     word = "[^ \t-\r]+"
     parts = [
         "texts as (select doc_id, source, lang, text, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') as words from documents)",
@@ -218,21 +271,20 @@ def oracle(fraction: float = 0.5, temper: float = 0.5, seed: int = 1, sweeps: in
         """w0 as (select source, lang, topic, tokens, t_source, t_lang, sum(t_lang * p_topic) over (partition by topic) as t_topic,
         tokens / sum(tokens) over () as weight from aims)""",
     ]
-    n = 0
-    for _ in range(sweeps):
-        for d in DIMS:
-            parts.append(
-                f"w{n + 1} as materialized (select * exclude (weight), weight * t_{d} / sum(weight) over (partition by {d}) as weight from w{n})"
-            )
-            n += 1
+    step = "w0"
+    for d in DIMS:
+        source = "rakes where n < {}".format(sweeps) if step == "w0" else f"({step})"
+        kept = "n + 1 as n, * exclude (n, weight)" if step == "w0" else "* exclude (weight)"
+        step = f"select {kept}, weight * t_{d} / sum(weight) over (partition by {d}) as weight from {source}"
+    parts.append(f"rakes as (select 0 as n, * from w0 union all {step})")
     parts += [
-        f"whole as (select source, lang, topic, tokens, weight / sum(weight) over () as weight from w{n})",
+        f"whole as (select source, lang, topic, tokens, weight / sum(weight) over () as weight from rakes where n = {sweeps})",
         f"""filled as (select *, (sum(tokens) over () * {fraction} - (sum(tokens) over (order by tokens / weight, source, lang, topic
         rows between unbounded preceding and current row) - tokens)) / sum(weight) over (order by tokens / weight, source, lang, topic
         rows between current row and unbounded following) as factor from whole)""",
         "fitted as (select *, least(1.0, greatest(max(factor) over (), 0.0) * weight / tokens) as probability from filled)",
     ]
-    return f"""with {", ".join(parts)}
+    return f"""with recursive {", ".join(parts)}
     select m.doc_id, m.source, m.lang, m.topic, m.tokens as n_tokens, round(coalesce(f.weight, 0), 7) as cell_weight,
     round(coalesce(f.probability, 0), 6) as probability,
     ('0x' || substr(md5(coalesce(m.doc_id::varchar, '') || ':{seed}'), 1, 13))::bigint / {1 << 52}::double < coalesce(f.probability, 0) as sampled
