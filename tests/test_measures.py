@@ -130,17 +130,11 @@ def test_spectral_clustering_and_scores():
     s = cluster.scores(result)
     assert s["s_sil_km"] > 0.9 and s["s_distortion"] >= 0
     assert cluster.silhouette(d, np.zeros(len(d), int)) == 0
-    assert same_partition(cluster.k_means(x, 3)[0], truth) and same_partition(cluster.dbscan(d, 2.5), truth)
+    assert same_partition(cluster.k_means(x, 3)[0], truth)
     labels, centres, _ = cluster.k_means(x, 3)
     assert cluster.bic(x, labels, centres) > cluster.bic(x, *cluster.k_means(x, 2)[:2])
 
 
-def test_k_modes():
-    x = np.array([[0, 0, 0]] * 8 + [[1, 1, 2]] * 8 + [[0, 0, 1], [1, 1, 1]])
-    labels, modes, cost = cluster.k_modes(x, 2, starts=10)
-    assert same_partition(labels, np.array([0] * 8 + [1] * 8 + [0, 1])) and cost == 2 and sorted(map(tuple, modes)) == [(0, 0, 0), (1, 1, 2)]
-
-
 def test_label_orders():
     assert cluster.by_size(np.array([2, 2, 2, 0, 1, 1])).tolist() == [0, 0, 0, 2, 1, 1]
     previous = np.array([0, 0, 1, 1, 2, 2])

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from tidewheel.plans import catalogue, config
+from tidewheel.plans import cantons, catalogue, config, study
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -42,7 +42,7 @@ def test_query_equals_its_oracle(spark, duck, name):
 def test_queries_without_oracles_are_those_of_clustering(spark):
     """SQL has no eigenvectors; ``test_study`` holds these against plain numpy."""
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {
-        "spectral_labels", "cluster_scores", "cluster_sweep", "density_clusters", "evolutionary_labels", "affect_alpha", "kmodes_profiles",
+        "spectral_labels", "cluster_scores", "cluster_sweep", "evolutionary_labels", "affect_alpha", "kmodes_profiles", "kmodes_single_run",
         "feature_search", "study_profiles", "study_adaptive_profiles",
     }
 
@@ -56,15 +56,24 @@ def test_searches_run_over_the_whole_grids(spark):
 
 
 def test_study_takes_every_feature_window_and_semester(spark):
-    found = catalogue._study_distances(spark, SF)
-    windows = {(r.feature, r.window_size) for r in found.select("feature", "window_size").distinct().collect()}
-    varied = {f for f, _ in windows}  # a feature that is the same for all of a cohort has no scaled distances
-    print("features with distances:", sorted(varied))
-    assert windows == {(f, w) for g in config.FEATURE_GROUPS.values() for f in g["features"] if f in varied for w in config.WINDOWS[g["metric"]]}
-    assert {"total_duration", "writing_events", "writing_events_norm", "tags_ratio", "pwd_biweek"} <= varied
-    assert sorted(catalogue._LONG + catalogue._SHORT) == sorted(f for g in config.FEATURE_GROUPS.values() for f in g["features"])
-    assert {r.t for r in found.selectExpr("g % 10 as t").distinct().collect()} == {1, 2, 3, 4, 5, 6}
-    assert catalogue._GROUPS.keys() == config.FEATURE_GROUPS.keys()
+    found = cantons.distances(spark, SF).cache()
+    for canton, (_, groups) in cantons.CANTONS.items():
+        mine = found.filter(f"g div 10 = {canton}")
+        windows = {(r.feature, r.window_size) for r in mine.select("feature", "window_size").distinct().collect()}
+        varied = {f for f, _ in windows}  # a feature that is the same for all of a cohort has no scaled distances
+        assert windows == {(f, w) for g in groups.values() for f in g["features"] if f in varied for w in config.WINDOWS[g["metric"]]}
+        assert {"total_duration", "writing_events", "writing_events_norm"} <= varied
+        assert {r.t for r in mine.selectExpr("g % 10 as t").distinct().collect()} <= {1, 2, 3, 4, 5, 6}
+
+
+@pytest.mark.parametrize("name", ["feature_search", "study_profiles", "study_adaptive_profiles"])
+def test_the_study_runs_for_both_cantons(spark, monkeypatch, name):
+    """Whole features and semesters over a part of the grid; the whole grid is the query's."""
+    monkeypatch.setattr(study, "GAMMAS", [0.5, 1.5]), monkeypatch.setattr(study, "WINDOWS", {"dtw": [0, 3], "euclidean": [1]})
+    rows = catalogue.QUERIES[name](spark, SF).collect()
+    assert {r.canton for r in rows} == {1, 2} and len({r.t for r in rows}) > 3
+    if name == "study_adaptive_profiles":
+        assert {r.clusters for r in rows} == set(config.PROFILE_CLUSTERS)
 
 
 def test_driver_contract(spark):

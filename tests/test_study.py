@@ -45,8 +45,13 @@ def test_spectral_labels_equal_plain_clustering(spark, matrices):
     for r in catalogue.QUERIES["spectral_labels"](spark, SF).collect():
         found.setdefault(r.g, {})[r.student] = r.label
     assert found.keys() == matrices.keys() and len(found) > 5
+    clear = 0
     for g, (keys, m) in matrices.items():
-        assert [found[g][k] for k in keys] == cluster.spectral(np.exp(-(m**2)), 3)["labels"].tolist()
+        want = cluster.spectral(np.exp(-(m**2)), 3)
+        if len(keys) > 3 and want["eigenvalues"][3] - want["eigenvalues"][2] > 1e-6:  # else the three vectors are any three of more
+            clear += 1
+            assert [found[g][k] for k in keys] == want["labels"].tolist()
+    assert clear > 5
 
 
 @tables
@@ -60,17 +65,12 @@ def test_cluster_scores_equal_plain_clustering(spark, matrices):
 
 
 @tables
-def test_sweep_and_density_equal_plain_clustering(spark, matrices):
+def test_sweep_equals_plain_clustering(spark, matrices):
     sweep = catalogue.QUERIES["cluster_sweep"](spark, SF).collect()
     assert {(r.g, r.clusters) for r in sweep} == set(product(matrices, range(2, 10)))
     for r in sweep[::7]:
         want = cluster.scores(cluster.spectral(np.exp(-(matrices[r.g][1] ** 2)), r.clusters))["s_sil_km"]
         assert r.s_sil_km == pytest.approx(want, abs=2e-6)
-    found = {}
-    for r in catalogue.QUERIES["density_clusters"](spark, SF).collect():
-        found.setdefault(r.g, {})[r.student] = r.label
-    for g, (keys, m) in matrices.items():
-        assert [found[g][k] for k in keys] == cluster.dbscan(m, 0.3, 3).tolist()
 
 
 @tables
@@ -179,10 +179,3 @@ def test_untried_experiments_have_defaults(spark):
     assert mine == {"a": 3, "b": 9, "c": 9}
     latest = {r.experiment: (r.clusters, r.window_size) for r in tracking.latest_metadata(log, every).collect()}
     assert latest == {"a": (3, 1), "b": (2, 1), "c": (3, 2)}
-
-
-def test_profiles_of_few_kinds(spark):
-    codes = spark.createDataFrame([(1, s, [1, 2]) for s in range(3)] + [(2, 7, [0, None])], "g long, student long, codes array<int>")
-    rows = cluster.profile_search(codes, [2, 4], starts=5).collect()
-    assert {(r.g, r.clusters, r.student) for r in rows} == {(g, k, s) for k in (2, 4) for g, s in [(1, 0), (1, 1), (1, 2), (2, 7)]}
-    assert {tuple(r["mode"]) for r in rows if r.g == 2} == {(0, 5)}

@@ -14,7 +14,7 @@ from ..functions import array_avg, array_median, array_min, median
 from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
 from ..sources import checkpointed, table
 from . import logs, study
-from .config import CLUSTERS, GAMMAS, PROFILE_CLUSTERS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
+from .config import CLUSTERS, GAMMAS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
 from .regularity_sql import complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -745,12 +745,6 @@ def _matrices(spark: SparkSession, sf_dir: str, windows: list[int]) -> DataFrame
     return distance.square(study.feature_distances(rows, windows), ["g", "window_size"], 0.0, "d")
 
 
-@query()
-def spectral_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cluster.grid_search(_matrices(spark, sf_dir, [2]), ["g", "keys"], [1.0], [3])
-    return _plain(found.select("g", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("g", F.col("x.keys").alias("student"), F.col("x.labels").alias("label")))
-
-
 @query()
 def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster.grid_search(_matrices(spark, sf_dir, WINDOWS["dtw"]), ["g", "window_size"], GAMMAS, CLUSTERS)
@@ -829,14 +823,6 @@ def affect_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(found.select("g", "t", F.posexplode("alphas").alias("round", "alpha")).distinct())
 
 
-@query()
-def kmodes_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = evolve.evolve_cohorts(_cohort_series(spark, sf_dir), clusters=3, search=())
-    wide = labels.groupBy("g", "student").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("s"))
-    codes = wide.select("g", "student", F.transform("s", lambda x: x["label"]).alias("codes"))
-    return _plain(_shown(cluster.profile_search(codes, PROFILE_CLUSTERS)))
-
-
 @query()
 def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of 2 to 9 clusters of each cohort at one width."""
@@ -844,8 +830,4 @@ def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(found.select("g", "clusters", "s_distortion", "s_bic", "s_sil_km"))
 
 
-def _shown(profiles: DataFrame) -> DataFrame:
-    return profiles.withColumn("mode", F.concat_ws(",", F.transform("mode", lambda x: x.cast("string"))))
-
-
 from . import cantons, pair_queries, people  # noqa: E402, F401 - their queries use what stands above

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cluster, distance, evolve, features, tracking
+from ..operators import cluster, distance, evolve, features, modes, tracking
 from ..sources import checkpointed
 from .config import CLUSTERS, GAMMAS, PRODUCT_CLUSTERS, PRODUCT_GAMMAS, PRODUCT_WINDOWS, WINDOWS
 
@@ -133,7 +133,8 @@ def profiles(labels: DataFrame, groups: list[str], clusters: list[int], *, start
     """k-modes profiles over each student's label in every group; a missing label is a code of its own."""
     wide = labels.groupBy("g", "student").pivot("feature_group", groups).agg(F.first("label"))
     codes = wide.select("g", "student", F.array(*(F.col(x) for x in groups)).alias("codes"))
-    return cluster.profile_search(codes, clusters, starts=starts)
+    codes = checkpointed(codes)
+    return modes.profiles(codes, modes.search(codes, ["g"], clusters, starts=starts), ["g"], "student")
 
 
 def product_kernels(distances: DataFrame, combinations: list[dict[str, tuple[float, int]]]) -> DataFrame:
