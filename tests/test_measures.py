@@ -207,7 +207,7 @@ def test_tables_in_and_out(spark, tmp_path):
     root = str(tmp_path)
     assert {r.k: r.v for r in sources.refresh(df, root, "t").collect()} == {1: None, 2: 1.5}
     sources.append(df, root, "t")
-    assert sources.table(spark, root, "t").count() == 4
+    assert sources.stored_table(spark, root, "t").count() == 4
     sources.save_bulk(df, f"{root}/bulk")
     assert {r.k: r.v for r in sources.read_bulk(spark, f"{root}/bulk", "k int, v double").collect()} == {1: None, 2: 1.5}
     assert sources.copy_as(spark, root, "t", "u", {"v": "w"}).columns == ["k", "w"]

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .database import execute, jdbc, jdbc_insert  # noqa: F401
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
@@ -21,35 +23,75 @@ def query(spark: SparkSession, sql: str, **args) -> DataFrame:
     return spark.sql(sql, args=args or None)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, *, split: tuple[str, int, int, int] | None = None, **properties: str) -> DataFrame:
-    """A query of another database; ``split`` (column, low, high, parts) reads it in parallel."""
-    reader = spark.read.format("jdbc").option("url", url).options(**properties)
-    if split is None:
-        return reader.option("query", query).load()
-    column, low, high, parts = split
-    return (
-        reader.option("dbtable", f"({query}) q").option("partitionColumn", column).option("lowerBound", low)
-        .option("upperBound", high).option("numPartitions", parts).load()
-    )
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN as null in every floating column."""
     floats = [c for c, t in df.dtypes if t in ("double", "float")]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_path(spark: SparkSession, root: str, name: str) -> str:
+    """Where a table's rows are now: the version that its pointer names, or its plain folder if it has none."""
+    pointer, fs = _fs(spark, f"{root}/{name}.current")
+    if not fs.exists(pointer):
+        return f"{root}/{name}.parquet"
+    with contextlib.closing(fs.open(pointer)) as stream:
+        return f"{root}/{name}.versions/{bytes(stream.readAllBytes()).decode()}"
+
+
+def _point(spark: SparkSession, root: str, name: str, version: str) -> None:
+    """Switch a table's pointer; a rename replaces it at once, so a reader sees the old version or the new one."""
+    jvm = spark.sparkContext._jvm
+    new, fs = _fs(spark, f"{root}/{name}.current.{version}")
+    with contextlib.closing(fs.create(new, True)) as stream:
+        stream.write(version.encode())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.current"), overwrite)
+
+
+def stored_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The current rows of a table that ``refresh``, ``append`` or ``replace_partitions`` wrote."""
+    return spark.read.parquet(current_path(spark, root, name))
+
+
 def refresh(df: DataFrame, root: str, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a table anew and return it as read back; it must not be read from ``df`` itself."""
-    path = f"{root}/{name}.parquet"
-    writer = nan_to_null(df).write.mode("overwrite")
+    """Write a table anew and return it as read back.
+
+    The rows become a new version, to which the table's pointer is switched when all of them are there: a job that fails leaves the
+    old rows, and ``df`` may read the table itself. The version before stays for those who are reading it; older ones are deleted.
+    """
+    spark = df.sparkSession
+    before, version = current_path(spark, root, name), uuid.uuid4().hex
+    path = f"{root}/{name}.versions/{version}"
+    writer = nan_to_null(df).write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _point(spark, root, name, version)
+    folder, fs = _fs(spark, f"{root}/{name}.versions")
+    for status in fs.listStatus(folder):
+        if status.getPath().getName() not in (version, before.rsplit("/", 1)[-1]):
+            fs.delete(status.getPath(), True)
+    return spark.read.parquet(path)
+
+
+def replace_partitions(df: DataFrame, root: str, name: str, by: str) -> None:
+    """Replace those partitions of a table that ``df`` has rows of, as single calendar years; the others stay.
+
+    The files are swapped when the job is committed; one that fails before leaves all old rows.
+    """
+    path = current_path(df.sparkSession, root, name)
+    nan_to_null(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
     """Add rows by column name to a table that may not exist yet."""
-    nan_to_null(df).write.mode("append").parquet(f"{root}/{name}.parquet")
+    nan_to_null(df).write.mode("append").parquet(current_path(df.sparkSession, root, name))
 
 
 def insert(df: DataFrame, table_name: str) -> None:
@@ -88,6 +130,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, table_name: str, by: str, *, sort: tuple[str, ...] = (), buckets: int = 200) -> DataFrame:
+    """A catalogue table in buckets of ``by``, sorted in each: work by that key over it needs no shuffle.
+
+    A table of any size has one file a bucket, so ``buckets`` should put some hundred megabytes into each. Joins on more columns than ``by`` are
+    spared the shuffle too where ``spark.sql.requireAllClusterKeysForCoPartition`` is false.
+    """
+    one = df.repartition(buckets, by)  # as Spark deals its buckets, so that a task writes one
+    one.write.mode("overwrite").bucketBy(buckets, by).sortBy(by, *sort).saveAsTable(table_name)
+    return df.sparkSession.table(table_name)
+
+
 def save_csv(df: DataFrame, path: str, *, separator: str = ",", null: str = "") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=separator, nullValue=null)
 
@@ -103,7 +156,7 @@ def read_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def copy_as(spark: SparkSession, root: str, old: str, new: str, rename: dict[str, str] | None = None) -> DataFrame:
     """A copy of a table under a new name, with columns renamed."""
-    return refresh(spark.read.parquet(f"{root}/{old}.parquet").withColumnsRenamed(rename or {}), root, new)
+    return refresh(stored_table(spark, root, old).withColumnsRenamed(rename or {}), root, new)
 
 
 def runs(combinations: list[tuple[str, str]], make: Callable[[str, str], dict[str, DataFrame]], root: str) -> list[str]:
