@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster, distance, evolve, features, modes, tracking
+from ..operators.quantiles import quantiles
 from ..sources import checkpointed
 from .config import CLUSTERS, GAMMAS, PRODUCT_CLUSTERS, PRODUCT_GAMMAS, PRODUCT_WINDOWS, WINDOWS
 
@@ -115,7 +116,7 @@ def plot_series(wide: DataFrame, names: list[str], bucket: str, size: int, keys:
     values that the sparse series hold (1 if that is 0). Series that sum to 0.01 or less are left out."""
     values = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names))
     each = wide.select(F.explode(values).alias("s")).select("s.feature", F.explode("s.x").alias("x")).filter(~F.isnan("x"))
-    upper = each.groupBy("feature").agg(F.percentile("x", F.lit(0.9)).alias("upper"))
+    upper = quantiles(each, ["feature"], "x", [0.9], continuous=True).select("feature", F.col("value").alias("upper"))
     upper = upper.withColumn("upper", F.when(F.col("upper") == 0, 1.0).otherwise(F.col("upper")))
     rows = dense_features(wide, names, bucket, size, keys)
     shown = rows.filter(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) > 0.01)
