@@ -50,7 +50,9 @@ def test_spectral_labels_equal_plain_clustering(spark, matrices):
         want = cluster.spectral(np.exp(-(m**2)), 3)
         if len(keys) > 3 and want["eigenvalues"][3] - want["eigenvalues"][2] > 1e-6:  # else the three vectors are any three of more
             clear += 1
-            assert [found[g][k] for k in keys] == want["labels"].tolist()
+            labels = np.array([found[g][k] for k in keys])
+            spread = sum(((x - x.mean(axis=0)) ** 2).sum() for c in set(labels.tolist()) for x in [want["maps"][labels == c]])
+            assert spread <= want["inertia"] + 1e-9  # equally good clusters where members are alike
     assert clear > 5
 
 

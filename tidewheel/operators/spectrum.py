@@ -142,6 +142,8 @@ class Affinity:
     def leading(self, k: int, *, tolerance: float = 1e-9, rounds: int = 100) -> tuple[DataFrame, dict[str, np.ndarray]]:
         """The ``k`` largest eigenvalues of each group, descending, and ``_g, block, y`` with their vectors as the columns of ``y``.
 
+        Orthogonal iteration keeps the ``k + MORE`` eigenvalues largest in size. Where so many are more negative than the k-th is positive, as in kernels
+        of a dozen members without clusters, the k-th may be missed; such small groups have whole spectra in ``cluster``.
         Rounds end when no group's residual is above ``tolerance``, or after ``rounds``.
         """
         sizes = {r["_g"]: r["n"] for r in self.rows.groupBy("_g").agg(F.sum(F.size("rows")).alias("n")).collect()}
