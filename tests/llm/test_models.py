@@ -13,7 +13,7 @@ from tidewheel.llm import language_id as li
 from tidewheel.llm import statistics as stats
 from tidewheel.llm.hidden_markov import language_scores
 from tidewheel.llm.language_id import identify
-from tidewheel.llm.quality_rules import Forest, calibrate, quality_verdicts
+from tidewheel.llm.quality_rules import FIELDS, FamilyForests, Forest, calibrate, calibrate_families, quality_verdicts, row_sample
 from tidewheel.llm.rule_ensemble import RuleEnsemble, lasso_logistic, quality_scores
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -85,10 +85,10 @@ def brute_path(forest, tree, row, at=0):
 def test_path_lengths_equal_a_recursive_walk():
     rng = np.random.default_rng(4)
     x = np.column_stack([rng.normal(0, 1, 300), rng.integers(0, 3, 300), np.zeros(300), rng.random(300)])
-    forest = Forest.fit(x, rng.random(300) < 0.8, trees=20, sample=64)
+    forest = Forest.fit(x, trees=20, sample=64)
     paths = forest.paths(x)
     assert all(paths[i, t] == brute_path(forest, t, x[i]) for i in range(0, 300, 7) for t in range(len(forest.field)))
-    want = [2 ** -(sum(w * brute_path(forest, t, r) for t, w in enumerate(forest.weight)) / forest.weight.sum() / forest.unit) for r in x[:20]]
+    want = [2 ** -(sum(brute_path(forest, t, r) for t in range(20)) / 20 / forest.unit) for r in x[:20]]
     assert np.allclose(forest.score(x[:20]), want)
     assert not (forest.field == 2).any()  # a statistic that does not vary parts nothing
 
@@ -119,6 +119,49 @@ def test_the_forest_is_no_single_threshold(spark):
             assert not np.array_equal(column <= cut, kept) and not np.array_equal(column > cut, kept)
 
 
+def test_families_take_part_only_where_they_part_the_labels():
+    rng = np.random.default_rng(2)
+    good = rng.random(2000) < 0.9
+    kind = rng.random(2000) < 0.5
+    scores = rng.uniform(0.3, 0.5, (2000, 3))
+    scores[~good & kind, 0] += 0.3
+    scores[~good & ~kind, 2] += 0.3
+    limits = calibrate_families(scores, good)
+    assert limits[1] == 1 and 0.49 < limits[0] < 0.6 and 0.49 < limits[2] < 0.6
+    assert ((scores <= limits).all(axis=1) == good).mean() > 0.99
+    assert (calibrate_families(scores, np.ones(2000, bool)) == 1).all()
+
+
+def test_trees_grow_without_labels_and_a_share_replaces_them():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (3000, len(FIELDS)))
+    y = rng.random(3000) < 0.95  # rarer than what is thinned
+    none = np.zeros((0, len(FIELDS)))
+    a, b = FamilyForests.fit(x, FIELDS, x, y), FamilyForests.fit(x, FIELDS, none, np.zeros(0, bool), 0.04)
+    assert np.array_equal(a.scores(x[:50]), b.scores(x[:50]))
+    assert 0.01 < (b.anomaly(x) > 1).mean() <= 0.04
+    assert (FamilyForests.fit(x, FIELDS, none, np.zeros(0, bool)).anomaly(x) <= 1).all()
+
+
+def test_row_sample_is_bounded_and_counts_copies_once(spark):
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 0, id) * 1.0D as a", "1.0D as b")
+    assert len(row_sample(df, ["a", "b"], 100_000)) == 13_334
+    some = row_sample(df, ["a", "b"], 1000)
+    assert 800 < len(some) < 1200 and len(np.unique(some, axis=0)) == len(some)
+    assert np.array_equal(some, row_sample(df.repartition(7), ["a", "b"], 1000))
+
+
+def test_quality_verdicts_of_the_given_tables_on_held_out_labels(spark):
+    """Thresholds from one half of the labels, judged on the other."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    half = "crc32(cast(cast(doc_id as string) as binary)) % 2 = 0"
+    out = {r.doc_id: r for r in quality_verdicts(docs, labels.filter(half)).collect()}
+    unseen = [(out[r.doc_id].kept, r.quality) for r in labels.filter(f"not ({half})").collect() if not out[r.doc_id].base_failed]
+    rates = [np.mean([k == bool(q) for k, q in unseen if q == wanted]) for wanted in (0, 1)]
+    assert min(rates) > 0.97
+
+
 def test_quality_verdicts_of_repeated_rows_and_ids(spark, labelled):
     docs, labels = labelled
     rng = random.Random(1)
@@ -149,6 +192,8 @@ def test_quality_verdicts_without_labels_or_rows(spark, labelled):
     assert all(r.kept != r.base_failed for r in quality_verdicts(docs, labels.limit(0)).collect())
     assert all(r.kept != r.base_failed for r in quality_verdicts(docs, labels.filter("quality = 1")).collect())
     assert quality_verdicts(docs.limit(0), labels).collect() == []
+    shared = [r.kept for r in quality_verdicts(docs, labels.limit(0), unlabelled_share=0.2).collect() if not r.base_failed]
+    assert 0 < shared.count(False) <= 0.2 * len(shared) + 1
 
 
 def test_quality_scores_on_held_out_rows(spark, labelled):
