@@ -1,5 +1,6 @@
 """The event log: unions, gaps, fences, sessions and streams on hand-made rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -126,3 +127,57 @@ def test_streams(spark, tmp_path):
     assert ses == [(0.0, 1), (5.0, 2)]
     idle = sorted(r.minutes for r in run(streaming.inactivity(log_), "idle", spark))
     assert idle == [195.0, 43000.0]
+
+
+def _past_fences(rows):
+    """Minutes, types and fences of long gaps by sorting all earlier gaps of a type again for each event."""
+    out, last, seen = [], None, {}
+    for kind, ts in sorted(rows, key=lambda r: r[1]):
+        if last is not None:
+            minutes, past = (ts - last).total_seconds() / 60, sorted(seen.get(kind, []))
+            fence = None
+            if past:
+                q1, q3 = past[-(-len(past) // 4) - 1], past[-(-3 * len(past) // 4) - 1]
+                fence = q3 + 1.5 * (q3 - q1)
+            if (fence is not None and minutes > fence and fence > 20) or (kind == "log in" and minutes > 60) or minutes > 120:
+                out.append((kind, minutes, fence))
+            seen.setdefault(kind, []).append(minutes)
+        last = ts
+    return out
+
+
+def test_stream_fence_goes_on_after_a_restart_and_forgets_the_silent(spark, tmp_path):
+    rng, schema = random.Random(4), "student long, event_type string, event_date timestamp"
+    times = [T0]
+    while len(times) < 300:
+        times.append(times[-1] + timedelta(minutes=rng.choice([1, 2, 5, 30, 31, 40, 90, 130])))
+    rows = [(rng.choice(["edit recipe", "log in", None]), t) for t in times]
+
+    def feed(part):
+        spark.createDataFrame([(1, *r) for r in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        log_ = streaming.inactivity(streaming.read_log(spark, str(tmp_path / "in"), schema), delay="1 hour", lifetime="60 days")
+        q = log_.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).start()
+        q.processAllAvailable()
+        q.stop()
+        return [(r.event_type, r.minutes, r.maximum) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("event_date").collect()]
+
+    feed(rows[:150])
+    want = _past_fences(rows)
+    assert feed(rows[150:]) == want and any(f is not None and f > 20 for _, _, f in want)
+    end = times[-1]
+    spark.createDataFrame([(2, "log in", end + timedelta(days=70))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed([])
+    after = feed([("log in", end + timedelta(days=71)), ("log in", end + timedelta(days=71, minutes=5))])
+    assert after == want  # the gap of 71 days belongs to no one: the student was forgotten
+
+
+def test_fence_of_counts_equals_that_of_sorted_gaps():
+    rng, gaps, counts, every = random.Random(5), [], [], []
+    assert streaming._fence([], []) is None
+    for _ in range(200):
+        every.append(float(rng.randint(1, 12)))
+        streaming._add(gaps, counts, every[-1])
+        s, n = sorted(every), len(every)
+        q1, q3 = s[-(-n // 4) - 1], s[-(-3 * n // 4) - 1]
+        assert streaming._fence(gaps, counts) == q3 + 1.5 * (q3 - q1)
+    assert gaps == sorted(set(every)) and sum(counts) == 200

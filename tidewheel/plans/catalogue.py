@@ -14,7 +14,7 @@ from ..functions import array_avg, array_median, array_min, median
 from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
 from ..sources import checkpointed, table
 from . import logs, study
-from .config import CLUSTERS, GAMMAS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
+from .config import CAPACITY, CLUSTERS, GAMMAS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
 from .regularity_sql import complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,6 +383,39 @@ def dense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(wide.filter("writing_events is not null").select("student", "calendar_year", "school_year", "semester", F.posexplode(filled).alias("slot", "v")))
 
 
+@query(_sql(_HALF, """select student, calendar_year, school_year, semester, count(*)::bigint as n_buckets,
+    count(*) filter (semester_biweek < 0 or semester_biweek >= 13)::bigint as n_dropped from counts
+    where writing_events is not null and (student, calendar_year, school_year, semester) in
+    (select (student, calendar_year, school_year, semester) from counts where count_reflection is not null) group by all"""))
+def dropped_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many buckets of a series the dense form has no place for."""
+    wide = features.series(features.counts_per_unit(_half_events(spark, sf_dir), "semester", "biweek"), "semester", "biweek", ("count_reflection", "writing_events"))
+    buckets = F.col("writing_events_semester_biweek")
+    counted = wide.filter("writing_events is not null").select(
+        "student", "calendar_year", "school_year", "semester", F.size(buckets).alias("n_buckets"),
+        features.out_of_range(buckets, CAPACITY["semester_biweek"]).alias("n_dropped"),
+    )
+    return _plain(counted)
+
+
+_TABLE = " union all ".join(
+    f"""select student, calendar_year, school_year, '{n}' as series, woy::bigint as t,
+    round({'recipe_experience_ratio - experience_recipe_ratio' if n == 'recipe_experience_ratio' else n}, 6)::double as v
+    from counts where {n} is not null and (student, calendar_year, school_year) in (select (student, calendar_year, school_year) from counts where count_reflection is not null)"""
+    for n in features.SERIES
+)
+
+
+@query(_sql([*_WEEK, _AGG.replace(", max(max(woy)) over (partition by calendar_year, school_year) as last", ""), f"unfolded as ({_TABLE})"],
+    """select u.*, coalesce(sum_bool_feed, 0)::bigint as sum_bool_feed, sum_count_feedback::bigint as sum_count_feedback, sum_writing_events::bigint as sum_writing_events,
+    round(sum_total_duration, 6) as sum_total_duration from unfolded u left join sums using (student, calendar_year, school_year)"""))
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's joined table, all series of a year beside the year's sums, unfolded to one row per value."""
+    table = features.feature_tables(_week_events(spark, sf_dir), "yearly", "woy")["dtw"]
+    sums = ["sum_bool_feed", "sum_count_feedback", "sum_writing_events", "sum_total_duration"]
+    return _plain(_unfolded(table, ["student", "calendar_year", "school_year", *sums], features.SERIES, "woy").drop("pos"))
+
+
 # --- regularity ------------------------------------------------------------------------------------------------------
 
 _OLOG = [O, GRADES, _years_sql("olog"), """reg as (select *, case when dayofyear(event_date) >= 213 then dayofyear(event_date) - 213 else dayofyear(event_date) + 152 end as doy,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,37 +42,66 @@ def sessions(events: DataFrame, *, gap: str = "60 minutes", delay: str = "1 day"
     )
 
 
-def _fence(gaps: list[float]) -> float | None:
-    """Third quartile plus 1.5 interquartile ranges, with discrete percentiles."""
-    if not gaps:
+_STATE = "last timestamp, kinds array<string>, gaps array<array<double>>, counts array<array<long>>"
+
+
+def _fence(gaps: list[float], counts: list[int]) -> float | None:
+    """Third quartile plus 1.5 interquartile ranges, with discrete percentiles, of sorted values and how often each occurs."""
+    n = sum(counts)
+    if not n:
         return None
-    s, n = sorted(gaps), len(gaps)
-    q1, q3 = s[-(-n // 4) - 1], s[-(-3 * n // 4) - 1]
+    found, at, wanted = [], 0, [-(-n // 4), -(-3 * n // 4)]
+    for gap, count in zip(gaps, counts, strict=True):
+        at += count
+        while len(found) < 2 and at >= wanted[len(found)]:
+            found.append(gap)
+    q1, q3 = found
     return q3 + 1.5 * (q3 - q1)
 
 
-def _idle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, kinds, gaps = state.get if state.exists else (None, [], [])
-    seen = {k: list(g) for k, g in zip(kinds, gaps, strict=True)}
-    out = []
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("event_date", kind="stable")
-    for kind, ts in zip(rows["event_type"], rows["event_date"], strict=True):
-        if last is not None and ts >= last:  # a late event comes too late to end a gap
-            minutes = (ts - last).total_seconds() / 60
-            fence = _fence(seen.get(kind, []))
-            if (fence is not None and minutes > fence and fence > 20) or (kind == "log in" and minutes > 60) or minutes > 120:
-                out.append((key[0], kind, last + pd.Timedelta(seconds=3), minutes, fence))
-            seen.setdefault(kind, []).append(minutes)
-        last = ts if last is None or ts > last else last
-    state.update((last, list(seen), list(seen.values())))
-    yield pd.DataFrame(out, columns=["student", "event_type", "event_date", "minutes", "maximum"])
-
-
-def inactivity(events: DataFrame) -> DataFrame:
+def _add(gaps: list[float], counts: list[int], gap: float) -> None:
+    at = bisect_left(gaps, gap)
+    if at < len(gaps) and gaps[at] == gap:
+        counts[at] += 1
+    else:
+        gaps.insert(at, gap), counts.insert(at, 1)
+
+
+def _idle(lifetime: pd.Timedelta):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, *rest = state.get if state.exists else (None, [], [], [])
+        seen = {k: (list(g), list(n)) for k, g, n in zip(*rest, strict=True)}
+        out = []
+        rows = pd.concat(list(frames), ignore_index=True).dropna(subset=["event_date"]).sort_values("event_date", kind="stable")
+        for kind, ts in zip(rows["event_type"], rows["event_date"], strict=True):
+            if last is not None and ts >= last:  # a late event comes too late to end a gap
+                minutes = (ts - last).total_seconds() / 60
+                past = seen.setdefault(kind, ([], []))
+                fence = _fence(*past)
+                if (fence is not None and minutes > fence and fence > 20) or (kind == "log in" and minutes > 60) or minutes > 120:
+                    out.append((key[0], kind, last + pd.Timedelta(seconds=3), minutes, fence))
+                _add(*past, minutes)
+            last = ts if last is None or ts > last else last
+        if last is not None:
+            state.update((last, list(seen), [g for g, _ in seen.values()], [n for _, n in seen.values()]))
+            ends = int((last + lifetime).value // 1_000_000)
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["student", "event_type", "event_date", "minutes", "maximum"])
+
+    return run
+
+
+def inactivity(events: DataFrame, *, delay: str = "1 day", lifetime: str = "730 days") -> DataFrame:
     """Inactivity rows as events arrive: a gap is judged by the fence of the student's earlier gaps of that type.
 
-    Unlike in the batch the fence knows the past alone. A student's state holds the gaps so far, a number for each event.
+    Unlike in the batch the fence knows the past alone. A student's state holds each type's gaps as sorted values with counts, so it
+    grows with the different gaps (of logs in whole minutes at most with the minutes of ``lifetime``), not with the events. Events
+    later than ``delay`` are left out, null times too; a student silent for ``lifetime`` is forgotten and starts anew.
     """
-    return events.select("student", "event_type", "event_date").groupBy("student").applyInPandasWithState(
-        _idle, _IDLE, "last timestamp, kinds array<string>, gaps array<array<double>>", "append", GroupStateTimeout.NoTimeout
+    rows = events.select("student", "event_type", "event_date").withWatermark("event_date", delay)
+    return rows.groupBy("student").applyInPandasWithState(
+        _idle(pd.Timedelta(lifetime)), _IDLE, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
