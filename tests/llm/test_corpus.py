@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from tidewheel.llm import mixing
 from tidewheel.llm import queries as q
 from tidewheel.llm import stages
@@ -286,3 +287,14 @@ def test_stages_judge_rows_not_ids(spark, corpus_dir, tmp_path):
     assert texts(out) == named(*(r for r in [*rows, last] if item not in (r[1] or "")))
     assert stages.token_output(spark, more, corpus_dir).count() == len(rows)
     assert stages.mixing(spark, more, corpus_dir).columns == docs.columns
+
+
+def test_texts_with_one_hash_keep_their_own_verdicts(spark, corpus_dir, monkeypatch):
+    """All texts fall on one 64-bit hash; the stages still part junk and passages from clean texts."""
+    monkeypatch.setattr(stages, "_by_text", lambda docs: docs.withColumn(stages.ROW, F.lit(1).cast("long")))
+    docs = spark.read.parquet(f"{corpus_dir}/documents.parquet")
+    extra = docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(77).cast("long"))
+    out = {r.doc_id for r in stages.decontamination(spark, docs.union(extra), corpus_dir).collect()}
+    assert out == {*range(60), 77} - {10, 11}
+    out = {r.doc_id for r in stages.quality_rules(spark, docs.union(extra), corpus_dir).collect()}
+    assert {30, 31, 33, 77}.isdisjoint(out) and {0, 1, 2, 10, 29} <= out

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .runtime import ROW, input_texts, keep_ids, map_texts, numbered, scope, stored, text_blocks
+from .runtime import DIGEST, ROW, input_texts, keep_ids, map_texts, numbered, scope, stored, text_blocks
 
 BLOCK_WINDOWS = 1_000_000
 _HITS = "doc_id long, n_words long, hits array<struct<start: int, length: int>>, items array<string>"
+_DIGEST = f", {DIGEST} binary"
 
 
 class TestSet:
@@ -87,8 +88,8 @@ def _test_sets(bench: DataFrame, width: int, id_col: str, text_col: str, limit:
         yield TestSet(block, width)
 
 
-def _scan(src: DataFrame, tests: TestSet) -> tuple[DataFrame, Broadcast]:
-    """Hits of every row of ``src(doc_id, text)``, and the broadcast they need."""
+def _scan(src: DataFrame, tests: TestSet, digest: bool = False) -> tuple[DataFrame, Broadcast]:
+    """Hits of every row of ``src(doc_id, text)``, with ``digest`` the text's SHA-256, and the broadcast they need."""
     shared = src.sparkSession.sparkContext.broadcast(tests)
 
     def make():
@@ -101,16 +102,17 @@ def _scan(src: DataFrame, tests: TestSet) -> tuple[DataFrame, Broadcast]:
                 where, owners = found.search(words) if words else ([], set())
                 n.append(len(words)), items.append(sorted(owners))
                 hits.append([{"start": a, "length": k} for a, k in where])
-            return {"doc_id": ids, "n_words": n, "hits": hits, "items": items}
+            own = {DIGEST: tx.digests(texts)} if digest else {}
+            return {"doc_id": ids, "n_words": n, "hits": hits, "items": items} | own
 
         return work
 
-    return map_texts(src, make, _HITS), shared
+    return map_texts(src, make, _HITS + _DIGEST * digest), shared
 
 
 def contamination(
     docs: DataFrame, bench: DataFrame, *, width: int = 10, block_windows: int = BLOCK_WINDOWS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", digest: bool = False,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits, items`` per row of ``docs``.
 
@@ -120,14 +122,15 @@ def contamination(
 
     Null and wordless texts have no words and are clean. Items with a null id or no words are left out; repeated
     items count once. Rows with a null or repeated doc_id are scanned each on their own. A text is held whole in its task.
-    Other columns are ignored. With no usable item every document is clean.
+    Other columns are ignored. With no usable item every document is clean. With ``digest`` a row carries the SHA-256
+    of its text.
     """
     src = input_texts(docs, id_col, text_col)
     tests = _test_sets(bench, width, item_col, item_text_col, block_windows)
     first, second = next(tests, None), next(tests, None)
     if second is None:
-        found, _ = _scan(src, first or TestSet([], width))
-        return found.mapInArrow(_summary, _SUMMARY)
+        found, _ = _scan(src, first or TestSet([], width), digest)
+        return found.mapInArrow(_summary, _SUMMARY + _DIGEST * digest)
     with scope():
         # Several scans are put together by the rows' numbers; one block at a time is built, broadcast and dropped.
         rows = numbered(src, "texts", keep=True)
@@ -141,8 +144,10 @@ def contamination(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    found = whole.withColumnRenamed("doc_id", "__tw_n").join(rows.select(ROW, "doc_id"), F.col("__tw_n") == F.col(ROW))
-    return found.select("doc_id", "n_words", "hits", "items").mapInArrow(_summary, _SUMMARY)
+    own = [F.unhex(F.sha2("text", 256)).alias(DIGEST)] if digest else []
+    found = whole.withColumnRenamed("doc_id", "__tw_n").join(rows.select(ROW, "doc_id", *own), F.col("__tw_n") == F.col(ROW))
+    told = ["doc_id", "n_words", "hits", "items", *([DIGEST] if digest else [])]
+    return found.select(*told).mapInArrow(_summary, _SUMMARY + _DIGEST * digest)
 
 
 _SUMMARY = (
@@ -165,9 +170,9 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in batch.column(3)], pa.int64()), pa.array(digest, pa.string()),
-                pa.array([x > 0 for x in n_hit], pa.bool_()), batch.column(2), batch.column(3),
+                pa.array([x > 0 for x in n_hit], pa.bool_()), *batch.columns[2:],
             ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[2:]],
         )
 
 

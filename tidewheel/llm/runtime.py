@@ -136,6 +136,8 @@ def keep_ids(
 
 
 ROW = "__tw_row"
+#: Column with the SHA-256 of a text, in stages that tell rows by their texts.
+DIGEST = "__tw_sha"
 
 
 def numbered(df: DataFrame, name: str = "numbered", keep: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame with the columns of ``docs``.
 
-Filtering stages judge each row by its own text, known by a hash of it or, between near duplicates, by a row number, so null ids and
+Filtering stages judge each row by its own text, known by its SHA-256 or, between near duplicates, by a row number, so null ids and
 ids with several texts are judged like any other. Null and empty texts are too short for the quality rules; the later stages alone would keep them.
 Other columns are carried along, whatever their names. An empty table gives an empty one. The last stage returns what the
 token files hold.
@@ -16,7 +16,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality_rules import quality_verdicts
 from .queries import tokenizer_path
-from .runtime import ROW, keep_ids, numbered, scope, stored
+from .runtime import DIGEST, ROW, keep_ids, numbered, scope, stored
 from .token_files import token_table
 
 #: Share of the tokens that mixing keeps.
@@ -28,10 +28,19 @@ NEAR_WIDTH = 5
 
 
 def _by_text(docs: DataFrame) -> DataFrame:
-    """``docs`` with a 64-bit hash of the text in the column ``ROW``: verdicts on texts need no stored copy of the rows."""
+    """``docs`` with a 64-bit hash of the text in ``ROW``: verdicts on texts need no stored copy of the rows."""
     return docs.withColumn(ROW, F.xxhash64("text"))
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` whose text is none of ``gone(doc_id, DIGEST)``: few share a hash with these, and only equal texts their SHA-256 as well.
+
+    Null texts are told from others by their hash and an empty digest.
+    """
+    told = rows.withColumn(DIGEST, F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2(F.col("text").cast("binary"), 256))))
+    return keep_ids(told, [ROW, DIGEST], gone.select("doc_id", F.coalesce(DIGEST, F.lit(b""))), "left_anti").drop(ROW, DIGEST)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that neither the fixed rules nor the isolation forest reject; null, empty and short texts go, repeated rows stay.
 
@@ -42,9 +51,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         # The operator learns and answers by the text's key; labels are few, so they take those keys.
         labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         known = labels.withColumnRenamed("doc_id", "__tw_doc").join(rows.select("doc_id", ROW), F.col("__tw_doc") == F.col("doc_id"))
-        verdicts = quality_verdicts(rows.select(ROW, "text"), known.select(F.col(ROW).alias("doc_id"), "quality"), id_col=ROW)
-        gone = stored(verdicts.filter("not kept").select("doc_id"), "rejected", keep=True)
-    return keep_ids(rows, ROW, gone, "left_anti").drop(ROW)
+        verdicts = quality_verdicts(rows.select(ROW, "text"), known.select(F.col(ROW).alias("doc_id"), "quality"), id_col=ROW, digest=True)
+        gone = stored(verdicts.filter("not kept").select("doc_id", DIGEST), "rejected", keep=True)
+    return _without(rows, gone)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +78,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Rows without any window of a benchmark item; null and wordless texts have none. Repeated rows are judged alike."""
     with scope():
         rows = _by_text(docs)
-        found = contamination(rows.select(ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
-        gone = stored(found.filter("contaminated").select("doc_id"), "contaminated", keep=True)
-    return keep_ids(rows, ROW, gone, "left_anti").drop(ROW)
+        found = contamination(rows.select(ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW, digest=True)
+        gone = stored(found.filter("contaminated").select("doc_id", DIGEST), "contaminated", keep=True)
+    return _without(rows, gone)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

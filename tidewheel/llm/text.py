@@ -6,6 +6,7 @@ U+0020 and U+0009-U+000D alone, which are the rules of the contracts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -96,3 +97,8 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 def crc32_mod(n: int) -> str:
     """SQL of ``crc32(doc_id as text) mod n``."""
     return f"crc32(cast(cast(doc_id as string) as binary)) % {n}"
+
+
+def digests(texts: list) -> list[bytes | None]:
+    """SHA-256 of each text, null for null."""
+    return [None if t is None else hashlib.sha256(t).digest() for t in texts]
