@@ -1,13 +1,14 @@
 """Features, regularity, distances, clusters and smoothing on hand-checked values."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidewheel import functions as fn
 from tidewheel import sources
-from tidewheel.operators import cluster, cohort, distance, evolve, features, regularity, tracking
+from tidewheel.operators import cluster, cohort, distance, evolve, features, ordering, regularity, tracking
 from tidewheel.plans import study
 
 
@@ -233,3 +234,15 @@ def test_study_on_two_clear_groups(spark):
     assert len(found) == 12 and found[0].silhouette == 1.0
     one = {(r.i, r.j): r.w for r in study.product_kernels(d, [{"a": (4.0, 1), "b": (4.0, 1)}]).collect()}
     assert one == {(r.i, r.j): pytest.approx(r.w) for r in kernels.collect()}
+
+
+def test_positions_are_those_of_a_sorted_list(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "a", "a", "b"]), rng.choice([None, 1.5, 2.5]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(5)
+    order = (F.desc_nulls_last("k"), F.asc_nulls_first("v"), F.asc("i"))
+    want = [r.i for r in df.orderBy(*order).collect()]
+    out = ordering.positions(df, *order)
+    assert [r.i for r in out.orderBy("pos").collect()] == want and sorted(r.pos for r in out.collect()) == list(range(500))
+    assert ordering.positions(df.limit(0), *order).collect() == [] and out.columns == ["k", "v", "i", "pos"]
+    assert sorted(r.pos for r in ordering.positions(df, F.asc("k")).collect()) == list(range(500))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import array_avg, array_median, array_min, median
-from ..operators import calendar, cluster, cohort, distance, events, evolve, features, regularity, tracking
+from ..operators import calendar, cluster, cohort, distance, events, evolve, features, ordering, regularity, tracking
 from ..sources import checkpointed, table
 from . import logs, study
 from .config import CAPACITY, CLUSTERS, GAMMAS, QUIET, SWEEP_CLUSTERS, WINDOWS, WRITE_R
@@ -643,6 +643,14 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(v.select("activity", "student", "event_date", F.size("tags").alias("n")))
 
 
+@query("""select o_orderkey, row_number() over (order by o_orderpriority nulls last, o_orderdate desc nulls last, o_orderkey nulls last) - 1 as pos from orders""")
+def ordered_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of a whole table as the places of its rows, so that the order itself can be compared."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    order = (F.asc_nulls_last("o_orderpriority"), F.desc_nulls_last("o_orderdate"), F.asc_nulls_last("o_orderkey"))
+    return _plain(ordering.positions(orders, *order).select("o_orderkey", "pos"))
+
+
 @query("""select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')""")
 def semi_join_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
