@@ -13,7 +13,7 @@ from tidewheel.llm import language_id as li
 from tidewheel.llm import statistics as stats
 from tidewheel.llm.hidden_markov import language_scores
 from tidewheel.llm.language_id import identify
-from tidewheel.llm.quality_rules import FIELDS, FamilyForests, Forest, calibrate, calibrate_families, quality_verdicts, row_sample
+from tidewheel.llm.quality_rules import FIELDS, FamilyForests, Forest, calibrate, calibrate_families, labelled_sample, quality_verdicts, row_sample
 from tidewheel.llm.rule_ensemble import RuleEnsemble, lasso_logistic, quality_scores
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -151,6 +151,18 @@ def test_row_sample_is_bounded_and_counts_copies_once(spark):
     assert np.array_equal(some, row_sample(df.repartition(7), ["a", "b"], 1000))
 
 
+def test_labelled_sample_sends_copies_once(spark):
+    """A third of all rows are one labelled text; another id has many different texts."""
+    hot = spark.range(3000).selectExpr("1L as doc_id", "0.5D as a")
+    wide = spark.range(3000).selectExpr("2L as doc_id", "id * 1.0D as a")
+    rest = spark.range(3, 3003).selectExpr("id as doc_id", "id * 2.0D as a")
+    labels = spark.range(3003).selectExpr("id as doc_id", "cast(id % 2 as int) as quality").unionByName(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, quality int"))
+    x, y = labelled_sample(hot.union(wide).union(rest), labels, ["a"], 100_000)
+    assert len(x) == len(y) == 6001 and (x[:, 0] == 0.5).sum() == 1
+    x, y = labelled_sample(hot.union(wide).union(rest), labels, ["a"], 600)
+    assert 450 < len(x) <= 600 and 150 < (y == 1).sum() < len(y) and x.shape[1] == 1
+
+
 def test_quality_verdicts_of_the_given_tables_on_held_out_labels(spark):
     """Thresholds from one half of the labels, judged on the other."""
     at = "/root/testdata/sf0.01"
