@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidewheel import streaming
 from tidewheel.operators import events as ev
+from tidewheel.operators import regularity
 
 T0 = datetime(2019, 9, 2, 8)
 LOG = "student int, event_type string, event_date timestamp_ntz, calendar_year int, semester int"
@@ -181,3 +182,13 @@ def test_fence_of_counts_equals_that_of_sorted_gaps():
         q1, q3 = s[-(-n // 4) - 1], s[-(-3 * n // 4) - 1]
         assert streaming._fence(gaps, counts) == q3 + 1.5 * (q3 - q1)
     assert gaps == sorted(set(every)) and sum(counts) == 200
+
+
+def test_a_day_number_of_two_weeks_comes_once(spark):
+    """In 2000 and 2001 the last and the first day share a number but no week; so do 1 August 1999 and 31 July 2000."""
+    rows = [(1, "log in", "2000-12-31 10:00:00", 1, 0), (1, "log in", "2001-01-01 10:00:00", 1, 0), (1, "log in", "2001-01-02 10:00:00", 1, 0)]
+    log = spark.createDataFrame(rows, "student int, event_type string, d string, calendar_year int, semester int")
+    log = log.select("student", "event_type", F.col("d").cast("timestamp_ntz").alias("event_date"), "calendar_year", "semester")
+    years = spark.createDataFrame([(1, 1, 1)], "student int, calendar_year int, school_year int")
+    row = regularity.frequency_days(log, years).first()
+    assert row.days_year == [153, 154] and row.number_of_weeks == 2
