@@ -81,3 +81,10 @@ def test_driver_contract(spark):
 
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_the_active_cohort_is_all_outside_the_first_canton(spark, duck):
+    """Every nation whose number 3 does not divide; the cohort queries leave none of them out."""
+    found = catalogue.QUERIES["cohort_active"](spark, SF).select("student").distinct().toPandas()["student"].tolist()
+    nations = duck.execute(f"select distinct c_nationkey from customer where c_custkey in ({','.join(map(str, found))})").fetchdf()["c_nationkey"]
+    assert {n % 3 for n in nations} == {1, 2} and len(nations) > 10

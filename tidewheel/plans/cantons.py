@@ -35,7 +35,7 @@ def members(spark: SparkSession, sf_dir: str, canton: int) -> DataFrame:
     """``student`` of a canton's cohort."""
     if canton == 1:
         return cohort.with_all_years(_report(spark, sf_dir), _order_years(spark, sf_dir)).select("student").distinct()
-    active = people._active(spark, sf_dir)
+    active = people._active(spark, sf_dir, "users")
     return cohort.with_all_years(active, active).select("student").distinct()
 
 
