@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidewheel.operators import cluster, evolve, matching, modes, pairs, smoothing, spectrum
+from tidewheel.operators import cluster, distance, evolve, matching, modes, numbers, pairs, smoothing, spectrum
 from tidewheel.operators.components import components
 
 GROUPS = {1: 40, 2: 9, 3: 2, 4: 1}
@@ -201,3 +201,46 @@ def test_k_modes_by_counts_equal_plain_ones(spark):
         shown = [out[r.g, r.clusters, i] for i in range(len(x[r.g]))]
         assert [s.profile for s in shown] == labels.tolist() and all(s["mode"] == want[s.profile].tolist() for s in shown)
         assert shown[0].silhouette == pytest.approx(cluster.profile_silhouette(x[r.g], labels), abs=1e-9)
+
+
+def _customers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, 100 * g + k, float(np.round(rng.normal(0, 100), 2)), k % 3) for g, n in ((1, 40), (2, 7), (3, 2), (4, 1)) for k in range(n)]
+    rows += [(5, 501, 2.0, 0), (5, 502, 2.0, 1), (6, 601, None, 0), (6, 602, 1.0, 0)]  # all equal; a null
+    df = spark.createDataFrame(rows, "g int, member long, v double, label int")
+    return df, df.select("g", "member", "label")
+
+
+def _near(got, want, keys):
+    got, want = (df.toPandas().sort_values(keys, ignore_index=True) for df in (got.select(*want.columns), want))
+    assert len(got) == len(want) > 0
+    np.testing.assert_allclose(got.astype(float), want.astype(float), rtol=1e-9, atol=1e-12)
+
+
+def test_scaled_pairs_of_numbers_take_their_ends_from_the_numbers(spark, monkeypatch):
+    df, _ = _customers(spark)
+    monkeypatch.setattr(distance, "NUMBERS", 5)
+    plain = distance.euclidean_pairs(df, ["g"], "member", F.col("v"))
+    found = distance.euclidean_pairs(df, ["g"], "member", F.col("v"), normalised=True)
+    _near(found, distance.normalise(plain, ["g"]), ["g", "i", "j"])
+    both = distance.kernel_sum(distance.gaussian(found, 0.7).union(distance.gaussian(found, 1.3)), ["g"])
+    _near(distance.gaussian_sum(found, [0.7, 1.3]), both.select("g", "i", "j", "w"), ["g", "i", "j"])
+    above = found._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
+    assert "Exchange" not in above and "Aggregate" not in above  # pairs are not shuffled
+
+
+@pytest.mark.parametrize("sizes", [(1 << 14, 1 << 18, 1 << 10), (6, 4, 2)])
+def test_measures_over_numbers_equal_those_over_pairs(spark, monkeypatch, sizes):
+    for name, n in zip(("BLOCK", "VALUES", "TILE"), sizes, strict=True):
+        monkeypatch.setattr(numbers, name, n)
+    df, labels = _customers(spark)
+    rows = distance.numbers(df, ["g"], "member", F.col("v"))
+    d = distance.euclidean_pairs(df, ["g"], "member", F.col("v"))
+    _near(numbers.member_silhouettes(rows, labels, ["g"]), pairs.member_silhouettes(d, labels, ["g"]), ["g", "member"])
+    _near(numbers.silhouettes(rows, labels, ["g"]), pairs.silhouettes(d, labels, ["g"]), ["g"])
+    d = distance.normalise(d, ["g"]).filter("d is not null")
+    for widths in ((0.7, 0.7), (0.7, 1.3)):
+        now, past = (distance.gaussian(d, w) for w in widths)
+        found, want = numbers.block_moments(rows, labels, ["g"], widths), pairs.block_moments(now, past, labels, ["g"])
+        _near(found, want, ["g", "a", "b", "diagonal"])
+        _near(pairs.factors_of(found, ["g"]), pairs.forgetting_factors(now, past, labels, ["g"]), ["g"])

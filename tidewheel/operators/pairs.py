@@ -28,6 +28,11 @@ def member_silhouettes(pairs: DataFrame, labels: DataFrame, group: list[str]) ->
     rows = labelled(pairs, labels, group)
     sides = F.explode(F.array(F.struct(F.col("i").alias("member"), F.col("b").alias("other")), F.struct(F.col("j").alias("member"), F.col("a").alias("other"))))
     sums = rows.select(*group, "d", sides.alias("s")).groupBy(*group, "s.member", "s.other").agg(F.sum("d").alias("d"))
+    return silhouettes_of_sums(sums, labels, group)
+
+
+def silhouettes_of_sums(sums: DataFrame, labels: DataFrame, group: list[str]) -> DataFrame:
+    """``member_silhouettes`` from ``group..., member, other, d``, the sums of a member's distances from each label's members."""
     sizes = labels.groupBy(*group, F.col("label").alias("other")).agg(F.count("*").alias("n"))
     known = sums.join(sizes, [*group, "other"]).join(labels.select(*group, "member", "label"), [*group, "member"])
     own = F.col("label") == F.col("other")
@@ -88,6 +93,11 @@ def block_moments(now: DataFrame, before: DataFrame, labels: DataFrame, group: l
     found = rows.groupBy(*group, "a", "b").agg(
         (2 * n).alias("entries"), mean.alias("mean"), F.when(n > 1, F.var_samp("w")).otherwise(0.0).alias("variance"), (2 * off).alias("off")
     )
+    return with_diagonals(found, labels, group, diagonal)
+
+
+def with_diagonals(found: DataFrame, labels: DataFrame, group: list[str], diagonal: Column | None = None) -> DataFrame:
+    """``found`` blocks off the diagonal, and each cluster's diagonal."""
     whole = F.lit(1.0) if diagonal is None else diagonal
     ends = labels.groupBy(*group, F.col("label").alias("a")).agg(F.count("*").alias("entries"))
     ends = ends.select(*group, "a", F.col("a").alias("b"), "entries", whole.alias("mean"), F.lit(0.0).alias("variance"), F.lit(0.0).alias("off"))
@@ -96,8 +106,13 @@ def block_moments(now: DataFrame, before: DataFrame, labels: DataFrame, group: l
 
 def forgetting_factors(now: DataFrame, before: DataFrame, labels: DataFrame, group: list[str]) -> DataFrame:
     """``group..., alpha``: the sum of the entries' variances over itself plus the squared distance of the past from the block means; 0 if both are 0."""
+    return factors_of(block_moments(now, before, labels, group), group)
+
+
+def factors_of(moments: DataFrame, group: list[str]) -> DataFrame:
+    """``forgetting_factors`` from the rows of ``block_moments``."""
     noise, off = F.sum(F.col("entries") * F.col("variance")), F.sum("off")
-    found = block_moments(now, before, labels, group).groupBy(*group).agg(noise.alias("noise"), off.alias("off"))
+    found = moments.groupBy(*group).agg(noise.alias("noise"), off.alias("off"))
     return found.select(*group, F.when(F.col("noise") + F.col("off") > 0, F.col("noise") / (F.col("noise") + F.col("off"))).otherwise(0.0).alias("alpha"))
 
 
