@@ -298,3 +298,12 @@ def test_texts_with_one_hash_keep_their_own_verdicts(spark, corpus_dir, monkeypa
     assert out == {*range(60), 77} - {10, 11}
     out = {r.doc_id for r in stages.quality_rules(spark, docs.union(extra), corpus_dir).collect()}
     assert {30, 31, 33, 77}.isdisjoint(out) and {0, 1, 2, 10, 29} <= out
+
+
+def test_a_scan_for_one_block_of_windows_is_one_python_step(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([("x", "a b")], "item_id string, text string")
+    found = contamination(docs, bench, digest=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    row = found.first()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (3, 2, 1, True)

@@ -88,8 +88,11 @@ def _test_sets(bench: DataFrame, width: int, id_col: str, text_col: str, limit:
         yield TestSet(block, width)
 
 
-def _scan(src: DataFrame, tests: TestSet, digest: bool = False) -> tuple[DataFrame, Broadcast]:
-    """Hits of every row of ``src(doc_id, text)``, with ``digest`` the text's SHA-256, and the broadcast they need."""
+def _scan(src: DataFrame, tests: TestSet, digest: bool = False, whole: bool = False) -> tuple[DataFrame, Broadcast]:
+    """Hits of every row of ``src(doc_id, text)``, with ``digest`` the text's SHA-256, and the broadcast they need.
+
+    With ``whole`` all that is told of a row, so that no second Python process stands beside the one that scans.
+    """
     shared = src.sparkSession.sparkContext.broadcast(tests)
 
     def make():
@@ -103,11 +106,11 @@ def _scan(src: DataFrame, tests: TestSet, digest: bool = False) -> tuple[DataFra
                 n.append(len(words)), items.append(sorted(owners))
                 hits.append([{"start": a, "length": k} for a, k in where])
             own = {DIGEST: tx.digests(texts)} if digest else {}
-            return {"doc_id": ids, "n_words": n, "hits": hits, "items": items} | own
+            return {"doc_id": ids, "n_words": n, "hits": hits, "items": items} | own | (_told(n, hits, items) if whole else {})
 
         return work
 
-    return map_texts(src, make, _HITS + _DIGEST * digest), shared
+    return map_texts(src, make, (_SUMMARY if whole else _HITS) + _DIGEST * digest), shared
 
 
 def contamination(
@@ -129,8 +132,7 @@ def contamination(
     tests = _test_sets(bench, width, item_col, item_text_col, block_windows)
     first, second = next(tests, None), next(tests, None)
     if second is None:
-        found, _ = _scan(src, first or TestSet([], width), digest)
-        return found.mapInArrow(_summary, _SUMMARY + _DIGEST * digest)
+        return _scan(src, first or TestSet([], width), digest, whole=True)[0]
     with scope():
         # Several scans are put together by the rows' numbers; one block at a time is built, broadcast and dropped.
         rows = numbered(src, "texts", keep=True)
@@ -156,24 +158,26 @@ _SUMMARY = (
 )
 
 
+def _told(n_words: list[int], hits: list[list[dict]], items: list[list[str]]) -> dict[str, list]:
+    """What follows from the words, hits and items of some rows."""
+    n_hit = []
+    for n, where in zip(n_words, hits, strict=True):
+        mask = np.zeros(n, bool)
+        for h in where:
+            mask[h["start"] : h["start"] + h["length"]] = True
+        n_hit.append(int(mask.sum()))
+    digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    return {"n_hit": n_hit, "n_items": list(map(len, items)), "items_sha256": digest, "contaminated": [x > 0 for x in n_hit]}
+
+
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_hit, digest = [], []
-        n_words = batch.column(1).to_pylist()
-        for n, hits, items in zip(n_words, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            mask = np.zeros(n, bool)
-            for h in hits:
-                mask[h["start"] : h["start"] + h["length"]] = True
-            n_hit.append(int(mask.sum()))
-            digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+        told = _told(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()),
-                pa.array([len(x) for x in batch.column(3)], pa.int64()), pa.array(digest, pa.string()),
-                pa.array([x > 0 for x in n_hit], pa.bool_()), *batch.columns[2:],
-            ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[2:]],
-        )
+            [batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(told.values(), kinds, strict=True)), *batch.columns[2:]],
+            ["doc_id", "n_words", *told, *batch.schema.names[2:]],
+        )
 
 
 def cut_words(text: bytes, hits: list[dict]) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .runtime import Stored, input_texts, keep_ids, map_texts, scope, stored
+from .runtime import Stored, input_texts, keep_ids, map_texts, scope, stored, trim
 
 CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
@@ -148,6 +148,7 @@ def _star_pairs(percent: int):
                 n = min(len(x), len(y))
                 keep.append(bool(_may_link(na[i], folded(x, n), nb[i], folded(y, n), percent)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return run
 
@@ -195,6 +196,7 @@ def _block_pairs(percent: int):
                     for k in range(0, len(a), 1 << 16):
                         low, high = np.minimum(a, b)[k : k + (1 << 16)], np.maximum(a, b)[k : k + (1 << 16)]
                         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+        trim()
 
     return run
 
@@ -232,6 +234,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = [len(np.intersect1d(x, s, assume_unique=True)) for x in own]
                 keep.append(any(100 * c >= percent * (len(x) + len(s) - c) for x, c in zip(own, common, strict=True)))
             yield batch.select([0, 3]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return rows.mapInArrow(run, "a long, b long")
 
