@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidewheel.operators import cluster, distance, evolve, matching, modes, numbers, pairs, smoothing, spectrum
 from tidewheel.operators.components import components
+from tidewheel.plans import pair_queries
 
 GROUPS = {1: 40, 2: 9, 3: 2, 4: 1}
 
@@ -117,6 +118,14 @@ def test_label_matching_equals_every_permutation(spark, k):
         assert [got[g][x] for x in labels.tolist()] == cluster.match_previous(labels, past[g]).tolist()
 
 
+def test_label_matching_joins_no_members(spark, monkeypatch):
+    """The query's labels stand in one row a member: its contingency is an aggregate of them."""
+    seen, whole = [], matching.best_names
+    monkeypatch.setattr(matching, "best_names", lambda table, *rest: seen.append(table) or whole(table, *rest))
+    pair_queries.label_matching(spark, "/root/testdata/sf0.001")
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_label_matching_of_nine(spark):
     labels, shuffle = np.arange(90) % 9, np.array([4, 8, 0, 2, 6, 1, 7, 3, 5])
     table = matching.contingency(member_table(spark, {1: labels}), member_table(spark, {1: shuffle[labels]}), ["g"])

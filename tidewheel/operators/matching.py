@@ -7,11 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import checkpointed
+
+
+def contingency_of(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``contingency`` of ``rows(group..., label, previous)`` that hold both labels of a member: an aggregate, no join of the members."""
+    return rows.groupBy(*group, "label", "previous").agg(F.count("*").alias("n"))
+
 
 def contingency(labels: DataFrame, previous: DataFrame, group: list[str]) -> DataFrame:
     """``group..., label, previous, n``: members of a group by their label now and before; ``labels`` and ``previous`` are ``group..., member, label``."""
     past = previous.select(*group, "member", F.col("label").alias("previous"))
-    return labels.join(past, [*group, "member"]).groupBy(*group, "label", "previous").agg(F.count("*").alias("n"))
+    return contingency_of(labels.join(past, [*group, "member"]), group)
 
 
 def gains(table: DataFrame, group: list[str]) -> DataFrame:
@@ -37,7 +44,7 @@ def best_names(table: DataFrame, group: list[str], clusters: int) -> DataFrame:
     to give out the same names only the best goes on, so at most 2 ** ``clusters`` rows a group are there at a time, where trying every
     permutation would take their factorial. ``clusters`` is the largest number of labels in a group (30 at most).
     """
-    rows = gains(table, group)
+    rows = checkpointed(gains(checkpointed(table), group))  # a few rows a group, read by every turn
     turns = Window.partitionBy(*group).orderBy("label")
     numbered = rows.select(*group, "label").distinct().withColumn("turn", F.row_number().over(turns))
     places = rows.select(*group, F.col("label").alias("name")).distinct().withColumn("bit", F.row_number().over(Window.partitionBy(*group).orderBy("name")) - 1)
