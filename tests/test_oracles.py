@@ -88,3 +88,11 @@ def test_the_active_cohort_is_all_outside_the_first_canton(spark, duck):
     found = catalogue.QUERIES["cohort_active"](spark, SF).select("student").distinct().toPandas()["student"].tolist()
     nations = duck.execute(f"select distinct c_nationkey from customer where c_custkey in ({','.join(map(str, found))})").fetchdf()["c_nationkey"]
     assert {n % 3 for n in nations} == {1, 2} and len(nations) > 10
+
+
+def test_what_several_parts_read_is_stored(spark):
+    """The series to be drawn and a matrix's school years are made once: no part goes back to the log for them."""
+    shown = catalogue.QUERIES["plot_ready_series"](spark, SF)
+    assert not [f for f in shown.inputFiles() if "orders" in f]
+    matrix = catalogue.QUERIES["yearly_matrix"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_graded" not in matrix

@@ -113,7 +113,9 @@ def search_products(distances: DataFrame, features: list[str]) -> DataFrame:
 
 def plot_series(wide: DataFrame, names: list[str], bucket: str, size: int, keys: tuple[str, ...] = ("student",)) -> DataFrame:
     """``keys..., feature, slot, v, upper``: dense series ready to be drawn, each with its feature's upper limit, the 90th percentile of all
-    values that the sparse series hold (1 if that is 0). Series that sum to 0.01 or less are left out."""
+    values that the sparse series hold (1 if that is 0). Series that sum to 0.01 or less are left out. The series are stored once, as the limit and the rows
+    both read them."""
+    wide = checkpointed(wide.select(*keys, *(c for n in names for c in (n, f"{n}_{bucket}"))))
     values = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names))
     each = wide.select(F.explode(values).alias("s")).select("s.feature", F.explode("s.x").alias("x")).filter(~F.isnan("x"))
     upper = quantiles(each, ["feature"], "x", [0.9], continuous=True).select("feature", F.col("value").alias("upper"))
