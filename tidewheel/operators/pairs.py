@@ -61,13 +61,15 @@ def density_clusters(pairs: DataFrame, members: DataFrame, group: list[str], eps
 
     A core member has ``least`` members within ``eps``, itself included. Core members within ``eps`` of each other are one cluster; clusters are
     numbered from 1 by their smallest core member. Any other member within ``eps`` of a core one belongs to the cluster
-    of the smallest number among those.
+    of the smallest number among those. With a column ``weight`` a member stands for as many that are at one place, of which it is the smallest.
     """
+    weight = "weight" in members.columns
     near = checkpointed(pairs.filter(F.col("d") <= eps).select(*group, "i", "j"))
     both = near.unionByName(near.select(*group, F.col("j").alias("i"), F.col("i").alias("j")))
-    counts = both.groupBy(*group, F.col("i").alias("member")).agg(F.count("*").alias("n"))
-    all_members = members.select(*group, "member").distinct()
-    core = all_members.join(counts, [*group, "member"], "left").filter(F.coalesce("n", F.lit(0)) + 1 >= least).select(*group, "member")
+    all_members = members.select(*group, "member", F.col("weight") if weight else F.lit(1).alias("weight")).distinct()
+    others = both.join(all_members.select(*group, F.col("member").alias("j"), "weight"), [*group, "j"]) if weight else both.withColumn("weight", F.lit(1))
+    counts = others.groupBy(*group, F.col("i").alias("member")).agg(F.sum("weight").alias("n"))
+    core = all_members.join(counts, [*group, "member"], "left").filter(F.coalesce("n", F.lit(0)) + F.col("weight") >= least).select(*group, "member")
     ends = [core.withColumnRenamed("member", x) for x in "ij"]
     inner = near.join(ends[0], [*group, "i"], "left_semi").join(ends[1], [*group, "j"], "left_semi")
     found = components(inner, group).withColumnRenamed("node", "member")
