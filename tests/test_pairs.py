@@ -253,3 +253,32 @@ def test_measures_over_numbers_equal_those_over_pairs(spark, monkeypatch, sizes)
         found, want = numbers.block_moments(rows, labels, ["g"], widths), pairs.block_moments(now, past, labels, ["g"])
         _near(found, want, ["g", "a", "b", "diagonal"])
         _near(pairs.factors_of(found, ["g"]), pairs.forgetting_factors(now, past, labels, ["g"]), ["g"])
+
+
+def test_classes_of_members_equal_whole_matrices():
+    """A cohort by classes of members that are alike, against the matrix of all its members."""
+    rng = np.random.default_rng(6)
+    x, own = rng.integers(0, 5, (14, 3)).astype(float), rng.integers(0, 14, 150)
+    own[:14] = np.arange(14)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    d /= d.max()
+    for gamma, k in ((0.3, 2), (1.8, 3), (1.0, 4), (1.0, 5)):
+        w = np.exp(-gamma * d**2)
+        want = cluster.spectral(w[np.ix_(own, own)], k)
+        ((_, _, got, scores),) = cluster.class_cells([w], own, [k])
+        assert got["eigenvalues"][:8] == pytest.approx(want["eigenvalues"][:8], abs=1e-9)
+        for name, value in cluster.scores(want).items():
+            assert scores[name] == pytest.approx(value, abs=1e-6), (gamma, k, name)
+    few = cluster.Classes(np.array([[1.0, 0.2], [0.2, 1.0]]), np.arange(100) % 2, 5)  # three of the five vectors part members that are alike
+    dense = np.where(np.equal.outer(np.arange(100) % 2, np.arange(100) % 2), 1.0, 0.2)
+    assert few.values[:5] == pytest.approx(cluster.laplacian_spectrum(dense)[0][:5], abs=1e-9) and few.maps.shape[1] == 5
+
+
+def test_density_clusters_of_weights_equal_those_of_copies(spark):
+    rng = np.random.default_rng(2)
+    x, own = np.sort(rng.random(12)), np.sort(np.append(np.arange(12), rng.integers(0, 12, 20)))
+    m = np.abs(np.subtract.outer(x, x))
+    d = pair_table(spark, {1: m})
+    sizes = spark.createDataFrame([(1, i, int(n)) for i, n in enumerate(np.bincount(own))], "g long, member long, weight int")
+    got = {r.member: r.label for r in pairs.density_clusters(d, sizes, ["g"], 0.06, 4).collect()}
+    assert [got[c] for c in own.tolist()] == plain_density(m[np.ix_(own, own)], 0.06, 4)
