@@ -13,7 +13,7 @@ from tidewheel.llm import language_id as li
 from tidewheel.llm import statistics as stats
 from tidewheel.llm.hidden_markov import language_scores
 from tidewheel.llm.language_id import identify
-from tidewheel.llm.quality_rules import FIELDS, FamilyForests, Forest, calibrate, calibrate_families, labelled_sample, quality_verdicts, row_sample
+from tidewheel.llm.quality_rules import FIELDS, FamilyForests, Forest, calibrate, calibrate_families, calibrate_families_table, calibrate_table, labelled_sample, quality_verdicts, row_sample
 from tidewheel.llm.rule_ensemble import RuleEnsemble, lasso_logistic, quality_scores
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -151,6 +151,23 @@ def test_row_sample_is_bounded_and_counts_copies_once(spark):
     assert np.array_equal(some, row_sample(df.repartition(7), ["a", "b"], 1000))
 
 
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """Those of a table equal those of arrays, ties of scores included; few ranges have many scores each."""
+    rng = np.random.default_rng(12)
+    good = rng.random(4000) < 0.8
+    scores = np.round(rng.normal(0.4 + 0.2 * ~good[:, None] * np.array([0, 1, 0.7]), 0.08), 3).clip(0.01, 0.99)
+    rows = [(*map(float, s), bool(g)) for s, g in zip(scores, good, strict=True)]
+    df = spark.createDataFrame(rows, "s0 double, s1 double, s2 double, good boolean").repartition(5).cache()
+    for j in range(3):
+        assert calibrate_table(df, f"s{j}", 7) == pytest.approx(calibrate(scores[:, j], good), abs=1e-12)
+    assert calibrate_families_table(df, 3) == pytest.approx(calibrate_families(scores, good), abs=1e-12)
+    assert calibrate_table(df.filter("good"), "s0") == 1.0
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 500}" + "#" * (i % 5 == 0) for j in range(60 + i % 9))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 400)], "doc_id long, quality int")
+    few = {r.doc_id: r.kept for r in quality_verdicts(docs, labels, limit=50).collect()}
+    assert few == {r.doc_id: r.kept for r in quality_verdicts(docs, labels).collect()} and {True, False} == set(few.values())
+
+
 def test_labelled_sample_sends_copies_once(spark):
     """A third of all rows are one labelled text; another id has many different texts."""
     hot = spark.range(3000).selectExpr("1L as doc_id", "0.5D as a")

@@ -4,7 +4,7 @@ Each tree splits a small random sample at random values of random statistics unt
 isolate are anomalies. The statistics come in families, each with a forest and a threshold of its own, so that what is rare in
 one family (a text with many digits) is not added to what is rare in another. Trees grow without labels on a bounded sample of
 all rows that pass the fixed rules and all count alike (only where more than a tenth of the sample is labelled bad, these rows are
-thinned); labelled rows (at most about ``LABELLED``) set the thresholds. Scoring covers every row.
+thinned); all labelled rows set the thresholds. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import statistics as st
 from . import text as tx
 from .runtime import DIGEST, Stored, input_texts, map_texts
 
+#: Labelled rows up to which thresholds are found on the driver; of more, all are scored and ranked by Spark.
 LABELLED = 20_000
+#: Ranges of scores that are added up apart.
+RANGES = 64
 #: Rows that trees grow on, chosen by a hash of their statistics among all rows that pass the fixed rules; equal rows count once.
 GROWN = 20_000
 #: Trees of a family, and rows of a tree: few, as of many rows junk is no longer rare enough to stand alone soon.
@@ -165,15 +168,23 @@ class FamilyForests:
     def fit(cls, x: np.ndarray, fields: list[str], known: np.ndarray, good: np.ndarray, share: float = 0.0) -> FamilyForests:
         """Forests over ``x``; thresholds from the labelled rows ``known``, or without both classes so that each of ``n`` families
         rejects at most ``share / n`` of ``x``."""
-        columns = [[fields.index(f) for f in family] for family in FAMILIES]
-        x = thinned(x, known[~good])
-        model = cls([Forest.fit(x[:, c], seed=7 + i) for i, c in enumerate(columns)], columns, np.ones(len(columns)))
+        model = cls.grown(x, fields, known[~good])
         if len(known) and good.any() and not good.all():
             model.limits = calibrate_families(model.scores(known), good)
-        elif share > 0:
-            model.limits = np.quantile(model.scores(x), 1 - share / len(columns), axis=0, method="higher")
+        else:
+            model.reject(thinned(x, known[~good]), share)
         return model
 
+    @classmethod
+    def grown(cls, x: np.ndarray, fields: list[str], bad: np.ndarray) -> FamilyForests:
+        """Forests without thresholds over ``x``, in which rows of ``bad`` are thinned."""
+        columns, x = [[fields.index(f) for f in family] for family in FAMILIES], thinned(x, bad)
+        return cls([Forest.fit(x[:, c], seed=7 + i) for i, c in enumerate(columns)], columns, np.ones(len(columns)))
+
+    def reject(self, x: np.ndarray, share: float) -> None:
+        if share > 0:
+            self.limits = np.quantile(self.scores(x), 1 - share / len(self.columns), axis=0, method="higher")
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([f.score(x[:, c]) for f, c in zip(self.forests, self.columns, strict=True)])
 
@@ -197,10 +208,18 @@ def row_sample(stats: DataFrame, fields: list[str], limit: int) -> np.ndarray:
 
     Equal rows count once, so a group of copies is neither sent whole nor normal for its size.
     """
+    return _values(stats.filter(_chosen(stats, fields, limit)), fields)
+
+
+def _chosen(stats: DataFrame, fields: list[str], limit: int) -> Column:
+    """Whether a row is one of the about ``limit`` different ones."""
     key, slots = F.xxhash64(*fields), 1 << 24
     n = stats.agg(F.approx_count_distinct(key, 0.01)).first()[0]
-    rows = stats.select(*fields) if n <= limit else stats.select(*fields).filter(F.pmod(key, F.lit(slots)) < int(slots * limit / n))
-    return rows.distinct().toPandas().sort_values(fields, ignore_index=True)[fields].to_numpy(float)
+    return F.lit(True) if n <= limit else F.pmod(key, F.lit(slots)) < int(slots * limit / n)
+
+
+def _values(rows: DataFrame, fields: list[str]) -> np.ndarray:
+    return rows.select(*fields).distinct().toPandas().sort_values(fields, ignore_index=True)[fields].to_numpy(float)
 
 
 def labelled_sample(
@@ -211,11 +230,7 @@ def labelled_sample(
     Rows of one id and the same values count once. Rows are chosen by a bound on the hash before they are sent, so no task sends
     more than its share.
     """
-    known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("double").alias("y")).filter(
-        "doc_id is not null and y is not null"
-    )
-    joined = stats.select("doc_id", *fields).distinct().join(known.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id")
-    table = Stored(joined, "labelled")
+    table = labelled_rows(stats, labels, fields, id_col, label_col)
     n, slots = table.df.count(), 1 << 24
     chosen = table.df if n <= limit else table.df.filter(F.pmod(F.xxhash64("doc_id", *fields), F.lit(slots)) < int(slots * limit / n))
     rows = chosen.toPandas().sort_values(["doc_id", *fields], ignore_index=True).head(limit)
@@ -223,10 +238,91 @@ def labelled_sample(
     return rows[fields].to_numpy(float), rows["y"].to_numpy(float)
 
 
+def labelled_rows(stats: DataFrame, labels: DataFrame, fields: list[str], id_col: str = "doc_id", label_col: str = "quality") -> Stored:
+    """``doc_id``, values and label ``y`` of all labelled rows; rows of one id and the same values count once."""
+    known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("double").alias("y")).filter(
+        "doc_id is not null and y is not null"
+    )
+    joined = stats.select("doc_id", *fields).distinct().join(known.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id")
+    return Stored(joined, "labelled")
+
+
+def calibrate_table(rows: DataFrame, score: str, ranges: int = RANGES) -> float:
+    """``calibrate`` over the columns ``score`` and ``good`` of a table of any size: sums of equal scores, added up within ranges of scores.
+
+    The driver sees a row a range.
+    """
+    sums = rows.groupBy(F.col(score).alias("s")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    cuts = rows.agg(F.percentile_approx(score, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    at = sum((F.when(F.col("s") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    table = Stored(sums.withColumn("range", at), "scores")
+    ends = table.df.groupBy("range").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.min("s").alias("low")).orderBy("range").collect()
+    good, bad = sum(r["g"] for r in ends), sum(r["b"] for r in ends)
+    if not good or not bad:
+        table.discard()
+        return 1.0
+    base, before = [], [0, 0]
+    for r, after in zip(ends, [*ends[1:], None], strict=True):
+        base.append((r["range"], before[0], before[1], after and after["low"]))
+        before = [before[0] + r["g"], before[1] + r["b"]]
+    bases = rows.sparkSession.createDataFrame(base, "range int, g0 long, b0 long, after double")
+    w = Window.partitionBy("range").orderBy("s")
+    upto = [(F.col(f"{c}0") + F.sum(c).over(w)) / F.lit(float(n)) for c, n in (("g", good), ("b", bad))]
+    gap = F.coalesce(F.lead("s").over(w), "after") - F.col("s")
+    parted = table.df.join(F.broadcast(bases), "range").select("s", (upto[0] + (1 - upto[1])).alias("value"), gap.alias("gap")).filter("gap > 0")
+    most = parted.agg(F.max("value")).first()[0]
+    found = None if most is None else parted.filter(F.col("value") >= F.lit(most - 1e-3)).agg(F.max_by(F.struct("s", "gap"), F.struct("gap", -F.col("s")))).first()[0]
+    table.discard()
+    return 1.0 if found is None else float(found["s"] + found["gap"] / 2)
+
+
+def calibrate_families_table(scores: DataFrame, n: int) -> np.ndarray:
+    """``calibrate_families`` over the columns ``s0, s1, ...`` of ``n`` families and ``good`` of a table of any size."""
+    limits = np.ones(n)
+
+    def values(*gone: Column) -> list[float]:
+        good = F.col("good")
+        parts = [c for g in gone for c in (F.avg(F.when(good, (~g).cast("double"))), F.avg(F.when(~good, g.cast("double"))))]
+        found = scores.agg(*parts).first()
+        return [(found[2 * i] + found[2 * i + 1]) / 2 for i in range(len(gone))]
+
+    alone = values(*(F.col(f"s{j}") > calibrate_table(scores, f"s{j}") for j in range(n)))
+    gone, now = F.lit(False), 0.5
+    for j in np.argsort(-np.array(alone), kind="stable").tolist():
+        limit = calibrate_table(scores.filter(~gone), f"s{j}")
+        more = gone | (F.col(f"s{j}") > limit)
+        reached = values(more)[0]
+        if reached >= now + GAIN:
+            limits[j], gone, now = limit, more, reached
+    return limits
+
+
 def base_failed(max_repeat: int = 50, min_words: int = 50):
     return (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
 
 
+def _values_and_labels(rows: DataFrame) -> np.ndarray:
+    return rows.toPandas().sort_values(["doc_id", *FIELDS], ignore_index=True)[[*FIELDS, "y"]].to_numpy(float)
+
+
+def _limits_of_all(forests: FamilyForests, rows: DataFrame) -> np.ndarray:
+    """Thresholds from all labelled rows: their scores are a table, over which ranks and sums are taken."""
+    shared, n = rows.sparkSession.sparkContext.broadcast(forests), len(FAMILIES)
+    names = [f"s{j}" for j in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.column_stack([batch.column(f).to_numpy() for f in FIELDS])
+            found = np.concatenate([np.empty((0, n)), *(shared.value.scores(values[i : i + 2048]) for i in range(0, len(values), 2048))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, j].copy()) for j in range(n)), batch.column("good")], [*names, "good"])
+
+    scored = rows.select(*FIELDS, (F.col("y") > 0).alias("good")).mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", good boolean")
+    table = Stored(scored, "family-scores")
+    limits = calibrate_families_table(table.df, n)
+    table.discard()
+    return limits
+
+
 def quality_verdicts(
     docs: DataFrame, labels: DataFrame, *, limit: int = LABELLED, grown: int = GROWN, unlabelled_share: float = 0.0,
     id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
@@ -245,11 +341,23 @@ def quality_verdicts(
     stats = Stored(rule_statistics(docs, id_col, text_col, digest), "rule-stats").df
     told = ["doc_id", *st.RULE_FIELDS, *([DIGEST] if digest else [])]
     passed = stats.filter(~base_failed())
-    x = row_sample(passed, FIELDS, grown)
+    chosen = _chosen(passed, FIELDS, grown)
+    x = _values(passed.filter(chosen), FIELDS)
     if len(x) < 2:
         return stats.select(*told, base_failed().alias("base_failed"), (~base_failed()).alias("kept"), F.lit(0.0).alias("anomaly"))
-    known, y = labelled_sample(passed, labels, FIELDS, limit)
-    forests = FamilyForests.fit(x, FIELDS, known, y > 0, unlabelled_share)
+    table = labelled_rows(passed, labels, FIELDS)
+    n, classes = table.df.agg(F.count("*"), F.count_distinct(F.col("y") > 0)).first()
+    if classes == 2 and n <= limit:
+        known = _values_and_labels(table.df)
+        forests = FamilyForests.fit(x, FIELDS, known[:, :-1], known[:, -1] > 0)
+    else:
+        bad = _values(table.df.filter("y <= 0").filter(chosen), FIELDS)  # among the rows that trees grow on
+        forests = FamilyForests.grown(x, FIELDS, bad)
+        if classes == 2:
+            forests.limits = _limits_of_all(forests, table.df)
+        else:
+            forests.reject(thinned(x, bad), unlabelled_share)
+    table.discard()
     shared = stats.sparkSession.sparkContext.broadcast(forests)  # families * trees * 2 * sample nodes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
