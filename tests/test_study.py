@@ -181,3 +181,38 @@ def test_untried_experiments_have_defaults(spark):
     assert mine == {"a": 3, "b": 9, "c": 9}
     latest = {r.experiment: (r.clusters, r.window_size) for r in tracking.latest_metadata(log, every).collect()}
     assert latest == {"a": (3, 1), "b": (2, 1), "c": (3, 2)}
+
+
+def test_large_cohorts_evolve_by_their_different_series(spark):
+    """Members and kinds are more than a period's different series: the results are those of whole matrices."""
+    rng = np.random.default_rng(5)
+    some = rng.poisson(2.0, (4, 30, 5)) * (np.arange(30) % 3 + 1)[None, :, None] * 1.0
+    x = np.array([some[t][rng.integers(0, 30, 130)] for t in range(4)])
+    x = np.concatenate([x, x[:, rng.integers(0, 130, 70)]], axis=1)
+    rows = [(1, s, t, x[t, s].tolist()) for t in range(4) for s in range(200) if x[t, s].any()]
+    series = spark.createDataFrame(rows, "g long, student long, t int, v array<double>")
+    kernels = [evolve.series_kernel(m) for m in x]
+    for search in ((2, 3, 4), ()):
+        found = {(r.student, r.t): r for r in evolve.evolve_cohorts(series, clusters=3, search=search).collect()}
+        for t, step in enumerate(evolve.evolve(kernels, [3] * 4, search=search)):
+            assert [found[s, t].label for s in range(200)] == step.labels.tolist()
+            assert found[0, t].clusters == step.clusters and found[0, t].alphas == pytest.approx(step.alphas, abs=1e-9)
+
+
+def test_block_products_and_factors_of_kinds_are_those_of_whole_matrices():
+    rng = np.random.default_rng(8)
+    codes, own = [rng.permutation(np.arange(150) % 20) for _ in range(3)], np.append(np.arange(150), rng.integers(0, 150, 100))
+    kernels = [evolve.series_kernel(rng.random((20, 4))) for _ in range(3)]
+    cohort = evolve.Cohort(own, codes, kernels)
+    whole = [w[np.ix_(c[own], c[own])] for c, w in zip(codes, kernels, strict=True)]
+    factors, labels = np.array([0.2, 0.5, 0.3]), rng.integers(0, 3, 150)
+    blend = sum(f * w for f, w in zip(factors, whole, strict=True))
+    past = np.array([0.4, 0.6, 0.0])
+    want = evolve.forgetting_factor(whole[2], 0.4 * whole[0] + 0.6 * whole[1], labels[own])
+    assert cohort.forgetting_factor(2, past, labels) == pytest.approx(want, abs=1e-12)
+    maps, _ = cluster.spectral_embedding(blend, 4)
+    found = evolve.Leading(cohort, factors, 4).maps
+    assert np.abs(np.abs(found[own]) - np.abs(maps)).max() < 1e-8
+    labels, d = rng.integers(0, 3, 150), np.sqrt(((maps[:, None] - maps[None]) ** 2).sum(axis=2))
+    first = np.unique(own, return_index=True)[1]
+    assert cluster.point_silhouette(maps[first], labels, cohort.size) == pytest.approx(cluster.silhouette(d, labels[own]), abs=1e-9)
