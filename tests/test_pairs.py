@@ -282,3 +282,20 @@ def test_density_clusters_of_weights_equal_those_of_copies(spark):
     sizes = spark.createDataFrame([(1, i, int(n)) for i, n in enumerate(np.bincount(own))], "g long, member long, weight int")
     got = {r.member: r.label for r in pairs.density_clusters(d, sizes, ["g"], 0.06, 4).collect()}
     assert [got[c] for c in own.tolist()] == plain_density(m[np.ix_(own, own)], 0.06, 4)
+
+
+def test_only_starts_that_moved_go_on(spark, monkeypatch):
+    """A start whose modes stand still is not assigned again, and few kinds are broadcast; results are those of all starts in every round."""
+    rng = np.random.default_rng(4)
+    codes = spark.createDataFrame([(g, s, rng.integers(0, 4, 5).tolist()) for g in (1, 2) for s in range(60)], "g long, student long, codes array<int>")
+    met, plain = [], modes.new_modes
+    monkeypatch.setattr(modes, "new_modes", lambda placed, now, group: (met.append(now.select(*group, "clusters", "start").distinct().count()), plain(placed, now, group))[1])
+    found = {(r.g, r.clusters): (r.start, r.cost, r.modes) for r in modes.search(codes, ["g"], [2, 4], starts=9).collect()}
+    assert met[0] == 36 and sorted(met, reverse=True) == met and met[-1] < 36
+    some = modes.kinds(codes, ["g"]).cache()
+    now = modes.first_modes(some, ["g"], [2, 4], 9, 111).localCheckpoint()
+    for _ in met:
+        now = plain(modes.assigned(some, now, ["g"]), now, ["g"]).localCheckpoint()
+    cost = modes.assigned(some, now, ["g"]).groupBy("g", "clusters", "start").agg(F.sum(F.col("weight") * F.col("cost")).alias("cost")).collect()
+    for (g, k), (start, best, _) in found.items():
+        assert (best, start) == min((r.cost, r.start) for r in cost if (r.g, r.clusters) == (g, k))
