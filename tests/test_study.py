@@ -216,3 +216,21 @@ def test_block_products_and_factors_of_kinds_are_those_of_whole_matrices():
     labels, d = rng.integers(0, 3, 150), np.sqrt(((maps[:, None] - maps[None]) ** 2).sum(axis=2))
     first = np.unique(own, return_index=True)[1]
     assert cluster.point_silhouette(maps[first], labels, cohort.size) == pytest.approx(cluster.silhouette(d, labels[own]), abs=1e-9)
+
+
+def test_students_alike_in_a_feature_are_one_row_of_its_matrices(spark, monkeypatch):
+    """Scores from the different series and who is like whom are those of all pairs; a large cohort and a small one."""
+    monkeypatch.setattr(study, "GAMMAS", [0.5, 1.5]), monkeypatch.setattr(study, "CLUSTERS", [2, 3])
+    rng = np.random.default_rng(2)
+    kinds = rng.poisson(2.0, (12, 4)) * 1.0
+    rows = [(g, s, "a", kinds[int(rng.integers(12))].tolist()) for g, n in ((11, 90), (12, 20)) for s in range(n)]
+    series = spark.createDataFrame(rows, "g long, student long, feature string, v array<double>").cache()
+    named = distance.alike(series, ["g", "feature"], "student", "v").cache()
+    d = study.feature_distances(named.filter("student = name").select("g", "student", "feature", "v"), [0, 1])
+    assert d.count() <= 2 * 2 * 66
+    keys = ["g", "feature", "window_size", "gamma", "clusters"]
+    found = {tuple(r[k] for k in keys): r for r in study.score_features(d, named.select("g", "feature", "student", "name")).collect()}
+    whole = study.search_features(study.feature_distances(series, [0, 1])).collect()
+    assert len(found) == len(whole) == 16
+    for r in whole:
+        assert found[tuple(r[k] for k in keys)].s_sil_km == pytest.approx(r.s_sil_km, abs=1e-6)

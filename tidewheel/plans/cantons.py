@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, cohort, features, regularity
+from ..operators import calendar, cohort, distance, features, regularity
 from ..sources import checkpointed
 from . import logs, people, study
 from .catalogue import _half_events, _order_years, _plain, _report, query
@@ -53,15 +53,30 @@ def semester_rows(spark: SparkSession, sf_dir: str, canton: int) -> DataFrame:
     return every.join(latest, ["student", "t"], "left").withColumn("g", F.lit(10 * canton) + F.col("t"))
 
 
-def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all features of both cantons in all semesters, over every window."""
+def feature_rows(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, Callable[[DataFrame], DataFrame]]]:
+    """``g, student, feature, v`` of each canton's series and of its numbers, each with what makes their distances."""
     parts = []
     for canton, (unit, _) in CANTONS.items():
         wide = checkpointed(semester_rows(spark, sf_dir, canton))
         bucket = f"semester_{unit}"
-        rows = study.dense_features(wide, features_of(canton, "dtw"), bucket, CAPACITY[bucket])
-        parts += [study.feature_distances(rows), study.number_distances(wide, features_of(canton, "euclidean"))]
-    return checkpointed(reduce(DataFrame.unionByName, parts))
+        parts.append((study.dense_features(wide, features_of(canton, "dtw"), bucket, CAPACITY[bucket]), study.feature_distances))
+        parts.append((study.number_rows(wide, features_of(canton, "euclidean")), study.number_distances))
+    return parts
+
+
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all features of both cantons in all semesters, over every window."""
+    return checkpointed(reduce(DataFrame.unionByName, [make(rows) for rows, make in feature_rows(spark, sf_dir)]))
+
+
+def different(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``distances`` of the students whose series or number is the first of its kind, and ``g, feature, student, name``: which of these each student is like."""
+    members, parts = [], []
+    for rows, make in feature_rows(spark, sf_dir):
+        named = checkpointed(distance.alike(checkpointed(rows), ["g", "feature"], "student", "v"))
+        members.append(named.select("g", "feature", "student", "name"))
+        parts.append(make(named.filter("student = name").select("g", "student", "feature", "v")))
+    return checkpointed(reduce(DataFrame.unionByName, parts)), reduce(DataFrame.unionByName, members)
 
 
 def each_canton(df: DataFrame, make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -87,7 +102,7 @@ def _profiles(labels: DataFrame) -> DataFrame:
 @query()
 def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best window, width and number of clusters of each canton, semester and feature, over the whole grids."""
-    return _shown(study.best_cells(study.search_features(distances(spark, sf_dir))))
+    return _shown(study.best_cells(study.score_features(*different(spark, sf_dir))))
 
 
 @query()

@@ -49,10 +49,15 @@ def feature_distances(rows: DataFrame, windows: list[int] | None = None, *, scal
     return checkpointed(known.filter("d is not null").select("g", "feature", "window_size", "i", "j", "d"))
 
 
-def number_distances(wide: DataFrame, names: list[str]) -> DataFrame:
-    """``feature_distances`` of features that are one number per student, Euclidean, under the one window there is."""
+def number_rows(wide: DataFrame, names: list[str]) -> DataFrame:
+    """``g, student, feature, v`` of features that are one number per student, as the distances take them."""
     rows = wide.select("g", "student", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names))).alias("x"))
-    raw = distance.euclidean_pairs(rows.select("g", "student", "x.feature", "x.v"), ["g", "feature"], "student", F.col("v"))
+    return distance.numbers(rows.select("g", "student", "x.feature", "x.v"), ["g", "feature"], "student", F.col("v")).select("g", F.col("member").alias("student"), "feature", "v")
+
+
+def number_distances(rows: DataFrame) -> DataFrame:
+    """``feature_distances`` of ``number_rows``, Euclidean, under the one window there is."""
+    raw = distance.euclidean_pairs(rows, ["g", "feature"], "student", F.col("v"))
     scaled = distance.normalise(raw.withColumn("window_size", F.lit(WINDOWS["euclidean"][0])), ["g", "feature", "window_size"])
     return scaled.filter("d is not null").select("g", "feature", "window_size", "i", "j", "d")
 
@@ -63,6 +68,15 @@ def search_features(distances: DataFrame, gammas: list[float] | None = None, clu
     return checkpointed(cluster.grid_search(square, ["g", "feature", "window_size", "keys"], gammas or GAMMAS, clusters or CLUSTERS))
 
 
+def score_features(distances: DataFrame, members: DataFrame) -> DataFrame:
+    """Scores of ``search_features``, without labels, where ``distances`` are those of a feature's different values and ``members(g, feature, student, name)``
+    says whose value each student has: students that are alike in a feature are one row of its matrices."""
+    square = distance.square(distances, ["g", "feature", "window_size"], 0.0, "d")
+    classes = checkpointed(distance.class_squares(members, square, ["g", "feature"], "student").drop("keys"))
+    found = cluster.grid_search(classes, ["g", "feature", "window_size"], GAMMAS, CLUSTERS)
+    return checkpointed(found.drop("labels", "s_eigen"))
+
+
 def best_cells(log: DataFrame) -> DataFrame:
     """The cell with the best silhouette for each cohort and feature."""
     dated = log.drop("labels", "keys", "s_eigen").withColumn("experiment_date", F.lit(0))
