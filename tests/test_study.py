@@ -234,3 +234,40 @@ def test_students_alike_in_a_feature_are_one_row_of_its_matrices(spark, monkeypa
     assert len(found) == len(whole) == 16
     for r in whole:
         assert found[tuple(r[k] for k in keys)].s_sil_km == pytest.approx(r.s_sil_km, abs=1e-6)
+
+
+def test_group_searches_of_students_that_are_alike_are_those_of_all_pairs(spark):
+    """Kernel sums, group searches and smoothed labels of kinds of students, in a large cohort and a small one; a feature that one period has the same for all."""
+    rng, rows, groups = np.random.default_rng(6), [], {"one": ["a", "b"], "two": ["b"]}
+    kinds = {f: rng.random((5, 3)) * 0.3 + (np.arange(5) % 3)[:, None] * np.array([3.0, 1.0, 0.5]) for f in "ab"}
+    for c, n in ((1, 100), (2, 24)):
+        near = rng.integers(0, 3, n)
+        for t in (1, 2, 3):
+            for f in "ab":
+                own = np.where(rng.random(n) < 0.85, near, rng.integers(0, 5, n)) if (t, f) != (2, "a") else np.zeros(n, int)
+                rows += [(10 * c + t, s, f, kinds[f][own[s]].tolist()) for s in range(n)]
+    series = spark.createDataFrame(rows, "g long, student long, feature string, v array<double>").cache()
+    named = distance.alike(series, ["g", "feature"], "student", "v").cache()
+    members = named.select("g", "feature", "student", "name")
+    d = study.feature_distances(named.filter("student = name").select("g", "student", "feature", "v"), [0, 1])
+    cells = [(g, f, (g + ord(f)) % 2, 0.5 + g % 3) for g in (11, 12, 13, 21, 22, 23) for f in "ab"]
+    best = spark.createDataFrame(cells, "g long, feature string, window_size int, gamma double")
+    found = study.group_kinds(d, members, best, groups).cache()
+    pairs = study.group_kernels(study.feature_distances(series, [0, 1]), best, groups).cache()
+    squares = {(r.g, r.feature_group): r for r in distance.square(pairs, ["g", "feature_group"], 0.0, "w").collect()}
+    assert len(squares) == 12
+    for r in found.collect():
+        own, want = np.array(r.own), np.array(squares[r.g, r.feature_group].matrix)
+        whole = np.array(r.matrix)[np.ix_(own, own)]
+        np.fill_diagonal(whole, 0.0)
+        assert r["keys"] == squares[r.g, r.feature_group]["keys"] and len(r.matrix) <= 25 and np.abs(whole - want).max() < 1e-12
+    log, plain = study.search_kinds(found, [2, 3]), study.search_groups(pairs, groups, [2, 3])
+    key = ["g", "feature_group", "clusters"]
+    scores = {tuple(r[k] for k in key): r.s_sil_km for r in plain.collect()}
+    assert {tuple(r[k] for k in key): r.s_sil_km for r in log.collect()} == pytest.approx(scores, abs=1e-6)
+    key = ["g", "feature_group", "student", "t"]
+    labels = {tuple(r[k] for k in key): r for r in study.evolve_kinds(found, log, [2, 3]).collect()}
+    whole = {tuple(r[k] for k in key): r for r in study.evolve_groups(pairs, plain, groups, [2, 3]).collect()}
+    assert labels.keys() == whole.keys() and len(labels) == 124 * 6
+    for k, r in whole.items():
+        assert labels[k].label == r.label and labels[k].alphas == pytest.approx(r.alphas, abs=1e-9)

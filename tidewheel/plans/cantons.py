@@ -90,9 +90,11 @@ def _shown(df: DataFrame) -> DataFrame:
     return _plain(df.select(F.expr("g div 10").alias("canton"), (F.col("g") % 10).alias("t"), *rest))
 
 
-def _kernels(d: DataFrame) -> DataFrame:
-    best = study.best_cells(study.search_features(d))
-    return checkpointed(each_canton(d, lambda some, c: study.group_kernels(some, best, groups_of(c))))
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel sums of each canton's groups of features, as matrices of students that are alike."""
+    d, members = different(spark, sf_dir)
+    best = study.best_cells(study.score_features(d, members))
+    return checkpointed(each_canton(d, lambda some, c: study.group_kinds(some, members, best, groups_of(c))))
 
 
 def _profiles(labels: DataFrame) -> DataFrame:
@@ -108,18 +110,12 @@ def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def study_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole study: features, groups, and profiles over the groups' labels."""
-    kernels = _kernels(distances(spark, sf_dir))
-    log = each_canton(kernels, lambda some, c: study.search_groups(some, groups_of(c)))
-    return _profiles(study.best_labels(log, "feature_group"))
+    return _profiles(study.best_labels(study.search_kinds(_kinds(spark, sf_dir)), "feature_group"))
 
 
 @query()
 def study_adaptive_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole study with clusters smoothed over the six semesters before the profiles are made."""
-    kernels = _kernels(distances(spark, sf_dir))
-
-    def smoothed(some: DataFrame, c: int) -> DataFrame:
-        return study.evolve_groups(some, study.search_groups(some, groups_of(c)), groups_of(c))
-
-    labels = each_canton(kernels, smoothed).select((F.col("g") * 10 + F.col("t")).alias("g"), "feature_group", "student", "label")
-    return _profiles(labels)
+    kinds = _kinds(spark, sf_dir)
+    labels = study.evolve_kinds(kinds, study.search_kinds(kinds))
+    return _profiles(labels.select((F.col("g") * 10 + F.col("t")).alias("g"), "feature_group", "student", "label"))
