@@ -6,7 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidewheel.operators import cluster, distance, evolve, tracking
+from tidewheel.operators import cluster, distance, evolve, narrow, tracking
 from tidewheel.plans import catalogue, config, study
 
 SF = "/root/testdata/sf0.001"
@@ -271,3 +271,45 @@ def test_group_searches_of_students_that_are_alike_are_those_of_all_pairs(spark)
     assert labels.keys() == whole.keys() and len(labels) == 124 * 6
     for k, r in whole.items():
         assert labels[k].label == r.label and labels[k].alphas == pytest.approx(r.alphas, abs=1e-9)
+
+
+def test_kernels_of_numbers_need_no_pairs(spark, monkeypatch):
+    """Scores, kernel sums, group searches and smoothed labels of numbers are those of all pairs; a large cohort and a small one."""
+    monkeypatch.setattr(study, "GAMMAS", [0.5, 1.7]), monkeypatch.setattr(study, "CLUSTERS", [2, 3])
+    rng, rows, groups = np.random.default_rng(4), [], {"one": ["a", "b"]}
+    for c, n in ((1, 130), (2, 24)):
+        near = rng.integers(0, 3, n)
+        for t in (1, 2, 3):
+            a, b = near * 4 + rng.random(n).round(2), near + rng.random(n).round(1)
+            rows += [(10 * c + t, s, f, float(x[s])) for s in range(n) for f, x in (("a", a), ("b", b))]
+        rows += [(10 * c + 1, s, "same", 7.0) for s in range(n)]
+    numbers = spark.createDataFrame(rows, "g long, student long, feature string, v double").cache()
+    d = study.number_distances(numbers).cache()
+    keys = ["g", "feature", "window_size", "gamma", "clusters"]
+    plain = {tuple(r[k] for k in keys): r for r in study.search_features(d).collect()}
+    found = {tuple(r[k] for k in keys): r for r in study.score_numbers(numbers).collect()}
+    assert found.keys() == plain.keys() and len(found) == 2 * 3 * 2 * 4
+    for k, r in plain.items():
+        assert [found[k].s_sil_km, found[k].s_distortion] == pytest.approx([r.s_sil_km, r.s_distortion], abs=1e-6)
+    best = spark.createDataFrame([(g, f, 1, 0.6 + g % 3) for g in (11, 12, 13, 21, 22, 23) for f in "ab"], "g long, feature string, window_size int, gamma double")
+    kinds, pairs = study.number_kinds(numbers, best, groups).cache(), study.group_kernels(d, best, groups).cache()
+    squares = {r.g: np.array(r.matrix) for r in distance.square(pairs, ["g"], 2.0, "w").collect()}
+    for r in kinds.collect():
+        f = np.array(r.matrix)[r.own]
+        assert np.abs(f @ f.T - squares[r.g]).max() < 1e-12
+    log, plain = study.search_kinds(kinds), study.search_groups(pairs, groups)
+    labels = {(r.g, r.student, r.t): r for r in study.evolve_kinds(kinds, log).collect()}
+    whole = {(r.g, r.student, r.t): r for r in study.evolve_groups(pairs, plain, groups).collect()}
+    assert labels.keys() == whole.keys() and len(labels) == 154 * 3
+    for k, r in whole.items():
+        assert labels[k].label == r.label and labels[k].alphas == pytest.approx(r.alphas, abs=1e-8)
+
+
+def test_leading_vectors_that_hardly_stand_out_are_found():
+    """Smooth kernels of numbers: some of the values asked for lie as near as 1e-5 to those of the diagonal."""
+    x = np.append([0.0, 1.0], np.random.default_rng(1).random(398))
+    for gamma in (0.3, 1.8):
+        cohort = evolve.Cohort(np.append(np.arange(400), np.arange(100)), [np.arange(400)], [evolve.Narrow(narrow.factor(x, gamma))])
+        found = evolve.Leading(cohort, np.ones(1), 4)
+        maps = cluster.spectral_embedding(cohort.dense(np.ones(1))[np.ix_(cohort.own, cohort.own)], 4)[0][:400, :3]
+        assert np.abs(np.abs(found.maps[:, :3]) - np.abs(maps)).max() < 1e-8

@@ -23,8 +23,8 @@ from .config import CAPACITY, FEATURE_GROUPS, FEATURE_GROUPS_WEEKLY, PROFILE_CLU
 CANTONS = {1: ("biweek", FEATURE_GROUPS), 2: ("woy", FEATURE_GROUPS_WEEKLY)}
 
 
-def groups_of(canton: int) -> dict[str, list[str]]:
-    return {name: group["features"] for name, group in CANTONS[canton][1].items()}
+def groups_of(canton: int, metric: str) -> dict[str, list[str]]:
+    return {name: group["features"] for name, group in CANTONS[canton][1].items() if group["metric"] == metric}
 
 
 def features_of(canton: int, metric: str) -> list[str]:
@@ -69,14 +69,18 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(reduce(DataFrame.unionByName, [make(rows) for rows, make in feature_rows(spark, sf_dir)]))
 
 
-def different(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """``distances`` of the students whose series or number is the first of its kind, and ``g, feature, student, name``: which of these each student is like."""
-    members, parts = [], []
+def different(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``distances`` of the students whose series is the first of its kind, ``g, feature, student, name``: which of these each student is like, and the
+    numbers of all students, whose kernels need no distances."""
+    members, parts, numbers = [], [], []
     for rows, make in feature_rows(spark, sf_dir):
+        if make is study.number_distances:
+            numbers.append(checkpointed(rows))
+            continue
         named = checkpointed(distance.alike(checkpointed(rows), ["g", "feature"], "student", "v"))
         members.append(named.select("g", "feature", "student", "name"))
         parts.append(make(named.filter("student = name").select("g", "student", "feature", "v")))
-    return checkpointed(reduce(DataFrame.unionByName, parts)), reduce(DataFrame.unionByName, members)
+    return checkpointed(reduce(DataFrame.unionByName, parts)), reduce(DataFrame.unionByName, members), reduce(DataFrame.unionByName, numbers)
 
 
 def each_canton(df: DataFrame, make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -90,11 +94,16 @@ def _shown(df: DataFrame) -> DataFrame:
     return _plain(df.select(F.expr("g div 10").alias("canton"), (F.col("g") % 10).alias("t"), *rest))
 
 
+def _best(d: DataFrame, members: DataFrame, numbers: DataFrame) -> DataFrame:
+    return study.best_cells(study.score_features(d, members).unionByName(study.score_numbers(numbers)))
+
+
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel sums of each canton's groups of features, as matrices of students that are alike."""
-    d, members = different(spark, sf_dir)
-    best = study.best_cells(study.score_features(d, members))
-    return checkpointed(each_canton(d, lambda some, c: study.group_kinds(some, members, best, groups_of(c))))
+    d, members, numbers = different(spark, sf_dir)
+    best = checkpointed(_best(d, members, numbers))
+    series = each_canton(d, lambda some, c: study.group_kinds(some, members, best, groups_of(c, "dtw")))
+    return checkpointed(series.unionByName(each_canton(numbers, lambda some, c: study.number_kinds(some, best, groups_of(c, "euclidean")))))
 
 
 def _profiles(labels: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def _profiles(labels: DataFrame) -> DataFrame:
 @query()
 def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best window, width and number of clusters of each canton, semester and feature, over the whole grids."""
-    return _shown(study.best_cells(study.score_features(*different(spark, sf_dir))))
+    return _shown(_best(*different(spark, sf_dir)))
 
 
 @query()
