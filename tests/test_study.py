@@ -313,3 +313,44 @@ def test_leading_vectors_that_hardly_stand_out_are_found():
         found = evolve.Leading(cohort, np.ones(1), 4)
         maps = cluster.spectral_embedding(cohort.dense(np.ones(1))[np.ix_(cohort.own, cohort.own)], 4)[0][:400, :3]
         assert np.abs(np.abs(found.maps[:, :3]) - np.abs(maps)).max() < 1e-8
+
+
+def test_vectors_near_the_diagonal_need_no_square_matrix(monkeypatch):
+    """Many kinds, of which some or each have several members: the leading vectors are those of the whole matrix, also where some lie within a kind."""
+    monkeypatch.setattr(evolve, "SQUARE", 64)
+    monkeypatch.setattr(evolve.Cohort, "dense", lambda *_: pytest.fail("a square matrix"))
+    x, inside = np.append([0.0, 1.0], np.random.default_rng(3).random(198)), 0
+    for own in (np.append(np.arange(200), np.arange(50)), np.arange(600) % 200):
+        for gamma in (0.3, 0.7, 1.8):
+            f = narrow.factor(x, gamma)
+            found = evolve.Leading(evolve.Cohort(own, [np.arange(200)], [evolve.Narrow(f)]), np.ones(1), 5)
+            assert np.bincount(found.own).tolist() == found.size.tolist() and np.array_equal(f[own], f[np.unique(own)][own])
+            w = f[own] @ f[own].T
+            np.fill_diagonal(w, 0.0)
+            root = np.sqrt(w.sum(axis=0))
+            whole, v = w / root[:, None] / root, found.maps[found.own] * root[:, None]
+            values = (v * (whole @ v)).sum(axis=0)
+            assert np.abs(v.T @ v - np.eye(5)).max() < 1e-9 and np.abs(whole @ v - v * values).max() < 1e-12
+            assert values == pytest.approx(np.linalg.eigvalsh(whole)[::-1][:5], abs=1e-12)
+            inside += len(found.size) > 200
+    assert inside
+
+
+def test_values_of_signed_roots_are_those_of_the_whole_matrix():
+    rng = np.random.default_rng(5)
+    g, sign, delta = rng.random((80, 5)), np.array([1.0, 1.0, -1.0, 1.0, -1.0]), rng.random(80)
+    values, vectors = evolve.secular(g, sign, delta, 7)
+    whole = g @ np.diag(sign) @ g.T - np.diag(delta)
+    assert values == pytest.approx(np.linalg.eigvalsh(whole)[::-1][:7], abs=1e-12)
+    assert np.abs(whole @ vectors - vectors * values).max() < 1e-10
+
+
+def test_a_matrix_is_dealt_out_once_for_all_widths(spark):
+    """A row holds a matrix and its members; it is not repeated for each width, and scores go without the labels of all members."""
+    x = np.random.default_rng(1).random((6, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    rows = spark.createDataFrame([(1, d.tolist(), (np.arange(90) % 6).tolist())], "g long, matrix array<array<double>>, own array<int>")
+    found = cluster.grid_search(rows, ["g"], [0.5, 1.5], [2, 3], labels=False)
+    assert "labels" not in found.columns and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r.gamma, r.clusters): r for r in cluster.grid_search(rows, ["g"], [0.5, 1.5], [2, 3]).collect()}
+    assert {(r.gamma, r.clusters): r.s_sil_km for r in found.collect()} == {k: r.s_sil_km for k, r in whole.items()} and len(whole) == 4

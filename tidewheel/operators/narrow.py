@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import SMALL_COHORT, scores, spectral_cells
+from .cluster import SMALL_COHORT, matrix_of, scores, spectral_cells
 from .evolve import Cohort, Leading, Narrow
 
 
@@ -32,7 +32,7 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return (x - x.min()) / (x.max() - x.min())
 
 
-def search(rows: DataFrame, group: list[str], clusters: list[int], gammas: list[float] | None = None) -> DataFrame:
+def search(rows: DataFrame, group: list[str], clusters: list[int], gammas: list[float] | None = None, *, labels: bool = True) -> DataFrame:
     """``cluster.grid_search`` without eigenvalues over ``rows(group..., own, x)``: with ``gammas`` ``x`` is the scaled number of each class of members, else the
     rows of a kernel's factor (gamma -1). ``own`` says the class of each member. A cell's rows are dealt out by number."""
     number = gammas is not None
@@ -45,15 +45,14 @@ def search(rows: DataFrame, group: list[str], clusters: list[int], gammas: list[
         for b in batches:
             for r in range(b.num_rows):
                 own, gamma = b.column("own")[r].values.to_numpy(), b.column("_gamma")[r].as_py()
-                x = np.array(b.column("x")[r].as_py(), float)
-                f = factor(x, gamma) if number else x
+                f = factor(b.column("x")[r].values.to_numpy(), gamma) if number else matrix_of(b.column("x")[r])
                 if len(own) > SMALL_COHORT:
                     whole = Leading(Cohort(own, [np.arange(len(f))], [Narrow(f)]), np.ones(1), min(max(clusters), len(own)))
-                    found = [(k, labels[whole.own], whole.scores(labels, *rest)) for k in clusters for labels, *rest in [whole.k_means(k)]]
+                    found = [(k, own_label[whole.own], whole.scores(own_label, *rest)) for k in clusters for own_label, *rest in [whole.k_means(k)]]
                 else:
                     found = [(k, result["labels"], scores(result)) for _, k, result in spectral_cells([f[own] @ f[own].T], clusters)]
                 columns = [b.column(g).take(pa.array([r] * len(found))) for g in group] + [pa.array([gamma] * len(found)), pa.array([k for k, _, _ in found], pa.int32())]
-                columns += [pa.array([s[n] for _, _, s in found]) for n in names] + [pa.array([labels.tolist() for _, labels, _ in found], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, [*group, "gamma", "clusters", *names, "labels"])
+                columns += [pa.array([s[n] for _, _, s in found]) for n in names] + [pa.array([x for _, x, _ in found], pa.list_(pa.int32()))] * labels
+                yield pa.RecordBatch.from_arrays(columns, [*group, "gamma", "clusters", *names, *["labels"] * labels])
 
-    return jobs.mapInArrow(run, f"{fields}gamma double, clusters int, s_distortion double, s_bic double, s_sil_km double, labels array<int>")
+    return jobs.mapInArrow(run, f"{fields}gamma double, clusters int, s_distortion double, s_bic double, s_sil_km double" + ", labels array<int>" * labels)
