@@ -354,3 +354,17 @@ def test_a_matrix_is_dealt_out_once_for_all_widths(spark):
     assert "labels" not in found.columns and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     whole = {(r.gamma, r.clusters): r for r in cluster.grid_search(rows, ["g"], [0.5, 1.5], [2, 3]).collect()}
     assert {(r.gamma, r.clusters): r.s_sil_km for r in found.collect()} == {k: r.s_sil_km for k, r in whole.items()} and len(whole) == 4
+
+
+def test_matrices_come_and_go_without_pythons_numbers():
+    """A study's kinds are matrices of some million numbers, six in a row of the smoothing; a list of Python's numbers takes four times their memory and more."""
+    import tracemalloc
+
+    some = [np.arange(600.0 * 500).reshape(600, 500), np.ones((2, 3))]
+    tracemalloc.start()
+    column = cluster.matrix_column(some)
+    back = [cluster.matrix_of(row) for row in column]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(some, back, strict=True)) and most < 2 * some[0].nbytes
+    assert str(column.type) == "list<item: list<item: double>>" and column[1].as_py() == [[1.0] * 3] * 2
