@@ -1,5 +1,6 @@
 """Features, regularity, distances, clusters and smoothing on hand-checked values."""
 
+import inspect
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel import functions as fn
 from tidewheel import sources
 from tidewheel.operators import cluster, cohort, distance, evolve, features, ordering, regularity, tracking
-from tidewheel.plans import study
+from tidewheel.plans import catalogue, study
 
 
 def value(spark, column):
@@ -246,3 +247,33 @@ def test_positions_are_those_of_a_sorted_list(spark):
     assert [r.i for r in out.orderBy("pos").collect()] == want and sorted(r.pos for r in out.collect()) == list(range(500))
     assert ordering.positions(df.limit(0), *order).collect() == [] and out.columns == ["k", "v", "i", "pos"]
     assert sorted(r.pos for r in ordering.positions(df, F.asc("k")).collect()) == list(range(500))
+
+
+def test_pairs_are_rounded_as_all_numbers_are(spark):
+    """By whole millionths instead of decimal text: the same doubles, also for large numbers, null and nan."""
+    rng = np.random.default_rng(4)
+    values = [*(rng.random(20000) * 10.0 ** rng.integers(-7, 5, 20000)).tolist(), 0.0, 0.5, 0.0000005, 1.0000015, 1234.5678905, 8.9e9 + 0.1, 3e12 + 0.3, -2.5000005, float("nan"), None]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, d double").coalesce(1)
+    found, want = catalogue._plain_pairs(df), catalogue._plain(df)
+    assert found.dtypes == want.dtypes and list(map(str, found.collect())) == list(map(str, want.collect()))
+    for name in ("euclid_distance", "minmax_distance", "gaussian_affinity", "kernel_sum", "dtw_distance"):
+        assert "rint(" in inspect.getsource(catalogue._plain_pairs) and "_plain_pairs(" in inspect.getsource(catalogue.QUERIES[name])
+
+
+def test_series_that_occur_more_than_once_are_compared_once(spark, monkeypatch):
+    """A block's different series are compared, not its pairs; the pairs are all there."""
+    rng = np.random.default_rng(2)
+    x = rng.poisson(2.0, (4, 5)) * 1.0
+    own = rng.integers(0, 4, 60)
+    df = spark.createDataFrame([(1, i, x[c].tolist()) for i, c in enumerate(own)], "g int, k int, v array<double>").coalesce(1)
+    real = distance.dtw
+
+    def few(a, b, radius):
+        assert len(a) <= 4 * 4
+        return real(a, b, radius)
+
+    monkeypatch.setattr(distance, "dtw", few)
+    got = {(r.i, r.j): r.d for r in distance.dtw_pairs(df, ["g"], "k", "v", 1).collect()}
+    assert set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60)}
+    assert all(d == pytest.approx(brute_dtw(x[own[i]], x[own[j]], 1)) for (i, j), d in got.items())
+
