@@ -368,3 +368,19 @@ def test_matrices_come_and_go_without_pythons_numbers():
     tracemalloc.stop()
     assert all(np.array_equal(a, b) for a, b in zip(some, back, strict=True)) and most < 2 * some[0].nbytes
     assert str(column.type) == "list<item: list<item: double>>" and column[1].as_py() == [[1.0] * 3] * 2
+
+
+def test_memory_of_many_kinds_is_bounded(monkeypatch):
+    """Leading vectors and k-means hold so many numbers at a time, whatever the kinds, and find the same."""
+    codes, own = [np.random.default_rng(8).permutation(np.arange(300) % 40) for _ in range(2)], np.append(np.arange(300), np.arange(200))
+    kernels = [evolve.series_kernel(np.random.default_rng(t).random((40, 3))) for t in range(2)]
+    cohort, factors = evolve.Cohort(own, codes, kernels), np.array([0.4, 0.6])
+    want = evolve.Leading(cohort, factors, 4)
+    labels = want.k_means(4)
+    monkeypatch.setattr(evolve, "HELD_BYTES", 1), monkeypatch.setattr(cluster, "STARTED", 1)
+    held, real = [], evolve.np.hstack
+    monkeypatch.setattr(evolve.np, "hstack", lambda x: held.append(sum(m.shape[1] for m in x)) or real(x))
+    found = evolve.Leading(cohort, factors, 4)
+    assert held and max(held) <= 4 * (4 + evolve.MORE) and np.abs(np.abs(found.maps) - np.abs(want.maps)).max() < 1e-9
+    again = want.k_means(4)
+    assert again[0].tolist() == labels[0].tolist() and np.array_equal(again[1], labels[1]) and again[2] == pytest.approx(labels[2], rel=1e-12)
